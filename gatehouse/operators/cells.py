@@ -96,7 +96,7 @@ def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str
         *(
             F.struct(
                 F.col(f"_o{i}").alias("original"), F.col(f"_v{i}").alias("value"),
-                F.filter("errors", lambda e, t=target: e["column_name"] == t).alias("errors"),
+                _of_column(target).alias("errors"),
             ).alias(target)
             for target, i, _ in cells
         ),
@@ -105,6 +105,10 @@ def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str
     )
 
 
+def _of_column(target: str) -> Column:
+    return F.filter("errors", lambda e: e["column_name"] == target)
+
+
 def _transform_level(
     step: DataFrame, chains: list[list[Rule]], level: int, row: Mapping[str, Column], fallible: set[int]
 ) -> DataFrame:
