@@ -125,13 +125,13 @@ def current_version_check(datasets: DataFrame, versions: DataFrame, key: str = "
 
 
 def apply_soft_delete(datasets: DataFrame, requests: DataFrame, key: str = "dataset_id") -> tuple[DataFrame, DataFrame]:
-    """Delete or recover: ``requests(key, action, user_id, at)``, one per key; returns (datasets, refused).
+    """Delete or recover: ``requests(key, action, user_id, happened_at)``, one per key; returns (datasets, refused).
 
     Deleting a missing or deleted dataset, and recovering a missing or live one, is refused.
     """
     asked = requests.select(
         F.col(key).alias("_key"), F.col("action").alias("_action"), F.col("user_id").alias("_user"),
-        F.col("at").alias("_at"),
+        F.col("happened_at").alias("_at"),
     )
     joined = datasets.join(asked, datasets[key] == asked["_key"], "left")
     deleting = F.coalesce((F.col("_action") == "delete") & ~F.col("is_deleted"), F.lit(False))

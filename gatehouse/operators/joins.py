@@ -13,7 +13,7 @@ SALTS = 16
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (an upper bound for scans, filters and projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def lookup_join(

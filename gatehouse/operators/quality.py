@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gatehouse.operators.aggregates import duplicates, tagged_union
 from gatehouse.operators.filters import CODE_PATTERN, DATASET_STATUSES, first_issue
-from gatehouse.operators.joins import exists_filter, lookup_join, mismatched, missing_links
+from gatehouse.operators.joins import completeness, exists_filter, lookup_join, mismatched, missing_links
 from gatehouse.functions.typed import COLUMN_TYPES
 from gatehouse.operators.typed_values import VALUE_FIELDS
 
@@ -232,3 +232,11 @@ def cancellation_issues(runs: DataFrame) -> DataFrame:
 def forbidden_rows(df: DataFrame, denied: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows that a deny list says must not exist."""
     return exists_filter(df, denied, on)
+
+
+def contract(tables: dict[str, DataFrame], expected: Sequence[tuple[str, str]]) -> DataFrame:
+    """Expected (table, column) pairs labelled Available or Missing, from the tables' schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    shape = "table_name string, column_name string"
+    actual = spark.createDataFrame([(name, c) for name, df in tables.items() for c in df.columns], shape)
+    return completeness(spark.createDataFrame(list(expected), shape), actual, ["table_name", "column_name"])

@@ -118,12 +118,12 @@ def run_history(
 
 def error_page(errors: DataFrame, import_id=None, number: int = 1, size: int = 50) -> DataFrame:
     wanted = optional_filters(errors, {"import_id": import_id})
-    order = [F.col("row_number").asc(), F.col("at").asc(), F.col("error_id").asc()]
+    order = [F.col("row_number").asc(), F.col("happened_at").asc(), F.col("error_id").asc()]
     return page_rows(wanted, order, number, size, MAX_ERROR_PAGE_SIZE)
 
 
 def latest_errors(errors: DataFrame, n: int = 200) -> DataFrame:
-    return latest(errors, [F.col("at").desc(), F.col("row_number").asc(), F.col("error_id").asc()], n)
+    return latest(errors, [F.col("happened_at").desc(), F.col("row_number").asc(), F.col("error_id").asc()], n)
 
 
 def roles_by_rank(roles: DataFrame, name: str = "role_name", ranked: Sequence[str] = ROLE_RANK) -> DataFrame:
@@ -172,7 +172,7 @@ def audit_trail(
     if actions:
         wanted |= F.col("action").isin(list(actions))
     rows = optional_filters(audit.filter(wanted), {"workspace_id": workspace_id})
-    return latest(rows, [F.col("at").desc(), F.col("audit_id").asc()], n)
+    return latest(rows, [F.col("happened_at").desc(), F.col("audit_id").asc()], n)
 
 
 def session_log(tokens: DataFrame, users: DataFrame, as_of: str, n: int = 50) -> DataFrame:
