@@ -207,3 +207,14 @@ def registry_from_specs(spark: SparkSession, columns: Sequence[ColumnSpec]) -> D
         [(c.name, c.data_type, c.ordinal, c.is_key, c.is_required) for c in columns],
         "name string, data_type string, ordinal int, is_key boolean, is_required boolean",
     )
+
+
+def header_names(headers: DataFrame, has_header: bool = True) -> DataFrame:
+    """``(file, ordinal, name)`` for every header of every file: cleaned text, or ``Column1..n`` without a header."""
+    cells = headers.select("file", F.posexplode("headers").alias("_at", "_cell"))
+    ordinal = F.col("_at") + 1
+    name = (
+        clean_header(F.coalesce("_cell", F.lit(""))) if has_header
+        else F.concat(F.lit("Column"), ordinal.cast("string"))
+    )
+    return cells.select("file", ordinal.alias("ordinal"), name.alias("name"))

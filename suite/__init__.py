@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational",)
+MODULES = ("relational", "quality_checks", "history", "rule_checks")
 
 
 def load() -> None:

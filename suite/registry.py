@@ -81,7 +81,10 @@ def expand(sql: str) -> str:
     body = _NAME.sub(_bare, sql).strip()
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
+    own = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.IGNORECASE)
+    if own is None:
+        return f"WITH {views} {body}"
+    return f"WITH {own.group(1) or ''}{views}, {body[own.end():]}"
 
 
 def _bare(found: re.Match) -> str:
