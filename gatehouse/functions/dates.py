@@ -13,53 +13,64 @@ from pyspark.sql import Column, functions as F
 
 from gatehouse.functions.text import trim_ws
 
-_TAIL = (
-    r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)?(?: ?[AaPp][Mm]|Z|[+-]\d{2}:\d{2})?)?\z"
-)
+_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)?)?"
 # English month names; the first three letters also stand alone.
 MONTHS = (
     "january", "february", "march", "april", "may", "june",
     "july", "august", "september", "october", "november", "december",
 )
 _MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
+_ABBREVIATIONS = "".join(m[:3] for m in MONTHS)
 
-_ISO = r"\A\d{4}-\d{1,2}-\d{1,2}" + _TAIL
-_YEAR_FIRST = r"\A(\d{4})/(\d{1,2})/(\d{1,2})(?=" + _TAIL + ")"
-_MONTH_FIRST = r"\A(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?=" + _TAIL + ")"
-_NAME_FIRST = r"(?i)\A" + _MONTH + r"\.? (\d{1,2}),? (\d{4})(?=" + _TAIL + ")"
-_NAME_SECOND = r"(?i)\A(\d{1,2})[ -]" + _MONTH + r"[ -](\d{4})(?=" + _TAIL + ")"
-_MERIDIEM = r"(?i) ?[ap]m\z"
-_ZONE = r":\d{2}(?:\.\d{1,7})?(?:Z|[+-]\d{2}:\d{2})\z"
-
-
-def _named(text: Column, pattern: str, month: int, day: int) -> Column:
-    name = F.lower(F.substring(F.regexp_extract(text, pattern, month), 1, 3))
-    number = F.lit(None).cast("string")
-    for position, full in enumerate(MONTHS, start=1):
-        number = F.when(name == full[:3], str(position)).otherwise(number)
-    return F.concat(
-        F.regexp_extract(text, pattern, 3), F.lit("-"), number, F.lit("-"),
-        F.regexp_extract(text, pattern, day), F.regexp_replace(text, pattern, ""),
-    )
+_ISO = r"\A\d{4}-\d{1,2}-\d{1,2}" + _TIME + r"\z"
+_ISO_ZONED = r"\A\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(?:\.\d{1,7})?(?:Z|[+-]\d{2}:\d{2})\z"
+_ISO_TWELVE = r"(?i)\A\d{4}-\d{1,2}-\d{1,2}[T ](?:0?[1-9]|1[0-2]):\d{2}(?::\d{2}(?:\.\d{1,7})?)? ?[ap]m\z"
+_END = r"(?=\z|[T ])"
+_YEAR_FIRST = r"\A(\d{4})/(\d{1,2})/(\d{1,2})" + _END
+_MONTH_FIRST = r"\A(\d{1,2})[/-](\d{1,2})[/-](\d{4})" + _END
+_NAME_FIRST = r"(?i)\A" + _MONTH + r"\.? (\d{1,2}),? (\d{4})" + _END
+_NAME_SECOND = r"(?i)\A(\d{1,2})[ -]" + _MONTH + r"[ -](\d{4})" + _END
+_WORDED = r"[A-Za-z]{3}|[AaPp][Mm]\z"
 
 
 def to_datetime(value: Column) -> Column:
-    """Timestamp without zone, or null when the text is in none of the accepted shapes."""
+    """Timestamp without zone, or null when the text is in none of the accepted shapes.
+
+    Every numeric shape is rewritten to year-month-day by replacements that mention their input once; month names
+    and twelve-hour clocks take a branch of their own.
+    """
     text = trim_ws(value)
-    iso = (
-        F.when(text.rlike(_ISO), text)
-        .when(text.rlike(_MONTH_FIRST), F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2"))
-        .when(text.rlike(_YEAR_FIRST), F.regexp_replace(text, _YEAR_FIRST, "$1-$2-$3"))
-        .when(text.rlike(_NAME_FIRST), _named(text, _NAME_FIRST, 1, 2))
-        .when(text.rlike(_NAME_SECOND), _named(text, _NAME_SECOND, 2, 1))
-    )
-    clock = F.regexp_replace(iso, _MERIDIEM, "").try_cast("timestamp_ntz")
-    hour = F.hour(clock)
-    shift = F.when(F.lower(iso).endswith("pm"), 12).otherwise(0) + hour % 12 - hour
-    twelve_hour = F.when(hour.between(1, 12), clock + F.make_dt_interval(hours=shift))
-    zoned = F.convert_timezone(None, F.lit("UTC"), iso.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(text.rlike(_WORDED), _worded(text)).otherwise(_numeric(text))
+
+
+def _year_first(text: Column) -> Column:
+    for pattern, replacement in ((_MONTH_FIRST, "$3-$1-$2"), (_YEAR_FIRST, "$1-$2-$3")):
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _numeric(text: Column) -> Column:
+    iso = _year_first(text)
+    return F.when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz")).when(iso.rlike(_ISO_ZONED), _to_utc(iso))
+
+
+def _to_utc(iso: Column) -> Column:
+    return F.convert_timezone(None, F.lit("UTC"), iso.try_cast("timestamp").cast("timestamp_ntz"))
+
+
+def _worded(text: Column) -> Column:
+    named = F.regexp_replace(F.regexp_replace(text, _NAME_FIRST, "$3-$1-$2"), _NAME_SECOND, "$3-$2-$1")
+    abbreviation = F.lower(F.regexp_extract(text, "[A-Za-z]{3}", 0))
+    month = ((F.position(abbreviation, F.lit(_ABBREVIATIONS)) + 2) / 3).cast("int").cast("string")
+    iso = _year_first(F.regexp_replace(named, F.lit(r"(?<=-)[A-Za-z]{3,9}(?=-)"), month))
+    at_zero = F.regexp_replace(F.regexp_replace(iso, r"(?i) ?[ap]m\z", ""), r"[T ]\d{1,2}:", " 00:")
+    hour = F.regexp_extract(iso, r"[T ](\d{1,2}):", 1).try_cast("int") % 12
+    afternoon = F.when(F.lower(iso).endswith("pm"), 12).otherwise(0)
+    twelve_hour = at_zero.try_cast("timestamp_ntz") + F.make_dt_interval(hours=hour + afternoon)
     return (
-        F.when(iso.rlike(_MERIDIEM), twelve_hour).when(iso.rlike(_ZONE), zoned).otherwise(clock)
+        F.when(iso.rlike(_ISO_TWELVE), twelve_hour)
+        .when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz"))
+        .when(iso.rlike(_ISO_ZONED), _to_utc(iso))
     )
 
 

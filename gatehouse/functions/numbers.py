@@ -1,7 +1,8 @@
 """Guarded number parsing.
 
 A bare ``try_cast`` has a different grammar (it refuses ``1,234.5`` and ``5-`` and takes ``1e3``), so each
-parser first matches the accepted grammar and casts only what matched.
+parser first matches the accepted grammar and casts only what matched. Normalisation is a chain of replacements
+that mentions its input once, so expressions stay small when parsers are combined.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ ANY_NUMBER_PATTERN = (
     rf"\A{_WS}(?:[+-]?¤?{_FREE}¤?|¤?[+-]{_FREE}|¤?{_FREE}{_WS}[+-]|\(¤?{_FREE}\)){_WS}\z"
 )
 
-_NOISE = " \t\n\x0b\x0c\r,()¤"
+_NOISE = " \t\n\x0b\x0c\r,)¤"
+_TRAILING_SIGN = r"\A(.*[0-9.])([+-])\z"
 
 
 def to_integer(value: Column) -> Column:
@@ -40,34 +42,37 @@ def to_any_number(value: Column) -> Column:
 
 
 def _signed(value: Column) -> Column:
-    """Matched number text as an optional '-' and digits, with one leading sign."""
-    bare = F.translate(value, _NOISE, "")
-    mantissa_sign = F.regexp_replace(bare, r"[eE].*\z", "")
-    trailing = bare.rlike(r"[0-9.][+-]\z")
-    negative = value.contains("(") | mantissa_sign.startswith("-") | (trailing & bare.endswith("-"))
-    unsigned = F.regexp_replace(bare, r"\A[+-]|(?<=[0-9.])[+-]\z", "")
-    return F.concat(F.when(negative, "-").otherwise(""), unsigned)
+    """Matched number text with its sign, if any, in front; '(' stands for a minus sign."""
+    bare = F.translate(value, "(" + _NOISE, "-")
+    return F.regexp_replace(bare, _TRAILING_SIGN, "$2$1")
 
 
 def number_text(value: Column) -> Column:
     """Canonical text of any accepted number, keeping the written scale; null if not a number."""
     signed = _signed(value)
-    negative = signed.startswith("-")
-    mantissa = F.regexp_replace(F.ltrim(signed, F.lit("-")), r"[eE].*\z", "")
-    whole = F.ltrim(F.substring_index(mantissa, ".", 1), F.lit("0"))
-    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    plain = F.concat(
-        F.when(whole == "", "0").otherwise(whole),
-        F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)),
-    )
-    parsed = to_any_number(value)
-    exponent = F.regexp_extract(signed, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int")
-    scale = F.greatest(F.lit(0), F.length(fraction) - exponent)
-    fixed = F.abs(parsed).cast("string")
-    scaled = F.when(scale == 0, F.substring_index(fixed, ".", 1)).otherwise(
-        F.substr(fixed, F.lit(1), F.length(fixed) - 10 + F.least(scale, F.lit(10)))
-    )
-    body = F.when(exponent.isNull(), plain).otherwise(scaled)
     return F.when(
-        parsed.isNotNull(), F.concat(F.when(negative & (parsed != 0), "-").otherwise(""), body)
+        to_any_number(value).isNotNull(),
+        F.when(signed.rlike("[eE]"), _without_exponent(signed)).otherwise(_tidy(signed)),
     )
+
+
+def _tidy(signed: Column) -> Column:
+    """No plus sign, no leading zeros, a digit before the point, no bare point, no minus zero."""
+    for pattern, replacement in (
+        (r"\A\+", ""),
+        (r"\A(-?)0+(?=[0-9])", "$1"),
+        (r"\A(-?)\.", "$10."),
+        (r"\.\z", ""),
+        (r"\A-(0(?:\.0*)?)\z", "$1"),
+    ):
+        signed = F.regexp_replace(signed, pattern, replacement)
+    return signed
+
+
+def _without_exponent(signed: Column) -> Column:
+    """Plain digits of exponent text; its scale is the written one less the exponent, at least 0."""
+    fraction = F.length(F.regexp_extract(signed, r"\.([0-9]*)", 1))
+    exponent = F.regexp_extract(signed, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("int")
+    scale = F.least(F.greatest(fraction - exponent, F.lit(0)), F.lit(10))
+    fixed = signed.try_cast(DECIMAL).cast("string")
+    return _tidy(F.substr(fixed, F.lit(1), F.length(fixed) - 10 + scale))

@@ -51,27 +51,41 @@ def header_audit(headers: DataFrame) -> DataFrame:
     return headers.select("file", issue.alias("issue")).filter("issue IS NOT NULL")
 
 
+# One bit per type, in the order types are tried.
+_TYPE_BITS = {INTEGER: 1, DECIMAL_TYPE: 2, BOOLEAN: 4, DATETIME: 8}
+
+
+def _fitting_types(value: Column) -> Column:
+    """Bits of the types one cell fits, null for a blank cell.
+
+    Every integer is a decimal, '0' and '1' are also booleans, and no other types overlap, so the first match
+    settles the cell.
+    """
+    return (
+        F.when(is_blank(value), None)
+        .when(to_integer(value).isNotNull(), F.when(value.isin("0", "1"), 7).otherwise(3))
+        .when(to_decimal(value).isNotNull(), 2)
+        .when(to_boolean(value).isNotNull(), 4)
+        .when(to_datetime(value).isNotNull(), 8)
+        .otherwise(0)
+    )
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """First type that every non-blank value fits, one row per column, from one aggregate over the table."""
     names = data_columns(df)
-    checks = {INTEGER: to_integer, DECIMAL_TYPE: to_decimal, BOOLEAN: to_boolean, DATETIME: to_datetime}
-    aggregates = []
-    for i, name in enumerate(names):
-        filled = ~is_blank(_ref(name))
-        aggregates.append(F.coalesce(F.bool_or(filled), F.lit(False)).alias(f"filled{i}"))
-        for kind, parse in checks.items():
-            aggregates.append(F.bool_and(~filled | parse(_ref(name)).isNotNull()).alias(f"{kind}{i}"))
+    masks = df.agg(*(F.bit_and(_fitting_types(_ref(name))).alias(f"m{i}") for i, name in enumerate(names)))
     verdicts = []
     for i, name in enumerate(names):
-        kind = F.when(~F.col(f"filled{i}"), STRING)
-        for candidate in checks:
-            kind = kind.when(F.col(f"{candidate}{i}"), candidate)
+        kind = F.when(F.col(f"m{i}").isNull(), STRING)
+        for candidate, bit in _TYPE_BITS.items():
+            kind = kind.when(F.col(f"m{i}").bitwiseAND(bit) != 0, candidate)
         verdicts.append(
             F.struct(
                 F.lit(i).alias("ordinal"), F.lit(name).alias("name"), kind.otherwise(STRING).alias("data_type")
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*verdicts)))
+    return masks.select(F.inline(F.array(*verdicts)))
 
 
 def schema_diff(incoming: DataFrame, expected: DataFrame) -> DataFrame:
