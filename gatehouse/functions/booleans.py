@@ -10,9 +10,9 @@ from gatehouse.functions.text import trim_ws
 def to_strict_boolean(value: Column) -> Column:
     """true/false in any case with outer whitespace, else null."""
     word = F.lower(trim_ws(value))
-    return F.when(word == "true", True).when(word == "false", False)
+    return F.when(word.isin("true", "false"), word == "true")
 
 
 def to_boolean(value: Column) -> Column:
     """As :func:`to_strict_boolean`, plus exactly '1' and '0'."""
-    return F.when(value == "1", True).when(value == "0", False).otherwise(to_strict_boolean(value))
+    return F.when(value.isin("0", "1"), value == "1").otherwise(to_strict_boolean(value))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, functions as F
 
 from gatehouse.functions.text import trim_ws
 
-_TIME = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)?)?"
 # English month names; the first three letters also stand alone.
 MONTHS = (
     "january", "february", "march", "april", "may", "june",
@@ -22,56 +21,65 @@ MONTHS = (
 _MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + ")"
 _ABBREVIATIONS = "".join(m[:3] for m in MONTHS)
 
-_ISO = r"\A\d{4}-\d{1,2}-\d{1,2}" + _TIME + r"\z"
-_ISO_ZONED = r"\A\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}(?:\.\d{1,7})?(?:Z|[+-]\d{2}:\d{2})\z"
-_ISO_TWELVE = r"(?i)\A\d{4}-\d{1,2}-\d{1,2}[T ](?:0?[1-9]|1[0-2]):\d{2}(?::\d{2}(?:\.\d{1,7})?)? ?[ap]m\z"
-_END = r"(?=\z|[T ])"
-_YEAR_FIRST = r"\A(\d{4})/(\d{1,2})/(\d{1,2})" + _END
-_MONTH_FIRST = r"\A(\d{1,2})[/-](\d{1,2})[/-](\d{4})" + _END
-_NAME_FIRST = r"(?i)\A" + _MONTH + r"\.? (\d{1,2}),? (\d{4})" + _END
-_NAME_SECOND = r"(?i)\A(\d{1,2})[ -]" + _MONTH + r"[ -](\d{4})" + _END
-_WORDED = r"[A-Za-z]{3}|[AaPp][Mm]\z"
+_CLOCK = r"[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,7})?)?"
+_TWELVE = r"[T ](?:0?[1-9]|1[0-2]):\d{2}(?::\d{2}(?:\.\d{1,7})?)? ?[AaPp][Mm]"
+_ZONED_CLOCK = r"[T ]\d{1,2}:\d{2}:\d{2}(?:\.\d{1,7})?(?:Z|[+-]\d{2}:\d{2})"
+_NUMERIC_DAY = r"(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}([/-])\d{1,2}[/-]\d{4})"
+_NAME_FIRST = _MONTH + r"\.? (\d{1,2}),? (\d{4})"
+_NAME_SECOND = r"(\d{1,2})[ -]" + _MONTH + r"[ -](\d{4})"
+
+_NUMERIC = rf"\A{_NUMERIC_DAY}(?:{_CLOCK})?\z"
+_ZONED = rf"\A\d{{4}}-\d{{1,2}}-\d{{1,2}}{_ZONED_CLOCK}\z"
+_NAMED_DAY = f"(?:{_NAME_FIRST}|{_NAME_SECOND})"
+_WORDED = rf"(?i)\A(?:{_NAMED_DAY}(?:{_CLOCK})?|(?:{_NUMERIC_DAY}|{_NAMED_DAY}){_TWELVE})\z"
+# A cheap first test: a day with two separators, or letters where a month name may stand.
+_CANDIDATE = r"\d[/-]\d{1,2}[/-]\d|(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d{4}"
 
 
 def to_datetime(value: Column) -> Column:
     """Timestamp without zone, or null when the text is in none of the accepted shapes.
 
-    Every numeric shape is rewritten to year-month-day by replacements that mention their input once; month names
-    and twelve-hour clocks take a branch of their own.
+    Each shape has a branch that rewrites the day to year-month-day by replacements mentioning their input once,
+    which keeps the generated code small, and then casts.
     """
     text = trim_ws(value)
-    return F.when(text.rlike(_WORDED), _worded(text)).otherwise(_numeric(text))
+    parsed = (
+        F.when(text.rlike(_NUMERIC), _year_first(text).try_cast("timestamp_ntz"))
+        .when(text.rlike(_ZONED), _to_utc(text))
+        .when(text.rlike(_WORDED), _worded(text))
+    )
+    return F.when(value.rlike(_CANDIDATE), parsed)
 
 
 def _year_first(text: Column) -> Column:
-    for pattern, replacement in ((_MONTH_FIRST, "$3-$1-$2"), (_YEAR_FIRST, "$1-$2-$3")):
+    for pattern, replacement in (
+        (r"\A(\d{1,2})[/-](\d{1,2})[/-](\d{4})", "$3-$1-$2"),
+        (r"\A(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+    ):
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
-def _numeric(text: Column) -> Column:
-    iso = _year_first(text)
-    return F.when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz")).when(iso.rlike(_ISO_ZONED), _to_utc(iso))
+def _to_utc(text: Column) -> Column:
+    return F.convert_timezone(None, F.lit("UTC"), text.try_cast("timestamp").cast("timestamp_ntz"))
 
 
-def _to_utc(iso: Column) -> Column:
-    return F.convert_timezone(None, F.lit("UTC"), iso.try_cast("timestamp").cast("timestamp_ntz"))
+def _named(text: Column) -> Column:
+    """Month-name text with the day as year-month-day; other text unchanged."""
+    abbreviation = F.lower(F.regexp_extract(text, "[A-Za-z]{3}", 0))
+    month = ((F.position(abbreviation, F.lit(_ABBREVIATIONS)) + 2) / 3).cast("int").cast("string")
+    first = F.regexp_replace(text, rf"(?i)\A{_NAME_FIRST}", "$3-$1-$2")
+    second = F.regexp_replace(first, rf"(?i)\A{_NAME_SECOND}", "$3-$2-$1")
+    return F.regexp_replace(second, F.lit(r"(?<=-)[A-Za-z]{3,9}(?=-)"), month)
 
 
 def _worded(text: Column) -> Column:
-    named = F.regexp_replace(F.regexp_replace(text, _NAME_FIRST, "$3-$1-$2"), _NAME_SECOND, "$3-$2-$1")
-    abbreviation = F.lower(F.regexp_extract(text, "[A-Za-z]{3}", 0))
-    month = ((F.position(abbreviation, F.lit(_ABBREVIATIONS)) + 2) / 3).cast("int").cast("string")
-    iso = _year_first(F.regexp_replace(named, F.lit(r"(?<=-)[A-Za-z]{3,9}(?=-)"), month))
-    at_zero = F.regexp_replace(F.regexp_replace(iso, r"(?i) ?[ap]m\z", ""), r"[T ]\d{1,2}:", " 00:")
-    hour = F.regexp_extract(iso, r"[T ](\d{1,2}):", 1).try_cast("int") % 12
-    afternoon = F.when(F.lower(iso).endswith("pm"), 12).otherwise(0)
-    twelve_hour = at_zero.try_cast("timestamp_ntz") + F.make_dt_interval(hours=hour + afternoon)
-    return (
-        F.when(iso.rlike(_ISO_TWELVE), twelve_hour)
-        .when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz"))
-        .when(iso.rlike(_ISO_ZONED), _to_utc(iso))
-    )
+    """Month names and twelve-hour clocks: the day at hour zero plus the hour as it is meant."""
+    at_zero = F.regexp_replace(_year_first(_named(text)), r"[T ]\d{1,2}:([0-9:.]+).*\z", " 00:$1")
+    written = F.coalesce(F.regexp_extract(text, r"[T ](\d{1,2}):", 1).try_cast("int"), F.lit(0))
+    half = F.lower(F.regexp_extract(text, r"(?i)[ap]m\z", 0))
+    hour = F.when(half == "am", written % 12).when(half == "pm", written % 12 + 12).when(written < 24, written)
+    return at_zero.try_cast("timestamp_ntz") + F.make_dt_interval(hours=hour)
 
 
 # One-letter standard formats and the pattern each stands for.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from gatehouse.functions.booleans import to_boolean, to_strict_boolean
@@ -23,15 +25,6 @@ SPARK_TYPES = {
 
 _PARSERS = {INTEGER: to_integer, DECIMAL_TYPE: to_decimal, BOOLEAN: to_boolean, DATETIME: to_datetime}
 
-# Type names the data-type rule understands.
-_RULE_PARSERS = {
-    "integer": to_integer, "int": to_integer,
-    "decimal": to_any_number, "number": to_any_number,
-    "date": to_datetime, "datetime": to_datetime,
-    "boolean": to_strict_boolean, "bool": to_strict_boolean,
-}
-
-
 def typed_value(value: Column, data_type: str) -> Column:
     """Text as its declared type; blank and unparseable text become null."""
     if data_type == STRING:
@@ -46,7 +39,34 @@ def fits(value: Column, data_type: str) -> Column:
     return is_blank(value) | _PARSERS[data_type](value).isNotNull()
 
 
-def passes_data_type_rule(value: Column, data_type: str) -> Column:
-    """The data-type validation rule: wider numbers, stricter booleans than :func:`fits`."""
-    parser = _RULE_PARSERS.get(data_type.lower())
-    return F.lit(True) if parser is None else is_blank(value) | parser(value).isNotNull()
+@dataclass(frozen=True)
+class Cell:
+    """One processed cell: its text, its column type, and the text parsed as that type."""
+
+    text: Column
+    data_type: str
+    typed: Column
+
+    def number(self) -> Column:
+        """The cell in the widest number grammar; the typed value is reused where it is already a number."""
+        wide = to_any_number(self.text)
+        return F.coalesce(self.typed.cast(DECIMAL), wide) if self.data_type in (INTEGER, DECIMAL_TYPE) else wide
+
+    def moment(self) -> Column:
+        return self.typed if self.data_type == DATETIME else to_datetime(self.text)
+
+    def fits(self) -> Column:
+        """Whether the cell may be stored in its column; blank always may."""
+        return F.lit(True) if self.data_type == STRING else is_blank(self.text) | self.typed.isNotNull()
+
+    def passes_data_type_rule(self) -> Column:
+        """The data-type rule: wider numbers and stricter booleans than :meth:`fits`."""
+        if self.data_type == STRING:
+            return F.lit(True)
+        parsed = {
+            INTEGER: lambda: self.typed,
+            DECIMAL_TYPE: self.number,
+            BOOLEAN: lambda: to_strict_boolean(self.text),
+            DATETIME: self.moment,
+        }[self.data_type]()
+        return is_blank(self.text) | parsed.isNotNull()

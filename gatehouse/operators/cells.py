@@ -7,11 +7,12 @@ step's column by name instead of nesting its expression.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gatehouse.functions.text import clean_name, is_blank, is_empty
-from gatehouse.functions.typed import STRING, fits
+from gatehouse.functions.typed import STRING, Cell, typed_value
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.operators.rules import failure_message, find_transformation, find_validation
 
@@ -58,7 +59,7 @@ def _q(name: str) -> str:
 
 
 def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str, str]) -> DataFrame:
-    """Run every mapping: each target becomes ``struct<original, value, errors>``, plus row-level ``errors``.
+    """Run every mapping: each target becomes ``struct<original, value, typed, errors>``, plus row-level ``errors``.
 
     ``types`` gives the declared type of each target. Transformations run in sequence and stop at the first
     failure, which keeps the last good value and skips that cell's validations; all validations of other cells
@@ -83,25 +84,35 @@ def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str
     for level in range(max((len(chain) for chain in chains), default=0)):
         step = _transform_level(step, chains, level, row, fallible)
 
-    cells, all_errors = [], []
+    kinds = [types.get(m.target, STRING) for m in chosen]
+    step = step.withColumns({f"_p{i}": typed_value(F.col(f"_v{i}"), kind) for i, kind in enumerate(kinds)})
+    # Predicates are their own projection: arrays built inside an array function would be evaluated row by row
+    # outside generated code, and a flag is read several times below.
+    flags, errors = {}, []
     for i, mapping in enumerate(chosen):
-        data_type = types.get(mapping.target, STRING)
         reason = F.col(f"_t{i}") if i in fallible else F.lit(None).cast("string")
-        found = _cell_errors(mapping, data_type, F.col(f"_o{i}"), F.col(f"_v{i}"), reason)
-        all_errors += found
-        cells.append((mapping.target, i, found))
-    step = step.withColumn("errors", _compact(all_errors))
+        for failed, error in _cell_checks(mapping, kinds[i], i, reason):
+            flag = f"_f{len(flags)}"
+            flags[flag] = failed
+            errors.append(F.when(F.col(flag), F.array(error)).otherwise(_no_errors()))
+    if flags:
+        step = step.withColumns(flags)
+        valid = ~reduce(lambda a, b: a | b, map(F.col, flags))
+        found = F.when(valid, _no_errors()).otherwise(F.concat(*errors))
+    else:
+        valid, found = F.lit(True), _no_errors()
+    step = step.withColumn("errors", found)
     return step.select(
         *carried,
         *(
             F.struct(
-                F.col(f"_o{i}").alias("original"), F.col(f"_v{i}").alias("value"),
-                _of_column(target).alias("errors"),
-            ).alias(target)
-            for target, i, _ in cells
+                F.col(f"_o{i}").alias("original"), F.col(f"_v{i}").alias("value"), F.col(f"_p{i}").alias("typed"),
+                _of_column(mapping.target).alias("errors"),
+            ).alias(mapping.target)
+            for i, mapping in enumerate(chosen)
         ),
         "errors",
-        (F.size("errors") == 0).alias("is_valid"),
+        valid.alias("is_valid"),
     )
 
 
@@ -135,27 +146,25 @@ def _transform_level(
     return step.withColumns(changes)
 
 
-def _cell_errors(
-    mapping: FieldMapping, data_type: str, original: Column, value: Column, reason: Column
-) -> list[Column]:
-    """Nullable error structs of one cell, in the order they are reported."""
-    found = []
+def _cell_checks(
+    mapping: FieldMapping, data_type: str, i: int, reason: Column
+) -> list[tuple[Column, Column]]:
+    """(failed, error) of one cell, in the order errors are reported; ``failed`` is never null."""
+    original, value = F.col(f"_o{i}"), F.col(f"_v{i}")
+    cell = Cell(value, data_type, F.col(f"_p{i}"))
+    checks = []
     if any(find_transformation(rule).failure for rule in mapping.transformations):
-        found.append(F.when(reason.isNotNull(), _error(mapping.target, original, TRANSFORMATION_ERROR, None, reason)))
+        checks.append((reason.isNotNull(), _error(mapping.target, original, TRANSFORMATION_ERROR, None, reason)))
     for rule in sorted(mapping.validations, key=lambda rule: rule.sequence):
-        failed = find_validation(rule).failed(value, data_type, rule.parameters)
+        failed = find_validation(rule).failed(cell, rule.parameters)
         if mapping.required:
             failed = is_blank(value) | failed
-        found.append(
-            F.when(
-                reason.isNull() & failed,
-                _error(mapping.target, original, VALIDATION_ERROR, CONFIGURED, F.lit(failure_message(rule))),
-            )
-        )
+        text = F.lit(failure_message(rule))
+        checks.append((reason.isNull() & failed, _error(mapping.target, original, VALIDATION_ERROR, CONFIGURED, text)))
     if data_type != STRING:
         text = F.lit(f"Value is not compatible with {data_type}.")
-        found.append(F.when(~fits(value, data_type), _error(mapping.target, value, PROCESSING_ERROR, None, text)))
-    return found
+        checks.append((~cell.fits(), _error(mapping.target, value, PROCESSING_ERROR, None, text)))
+    return checks
 
 
 def _error(column: str, value: Column, kind: str, rule: str | None, description: Column) -> Column:
@@ -168,16 +177,22 @@ def _error(column: str, value: Column, kind: str, rule: str | None, description:
     )
 
 
-def _compact(errors: list[Column]) -> Column:
-    if errors:
-        return F.array_compact(F.array(*errors))
-    kinds = ",".join(f"{name}:string" for name in ERROR_FIELDS)
-    return F.from_json(F.lit("[]"), f"array<struct<{kinds}>>")
+def _no_errors() -> Column:
+    fields = ",".join(f"{name}:string" for name in ERROR_FIELDS)
+    return F.array().cast(f"array<struct<{fields}>>")
 
 
 def error_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per error, with the row's ``keys``."""
-    return df.select(*keys, F.explode("errors").alias("e")).select(*keys, *(f"e.{name}" for name in ERROR_FIELDS))
+    """One row per error, with the row's ``keys``.
+
+    A plain explode would infer a filter on ``errors`` and push it below every rule projection, evaluating all
+    rules twice; the outer form with a filter on its output does not.
+    """
+    return (
+        df.select(*keys, F.explode_outer("errors").alias("e"))
+        .filter("e IS NOT NULL")
+        .select(*keys, *(f"e.{name}" for name in ERROR_FIELDS))
+    )
 
 
 def preview(

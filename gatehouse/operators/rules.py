@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from gatehouse.functions.dates import format_datetime, to_datetime
-from gatehouse.functions.numbers import number_text, to_any_number
+from gatehouse.functions.numbers import number_text
 from gatehouse.functions.text import is_blank, is_empty, trim_ws
-from gatehouse.functions.typed import passes_data_type_rule
+from gatehouse.functions.typed import Cell
 from gatehouse.operators.config import Rule
 
 Row = Mapping[str, Column]
@@ -34,7 +34,7 @@ class Transformation:
 class Validation:
     """``failed`` gives a never-null boolean."""
 
-    failed: Callable[[Column, str, Mapping[str, str]], Column]
+    failed: Callable[[Cell, Mapping[str, str]], Column]
     required: tuple[str, ...] = ()
 
 
@@ -162,48 +162,48 @@ def _derived(value, parameters, row):
 
 
 @register_validation("Required")
-def _required(value, data_type, parameters):
-    return is_blank(value)
+def _required(cell, parameters):
+    return is_blank(cell.text)
 
 
 @register_validation("DataType")
-def _data_type(value, data_type, parameters):
-    return ~passes_data_type_rule(value, data_type)
+def _data_type(cell, parameters):
+    return ~cell.passes_data_type_rule()
 
 
 @register_validation("MaximumLength", required=("value",))
-def _maximum_length(value, data_type, parameters):
-    return F.coalesce(F.length(value) > int(parameters["value"]), F.lit(False))
+def _maximum_length(cell, parameters):
+    return F.coalesce(F.length(cell.text) > int(parameters["value"]), F.lit(False))
 
 
 @register_validation("MinimumLength", required=("value",))
-def _minimum_length(value, data_type, parameters):
-    return F.coalesce(F.length(value) < int(parameters["value"]), F.lit(False))
+def _minimum_length(cell, parameters):
+    return F.coalesce(F.length(cell.text) < int(parameters["value"]), F.lit(False))
 
 
 @register_validation("NumericRange", required=("min", "max"))
-def _numeric_range(value, data_type, parameters):
+def _numeric_range(cell, parameters):
     low, high = (F.lit(parameters[name].strip()).cast("decimal(38,10)") for name in ("min", "max"))
-    return ~F.coalesce(to_any_number(value).between(low, high), F.lit(True))
+    return ~F.coalesce(cell.number().between(low, high), F.lit(True))
 
 
 @register_validation("DateRange", required=("min", "max"))
-def _date_range(value, data_type, parameters):
+def _date_range(cell, parameters):
     low, high = (to_datetime(F.lit(parameters[name])) for name in ("min", "max"))
-    return ~F.coalesce(to_datetime(value).between(low, high), F.lit(True))
+    return ~F.coalesce(cell.moment().between(low, high), F.lit(True))
 
 
 @register_validation("AllowedValues", required=("values",))
-def _allowed_values(value, data_type, parameters):
+def _allowed_values(cell, parameters):
     allowed = [item.lower() for item in parameters["values"].split("|")]
-    return ~F.coalesce(F.lower(value).isin(allowed), F.lit(False))
+    return ~F.coalesce(F.lower(cell.text).isin(allowed), F.lit(False))
 
 
 @register_validation("Pattern", required=("pattern",))
-def _pattern(value, data_type, parameters):
-    return ~F.coalesce(value.rlike(parameters["pattern"]), F.lit(True))
+def _pattern(cell, parameters):
+    return ~F.coalesce(cell.text.rlike(parameters["pattern"]), F.lit(True))
 
 
 @register_validation("Duplicate")
-def _duplicate(value, data_type, parameters):
+def _duplicate(cell, parameters):
     return F.lit(False)  # key-hash de-duplication owns this rule

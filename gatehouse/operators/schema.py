@@ -72,20 +72,20 @@ def _fitting_types(value: Column) -> Column:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """First type that every non-blank value fits, one row per column, from one aggregate over the table."""
+    """First type that every non-blank value fits, one row per column, from one pass over the table.
+
+    Cells become rows and are reduced per column before the shuffle, so the generated code has one copy of the
+    parsers however wide the table is.
+    """
     names = data_columns(df)
-    masks = df.agg(*(F.bit_and(_fitting_types(_ref(name))).alias(f"m{i}") for i, name in enumerate(names)))
-    verdicts = []
-    for i, name in enumerate(names):
-        kind = F.when(F.col(f"m{i}").isNull(), STRING)
-        for candidate, bit in _TYPE_BITS.items():
-            kind = kind.when(F.col(f"m{i}").bitwiseAND(bit) != 0, candidate)
-        verdicts.append(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(name).alias("name"), kind.otherwise(STRING).alias("data_type")
-            )
-        )
-    return masks.select(F.inline(F.array(*verdicts)))
+    cells = df.select(F.posexplode(F.array(*map(_ref, names))).alias("ordinal", "cell"))
+    fitting = cells.select("ordinal", _fitting_types(F.col("cell")).alias("bits"))
+    masks = fitting.groupBy("ordinal").agg(F.bit_and("bits").alias("mask"))
+    kind = F.when(F.col("mask").isNull(), STRING)
+    for candidate, bit in _TYPE_BITS.items():
+        kind = kind.when(F.col("mask").bitwiseAND(bit) != 0, candidate)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("ordinal") + 1)
+    return masks.select("ordinal", name.alias("name"), kind.otherwise(STRING).alias("data_type"))
 
 
 def schema_diff(incoming: DataFrame, expected: DataFrame) -> DataFrame:
@@ -193,20 +193,19 @@ def set_key_columns(registry: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
 
 def conformance_check(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFrame:
     """One row per cell that does not fit its column's type."""
-    found = [
-        F.when(
-            ~fits(_ref(c.name), c.data_type),
-            F.struct(
-                F.lit(c.name).alias("column_name"),
-                _ref(c.name).alias("invalid_value"),
-                F.lit(f"Value is not compatible with {c.data_type}.").alias("description"),
-            ),
+    typed = [c for c in columns if c.data_type != STRING]
+    flagged = df.withColumns({f"_bad{i}": ~fits(_ref(c.name), c.data_type) for i, c in enumerate(typed)})
+    cells = [
+        F.struct(
+            F.lit(c.name).alias("column_name"),
+            _ref(c.name).alias("invalid_value"),
+            F.lit(f"Value is not compatible with {c.data_type}.").alias("description"),
+            F.col(f"_bad{i}").alias("_bad"),
         )
-        for c in columns
-        if c.data_type != STRING
+        for i, c in enumerate(typed)
     ]
     kept = [name for name in df.columns if name.startswith("_")]
-    return df.select(*kept, F.explode(F.array_compact(F.array(*found))).alias("e")).select(*kept, "e.*")
+    return flagged.select(*kept, F.inline(F.array(*cells))).filter("_bad").drop("_bad")
 
 
 def typed_projection(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.functions.hashing import key_hash
 from gatehouse.functions.text import clean_name
-from gatehouse.functions.typed import typed_value
+from gatehouse.functions.typed import SPARK_TYPES
 from gatehouse.operators.cells import error_rows, evaluate
 from gatehouse.operators.config import FieldMapping
 from gatehouse.operators.dedup import (
@@ -105,13 +105,15 @@ def stage(batch: DataFrame, columns: Sequence[ColumnSpec], run: ImportRun) -> Da
     mappings = _mappings(batch, ordered, run)
     judged = evaluate(batch, mappings, {c.name: c.data_type for c in ordered})
     present = {m.target for m in mappings}
-    text = {
-        c.name: F.col(f"`{c.name}`")["value"] if c.name in present else F.lit(None).cast("string") for c in ordered
-    }
-    original = {
-        c.name: F.col(f"`{c.name}`")["original"] if c.name in present else F.lit(None).cast("string")
-        for c in ordered
-    }
+
+    def fields(name: str) -> dict:
+        return {
+            c.name: F.col(f"`{c.name}`")[name] if c.name in present
+            else F.lit(None).cast(SPARK_TYPES[c.data_type] if name == "typed" else "string")
+            for c in ordered
+        }
+
+    original, text, typed = fields("original"), fields("value"), fields("typed")
     keys = [c.name for c in ordered if c.is_key] or [c.name for c in ordered]
     carried = [name for name in batch.columns if name.startswith("_")]
     return judged.select(
@@ -121,7 +123,7 @@ def stage(batch: DataFrame, columns: Sequence[ColumnSpec], run: ImportRun) -> Da
         "errors",
         F.struct(*(value.alias(name) for name, value in original.items())).alias("original"),
         F.struct(*(value.alias(name) for name, value in text.items())).alias("text"),
-        F.struct(*(typed_value(text[c.name], c.data_type).alias(c.name) for c in ordered)).alias("typed"),
+        F.struct(*(value.alias(name) for name, value in typed.items())).alias("typed"),
     )
 
 
