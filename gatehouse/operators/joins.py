@@ -7,15 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gatehouse.session import estimated_bytes
+
 BROADCAST_LIMIT = 16 * 1024 * 1024
 SALTS = 16
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an upper bound for scans, filters and projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: dict[str, str], how: str = "left", limit: int = BROADCAST_LIMIT
 ) -> DataFrame:

@@ -13,6 +13,8 @@ from gatehouse.functions.numbers import to_decimal, to_integer
 from gatehouse.functions.text import clean_header, clean_name, is_blank, normalize
 from gatehouse.functions.typed import BOOLEAN, DATETIME, DECIMAL_TYPE, INTEGER, STRING, fits, typed_value
 
+from gatehouse.session import spread
+
 
 @dataclass(frozen=True)
 class ColumnSpec:
@@ -78,7 +80,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     parsers however wide the table is.
     """
     names = data_columns(df)
-    cells = df.select(F.posexplode(F.array(*map(_ref, names))).alias("ordinal", "cell"))
+    cells = spread(df).select(F.posexplode(F.array(*map(_ref, names))).alias("ordinal", "cell"))
     fitting = cells.select("ordinal", _fitting_types(F.col("cell")).alias("bits"))
     masks = fitting.groupBy("ordinal").agg(F.bit_and("bits").alias("mask"))
     kind = F.when(F.col("mask").isNull(), STRING)

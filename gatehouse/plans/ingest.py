@@ -17,7 +17,7 @@ from gatehouse.operators.dedup import (
     split_against_target,
 )
 from gatehouse.operators.schema import ColumnSpec, data_columns, infer_types, validate_key_columns
-from gatehouse.session import materialize
+from gatehouse.session import materialize, spread
 
 RECORD_COLUMNS = ("record_id", "dataset_id", "workspace_id", "source_import_id", "key_hash", "created_at", "updated_at")
 
@@ -103,7 +103,7 @@ def stage(batch: DataFrame, columns: Sequence[ColumnSpec], run: ImportRun) -> Da
     """Staged rows: per column original text, processed text and typed value, plus key hash, errors and verdict."""
     ordered = sorted(columns, key=lambda c: c.ordinal)
     mappings = _mappings(batch, ordered, run)
-    judged = evaluate(batch, mappings, {c.name: c.data_type for c in ordered})
+    judged = evaluate(spread(batch), mappings, {c.name: c.data_type for c in ordered})
     present = {m.target for m in mappings}
 
     def fields(name: str) -> dict:

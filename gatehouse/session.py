@@ -50,3 +50,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so later readers see one fixed set of rows."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (an upper bound for scans, filters and projections)."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Before CPU-heavy work, give an input too small to have a split per core one partition per core.
+
+    A larger input, or one of unknown size, already has its own splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < SPLIT_BYTES * cores else df

@@ -417,3 +417,28 @@ def a11(t):
 def a11_back(t):
     columns = [c for c in PEOPLE_COLUMNS if c.name in ("name", "visits", "joined")]
     return from_typed_long(to_typed_long(t("people"), columns, "_row_number"), columns, "_row_number")
+
+
+@query("b2_infer_lineitem_types", """
+    SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'l_orderkey', 'Integer'), (1, 'l_linenumber', 'Integer'), (2, 'price', 'Decimal'),
+        (3, 'l_returnflag', 'String'), (4, 'shipped', 'DateTime')) x(ordinal, name, data_type) WHERE (SELECT count(*) FROM {lineitem}) > 0""")
+def b2_lineitem(t):
+    feed = t.sql("""SELECT CAST(l_orderkey AS STRING) AS l_orderkey, CAST(l_linenumber AS STRING) AS l_linenumber,
+        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS price, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS STRING) AS shipped FROM {lineitem}""")
+    return schema.infer_types(feed).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+
+
+@query("d11_document_suite", """
+    SELECT doc_id AS _row_number, 'text too long' AS description FROM {documents} WHERE length(text) > 4000
+    UNION ALL SELECT doc_id, 'text too short' FROM {documents} WHERE length(text) < 40
+    UNION ALL SELECT doc_id, 'no letters' FROM {documents} WHERE NOT regexp_matches(text, '[a-zA-Z][a-zA-Z][a-zA-Z]')
+    UNION ALL SELECT doc_id, 'unknown language' FROM {documents} WHERE lang NOT IN ('en', 'fr')""")
+def d11_documents(t):
+    docs = t("documents").select(F.col("doc_id").alias("_row_number"), "text", "lang", "source")
+    rules = (
+        Rule("MaximumLength", 1, {"value": "4000"}, "text too long"), Rule("MinimumLength", 2, {"value": "40"}, "text too short"),
+        Rule("Pattern", 3, {"pattern": "[a-zA-Z]{3}"}, "no letters"),
+    )
+    languages = (Rule("AllowedValues", 1, {"values": "en|fr"}, "unknown language"),)
+    mappings = [FieldMapping("text", "text", validations=rules), FieldMapping("lang", "lang", validations=languages)]
+    return error_rows(evaluate(docs, mappings, {}), "_row_number").select("_row_number", "description")
