@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.operators.quality import FILE_EXTENSIONS, MAX_FILE_BYTES
@@ -20,6 +23,12 @@ def gate(files: DataFrame) -> DataFrame:
 
 
 def file_gate(spark: SparkSession, directory: str) -> DataFrame:
-    """Gate every file below a directory; only metadata is read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return gate(listing.select("path", "length"))
+    """Gate every file below a directory; only metadata is read.
+
+    Spark's scan leaves out empty files, so those come from the file listing that the scan already holds.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    found = scan.select("path", "length")
+    paths = [(re.sub(r"^(\w+):///", r"\1:/", unquote(url)),) for url in scan.inputFiles()]
+    empty = spark.createDataFrame(paths, "path string").join(found, "path", "left_anti")
+    return gate(found.unionByName(empty.withColumn("length", F.lit(0).cast("bigint"))))
