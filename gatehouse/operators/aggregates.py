@@ -21,11 +21,16 @@ def conditional_counts(df: DataFrame, keys: Sequence[str], total: str, cases: Ma
 
 
 def one_row_summary(parts: Sequence[tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
-    """Many scalar counts in one row: a single conditional aggregate per table, then one-row frames side by side."""
-    rows = [
+    """Many scalar counts in one row: a single conditional aggregate per table."""
+    return side_by_side([
         df.agg(*(F.count_if(condition).alias(name) for name, condition in counts.items())) for df, counts in parts
-    ]
-    return reduce(lambda a, b: a.join(b), rows)
+    ])
+
+
+def side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
+    """One-row frames with different columns as one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*(F.any_value(name, True).alias(name) for name in stacked.columns))
 
 
 def joined_text(df: DataFrame, keys: Sequence[str], value: str, name: str, separator: str = ", ") -> DataFrame:

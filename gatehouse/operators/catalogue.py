@@ -48,7 +48,9 @@ def content(fields: Sequence[str] | None = None, tags: str | None = "tags") -> C
 def detect_changes(current: DataFrame, requests: DataFrame, key: str = "dataset_id", **shape) -> DataFrame:
     """Requests with ``changed``: whether they differ from the stored metadata. Unknown keys are left out."""
     stored = current.select(F.col(key).alias("_key"), content(**shape).alias("_stored"))
-    joined = lookup_join(requests.withColumn("_asked", content(**shape)), stored, {key: "_key"}, "inner")
+    joined = lookup_join(
+        requests.withColumn("_asked", content(**shape)), stored, {key: "_key"}, "inner", unique_facts=True
+    )
     return joined.withColumn("changed", ~F.col("_asked").eqNullSafe(F.col("_stored"))).select(
         *requests.columns, "changed"
     )
@@ -233,16 +235,18 @@ def pin_config(
 
 def unused_configs(configs: DataFrame, runs: DataFrame, config_id: str, used: str) -> DataFrame:
     """Configurations no run has used: the only ones that may be deleted."""
-    return exists_filter(configs, runs.filter(F.col(used).isNotNull()), {config_id: used}, negate=True)
+    return exists_filter(
+        configs, runs.filter(F.col(used).isNotNull()), {config_id: used}, negate=True, unique_left=True
+    )
 
 
 def allocate_codes(datasets: DataFrame, order: Sequence[str], code: str = "code") -> DataFrame:
     """Give rows with a blank code the next ``DS-`` number in order, continuing after the highest in use."""
     number = F.regexp_extract(F.col(code), r"(?i)^DS-([0-9]+)$", 1).try_cast("bigint")
-    highest = datasets.agg(F.coalesce(F.max(number), F.lit(0)).alias("_highest"))
+    highest = datasets.agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
     blank = is_blank(F.col(code))
-    numbered = running_number(datasets.filter(blank), [], order, "_position").join(F.broadcast(highest))
-    digits = (F.col("_highest") + F.col("_position")).cast("string")
+    numbered = running_number(datasets.filter(blank), [], order, "_position")
+    digits = (F.col("_position") + highest).cast("string")
     text = F.concat(F.lit("DS-"), F.when(F.length(digits) >= 6, digits).otherwise(F.lpad(digits, 6, "0")))
     return datasets.filter(~blank).unionByName(numbered.withColumn(code, text).select(*datasets.columns))
 
@@ -270,7 +274,7 @@ def sync_tags(
     """
     refused = tag_issues(requests)
     accepted = exists_filter(requests, refused.select(F.col("dataset_id").alias("_refused")),
-                             {"dataset_id": "_refused"}, negate=True)
+                             {"dataset_id": "_refused"}, negate=True, unique_left=True)
     asked = (
         accepted.select("dataset_id", "workspace_id", F.posexplode("tags").alias("_at", "_raw"))
         .withColumn("name", trim_ws(F.col("_raw")))

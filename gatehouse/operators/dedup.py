@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gatehouse.operators.aggregates import side_by_side
 from gatehouse.operators.cells import DUPLICATE_ERROR
 
 # What a run may do with a key it has already seen, and how it treats the target.
@@ -127,8 +128,9 @@ def run_counters(
         if existing is not None and mode == APPEND and behaviour != UPDATE
         else None
     )
-    facts = base.join(winners)
-    facts = facts.join(known) if known is not None else facts.withColumn("existing", F.lit(0).cast("bigint"))
+    facts = side_by_side([base, winners] if known is None else [base, winners, known])
+    if known is None:
+        facts = facts.withColumn("existing", F.lit(0).cast("bigint"))
     losers = F.col("total") - F.col("invalid") - F.col("kept")
     if behaviour == UPDATE:
         rejected, errors, superseded = F.col("invalid"), F.col("cell_errors"), losers

@@ -56,7 +56,7 @@ def keyword_match(
         exists_filter(bridge, matching, {bridge_tag: "_tag"}).select(F.col(bridge_key).alias("_linked")).distinct()
     )
     return (
-        lookup_join(df, linked, {key: "_linked"}, "left")
+        lookup_join(df, linked, {key: "_linked"}, "left", unique_facts=True)
         .filter(hit | F.col("_linked").isNotNull())
         .drop("_linked")
     )
@@ -69,7 +69,7 @@ def with_tag(
     """Rows linked to exactly this tag, compared in normalized form."""
     wanted = tags.filter(F.col(normalized) == normalize(F.lit(tag))).select(F.col(tag_key).alias("_tag"))
     linked = exists_filter(bridge, wanted, {bridge_tag: "_tag"}).select(F.col(bridge_key).alias("_linked"))
-    return exists_filter(df, linked, {key: "_linked"})
+    return exists_filter(df, linked, {key: "_linked"}, unique_left=True)
 
 
 def visible(df: DataFrame, sees_all_statuses: bool = False) -> DataFrame:

@@ -88,7 +88,7 @@ def tag_workspace_differs(datasets: DataFrame, bridge: DataFrame, tags: DataFram
 
 def without_first_version(datasets: DataFrame, versions: DataFrame) -> DataFrame:
     first = versions.filter(F.col("version_number") == 1).select(F.col("dataset_id").alias("_v"))
-    return exists_filter(datasets, first, {"dataset_id": "_v"}, negate=True)
+    return exists_filter(datasets, first, {"dataset_id": "_v"}, negate=True, unique_left=True)
 
 
 def file_issues(files: DataFrame, datasets: DataFrame, users: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ def build_session(app: str = "gatehouse", master: str | None = None, **conf: str
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         # Rule evaluation generates long methods; above HotSpot's limit they would run interpreted.
         "spark.sql.codegen.hugeMethodLimit": "8000",
-        # A record may be a whole workbook, so a batch is bounded by its bytes as well as its rows.
-        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }

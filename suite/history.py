@@ -249,14 +249,13 @@ def l12(t):
 
 
 @query("l13_sync_to_required", """
-    WITH required AS (SELECT DISTINCT s_suppkey AS role_id, p_partkey AS permission_id FROM {supplier} JOIN {part} ON p_partkey % 100 = s_suppkey % 100),
+    WITH required AS (SELECT p_partkey % 100 AS role_id, p_partkey AS permission_id FROM {part} UNION SELECT s_suppkey, s_suppkey * 2 FROM {supplier}),
     existing AS (SELECT DISTINCT role_id, permission_id FROM {grants}),
     scoped AS (SELECT e.* FROM existing e WHERE e.permission_id IN (SELECT permission_id FROM {permissions} WHERE permission_name LIKE 'promo.%'))
     SELECT * FROM existing EXCEPT SELECT * FROM (SELECT * FROM scoped EXCEPT SELECT * FROM required)
     UNION SELECT * FROM required""")
 def l13(t):
-    required = t.sql("""SELECT s_suppkey AS role_id, p_partkey AS permission_id
-        FROM {supplier} JOIN {part} ON p_partkey % 100 = s_suppkey % 100""")
+    required = t.sql("SELECT p_partkey % 100 AS role_id, p_partkey AS permission_id FROM {part} UNION SELECT s_suppkey, s_suppkey * 2 FROM {supplier}")
     names = t("permissions").select(F.col("permission_id").alias("known"), "permission_name")
     existing = t("grants").distinct()
     named = existing.join(names, existing["permission_id"] == names["known"], "left")

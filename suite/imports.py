@@ -204,12 +204,12 @@ def e8_report(t):
     result = run_orders(t, "Append", "Reject")
     run = result.run.select(
         F.col("total").alias("run_total"), F.col("success").alias("run_success"), F.col("rejected").alias("run_rejected"),
-        F.col("status").alias("run_status"),
+        F.col("status").alias("run_status"), "import_id",
     )
     by_column = result.errors.groupBy(F.coalesce("column_name", F.lit("(row)")).alias("column_name"), "error_type").agg(
         F.count("*").alias("error_count")
     )
-    return by_column.join(run)
+    return by_column.withColumn("import_id", F.lit("run-7")).join(run, "import_id").drop("import_id")
 
 
 @query("e8_first_import", """

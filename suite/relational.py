@@ -399,5 +399,6 @@ def j12(t):
     )
     rows, total = catalog_search(tables, request, Reader(workspace_id=1, sees_all_statuses=True))
     return rows.select(
-        "dataset_id", "name", "workspace_name", "category_name", "owner_name", "created_at"
-    ).join(total)
+        "dataset_id", "name", "workspace_name", "category_name", "owner_name", "created_at",
+        F.lit(total.first()["total"]).alias("total"),
+    )

@@ -112,8 +112,8 @@ def test_pages_are_clamped(spark):
 
 @pytest.mark.parametrize("limit", [0, 1 << 40])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_lookup_join_is_the_same_salted_or_broadcast(spark, limit, how):
-    facts = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+def test_lookup_join_is_the_same_split_or_broadcast(spark, limit, how):
+    facts = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 > 0, F.col("id") % 50).alias("k"))
     lookup = spark.range(40).select(F.col("id").alias("lk"), (F.col("id") * 2).alias("v"))
     ours = joins.lookup_join(facts, lookup, {"k": "lk"}, how, limit=limit)
     plain = facts.join(lookup, F.col("k") == F.col("lk"), how)
@@ -169,3 +169,25 @@ def test_contract(spark):
     assert {(r["table_name"], r["column_name"]): r["status"] for r in rows} == {
         ("a", "id"): "Available", ("a", "x"): "Missing", ("b", "id"): "Missing",
     }
+
+
+def test_plans_keep_hot_keys_and_pairs_out_of_one_task(spark):
+    """Winners are limited before the shuffle, and no plan multiplies rows."""
+    import contextlib
+    import io
+
+    from gatehouse.operators.dedup import choose_rows
+
+    def plan(df):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            df.explain()
+        return text.getvalue()
+
+    rows = spark.range(100).select((F.col("id") % 3).cast("string").alias("key_hash"), F.col("id").alias("_row_number"))
+    winners = plan(choose_rows(rows.repartition(3)))
+    exchange = winners.index("Exchange hashpartitioning(key_hash")
+    assert "WindowGroupLimit" in winners[:exchange] and "WindowGroupLimit" in winners[exchange:]
+    facts = rows.select(F.col("key_hash").alias("k"), "_row_number")
+    split = plan(joins.lookup_join(facts, rows.select("key_hash").distinct(), {"k": "key_hash"}, "inner", limit=0))
+    assert "CartesianProduct" not in split and "BroadcastNestedLoop" not in split
