@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.operators.quality import FILE_EXTENSIONS, MAX_FILE_BYTES
 
+# Reasons to refuse a file.
+EMPTY = "The uploaded file is empty."
+TOO_LARGE = "Maximum file size is 25 MB."
+UNSUPPORTED = "Only CSV and XLSX files are supported."
+
 
 def gate(files: DataFrame) -> DataFrame:
     """``(path, length)`` rows with the first reason to refuse the file, or null."""
     name = F.substring_index("path", "/", -1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     reason = (
-        F.when(F.col("length") <= 0, "The uploaded file is empty.")
-        .when(F.col("length") > MAX_FILE_BYTES, "Maximum file size is 25 MB.")
-        .when(~extension.isin(list(FILE_EXTENSIONS)), "Only CSV and XLSX files are supported.")
+        F.when(F.col("length") <= 0, EMPTY)
+        .when(F.col("length") > MAX_FILE_BYTES, TOO_LARGE)
+        .when(~extension.isin(list(FILE_EXTENSIONS)), UNSUPPORTED)
     )
     return files.select("path", "length", reason.alias("reason"))
 

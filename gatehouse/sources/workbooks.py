@@ -7,16 +7,21 @@ from __future__ import annotations
 
 import io
 import posixpath
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.session import materialize
 from gatehouse.sources.delimited import ROW, SOURCE, resolve_headers
 
+# Ship this module's functions with the task, so that workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE_REL = "{http://schemas.openxmlformats.org/package/2006/relationships}"

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> str:
     """Quoted text files with a header, split as Spark likes."""
