@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import decontaminate
+from gatehouse.llm import decontaminate, pii, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +28,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; checked by the base patterns in tests."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@register("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; base spans are checked by the base patterns in tests, the network by held-out recall."""
+    return secrets_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 @register("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark windows that they hold; checked by brute force in tests."""
