@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import decontaminate, pii, secrets_scan
+from gatehouse.llm import decontaminate, language_id, license_scan, mixing, near_dups, pii, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,12 +34,36 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+@register("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document; checked against all pairs in tests."""
+    return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
+
+
 @register("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; base spans are checked by the base patterns in tests, the network by held-out recall."""
     return secrets_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+@register("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; checked by a sequential version in tests."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op8_licenses", license_scan.CHECKING_SQL)
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document."""
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; checked by held-out accuracy in tests."""
+    return language_id.identify(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 @register("op10_decontaminate")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark windows that they hold; checked by brute force in tests."""
