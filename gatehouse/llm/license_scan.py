@@ -1,7 +1,7 @@
 """License notices by a positional rare-token index, in DataFrame functions only.
 
 The templates are fixed phrases. Over all documents, the inverse document frequency of every licence word is counted;
-each template is entered in the index under its rarest word, with the word's offset. A document's occurrences of these
+each template is entered in the index under its rarest words, with their offsets. A document's occurrences of these
 words propose places, the template's words are compared at their relative positions, and a place counts when enough of
 the words' weight is there and the template's mandatory phrase stands in full. Everything happens inside the row.
 """
@@ -31,6 +31,8 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 BASE = 3
+#: Words under which a template is entered in the index.
+RAREST = 2
 #: Share of a notice's weight that must stand in its place.
 LEAST_SHARE = 0.8
 
@@ -75,8 +77,8 @@ def licenses(docs: DataFrame) -> DataFrame:
     templates, entries = [], {}
     for number, (label, notice, phrase) in enumerate(TEMPLATES):
         own, key = notice.split(), phrase.split()
-        rarest = max(own, key=lambda word: (weight[word], word))
-        entries.setdefault(rarest, []).append((number, own.index(rarest)))
+        for word in sorted(set(own), key=lambda word: (weight[word], word))[-RAREST:]:
+            entries.setdefault(word, []).extend((number, offset) for offset, other in enumerate(own) if other == word)
         shift = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
         templates.append(F.struct(
             F.lit(label).alias("label"), F.lit(number < BASE).alias("base"), _strings(own).alias("words"),
@@ -92,10 +94,10 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     def proposed(hit: Column) -> Column:
         return F.transform(index[hit["word"]], lambda entry: F.struct(
-            F.get(every, entry["number"]).alias("template"), (hit["place"] - entry["offset"]).alias("start")))
+            entry["number"].alias("number"), (hit["place"] - entry["offset"]).alias("start")))
 
     def judged(place: Column) -> Column:
-        template = place["template"]
+        template = F.get(every, place["number"])
         found = F.aggregate(
             F.sequence(F.lit(0), F.size(template["words"]) - 1), F.lit(0.0), lambda total, i: total + F.when(
                 at(place["start"] + i) == F.get(template["words"], i), F.get(template["weights"], i)).otherwise(0.0))
@@ -108,7 +110,7 @@ def licenses(docs: DataFrame) -> DataFrame:
                     lambda hit: F.array_contains(rare, hit["word"]))
     some = worded.withColumn("hits", F.when(F.arrays_overlap("words", rare), hits))
     scanned = some.withColumn("places", F.when(F.col("hits").isNotNull(), F.transform(
-        F.flatten(F.transform("hits", proposed)), judged)))
+        F.array_distinct(F.flatten(F.transform("hits", proposed))), judged)))
     base = F.filter(F.coalesce("places", F.array()), lambda p: p["base"] & (p["share"] > 0))
     good = F.filter(F.coalesce("places", F.array()), lambda p: F.when(
         p["base"], p["share"] > 0).otherwise(p["share"] >= LEAST_SHARE))
@@ -149,10 +151,11 @@ weight AS (
   SELECT p.word, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT w.doc_id) + 1)) + 1e-6, 6) AS weight
   FROM (SELECT DISTINCT word FROM part) p LEFT JOIN word w ON w.word = p.word GROUP BY p.word),
 ranked AS (
-  SELECT number, word, nth, row_number() OVER (PARTITION BY number ORDER BY weight DESC, word DESC, nth) AS rank
+  SELECT number, word, nth, dense_rank() OVER (PARTITION BY number ORDER BY weight DESC, word DESC) AS rank
   FROM part JOIN weight USING (word)),
 proposed AS (
-  SELECT doc_id, number, place - nth AS start FROM ranked JOIN word USING (word) WHERE rank = 1),
+  SELECT DISTINCT doc_id, number, place - nth AS start FROM ranked JOIN word USING (word) WHERE rank <= {RAREST}),
+key_size AS (SELECT number, count(*) AS n FROM key_part GROUP BY number),
 whole AS (SELECT number, sum(weight) AS total FROM part JOIN weight USING (word) GROUP BY number),
 found AS (
   SELECT p.doc_id, p.number, p.start, sum(weight) AS found
@@ -162,9 +165,9 @@ found AS (
   GROUP BY ALL),
 verified AS (
   SELECT p.doc_id, p.number, p.start
-  FROM proposed p JOIN key_part k ON k.number = p.number
+  FROM proposed p JOIN key_part k ON k.number = p.number JOIN key_size z ON z.number = p.number
   JOIN word w ON w.doc_id = p.doc_id AND w.place = p.start + k.at AND w.word = k.word
-  GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM key_part x WHERE x.number = p.number)),
+  GROUP BY p.doc_id, p.number, p.start, z.n HAVING count(*) = z.n),
 place AS (
   SELECT doc_id, label, base, start, found / total AS share,
     CASE WHEN base THEN true ELSE found / total >= {LEAST_SHARE} END AS good
