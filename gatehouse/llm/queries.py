@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import decontaminate, language_id, license_scan, mixing, near_dups, pii, secrets_scan
+from gatehouse.llm import decontaminate, fingerprints, language_id, license_scan, mixing, near_dups, pii, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; checked by direct comparison of texts in tests."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @register("op8_licenses", license_scan.CHECKING_SQL)
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
