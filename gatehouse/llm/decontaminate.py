@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import text_blocks, word_hashes
+from gatehouse.llm.rows import without
 from gatehouse.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -246,8 +247,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; null ids and repeated rows are judged by their text."""
-    bad = contamination(docs, benchmark, window).filter("contaminated").select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    same = docs["doc_id"].cast("bigint").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_key"])
-    return docs.join(bad, same, "left_anti")
-
+    return without(docs, contamination(docs, benchmark, window).filter("contaminated"))

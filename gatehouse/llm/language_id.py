@@ -18,6 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import LOWER, Block, text_blocks
+from gatehouse.llm.rows import without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -216,8 +217,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` without rows that every language's regression rejects clearly: ``und``, or a score below ``least``."""
-    rejected = identify(docs).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(
-        F.col("doc_id").alias("_rejected_id"), F.col("text_key").alias("_rejected_key")).distinct()
-    same = docs["doc_id"].cast("bigint").eqNullSafe(rejected["_rejected_id"]) & (
-        F.xxhash64(docs["text"]) == rejected["_rejected_key"])
-    return docs.join(rejected, same, "left_anti")
+    return without(docs, identify(docs).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))

@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import mix, text_blocks, word_hashes
+from gatehouse.llm.rows import without
 from gatehouse.session import materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -318,11 +319,7 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest doc_id. Every row without a text stays."""
     classes = materialize(_classes(docs))
-    dropped = classes.filter("NOT kept").select(
-        F.col("doc_id").alias("_dropped_id"), F.col("text_key").alias("_dropped_key")).distinct()
-    same = docs["doc_id"].cast("bigint").eqNullSafe(dropped["_dropped_id"]) & (
-        F.xxhash64(docs["text"]) == dropped["_dropped_key"])
-    kept = docs.join(dropped, same, "left_anti")
+    kept = without(docs, classes.filter("NOT kept"))
     repeats = classes.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1")
     if not repeats.limit(1).count():
         return kept

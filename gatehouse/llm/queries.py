@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import decontaminate, fingerprints, language_id, license_scan, mixing, near_dups, pii, secrets_scan
+from gatehouse.llm import decontaminate, fingerprints, importance, language_id, license_scan, lm_scoring, mixing, near_dups, pii, secrets_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
 
 
+@register("op3_importance")
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and draw of every document; checked by counting n-grams directly in tests."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document; base spans are checked by the base patterns in tests, the network by held-out recall."""
@@ -58,6 +64,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document; base scores are checked by direct counting in tests, the model by its sums."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 @register("op8_licenses", license_scan.CHECKING_SQL)
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
