@@ -1,91 +1,180 @@
-"""Streams: each micro-batch runs the batch operators and publishes under its batch id.
+"""Streams: each micro-batch runs the batch operators and publishes under its stream and batch id.
 
-A retried micro-batch finds its id in the manifest, or overwrites its own part, so no batch is applied twice.
+The manifest notes the last batch that each stream applied to a table, so a retried micro-batch is not applied twice,
+and streams that share a target do not take each other's batches for their own. A stream's id is its checkpoint
+location's, which outlives restarts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gatehouse.functions.text import clean_header, is_blank
+from gatehouse.operators.cells import PROCESSING_ERROR
 from gatehouse.operators.catalogue import lifecycle_requests
-from gatehouse.operators.dedup import choose_rows, upsert
+from gatehouse.operators.dedup import REJECT, choose_rows, duplicate_errors, in_batch_message, in_target_message, upsert
 from gatehouse.operators.schema import ColumnSpec
 from gatehouse.plans.ingest import ImportRun, ingest
 from gatehouse.session import materialize
 from gatehouse.sources.delimited import ROW, SOURCE, number_rows
 from gatehouse.sources.store import (
-    AUDIT_FIELDS, full_replace, read_manifest, read_table, write_errors, write_runs, write_staging,
+    AUDIT_FIELDS, Conflict, append_records, full_replace, read_manifest, read_table, write_errors, write_runs, write_staging,
 )
 
+_ATTEMPTS = 5
+
 
 def _drain(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Process what is available in micro-batches, then stop."""
+    """Process what is available in micro-batches, then stop; a batch that another writer overtook is applied anew."""
+
+    def again(batch: DataFrame, batch_id: int) -> None:
+        for attempt in range(_ATTEMPTS):
+            try:
+                return apply(batch, batch_id)
+            except Conflict:
+                if attempt == _ATTEMPTS - 1:
+                    raise
+
     return (
-        stream.writeStream.foreachBatch(apply)
+        stream.writeStream.foreachBatch(again)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def stream_id(checkpoint: str) -> str:
+    """A stable name for the stream that keeps its progress at ``checkpoint``."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _applied(manifest: dict, stream: str, batch_id: int) -> bool:
+    return manifest["marks"].get(stream, -1) >= batch_id
+
+
+def _cells(columns: Sequence[ColumnSpec]) -> list[str]:
+    """Names of the raw cells: one more than the schema has columns, to see that a row is wider."""
+    return [f"c{i}" for i in range(len(columns) + 1)]
+
+
+def bind_headers(rows: DataFrame, columns: Sequence[ColumnSpec]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, issues)``: numbered raw rows of headed files as columns of the schema, bound by each file's own header.
+
+    A file whose header does not name exactly the schema's columns, or that has a row wider than its header, is refused
+    whole: it gives one row of ``issues`` (file, description) and no rows. Rows of blank cells are not rows.
+    """
+    cells = _cells(columns)
+    wanted = F.array(*(F.upper(clean_header(F.lit(c.name))) for c in columns))
+    heads = rows.filter(F.col(ROW) == 1).select(
+        F.col(SOURCE).alias("file"),
+        F.filter(F.transform(F.array(*cells), lambda h: F.upper(clean_header(F.coalesce(h, F.lit(""))))), lambda h: h != "").alias("header"))
+    width = reduce(lambda a, b: F.greatest(a, b), (
+        F.when(~is_blank(F.coalesce(name, F.lit(""))), F.lit(i + 1)).otherwise(F.lit(0)) for i, name in enumerate(cells)))
+    widths = rows.groupBy(F.col(SOURCE).alias("file")).agg(F.max(width).alias("width"))
+    missing, extra = F.array_except(wanted, "header"), F.array_except("header", wanted)
+    issue = (
+        F.when((F.size(missing) > 0) | (F.size(extra) > 0), F.concat(
+            F.lit("Schema mismatch. Missing: ["), F.array_join(missing, ", "), F.lit("]. Additional: ["), F.array_join(extra, ", "), F.lit("].")))
+        .when(F.size("header") != F.size(F.array_distinct("header")), F.lit("File contains duplicate column names."))
+        .when(F.col("width") > F.size("header"), F.lit("File contains missing or blank headers."))
+    )
+    judged = materialize(heads.join(widths, "file").withColumn("description", issue))
+    good = judged.filter("description IS NULL").select(F.col("file").alias(SOURCE), "header")
+    data = rows.filter(F.col(ROW) > 1).filter(~reduce(lambda a, b: a & b, (is_blank(F.coalesce(c, F.lit(""))) for c in cells)))
+    bound = data.join(good, SOURCE).select(SOURCE, ROW, *(
+        F.coalesce(F.get(F.array(*cells), F.array_position("header", F.upper(clean_header(F.lit(c.name)))).cast("int") - 1),
+                   F.lit("")).alias(c.name) for c in columns))
+    return bound, judged.filter("description IS NOT NULL").select("file", "description")
+
+
 def ingest_stream(
     spark: SparkSession, landing: str, columns: Sequence[ColumnSpec], run: ImportRun, checkpoint: str, target: str,
-    delimiter: str = ",", files_per_batch: int = 1000,
+    delimiter: str = ",", files_per_batch: int = 1000, at: Callable[[int], str] | None = None,
 ) -> StreamingQuery:
-    """Import files as they land; each micro-batch is one run against the published table.
+    """Import headed files as they land; each micro-batch is one run against the published table.
 
-    Writes ``records`` (versioned), ``staging``, ``errors`` and ``runs`` below ``target``.
+    Writes ``records``, ``staging``, ``errors`` and ``runs`` below ``target``, to be read with ``read_table``. Columns
+    bind by each file's header; a refused file gives an error row. ``at`` gives a batch's time, else it is the run's.
     """
-    schema = ", ".join(f"`{c.name}` string" for c in sorted(columns, key=lambda c: c.ordinal))
+    stream = stream_id(checkpoint)
     lines = (
-        spark.readStream.schema(schema)
-        .option("sep", delimiter).option("header", True).option("escape", '"').option("multiLine", True)
+        spark.readStream.schema(", ".join(f"{c} string" for c in _cells(columns)))
+        .option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(landing)
-        .select(
-            F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("_split"),
-            *(F.coalesce(F.col(f"`{c.name}`"), F.lit("")).alias(c.name) for c in columns),
-        )
+        .select(F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("_split"), *_cells(columns))
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         run_id = f"{run.import_id}-{batch_id}"
-        if read_manifest(session, f"{target}/records")["run"] == run_id:
+        published = read_manifest(session, f"{target}/records")
+        if _applied(published, stream, batch_id):
             return
-        rows = number_rows(batch).withColumn(ROW, F.col(ROW) + 1)
-        result = ingest(rows, read_table(session, f"{target}/records"), columns, replace(run, import_id=run_id))
+        rows, issues = bind_headers(number_rows(batch), columns)
+        settings = replace(run, import_id=run_id, at=at(batch_id) if at else run.at)
+        result = ingest(rows, read_table(session, f"{target}/records"), columns, settings)
+        refused = issues.select(
+            F.col("file").alias(SOURCE), F.lit(None).cast("bigint").alias(ROW), F.lit(None).cast("string").alias("column_name"),
+            F.lit(None).cast("string").alias("invalid_value"), F.lit(PROCESSING_ERROR).alias("error_type"),
+            F.lit(None).cast("string").alias("validation_rule"), "description")
         write_staging(result.staged, f"{target}/staging", run_id)
-        write_errors(result.errors, f"{target}/errors", run_id)
+        write_errors(result.errors.unionByName(refused), f"{target}/errors", run_id)
         write_runs(result.run, f"{target}/runs", run_id)
-        full_replace(result.records, f"{target}/records", run_id)
+        full_replace(result.records, f"{target}/records", run_id, (stream, batch_id), published["version"])
 
     return _drain(lines, checkpoint, apply)
 
 
-def first_wins(stream: DataFrame, key: str = "key_hash", event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Keep the first row of each key; with an event time, state is dropped after ``delay``."""
-    if event_time is None:
-        return stream.dropDuplicates([key])
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def first_wins_stream(
+    stream: DataFrame, key: str, order: str, checkpoint: str, target: str, behaviour: str = REJECT
+) -> StreamingQuery:
+    """The first row of each key, by arrival and then by ``order``, which is unique; later rows become errors.
+
+    Writes ``records`` and ``errors`` below ``target``. A micro-batch writes its own new rows only.
+    """
+    name = stream_id(checkpoint)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        published = read_manifest(session, f"{target}/records")
+        if _applied(published, name, batch_id):
+            return
+        run_id = f"{name}-{batch_id}"
+        rows = materialize(batch)
+        first = materialize(choose_rows(rows, key, order))
+        later = rows.join(first.select(order), order, "left_anti")
+        stored = read_table(session, f"{target}/records")
+        repeated = first.limit(0) if stored is None else first.join(stored.select(key), key, "left_semi")
+        errors = duplicate_errors(later, in_batch_message(behaviour), [order]).unionByName(
+            duplicate_errors(repeated, in_target_message(behaviour), [order]))
+        write_errors(errors, f"{target}/errors", run_id)
+        append_records(first, f"{target}/records", run_id, key, (name, batch_id))
+
+    return _drain(stream, checkpoint, apply)
 
 
 def upsert_stream(
     stream: DataFrame, key: str, order: str, checkpoint: str, target: str, identity: Sequence[str] = ()
 ) -> StreamingQuery:
     """Last row per key wins within a micro-batch, then replaces the published row of that key."""
+    name = stream_id(checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        if read_manifest(session, target)["run"] == str(batch_id):
+        published = read_manifest(session, target)
+        if _applied(published, name, batch_id):
             return
         newest = choose_rows(batch, key, order, last=True)
         stored = read_table(session, target)
-        full_replace(newest if stored is None else upsert(stored, newest, key, identity), target, str(batch_id))
+        merged = newest if stored is None else upsert(stored, newest, key, identity)
+        full_replace(merged, target, f"{name}-{batch_id}", (name, batch_id), published["version"])
 
     return _drain(stream, checkpoint, apply)
 
@@ -95,20 +184,23 @@ def lifecycle_stream(
 ) -> StreamingQuery:
     """Lifecycle state machine over a stream of requests.
 
-    Each micro-batch is judged against the published ``states`` and its outcomes are written per batch below
-    ``outcomes``. Requests must arrive in order between micro-batches, not within one.
+    Each micro-batch is judged against the published ``states``, and its outcomes are added to ``outcomes``, both to be
+    read with ``read_table``. Requests must arrive in order between micro-batches, not within one.
     """
+    name = stream_id(checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        states_path = f"{target}/states"
-        if read_manifest(session, states_path)["run"] == str(batch_id):
+        states_path, run_id = f"{target}/states", f"{name}-{batch_id}"
+        published = read_manifest(session, states_path)
+        if _applied(published, name, batch_id):
             return
         stored = read_table(session, states_path)
         judged = materialize(lifecycle_requests(batch, key, order, action, stored))
-        judged.write.mode("overwrite").parquet(f"{target}/outcomes/batch={batch_id}")
+        write_staging(judged, f"{target}/outcomes", run_id)
         changed = judged.groupBy(key).agg(F.max_by("state_after", F.struct(*order)).alias("status"))
-        full_replace(changed if stored is None else upsert(stored, changed, key), states_path, str(batch_id))
+        full_replace(
+            changed if stored is None else upsert(stored, changed, key), states_path, run_id, (name, batch_id), published["version"])
 
     return _drain(stream, checkpoint, apply)
 

@@ -127,7 +127,7 @@ def a7(t):
     store.write_staging(rows, path, "first")
     store.write_staging(rows, path, "second")
     store.write_staging(rows.withColumn("status", F.upper("status")), path, "first")
-    return t.spark.read.parquet(path).select("import_id", "_row_number", "customer", "status")
+    return store.read_table(t.spark, path).select("import_id", "_row_number", "customer", "status")
 
 
 @query("a8_write_errors", """
@@ -139,7 +139,19 @@ def a8(t):
     some = t("import_errors").filter("workspace_id = 94").select(F.col("error_id").alias("row_number"), "column_name")
     store.write_errors(everything, path, "run-1")
     store.write_errors(some, path, "run-2")
-    return t.spark.read.parquet(path).select("import_id", "row_number", "column_name")
+    return store.read_table(t.spark, path).select("import_id", "row_number", "column_name")
+
+
+@query("a8_retry_without_errors", """
+    SELECT 'run-2' AS import_id, event_id AS row_number, event_type AS column_name FROM {events} WHERE event_type = 'error'""")
+def a8_retry(t):
+    """A run whose second attempt has no errors leaves none behind."""
+    path = t.scratch("errors")
+    rows = t("events").select(F.col("event_id").alias("row_number"), F.col("event_type").alias("column_name"))
+    store.write_errors(rows, path, "run-1")
+    store.write_errors(rows.filter("column_name = 'error'"), path, "run-2")
+    store.write_errors(rows.filter("false"), path, "run-1")
+    return store.read_table(t.spark, path).select("import_id", "row_number", "column_name")
 
 
 @query("a9_full_replace", "SELECT s_suppkey AS id, s_name AS name FROM {supplier}")
@@ -173,3 +185,13 @@ def a12(t):
     store.audit_append(store.run_audit(t("runs")), path)
     store.audit_append(store.run_audit(t("runs")), path)
     return t.spark.read.parquet(path).select("action", "entity_type", "entity_id", "user_id", "happened_at")
+
+
+@query("a9_replace_from_itself", "SELECT c_custkey AS id, upper(c_name) AS name FROM {customer}")
+def a9_retry(t):
+    """A published run may be repeated, also when its rows are computed from the table it replaces."""
+    path = t.scratch("table")
+    store.full_replace(t.sql("SELECT c_custkey AS id, c_name AS name FROM {customer}"), path, "run-1")
+    store.full_replace(store.read_table(t.spark, path).withColumn("name", F.upper("name")), path, "run-1")
+    store.vacuum(t.spark, path)
+    return store.read_table(t.spark, path)

@@ -24,25 +24,69 @@ def events_stream(t):
     SELECT upper(sha256(CAST(c_custkey AS VARCHAR))) AS key_hash, c_custkey AS id, c_name AS name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS balance
     FROM {customer}""")
 def s1(t):
+    """Half of the files have their columns in another order, and some have rows of blanks; columns bind by name."""
     feed = t.sql("SELECT c_custkey AS id, c_name AS name, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM {customer}")
+    blank = t.sql("SELECT CAST(NULL AS STRING) AS balance, ' ' AS name, CAST(NULL AS BIGINT) AS id FROM {nation}")
     landing, target = t.scratch("landing"), t.scratch("target")
-    fixtures.write_csv(feed.repartitionByRange(4, "id"), landing)
+    fixtures.write_csv(feed.filter("id % 2 = 0").repartitionByRange(2, "id"), f"{landing}/a")
+    turned = feed.filter("id % 2 = 1").select(F.col("balance").cast("string"), "name", "id")
+    fixtures.write_csv(turned.unionByName(blank).repartition(2), f"{landing}/b")
     columns = (ColumnSpec("id", "Integer", 0, True), ColumnSpec("name", "String", 1), ColumnSpec("balance", "Decimal", 2))
     run = ImportRun("stream", "customers", "ws", "Append", "Update", ("id",))
-    streams.ingest_stream(t.spark, landing, columns, run, t.scratch("checkpoint"), target, files_per_batch=2).awaitTermination()
+    streams.ingest_stream(t.spark, f"{landing}/*", columns, run, t.scratch("checkpoint"), target, files_per_batch=2).awaitTermination()
     rows = read_table(t.spark, f"{target}/records")
     return rows.select("key_hash", "id", "name", F.col("balance").cast("double").alias("balance"))
 
 
-@query("s2_first_wins_stream", "SELECT DISTINCT user_id, event_type FROM {events}")
+@query("s1_refused_files", """
+    SELECT g, CASE WHEN g % 3 = 0 THEN 'Schema mismatch. Missing: [NAME]. Additional: [LABEL].' ELSE 'File contains missing or blank headers.' END AS description
+    FROM (SELECT DISTINCT c_nationkey AS g FROM {customer}) WHERE g % 3 < 2""")
+def s1_refused(t):
+    """A file with another header, or with a row wider than its header, is refused alone."""
+    landing, target = t.scratch("landing"), t.scratch("target")
+    lines = t.sql("""SELECT c_nationkey, c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN concat(c_custkey, ',x,y') ELSE concat(c_custkey, ',x') END AS value
+        FROM {customer}""")
+    heads = t.sql("""SELECT DISTINCT c_nationkey, CAST(-1 AS BIGINT) AS c_custkey,
+        CASE WHEN c_nationkey % 3 = 0 THEN 'id,label' ELSE 'id,name' END AS value FROM {customer}""")
+    fixtures.write_ordered_lines(lines.unionByName(heads), "c_nationkey", "c_custkey", landing)
+    columns = (ColumnSpec("id", "Integer", 0, True), ColumnSpec("name", "String", 1))
+    run = ImportRun("stream", "customers", "ws", "Append", "Update", ("id",))
+    streams.ingest_stream(t.spark, f"{landing}/*", columns, run, t.scratch("checkpoint"), target).awaitTermination()
+    errors = read_table(t.spark, f"{target}/errors")
+    return errors.select(F.regexp_extract("_source_file", r"c_nationkey=(\d+)/", 1).cast("int").alias("g"), "description")
+
+
+@query("s2_first_wins_stream", """
+    SELECT user_id, event_type, min(event_id) AS event_id FROM {events} GROUP BY user_id, event_type""")
 def s2(t):
     keyed = events_stream(t).withColumn("key_hash", F.sha2(F.concat_ws("/", "user_id", "event_type"), 256))
-    path = t.scratch("first")
-    (
-        streams.first_wins(keyed).writeStream.format("parquet").option("path", path)
-        .option("checkpointLocation", t.scratch("checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    )
-    return t.spark.read.parquet(path).select("user_id", "event_type")
+    target = t.scratch("first")
+    streams.first_wins_stream(keyed, "key_hash", "event_id", t.scratch("checkpoint"), target).awaitTermination()
+    return read_table(t.spark, f"{target}/records").select("user_id", "event_type", "event_id")
+
+
+@query("s2_duplicate_errors", """
+    SELECT event_id, 'Duplicate Error' AS error_type FROM {events}
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1""")
+def s2_errors(t):
+    keyed = events_stream(t).withColumn("key_hash", F.sha2(F.concat_ws("/", "user_id", "event_type"), 256))
+    target = t.scratch("first")
+    streams.first_wins_stream(keyed, "key_hash", "event_id", t.scratch("checkpoint"), target).awaitTermination()
+    return read_table(t.spark, f"{target}/errors").select("event_id", "error_type")
+
+
+@query("s3_two_streams_one_target", """
+    SELECT CAST(user_id AS VARCHAR) AS key_hash, max(event_id) AS event_id FROM {events} GROUP BY user_id
+    UNION ALL SELECT 'order ' || CAST(o_custkey AS VARCHAR), max(o_orderkey) FROM {orders} GROUP BY o_custkey""")
+def s3_two(t):
+    """A second stream into the same table applies its own batches, whatever numbers the first one used."""
+    rows = events_stream(t).select(F.col("user_id").cast("string").alias("key_hash"), "event_id")
+    folder, target = t.scratch("orders"), t.scratch("target")
+    t.sql("SELECT concat('order ', o_custkey) AS key_hash, o_orderkey AS event_id FROM {orders}").write.parquet(folder)
+    more = t.spark.readStream.schema("key_hash string, event_id bigint").parquet(folder)
+    for stream in (rows, more):
+        streams.upsert_stream(stream, "key_hash", "event_id", t.scratch("checkpoint"), target).awaitTermination()
+    return read_table(t.spark, target)
 
 
 @query("s3_last_wins_upsert_stream", """
@@ -63,7 +107,7 @@ def s4(t):
     asked = events_stream(t).select("event_id", F.col("user_id").alias("dataset_id"), "ts", action.alias("action"))
     target = t.scratch("target")
     streams.lifecycle_stream(asked, "dataset_id", ["ts", "event_id"], t.scratch("checkpoint"), target).awaitTermination()
-    outcomes = t.spark.read.parquet(f"{target}/outcomes")
+    outcomes = read_table(t.spark, f"{target}/outcomes")
     return outcomes.select("dataset_id", "event_id", "state_before", "accepted", "state_after")
 
 

@@ -123,7 +123,8 @@ def test_store_publishes_whole_versions(spark, tmp_path):
     store.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
     store.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
     assert sorted(r["key_hash"] for r in store.read_table(spark, path).collect()) == ["a", "b", "c"]
-    assert store.read_manifest(spark, path) == {"parts": ["part=r1", "part=r2"], "run": "r2"}
+    manifest = store.read_manifest(spark, path)
+    assert manifest["run"] == "r2" and [run for run, _ in manifest["runs"]] == ["r1", "r2"]
     store.full_replace(rows.limit(0), path, "r3")
     assert store.read_table(spark, path).count() == 0
 
@@ -134,16 +135,34 @@ def test_failed_write_leaves_the_published_version(spark, tmp_path):
     broken = spark.range(3).select(F.raise_error(F.lit("stop")).cast("bigint").alias("n"))
     with pytest.raises(Exception, match="stop"):
         store.full_replace(broken, path, "r2")
+    with pytest.raises(Exception, match="stop"):
+        store.full_replace(broken, path, "r1")
+    with pytest.raises(Exception, match="stop"):
+        store.append_records(broken.withColumn("key_hash", F.col("n")), path, "r1")
     assert store.read_table(spark, path).count() == 3
 
 
+def test_conflicting_writers(spark, tmp_path):
+    path = str(tmp_path / "table")
+    store.full_replace(spark.range(3), path, "r1")
+    base = store.read_manifest(spark, path)["version"]
+    store.full_replace(spark.range(4), path, "r2")
+    with pytest.raises(store.Conflict):
+        store.full_replace(spark.range(5), path, "r3", base=base)
+    assert store.read_table(spark, path).count() == 4
+    assert not store._add_manifest(spark, path, {"version": base + 1, "runs": [], "run": None, "marks": {}})
+    assert store.vacuum(spark, path) > 0 and store.read_table(spark, path).count() == 4
+
+
 def test_staging_rewrites_only_its_run(spark, tmp_path):
     path = str(tmp_path / "staging")
     store.write_staging(spark.range(3), path, "r1")
     store.write_staging(spark.range(4), path, "r2")
     store.write_staging(spark.range(1), path, "r1")
-    counts = {r["import_id"]: r["count"] for r in spark.read.parquet(path).groupBy("import_id").count().collect()}
+    counts = {r["import_id"]: r["count"] for r in store.read_table(spark, path).groupBy("import_id").count().collect()}
     assert counts == {"r1": 1, "r2": 4}
+    store.write_staging(spark.range(0), path, "r1")
+    assert {r["import_id"] for r in store.read_table(spark, path).collect()} == {"r2"}
 
 
 def test_run_audit(spark):
