@@ -2,7 +2,9 @@
 
 Accepted, each with optional outer whitespace: ``2024-01-05``, ``2024/1/5``, ``1/5/2024``, ``1-5-2024``,
 ``Jan 5, 2024``, ``January 5 2024``, ``5 Jan 2024``; each optionally followed by a blank or ``T`` and ``H:mm``,
-``H:mm:ss`` or ``H:mm:ss.fffffff``, optionally with AM/PM, or with ``Z`` / ``+hh:mm`` (converted to UTC).
+``H:mm:ss`` or ``H:mm:ss.fffffff``, optionally with AM/PM, or with ``Z`` / ``+hh:mm`` (converted to UTC), also without
+seconds or after a blank. Two-digit years (``1/5/24``, up to 49 in this century), ``2024-01`` (its first day), a leading
+weekday name, which is not compared with the day, and a trailing ``GMT`` are accepted as well.
 """
 
 from __future__ import annotations
@@ -33,22 +35,46 @@ _ZONED = rf"\A\d{{4}}-\d{{1,2}}-\d{{1,2}}{_ZONED_CLOCK}\z"
 _NAMED_DAY = f"(?:{_NAME_FIRST}|{_NAME_SECOND})"
 _WORDED = rf"(?i)\A(?:{_NAMED_DAY}(?:{_CLOCK})?|(?:{_NUMERIC_DAY}|{_NAMED_DAY}){_TWELVE})\z"
 # A cheap first test: a day with two separators, or letters where a month name may stand.
-_CANDIDATE = r"\d[/-]\d{1,2}[/-]\d|(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d{4}"
+_CANDIDATE = r"\d[/-]\d{1,2}[/-]\d|\A\s*\d{4}-\d{1,2}\s*\z|(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).*\d{4}"
+
+
+_WEEKDAY = r"(?i)\A(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? "
+_SHORT_YEAR = r"\A(\d{1,2})([/-])(\d{1,2})\2"
+_ZONE = r"(?:Z|[+-]\d{2}:\d{2})\z"
+# Shapes that are brought to one of the others first, and how.
+_REWRITES = (
+    (_WEEKDAY, ""),
+    (r"(?i)(:\d{2}) GMT\z", "$1"),
+    (_SHORT_YEAR + r"([0-4]\d)(?=\z|[T ])", "$1$2$3$220$4"),
+    (_SHORT_YEAR + r"([5-9]\d)(?=\z|[T ])", "$1$2$3$219$4"),
+    (r"\A(\d{4}-\d{1,2})\z", "$1-1"),
+    (rf" (?={_ZONE})", ""),
+    (rf"\A([^ T]+[T ]\d{{1,2}}:\d{{2}})(?={_ZONE})", "$1:00"),
+)
+_REWRITTEN = "|".join(f"(?:{pattern})" for pattern, _ in (*_REWRITES[:2], *_REWRITES[4:])) + (
+    r"|\A\d{1,2}[/-]\d{1,2}[/-]\d{2}(?=\z|[T ])")
 
 
 def to_datetime(value: Column) -> Column:
     """Timestamp without zone, or null when the text is in none of the accepted shapes.
 
     Each shape has a branch that rewrites the day to year-month-day by replacements mentioning their input once,
-    which keeps the generated code small, and then casts.
+    which keeps the generated code small, and then casts. Rarer shapes are rewritten first, outside generated code.
     """
     text = trim_ws(value)
-    parsed = (
+    rewritten = text
+    for pattern, replacement in _REWRITES:
+        rewritten = F.regexp_replace(rewritten, pattern, replacement)
+    rare = F.get(F.transform(F.array(rewritten), _parsed), F.lit(0))
+    return F.when(value.rlike(_CANDIDATE), F.when(text.rlike(_REWRITTEN), rare).otherwise(_parsed(text)))
+
+
+def _parsed(text: Column) -> Column:
+    return (
         F.when(text.rlike(_NUMERIC), _year_first(text).try_cast("timestamp_ntz"))
         .when(text.rlike(_ZONED), _to_utc(text))
         .when(text.rlike(_WORDED), _worded(text))
     )
-    return F.when(value.rlike(_CANDIDATE), parsed)
 
 
 def _year_first(text: Column) -> Column:

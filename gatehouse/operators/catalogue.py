@@ -49,7 +49,7 @@ def detect_changes(current: DataFrame, requests: DataFrame, key: str = "dataset_
     """Requests with ``changed``: whether they differ from the stored metadata. Unknown keys are left out."""
     stored = current.select(F.col(key).alias("_key"), content(**shape).alias("_stored"))
     joined = lookup_join(
-        requests.withColumn("_asked", content(**shape)), stored, {key: "_key"}, "inner", unique_facts=True
+        requests.withColumn("_asked", content(**shape)), stored, {key: "_key"}, "inner"
     )
     return joined.withColumn("changed", ~F.col("_asked").eqNullSafe(F.col("_stored"))).select(
         *requests.columns, "changed"
@@ -236,7 +236,7 @@ def pin_config(
 def unused_configs(configs: DataFrame, runs: DataFrame, config_id: str, used: str) -> DataFrame:
     """Configurations no run has used: the only ones that may be deleted."""
     return exists_filter(
-        configs, runs.filter(F.col(used).isNotNull()), {config_id: used}, negate=True, unique_left=True
+        configs, runs.filter(F.col(used).isNotNull()), {config_id: used}, negate=True
     )
 
 
@@ -274,7 +274,7 @@ def sync_tags(
     """
     refused = tag_issues(requests)
     accepted = exists_filter(requests, refused.select(F.col("dataset_id").alias("_refused")),
-                             {"dataset_id": "_refused"}, negate=True, unique_left=True)
+                             {"dataset_id": "_refused"}, negate=True)
     asked = (
         accepted.select("dataset_id", "workspace_id", F.posexplode("tags").alias("_at", "_raw"))
         .withColumn("name", trim_ws(F.col("_raw")))

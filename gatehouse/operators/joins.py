@@ -7,55 +7,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gatehouse.session import estimated_bytes, materialize
+from gatehouse.session import estimated_bytes
 
 BROADCAST_LIMIT = 16 * 1024 * 1024
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: dict[str, str], how: str = "left", limit: int = BROADCAST_LIMIT,
-    unique_facts: bool = False,
+    facts: DataFrame, lookup: DataFrame, on: dict[str, str], how: str = "left", limit: int = BROADCAST_LIMIT
 ) -> DataFrame:
     """Join facts to a table that is unique by its key: ``on`` maps fact columns to lookup columns.
 
-    A lookup whose estimated size is below ``limit`` is broadcast. With a larger one, the most frequent fact keys are
-    joined to their few lookup rows by broadcast and all other facts by shuffle, so no key fills one task. Facts that
-    are ``unique`` by the key need no such split.
+    The facts are read once. A lookup whose estimated size is at most ``limit`` is broadcast. With a larger one the join
+    shuffles both sides, and adaptive execution, with the settings of ``build_session``, splits the partition of a
+    frequent key over tasks, each with that key's one lookup row.
     """
     condition = _all(facts[f] == lookup[k] for f, k in on.items())
-    if estimated_bytes(lookup) <= limit:
-        return facts.join(F.broadcast(lookup), condition, how)
-    if unique_facts:
-        return facts.join(lookup, condition, how)
-    frequent = _frequent_keys(facts, list(on))
-    marks = F.broadcast(frequent.withColumn("_frequent", F.lit(True)))
-    marked = facts.join(marks, _all(facts[f].eqNullSafe(marks[f"_key_{f}"]) for f in on), "left")
-    few = lookup.join(F.broadcast(frequent), _all(lookup[k] == frequent[f"_key_{f}"] for f, k in on.items()), "left_semi")
-
-    def joined(side: DataFrame, other: DataFrame) -> DataFrame:
-        rows = side.select(*facts.columns)
-        return rows.join(other, _all(rows[f] == other[k] for f, k in on.items()), how)
-
-    hot = joined(marked.filter("_frequent"), F.broadcast(few))
-    cold = joined(marked.filter("_frequent IS NULL"), lookup)
-    return hot.unionByName(cold)
+    small = estimated_bytes(lookup) <= limit
+    return facts.join(F.broadcast(lookup) if small else lookup, condition, how)
 
 
 def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _frequent_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The fact keys with the most rows, null included: four per shuffle partition, so their number is bounded.
-
-    Any key left out has less than a quarter of an even partition's share of the rows.
-    """
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = facts.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    top = counted.orderBy(F.col("_rows").desc()).limit(4 * partitions)
-    return materialize(top.select(*(F.col(key).alias(f"_key_{key}") for key in keys)))
-
-
 def bridge_join(
     bridge: DataFrame, left: DataFrame, left_on: dict[str, str], right: DataFrame, right_on: dict[str, str]
 ) -> DataFrame:
@@ -63,12 +37,10 @@ def bridge_join(
     return lookup_join(lookup_join(bridge, left, left_on, "inner"), right, right_on, "inner")
 
 
-def exists_filter(
-    left: DataFrame, right: DataFrame, on: dict[str, str], negate: bool = False, unique_left: bool = False
-) -> DataFrame:
+def exists_filter(left: DataFrame, right: DataFrame, on: dict[str, str], negate: bool = False) -> DataFrame:
     """Rows of ``left`` with (or, negated, without) a match; the right side is reduced to distinct keys first."""
     keys = right.select(*on.values()).distinct()
-    return lookup_join(left, keys, on, "left_anti" if negate else "left_semi", unique_facts=unique_left)
+    return lookup_join(left, keys, on, "left_anti" if negate else "left_semi")
 
 
 def missing_links(

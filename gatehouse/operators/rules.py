@@ -10,10 +10,10 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from gatehouse.functions.dates import format_datetime, to_datetime
-from gatehouse.functions.numbers import number_text
+from gatehouse.functions.numbers import DECIMAL, number_text, to_decimal
 from gatehouse.functions.text import is_blank, is_empty, trim_ws
 from gatehouse.functions.typed import Cell
 from gatehouse.operators.config import Rule
@@ -181,15 +181,30 @@ def _minimum_length(cell, parameters):
     return F.coalesce(F.length(cell.text) < int(parameters["value"]), F.lit(False))
 
 
+def _constant(expression: Column, rule: str, name: str, text: str) -> Column:
+    """A bound read once, on the driver, so that an unreadable one stops the run before any row is read."""
+    value = SparkSession.active().range(1).select(expression.alias("value")).first()["value"]
+    if value is None:
+        raise ValueError(f"Parameter '{name}' of {rule} is not valid: '{text}'.")
+    return F.lit(value)
+
+
 @register_validation("NumericRange", required=("min", "max"))
 def _numeric_range(cell, parameters):
-    low, high = (F.lit(parameters[name].strip()).cast("decimal(38,10)") for name in ("min", "max"))
+    low, high = (
+        _constant(to_decimal(F.lit(parameters[name])), "NumericRange", name, parameters[name]).cast(DECIMAL)
+        for name in ("min", "max")
+    )
     return ~F.coalesce(cell.number().between(low, high), F.lit(True))
 
 
 @register_validation("DateRange", required=("min", "max"))
 def _date_range(cell, parameters):
-    low, high = (to_datetime(F.lit(parameters[name])) for name in ("min", "max"))
+    low, high = (
+        _constant(to_datetime(F.lit(parameters[name])).cast("string"), "DateRange", name, parameters[name])
+        .cast("timestamp_ntz")
+        for name in ("min", "max")
+    )
     return ~F.coalesce(cell.moment().between(low, high), F.lit(True))
 
 
@@ -201,6 +216,10 @@ def _allowed_values(cell, parameters):
 
 @register_validation("Pattern", required=("pattern",))
 def _pattern(cell, parameters):
+    try:
+        SparkSession.active().range(1).select(F.col("id").cast("string").rlike(parameters["pattern"])).first()
+    except Exception as error:
+        raise ValueError(f"Parameter 'pattern' of Pattern is not valid: '{parameters['pattern']}'.") from error
     return ~F.coalesce(cell.text.rlike(parameters["pattern"]), F.lit(True))
 
 

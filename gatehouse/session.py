@@ -57,8 +57,9 @@ SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (an upper bound for scans, filters and projections)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a plan, in compressed bytes for scans; a plan that explodes rows has no bound."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return 1 << 62 if "Generate " in plan.toString() else int(plan.stats().sizeInBytes())
 
 
 def spread(df: DataFrame) -> DataFrame:

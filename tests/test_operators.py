@@ -189,5 +189,18 @@ def test_plans_keep_hot_keys_and_pairs_out_of_one_task(spark):
     exchange = winners.index("Exchange hashpartitioning(key_hash")
     assert "WindowGroupLimit" in winners[:exchange] and "WindowGroupLimit" in winners[exchange:]
     facts = rows.select(F.col("key_hash").alias("k"), "_row_number")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_nationkey")
+    nations = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select("n_nationkey", "n_name")
+    one = joins.lookup_join(orders, customers, {"o_custkey": "c_custkey"}, "inner", limit=1)
+    two = plan(joins.lookup_join(one, nations, {"c_nationkey": "n_nationkey"}, "left", limit=1))
+    assert two.count("FileScan parquet") == 3
     split = plan(joins.lookup_join(facts, rows.select("key_hash").distinct(), {"k": "key_hash"}, "inner", limit=0))
     assert "CartesianProduct" not in split and "BroadcastNestedLoop" not in split
+
+
+def test_exploding_lookups_have_no_size_bound(spark):
+    from gatehouse.session import estimated_bytes
+
+    few = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    assert estimated_bytes(few) > joins.BROADCAST_LIMIT >= estimated_bytes(spark.range(10).toDF("k"))

@@ -126,3 +126,35 @@ def test_long_chain_keeps_one_projection_per_step(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 200_000
     assert out.first()["Target"]["value"] == "1.50"
+
+
+@pytest.mark.parametrize(
+    "rule",
+    [Rule("DateRange", 0, {"min": "2024-01-01", "max": "1/1/2x"}), Rule("NumericRange", 0, {"min": "1", "max": "x"}),
+     Rule("Pattern", 0, {"pattern": "("})],
+)
+def test_unreadable_bounds_stop_the_run(spark, rule):
+    df = spark.createDataFrame([(1, "2020-01-01")], "_row_number bigint, Source string")
+    with pytest.raises(ValueError, match="is not valid"):
+        evaluate(df, [mapping([], [rule])], {"Target": "String"})
+
+
+def test_bounds_in_other_shapes(spark):
+    df = spark.createDataFrame([(1, "2020-01-02"), (2, "900")], "_row_number bigint, Source string")
+    rules = [Rule("DateRange", 0, {"min": "1/1/19", "max": "1/1/20"}), Rule("NumericRange", 0, {"min": "0", "max": "1,000"})]
+    judged = evaluate(df, [mapping([], rules)], {"Target": "String"})
+    assert [r["_row_number"] for r in error_rows(judged, "_row_number").collect()] == [1]
+
+
+def test_rarer_date_shapes(spark):
+    from gatehouse.functions.dates import to_datetime
+
+    shapes = {
+        "1/5/24": "2024-01-05 00:00:00", "1-5-49": "2049-01-05 00:00:00", "1/5/50 3:04": "1950-01-05 03:04:00",
+        "2024-01": "2024-01-01 00:00:00", "2024-01-05T10:00Z": "2024-01-05 10:00:00", "2024-01-05T10:00+02:00": "2024-01-05 08:00:00",
+        "2024-01-05 10:00:00 +02:00": "2024-01-05 08:00:00", "Friday, January 5, 2024": "2024-01-05 00:00:00",
+        "Fri, 05 Jan 2024 10:00:00 GMT": "2024-01-05 10:00:00", "1/5/24 10:00 PM": "2024-01-05 22:00:00",
+        "13/5/24": None, "Friday": None, "2024-13": None, "Fried, 1/5/2024": None, "1/5/2": None, "1/5/245": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in shapes], "v string").select("v", to_datetime(F.col("v")).cast("string").alias("d"))
+    assert {r["v"]: r["d"] for r in rows.collect()} == shapes
