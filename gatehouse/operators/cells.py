@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gatehouse.functions.text import clean_name, is_blank, is_empty
 from gatehouse.functions.typed import STRING, Cell, typed_value
+from gatehouse.functions.working import ROW, carried, data_columns, working_columns
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.operators.rules import failure_message, find_transformation, find_validation
 
@@ -27,17 +28,18 @@ ERROR_FIELDS = ("column_name", "invalid_value", "error_type", "validation_rule",
 
 
 def source_columns(df: DataFrame) -> dict[str, str]:
-    """Case-insensitive header lookup; working columns start with an underscore and are left out."""
-    return {clean_name(name).lower(): name for name in df.columns if not name.startswith("_")}
+    """Case-insensitive header lookup without the working columns."""
+    return {clean_name(name).lower(): name for name in data_columns(df)}
 
 
 def map_columns(df: DataFrame, mappings: Sequence[FieldMapping]) -> DataFrame:
     """Rename source headers to target columns; the first mapping of a target wins."""
     headers = source_columns(df)
     _refuse_missing(mappings, headers)
-    kept = [F.col(_q(name)) for name in df.columns if name.startswith("_")]
+    chosen = first_per_target(mappings)
     return df.select(
-        *kept, *(F.col(_q(headers[m.source.strip().lower()])).alias(m.target) for m in first_per_target(mappings))
+        *carried(df, [m.target for m in chosen]),
+        *(F.col(_q(headers[m.source.strip().lower()])).alias(m.target) for m in chosen),
     )
 
 
@@ -66,10 +68,26 @@ def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str
     are evaluated. Every cell is then checked against its column type.
     """
     chosen = first_per_target(mappings)
+    judged = judge(df, chosen, types)
+    names = [*(m.target for m in chosen), "errors", "is_valid"]
+    return judged.select(
+        *carried(judged, names),
+        *(F.col(f"_c{i}").alias(m.target) for i, m in enumerate(chosen)),
+        F.col("_errors").alias("errors"),
+        F.col("_valid").alias("is_valid"),
+    )
+
+
+def judge(df: DataFrame, chosen: Sequence[FieldMapping], types: Mapping[str, str]) -> DataFrame:
+    """As :func:`evaluate` for mappings of different targets, with the i-th target as ``_c{i}``, the row's errors as
+    ``_errors`` and its verdict as ``_valid``; no name of the batch can clash with these."""
     headers = source_columns(df)
     _refuse_missing(chosen, headers)
-    row = {name: F.col(_q(column)) for name, column in headers.items()}
-    carried = [name for name in df.columns if name.startswith("_")]
+    working = working_columns(df)
+    taken = ("_errors", "_valid")
+    df = df.select(*carried(df, taken), *(F.col(_q(column)).alias(f"_h{i}") for i, column in enumerate(headers.values())))
+    kept = df.columns[: len(working)]
+    row = {name: F.col(f"_h{i}") for i, name in enumerate(headers)}
 
     originals = {f"_o{i}": row[m.source.strip().lower()] for i, m in enumerate(chosen)}
     values = {
@@ -101,23 +119,23 @@ def evaluate(df: DataFrame, mappings: Sequence[FieldMapping], types: Mapping[str
         found = F.when(valid, _no_errors()).otherwise(F.concat(*errors))
     else:
         valid, found = F.lit(True), _no_errors()
-    step = step.withColumn("errors", found)
+    step = step.withColumn("_errors", found)
     return step.select(
-        *carried,
+        *kept,
         *(
             F.struct(
                 F.col(f"_o{i}").alias("original"), F.col(f"_v{i}").alias("value"), F.col(f"_p{i}").alias("typed"),
                 _of_column(mapping.target).alias("errors"),
-            ).alias(mapping.target)
+            ).alias(f"_c{i}")
             for i, mapping in enumerate(chosen)
         ),
-        "errors",
-        valid.alias("is_valid"),
+        "_errors",
+        valid.alias("_valid"),
     )
 
 
 def _of_column(target: str) -> Column:
-    return F.filter("errors", lambda e: e["column_name"] == target)
+    return F.filter("_errors", lambda e: e["column_name"] == target)
 
 
 def _transform_level(
@@ -201,25 +219,27 @@ def preview(
     """First rows by row number with each cell's original, transformed value and errors; writes nothing."""
     if not 1 <= limit <= 100:
         raise ValueError("Preview limit must be between 1 and 100.")
-    first = df.orderBy("_row_number").limit(limit)
+    number = working_columns(df)[-1]
+    first = df.orderBy(_q(number)).limit(limit)
     chosen = first_per_target(mappings)
-    judged = evaluate(first, mappings, types)
+    judged = judge(first, chosen, types)
+    judged = judged.select(F.col(working_columns(judged)[-1]).alias("_number"), *(f"_c{i}" for i in range(len(chosen))))
     cells = [
         F.struct(
             F.lit(m.source).alias("source_column"),
             F.lit(m.target).alias("target_field"),
-            F.col(m.target)["original"].alias("original_value"),
-            F.col(m.target)["value"].alias("transformed_value"),
-            (F.size(_configured(m.target)) == 0).alias("is_valid"),
-            F.transform(_configured(m.target), lambda e: e["description"]).alias("errors"),
+            F.col(f"_c{i}")["original"].alias("original_value"),
+            F.col(f"_c{i}")["value"].alias("transformed_value"),
+            (F.size(_configured(i)) == 0).alias("is_valid"),
+            F.transform(_configured(i), lambda e: e["description"]).alias("errors"),
         )
-        for m in chosen
+        for i, m in enumerate(chosen)
     ]
-    return judged.select("_row_number", F.array(*cells).alias("cells")).select(
-        "_row_number", F.forall("cells", lambda cell: cell["is_valid"]).alias("is_valid"), "cells"
+    return judged.select(F.col("_number").alias(ROW), F.array(*cells).alias("cells")).select(
+        ROW, F.forall("cells", lambda cell: cell["is_valid"]).alias("is_valid"), "cells"
     )
 
 
-def _configured(target: str) -> Column:
+def _configured(i: int) -> Column:
     """A cell's rule errors; the type check belongs to the import, not to the preview."""
-    return F.filter(F.col(target)["errors"], lambda e: e["error_type"] != PROCESSING_ERROR)
+    return F.filter(F.col(f"_c{i}")["errors"], lambda e: e["error_type"] != PROCESSING_ERROR)

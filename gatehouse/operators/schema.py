@@ -12,6 +12,7 @@ from gatehouse.functions.dates import to_datetime
 from gatehouse.functions.numbers import to_decimal, to_integer
 from gatehouse.functions.text import clean_header, clean_name, is_blank, normalize
 from gatehouse.functions.typed import BOOLEAN, DATETIME, DECIMAL_TYPE, INTEGER, STRING, fits, typed_value
+from gatehouse.functions.working import carried, data_columns
 
 from gatehouse.session import spread
 
@@ -27,10 +28,6 @@ class ColumnSpec:
     is_required: bool = True
 
 
-def data_columns(df: DataFrame) -> list[str]:
-    return [name for name in df.columns if not name.startswith("_")]
-
-
 def _ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -196,24 +193,27 @@ def set_key_columns(registry: DataFrame, keys: DataFrame) -> tuple[DataFrame, Da
 def conformance_check(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFrame:
     """One row per cell that does not fit its column's type."""
     typed = [c for c in columns if c.data_type != STRING]
-    flagged = df.withColumns({f"_bad{i}": ~fits(_ref(c.name), c.data_type) for i, c in enumerate(typed)})
+    kept = carried(df, ("column_name", "invalid_value", "description"))
+    flagged = df.select(*kept, *(
+        column for i, c in enumerate(typed)
+        for column in (_ref(c.name).alias(f"_cell{i}"), (~fits(_ref(c.name), c.data_type)).alias(f"_bad{i}"))
+    ))
     cells = [
         F.struct(
             F.lit(c.name).alias("column_name"),
-            _ref(c.name).alias("invalid_value"),
+            F.col(f"_cell{i}").alias("invalid_value"),
             F.lit(f"Value is not compatible with {c.data_type}.").alias("description"),
             F.col(f"_bad{i}").alias("_bad"),
         )
         for i, c in enumerate(typed)
     ]
-    kept = [name for name in df.columns if name.startswith("_")]
-    return flagged.select(*kept, F.inline(F.array(*cells))).filter("_bad").drop("_bad")
+    return flagged.select(*flagged.columns[: len(kept)], F.inline(F.array(*cells))).filter("_bad").drop("_bad")
 
 
 def typed_projection(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFrame:
     """Text columns as their declared types; blank and unparseable cells become null."""
-    kept = [name for name in df.columns if name.startswith("_")]
-    return df.select(*kept, *(typed_value(_ref(c.name), c.data_type).alias(c.name) for c in columns))
+    return df.select(
+        *carried(df, [c.name for c in columns]), *(typed_value(_ref(c.name), c.data_type).alias(c.name) for c in columns))
 
 
 def registry_from_specs(spark: SparkSession, columns: Sequence[ColumnSpec]) -> DataFrame:

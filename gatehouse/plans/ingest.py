@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from gatehouse.functions.hashing import key_hash
 from gatehouse.functions.text import clean_name
 from gatehouse.functions.typed import SPARK_TYPES
-from gatehouse.operators.cells import error_rows, evaluate
+from gatehouse.functions.working import carried, data_columns, working_columns
+from gatehouse.operators.cells import error_rows, judge
 from gatehouse.operators.config import FieldMapping
 from gatehouse.operators.dedup import (
     BEHAVIOURS, FULL, MODES, UPDATE, dedup, duplicate_errors, in_batch_message, merge, run_counters,
     split_against_target,
 )
-from gatehouse.operators.schema import ColumnSpec, data_columns, infer_types, validate_key_columns
+from gatehouse.operators.schema import ColumnSpec, infer_types, validate_key_columns
 from gatehouse.session import materialize, spread
 
 RECORD_COLUMNS = ("record_id", "dataset_id", "workspace_id", "source_import_id", "key_hash", "created_at", "updated_at")
@@ -103,24 +104,23 @@ def stage(batch: DataFrame, columns: Sequence[ColumnSpec], run: ImportRun) -> Da
     """Staged rows: per column original text, processed text and typed value, plus key hash, errors and verdict."""
     ordered = sorted(columns, key=lambda c: c.ordinal)
     mappings = _mappings(batch, ordered, run)
-    judged = evaluate(spread(batch), mappings, {c.name: c.data_type for c in ordered})
-    present = {m.target for m in mappings}
+    judged = judge(spread(batch), mappings, {c.name: c.data_type for c in ordered})
+    present = {m.target: f"_c{i}" for i, m in enumerate(mappings)}
 
     def fields(name: str) -> dict:
         return {
-            c.name: F.col(f"`{c.name}`")[name] if c.name in present
+            c.name: F.col(present[c.name])[name] if c.name in present
             else F.lit(None).cast(SPARK_TYPES[c.data_type] if name == "typed" else "string")
             for c in ordered
         }
 
     original, text, typed = fields("original"), fields("value"), fields("typed")
     keys = [c.name for c in ordered if c.is_key] or [c.name for c in ordered]
-    carried = [name for name in batch.columns if name.startswith("_")]
     return judged.select(
-        *carried,
+        *carried(judged, [c.name for c in ordered]),
         key_hash(text[name] for name in keys).alias("key_hash"),
-        "is_valid",
-        "errors",
+        F.col("_valid").alias("is_valid"),
+        F.col("_errors").alias("errors"),
         F.struct(*(value.alias(name) for name, value in original.items())).alias("original"),
         F.struct(*(value.alias(name) for name, value in text.items())).alias("text"),
         F.struct(*(value.alias(name) for name, value in typed.items())).alias("typed"),
@@ -129,7 +129,7 @@ def stage(batch: DataFrame, columns: Sequence[ColumnSpec], run: ImportRun) -> Da
 
 def row_keys(df: DataFrame) -> list[str]:
     """Columns that identify a row of the batch: its file (if read from files) and row number, in that order."""
-    return [name for name in ("_source_file", "_row_number") if name in df.columns]
+    return working_columns(df)
 
 
 def records_from(kept: DataFrame, run: ImportRun) -> DataFrame:

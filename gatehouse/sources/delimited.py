@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gatehouse.functions.text import clean_name, is_blank
+from gatehouse.functions.working import ROW, SOURCE, marked
 from gatehouse.session import materialize
 
-SOURCE, ROW = "_source_file", "_row_number"
 _BROADCAST_SPLITS = 100_000
 
 
@@ -95,7 +95,7 @@ def read_delimited(
         names = resolve_headers(list(heads[0]))
         numbered = numbered.filter(F.col(ROW) > 1)
     cells = [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
-    return numbered.select(SOURCE, ROW, *cells)
+    return numbered.select(*(marked(F.col(role), role, names) for role in (SOURCE, ROW)), *cells)
 
 
 def resolve_headers(cells: list[str]) -> list[str]:

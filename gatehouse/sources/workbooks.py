@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.session import materialize
-from gatehouse.sources.delimited import ROW, SOURCE, resolve_headers
+from gatehouse.functions.working import ROW, SOURCE, marked
+from gatehouse.sources.delimited import resolve_headers
 
 # Ship this module's functions with the task, so that workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,7 +88,7 @@ def read_workbooks(files: DataFrame, sheet: str, header: bool = True) -> DataFra
     else:
         names = [f"Column{i + 1}" for i in range(widest)]
     cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
-    return rows.select(SOURCE, ROW, *cells)
+    return rows.select(*(marked(F.col(role), role, names) for role in (SOURCE, ROW)), *cells)
 
 
 def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:

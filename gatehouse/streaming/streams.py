@@ -20,9 +20,10 @@ from gatehouse.operators.cells import PROCESSING_ERROR
 from gatehouse.operators.catalogue import lifecycle_requests
 from gatehouse.operators.dedup import REJECT, choose_rows, duplicate_errors, in_batch_message, in_target_message, upsert
 from gatehouse.operators.schema import ColumnSpec
-from gatehouse.plans.ingest import ImportRun, ingest
+from gatehouse.functions.working import ROW, SOURCE, marked
+from gatehouse.plans.ingest import ImportRun, ingest, row_keys
 from gatehouse.session import materialize
-from gatehouse.sources.delimited import ROW, SOURCE, number_rows
+from gatehouse.sources.delimited import number_rows
 from gatehouse.sources.store import (
     AUDIT_FIELDS, Conflict, append_records, full_replace, read_manifest, read_table, write_errors, write_runs, write_staging,
 )
@@ -87,7 +88,8 @@ def bind_headers(rows: DataFrame, columns: Sequence[ColumnSpec]) -> tuple[DataFr
     judged = materialize(heads.join(widths, "file").withColumn("description", issue))
     good = judged.filter("description IS NULL").select(F.col("file").alias(SOURCE), "header")
     data = rows.filter(F.col(ROW) > 1).filter(~reduce(lambda a, b: a & b, (is_blank(F.coalesce(c, F.lit(""))) for c in cells)))
-    bound = data.join(good, SOURCE).select(SOURCE, ROW, *(
+    names = [c.name for c in columns]
+    bound = data.join(good, SOURCE).select(*(marked(F.col(role), role, names) for role in (SOURCE, ROW)), *(
         F.coalesce(F.get(F.array(*cells), F.array_position("header", F.upper(clean_header(F.lit(c.name)))).cast("int") - 1),
                    F.lit("")).alias(c.name) for c in columns))
     return bound, judged.filter("description IS NOT NULL").select("file", "description")
@@ -121,7 +123,8 @@ def ingest_stream(
         settings = replace(run, import_id=run_id, at=at(batch_id) if at else run.at)
         result = ingest(rows, read_table(session, f"{target}/records"), columns, settings)
         refused = issues.select(
-            F.col("file").alias(SOURCE), F.lit(None).cast("bigint").alias(ROW), F.lit(None).cast("string").alias("column_name"),
+            *(column.alias(name) for column, name in zip((F.col("file"), F.lit(None).cast("bigint")), row_keys(result.staged), strict=True)),
+            F.lit(None).cast("string").alias("column_name"),
             F.lit(None).cast("string").alias("invalid_value"), F.lit(PROCESSING_ERROR).alias("error_type"),
             F.lit(None).cast("string").alias("validation_rule"), "description")
         write_staging(result.staged, f"{target}/staging", run_id)

@@ -6,6 +6,7 @@ from gatehouse.functions.hashing import key_hash
 from gatehouse.sources import delimited, landing, store, workbooks
 from suite import fixtures
 from gatehouse.operators.schema import header_audit
+from gatehouse.plans.ingest import ImportRun, ingest
 from suite.registry import query
 
 
@@ -195,3 +196,16 @@ def a9_retry(t):
     store.full_replace(store.read_table(t.spark, path).withColumn("name", F.upper("name")), path, "run-1")
     store.vacuum(t.spark, path)
     return store.read_table(t.spark, path)
+
+
+@query("a1_underscore_headers", """
+    SELECT upper(sha256(CAST(c_custkey AS VARCHAR))) AS key_hash, c_custkey AS "_id", c_nationkey AS "_row_number", c_name AS "_source_file",
+           c_mktsegment AS "_o0", 'x' AS errors
+    FROM {customer}""")
+def a1_underscore(t):
+    """Headers named like working columns or like inner names are data like any other."""
+    feed = t.sql("""SELECT CAST(c_custkey AS STRING) AS `_id`, CAST(c_nationkey AS STRING) AS `_row_number`, c_name AS `_source_file`,
+        c_mktsegment AS `_o0`, 'x' AS errors FROM {customer}""")
+    batch = delimited.read_delimited(t.spark, fixtures.write_csv(feed, t.scratch("underscores")))
+    records = ingest(batch, None, None, ImportRun("run-1", "customers", "ws", "Full", "Reject", ("_id",))).records
+    return records.select("key_hash", "_id", F.col("_row_number").cast("int").alias("_row_number"), "_source_file", "_o0", "errors")

@@ -110,3 +110,17 @@ def test_hot_key_in_batch(spark, first):
     result = ingest(feed(spark, rows).repartition(7), first.records, first.columns, settings("Append", "Skip"))
     assert counters(result) == (3000, 2001, 999, 999, 0, "Completed With Errors")
     assert result.records.filter("EmployeeId = 'HOT'").first()["Salary"] == 0
+
+
+def test_headers_with_underscores_are_data(spark, tmp_path):
+    from gatehouse.sources.delimited import read_delimited
+
+    (tmp_path / "a.csv").write_text("_id,name,_Row_Number,_v0\n1,ann,7,x\n2,ann,8,x\n2,bob,9,y\n")
+    batch = read_delimited(spark, str(tmp_path / "a.csv"))
+    first = ingest(batch, None, None, ImportRun("r", "d", "w", "Full", "Reject", ("_id",)))
+    assert [c.name for c in first.columns] == ["_id", "name", "_Row_Number", "_v0"]
+    rows = sorted((r["_id"], r["name"], r["_Row_Number"], r["_v0"]) for r in first.records.collect())
+    assert rows == [(1, "ann", 7, "x"), (2, "ann", 8, "x")]
+    second = ingest(batch, first.records, first.columns, ImportRun("r2", "d", "w", "Append", "Update", ("_id",)))
+    assert sorted((r["_id"], r["name"]) for r in second.records.collect()) == [(1, "ann"), (2, "bob")]
+    assert {r["description"] for r in first.errors.collect()} == {"Duplicate record detected. Behavior: Reject."}
