@@ -87,14 +87,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     return masks.select("ordinal", name.alias("name"), kind.otherwise(STRING).alias("data_type"))
 
 
-def schema_diff(incoming: DataFrame, expected: DataFrame) -> DataFrame:
-    """Case-insensitive name-set comparison: rows ``(name, difference)``, empty when the sets are equal."""
-    left = incoming.select(normalize(F.col("name")).alias("key"), "name").groupBy("key").agg(F.min("name").alias("a"))
-    right = expected.select(normalize(F.col("name")).alias("key"), "name").groupBy("key").agg(F.min("name").alias("b"))
+def schema_diff(incoming: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Case-insensitive name-set comparison: rows ``(*by, name, difference)``, none where the sets are equal.
+
+    ``by`` names columns of both sides, such as the dataset; the name sets of each are compared on their own.
+    """
+    keys = [*by, "key"]
+    left = incoming.select(*by, normalize(F.col("name")).alias("key"), "name").groupBy(*keys).agg(F.min("name").alias("a"))
+    right = expected.select(*by, normalize(F.col("name")).alias("key"), "name").groupBy(*keys).agg(F.min("name").alias("b"))
     return (
-        left.join(right, "key", "full_outer")
+        left.join(right, keys, "full_outer")
         .filter("a IS NULL OR b IS NULL")
         .select(
+            *by,
             F.coalesce("a", "b").alias("name"),
             F.when(F.col("a").isNull(), "Missing").otherwise("Additional").alias("difference"),
         )

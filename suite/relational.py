@@ -69,22 +69,16 @@ def f7(t):
     return quality.owner_inconsistent(t("datasets"), t("users"))
 
 
-@query("f8_contract_completeness", """
-    WITH expected(table_name, column_name) AS (VALUES ('orders', 'o_orderkey'), ('orders', 'o_comment'),
-        ('lineitem', 'l_tax'), ('part', 'p_size'), ('part', 'p_container'), ('events', 'props'), ('ledger', 'id'))
-    SELECT table_name, column_name,
-           CASE WHEN (table_name = 'orders' AND column_name IN (SELECT column_name FROM (DESCRIBE orders)))
-                  OR (table_name = 'lineitem' AND column_name IN (SELECT column_name FROM (DESCRIBE lineitem)))
-                  OR (table_name = 'part' AND column_name IN (SELECT column_name FROM (DESCRIBE part)))
-                  OR (table_name = 'events' AND column_name IN (SELECT column_name FROM (DESCRIBE events)))
-                THEN 'Available' ELSE 'Missing' END AS status
-    FROM expected""")
+CONTRACT = """
+    SELECT p_partkey AS dataset_id, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' code' ELSE p_name END AS name, p_type AS wanted_for FROM {part}"""
+
+
+@query("f8_contract_completeness", f"""
+    SELECT x.dataset_id, x.name, x.wanted_for, CASE WHEN count(c.column_id) > 0 THEN 'Available' ELSE 'Missing' END AS status
+    FROM ({CONTRACT}) x LEFT JOIN {{columns}} c ON c.dataset_id = x.dataset_id AND c.name = x.name GROUP BY ALL""")
 def f8(t):
-    return quality.contract(
-        {name: t(name) for name in ("orders", "lineitem", "part", "events")},
-        [("orders", "o_orderkey"), ("orders", "o_comment"), ("lineitem", "l_tax"), ("part", "p_size"),
-         ("part", "p_container"), ("events", "props"), ("ledger", "id")],
-    )
+    """Columns that a contract expects of each dataset, looked up in the column registry."""
+    return joins.completeness(t.sql(CONTRACT), t("columns"), ["dataset_id", "name"])
 
 
 @query("f9_inherit_parent_value", """
@@ -116,15 +110,15 @@ def g2(t):
     return reports.tenant_summary(t("datasets"))
 
 
+# By lists of version numbers, from the sound case to the worst.
 CURRENT_VERSION_SQL = """
-    SELECT d.dataset_id, d.current_version,
-           CAST(coalesce(sum(CASE WHEN v.is_current THEN 1 ELSE 0 END), 0) AS BIGINT) AS current_snapshot_count,
-           max(CASE WHEN v.is_current THEN v.version_number END) AS current_snapshot_version,
-           CASE WHEN count(v.dataset_id) = 0 THEN 'MISSING VERSION HISTORY'
-                WHEN sum(CASE WHEN v.is_current THEN 1 ELSE 0 END) <> 1 THEN 'INVALID CURRENT SNAPSHOT COUNT'
-                WHEN max(CASE WHEN v.is_current THEN v.version_number END) <> d.current_version THEN 'VERSION MISMATCH'
-                ELSE 'OK' END AS validation_status
-    FROM {datasets} d LEFT JOIN {versions} v ON v.dataset_id = d.dataset_id GROUP BY d.dataset_id, d.current_version"""
+    WITH history AS (SELECT dataset_id, list(version_number) FILTER (is_current) AS marked FROM {versions} GROUP BY dataset_id)
+    SELECT dataset_id, current_version, CAST(len(coalesce(marked, [])) AS BIGINT) AS current_snapshot_count,
+           list_max(marked) AS current_snapshot_version,
+           CASE WHEN marked = [current_version] THEN 'OK' WHEN len(marked) = 1 THEN 'VERSION MISMATCH'
+                WHEN dataset_id IN (SELECT dataset_id FROM history) THEN 'INVALID CURRENT SNAPSHOT COUNT'
+                ELSE 'MISSING VERSION HISTORY' END AS validation_status
+    FROM {datasets} LEFT JOIN history USING (dataset_id)"""
 
 
 @query("g4_group_with_sums", """

@@ -320,15 +320,34 @@ def b2(t):
     return schema.infer_types(feed).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
-@query("b3_schema_diff", """
-    SELECT name, 'Additional' AS difference FROM (SELECT column_name AS name FROM (DESCRIBE lineitem)) WHERE upper(name) NOT IN
-        (SELECT upper(replace(column_name, 'ps_', 'l_')) FROM (VALUES ('L_ORDERKEY '), (' l_partkey'), ('l_comment')) v(column_name) WHERE false)
-        AND upper(name) NOT IN ('L_ORDERKEY', 'L_PARTKEY')
-    UNION ALL SELECT 'l_comment', 'Missing'""")
+EXPECTED_SCHEMA = """
+    SELECT p_partkey AS dataset_id, CASE WHEN p_partkey % 6 = 0 THEN p_name || ' code' ELSE ' ' || lower(p_name) END AS name FROM {part}
+    UNION ALL SELECT p_partkey, 'note' FROM {part} WHERE p_size % 9 = 0"""
+
+
+@query("b3_schema_diff", f"""
+    WITH mine AS (SELECT dataset_id, name, upper(trim(name)) AS folded FROM {{columns}}),
+    theirs AS (SELECT dataset_id, name, upper(trim(name)) AS folded FROM ({EXPECTED_SCHEMA}))
+    SELECT dataset_id, name, 'Additional' AS difference FROM mine ANTI JOIN theirs USING (dataset_id, folded)
+    UNION ALL SELECT dataset_id, name, 'Missing' FROM theirs ANTI JOIN mine USING (dataset_id, folded)""")
 def b3(t):
-    incoming = schema.registry_from_specs(t.spark, [ColumnSpec(c, "String", i) for i, c in enumerate(t("lineitem").columns)])
-    expected = schema.registry_from_specs(t.spark, [ColumnSpec(c, "String", i) for i, c in enumerate(["L_ORDERKEY ", " l_partkey", "l_comment"])])
-    return schema.schema_diff(incoming, expected)
+    """Registered columns of every dataset against the expected ones, ignoring case and outer blanks."""
+    return schema.schema_diff(t("columns").select("dataset_id", "name"), t.sql(EXPECTED_SCHEMA), ["dataset_id"])
+
+
+@query("c7_rarer_dates", """
+    SELECT o_orderkey AS _row_number, strftime(CASE o_orderkey % 5 WHEN 2 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate)
+               + to_hours(CASE o_orderkey % 5 WHEN 1 THEN 10 WHEN 3 THEN 8 WHEN 4 THEN 10 ELSE 0 END) END, '%Y-%m-%d %H:%M') AS value
+    FROM {orders}""")
+def c7_rarer(t):
+    """Two-digit years, zones without seconds or after a blank, a month alone, weekday and GMT."""
+    feed = t.sql("""SELECT o_orderkey AS _row_number, CASE o_orderkey % 5
+            WHEN 0 THEN date_format(o_orderdate, 'M/d/yy') WHEN 1 THEN date_format(o_orderdate, "yyyy-MM-dd'T10:00Z'")
+            WHEN 2 THEN date_format(o_orderdate, 'yyyy-MM') WHEN 3 THEN date_format(o_orderdate, "yyyy-MM-dd '10:00:00 +02:00'")
+            ELSE date_format(o_orderdate, "E, dd MMM yyyy '10:00:00 GMT'") END AS ordered FROM {orders}""")
+    rule = Rule("DateFormat", 0, {"format": "yyyy-MM-dd HH:mm"})
+    judged = evaluate(feed, [FieldMapping("ordered", "result", False, None, (rule,))], {})
+    return judged.select("_row_number", F.col("result")["value"].alias("value"))
 
 
 @query("b4_key_column_audit", """
