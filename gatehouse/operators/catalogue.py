@@ -10,10 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gatehouse.functions.text import is_blank, normalize, trim_ws
-from gatehouse.operators.dedup import upsert
+from gatehouse.operators.dedup import choose_rows, upsert
 from gatehouse.operators.filters import ACTIVE, ARCHIVED, DRAFT
 from gatehouse.operators.joins import exists_filter, lookup_join
 from gatehouse.operators.ordered import chunk, last_known, running_number
+from gatehouse.session import materialize
 
 # The metadata compared by an update (text fields are trimmed first).
 TEXT_FIELDS = ("name", "description", "source_name", "source_type", "source_description")
@@ -126,32 +127,48 @@ def current_version_check(datasets: DataFrame, versions: DataFrame, key: str = "
     )
 
 
+# Reasons of refused requests.
+NOT_FOUND, NOT_DELETED = "Dataset was not found.", "Dataset is not soft deleted."
+MUST_RESTORE = "An archived dataset must be restored before metadata can be updated."
+
+
+def soft_delete_requests(datasets: DataFrame, requests: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """Every delete or recover request, in order of ``happened_at`` within its dataset, with the ``reason`` for its
+    refusal or null.
+
+    Any request leaves its dataset as its action says, accepted or not, so the latest one before it tells the state.
+    """
+    order = ["happened_at", "user_id", "action"]
+    flags = datasets.select(F.col(key).alias("_key"), F.col("is_deleted").alias("_deleted"))
+    rows = lookup_join(requests, flags, {key: "_key"}, "left").select(
+        *requests.columns, F.col("_key").isNotNull().alias("_found"), "_deleted")
+    seen = last_known(rows, [key], order, F.col("action"), "_earlier")
+    deleted = F.when(F.col("_earlier") == "delete", True).when(F.col("_earlier") == "recover", False).otherwise(F.col("_deleted"))
+    reason = F.when(
+        ~F.col("_found") | ((F.col("action") == "delete") & F.col("_state")), NOT_FOUND
+    ).when((F.col("action") == "recover") & ~F.col("_state"), NOT_DELETED)
+    return seen.withColumn("_state", deleted).withColumn("reason", reason).select(*requests.columns, "reason")
+
+
 def apply_soft_delete(datasets: DataFrame, requests: DataFrame, key: str = "dataset_id") -> tuple[DataFrame, DataFrame]:
-    """Delete or recover: ``requests(key, action, user_id, happened_at)``, one per key; returns (datasets, refused).
+    """Delete or recover: ``requests(key, action, user_id, happened_at)``; returns (datasets, refused).
 
-    Deleting a missing or deleted dataset, and recovering a missing or live one, is refused.
+    Requests of one dataset count in order, and the last accepted one decides. Deleting a missing or deleted dataset,
+    and recovering a missing or live one, is refused.
     """
-    asked = requests.select(
-        F.col(key).alias("_key"), F.col("action").alias("_action"), F.col("user_id").alias("_user"),
-        F.col("happened_at").alias("_at"),
-    )
-    joined = datasets.join(asked, datasets[key] == asked["_key"], "left")
-    deleting = F.coalesce((F.col("_action") == "delete") & ~F.col("is_deleted"), F.lit(False))
-    recovering = F.coalesce((F.col("_action") == "recover") & F.col("is_deleted"), F.lit(False))
-    accepted = deleting | recovering
+    judged = materialize(soft_delete_requests(datasets, requests, key))
+    last = judged.filter("reason IS NULL").groupBy(F.col(key).alias("_key")).agg(
+        F.max(F.struct("happened_at", "user_id", "action")).alias("_last"))
+    joined = datasets.join(last, datasets[key] == last["_key"], "left")
+    accepted, deleting = F.col("_last").isNotNull(), F.col("_last.action") == "delete"
     new_values = {
         "is_deleted": F.when(accepted, deleting).otherwise(F.col("is_deleted")),
-        "deleted_at": F.when(deleting, F.col("_at")).when(~recovering, F.col("deleted_at")),
-        "deleted_by": F.when(deleting, F.col("_user")).when(~recovering, F.col("deleted_by")),
-        "updated_at": F.when(accepted, F.col("_at")).otherwise(F.col("updated_at")),
+        "deleted_at": F.when(accepted, F.when(deleting, F.col("_last.happened_at"))).otherwise(F.col("deleted_at")),
+        "deleted_by": F.when(accepted, F.when(deleting, F.col("_last.user_id"))).otherwise(F.col("deleted_by")),
+        "updated_at": F.when(accepted, F.col("_last.happened_at")).otherwise(F.col("updated_at")),
     }
     state = joined.select(*(new_values.get(n, F.col(n)).alias(n) for n in datasets.columns))
-    flags = datasets.select(F.col(key).alias("_key"), "is_deleted")
-    checked = requests.join(flags, requests[key] == flags["_key"], "left")
-    reason = F.when(
-        F.col("_key").isNull() | ((F.col("action") == "delete") & F.col("is_deleted")), "Dataset was not found."
-    ).when((F.col("action") == "recover") & ~F.col("is_deleted"), "Dataset is not soft deleted.")
-    return state, checked.withColumn("reason", reason).filter("reason IS NOT NULL").select(*requests.columns, "reason")
+    return state, judged.filter("reason IS NOT NULL").select(*requests.columns, "reason")
 
 
 def lifecycle_requests(
@@ -204,8 +221,38 @@ def lifecycle_apply(
     return final, judged.filter("NOT accepted")
 
 
-def config_versions(saves: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Number saved configurations per dataset; only the newest is active."""
+def lifecycle_checked(
+    requests: DataFrame, catalogue: DataFrame, key: str, order: Sequence[str], action: str = "action"
+) -> DataFrame:
+    """Lifecycle requests judged against the catalogue ``(key, status, is_deleted)``, with a ``reason`` when refused.
+
+    Requests for unknown and for soft deleted datasets meet no state and leave none.
+    """
+    live = catalogue.filter("NOT is_deleted").select(key, "status")
+    known = exists_filter(requests, live.select(F.col(key).alias("_live")), {key: "_live"})
+    unknown = exists_filter(requests, live.select(F.col(key).alias("_live")), {key: "_live"}, negate=True)
+    judged = lifecycle_requests(known, key, order, action, live)
+    reason = F.lit(None).cast("string")
+    for name, (needed, target) in TRANSITIONS.items():
+        text = f"Invalid status transition. Dataset must be {needed} before changing to {target}."
+        reason = F.when((F.col(action) == name) & ~F.col("accepted"), text).otherwise(reason)
+    nothing = F.lit(None).cast("string")
+    refused = unknown.select(
+        *requests.columns, nothing.alias("state_before"), F.lit(False).alias("accepted"), nothing.alias("state_after"),
+        F.lit(NOT_FOUND).alias("reason"))
+    return judged.withColumn("reason", reason).unionByName(refused)
+
+
+def config_versions(saves: DataFrame, key: str, order: Sequence[str], stored: DataFrame | None = None) -> DataFrame:
+    """Number saved configurations per dataset; only the newest is active.
+
+    With ``stored`` versions, which have the result's columns, the saves continue each dataset's numbers and take over
+    its active flag; the stored rows are part of the result.
+    """
+    if stored is not None:
+        names = {"version": "version_number", "is_active": "is_current"}
+        versions = snapshot_versions(stored.withColumnsRenamed(names), saves, key, order)
+        return versions.withColumnsRenamed({new: old for old, new in names.items()})
     numbered = running_number(saves, [key], order, "version")
     newest = numbered.groupBy(F.col(key).alias("_newest_key")).agg(F.max("version").alias("_newest"))
     return lookup_join(numbered, newest, {key: "_newest_key"}, "inner").select(
@@ -253,6 +300,10 @@ def allocate_codes(datasets: DataFrame, order: Sequence[str], code: str = "code"
 
 def tag_issues(requests: DataFrame) -> DataFrame:
     """Requests ``(dataset_id, workspace_id, tags)`` whose tag list is refused, with the reason."""
+    return _with_tag_reason(requests).filter("reason IS NOT NULL")
+
+
+def _with_tag_reason(requests: DataFrame) -> DataFrame:
     kept = F.filter(F.transform("tags", trim_ws), lambda t: F.coalesce(t, F.lit("")) != "")
     reason = (
         F.when(F.exists(kept, lambda t: F.length(t) > MAX_TAG_LENGTH), "Each tag must be 100 characters or fewer.")
@@ -261,7 +312,7 @@ def tag_issues(requests: DataFrame) -> DataFrame:
             F.size(F.array_distinct(F.transform(kept, normalize))) < F.size(kept), "Duplicate tags are not allowed."
         )
     )
-    return requests.withColumn("reason", reason).filter("reason IS NOT NULL")
+    return requests.withColumn("reason", reason)
 
 
 def sync_tags(
@@ -272,9 +323,11 @@ def sync_tags(
     ``tags(tag_id, workspace_id, name, normalized_name)``, ``bridge(dataset_id, tag_id)`` and one request per
     dataset. Unknown tags are created per workspace with an id hashed from workspace and normalized name.
     """
-    refused = tag_issues(requests)
-    accepted = exists_filter(requests, refused.select(F.col("dataset_id").alias("_refused")),
-                             {"dataset_id": "_refused"}, negate=True)
+    # The last request of a dataset by its list decides where several are given, so that reruns agree.
+    alone = choose_rows(requests, "dataset_id", "tags", last=True)
+    judged = _with_tag_reason(alone)
+    refused = judged.filter("reason IS NOT NULL")
+    accepted = judged.filter("reason IS NULL").drop("reason")
     asked = (
         accepted.select("dataset_id", "workspace_id", F.posexplode("tags").alias("_at", "_raw"))
         .withColumn("name", trim_ws(F.col("_raw")))

@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gatehouse.operators.aggregates import duplicates, tagged_union
-from gatehouse.operators.filters import CODE_PATTERN, DATASET_STATUSES, first_issue
+from gatehouse.functions.text import normalize
+from gatehouse.operators.catalogue import MUST_RESTORE, NOT_FOUND
+from gatehouse.operators.filters import ARCHIVED, CODE_PATTERN, DATASET_STATUSES, first_issue
 from gatehouse.operators.joins import completeness, exists_filter, lookup_join, mismatched, missing_links
 from gatehouse.functions.typed import COLUMN_TYPES
 from gatehouse.operators.typed_values import VALUE_FIELDS
@@ -240,3 +242,33 @@ def contract(tables: dict[str, DataFrame], expected: Sequence[tuple[str, str]])
     shape = "table_name string, column_name string"
     actual = spark.createDataFrame([(name, c) for name, df in tables.items() for c in df.columns], shape)
     return completeness(spark.createDataFrame(list(expected), shape), actual, ["table_name", "column_name"])
+
+
+def metadata_issues(requests: DataFrame, datasets: DataFrame, categories: DataFrame, users: DataFrame) -> DataFrame:
+    """First reason to refuse each registration or update of a dataset's metadata.
+
+    ``requests(dataset_id, workspace_id, name, category_id, owner_id)``, the id being null for a registration. A name is
+    unique among the live datasets of its workspace; requests of one batch are not compared with each other.
+    """
+    stored = datasets.select(
+        F.col("dataset_id").alias("_d"), F.col("is_deleted").alias("_gone"), (F.col("status") == ARCHIVED).alias("_archived"))
+    names = datasets.filter("NOT is_deleted").groupBy(
+        F.col("workspace_id").alias("_nw"), normalize(F.col("name")).alias("_name")).agg(
+        F.min("dataset_id").alias("_least"), F.max("dataset_id").alias("_most"))
+    active = categories.filter("is_active").select(F.col("category_id").alias("_c"))
+    owners = users.filter("is_active").select(F.col("user_id").alias("_u"), F.col("workspace_id").alias("_uw"))
+    asked = requests.withColumn("_folded", normalize(F.col("name")))
+    joined = lookup_join(asked, stored, {"dataset_id": "_d"})
+    joined = lookup_join(joined, names, {"workspace_id": "_nw", "_folded": "_name"})
+    joined = lookup_join(lookup_join(joined, active, {"category_id": "_c"}), owners, {"owner_id": "_u"})
+    update, own = F.col("dataset_id").isNotNull(), F.col("dataset_id")
+    another = F.col("_least").isNotNull() & ~(own.eqNullSafe(F.col("_least")) & own.eqNullSafe(F.col("_most")))
+    rules = [
+        (update & (F.col("_d").isNull() | F.col("_gone")), NOT_FOUND),
+        (update & F.col("_archived"), MUST_RESTORE),
+        (_missing("name"), "Dataset name is required."),
+        (another, "Dataset name must be unique within the workspace."),
+        (F.col("_c").isNull(), "An active dataset category is required."),
+        (~F.coalesce(F.col("_uw") == F.col("workspace_id"), F.lit(False)), "Dataset owner must be an active user in the same workspace."),
+    ]
+    return first_issue(joined, rules, "reason").select(*requests.columns, "reason")

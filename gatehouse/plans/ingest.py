@@ -14,8 +14,8 @@ from gatehouse.functions.working import carried, data_columns, working_columns
 from gatehouse.operators.cells import error_rows, judge
 from gatehouse.operators.config import FieldMapping
 from gatehouse.operators.dedup import (
-    BEHAVIOURS, FULL, MODES, UPDATE, dedup, duplicate_errors, in_batch_message, merge, run_counters,
-    split_against_target,
+    APPEND, BEHAVIOURS, FULL, MODES, UPDATE, choose_rows, duplicate_errors, in_batch_message, in_target_message, merge,
+    run_counters,
 )
 from gatehouse.operators.schema import ColumnSpec, infer_types, validate_key_columns
 from gatehouse.session import materialize, spread
@@ -159,7 +159,7 @@ def ingest(
     """Run one import over a batch of text columns whose ``row_keys`` are unique.
 
     ``target`` and ``columns`` are None before the first import, which must be Full and fixes the schema. ``keep``
-    makes the staged rows durable (a checkpoint by default): errors, counters and records all read them.
+    makes the staged rows and the winners durable (a checkpoint by default): errors, counters and records all read them.
     """
     if columns is None:
         if run.mode != FULL:
@@ -170,24 +170,34 @@ def ingest(
     staged = keep(stage(batch, columns, run))
     keys = row_keys(staged)
     valid = staged.filter("is_valid").withColumn("_position", F.struct(*keys))
-    kept, dropped = dedup(valid, run.behaviour, order="_position")
-    records = records_from(kept, run)
+    against = target if run.mode == APPEND and run.behaviour != UPDATE else None
+    winners = choose_rows(valid, "key_hash", "_position", last=run.behaviour == UPDATE)
+    # Winners, and which of them the target has, are found once; records, errors and counters read the mark.
+    if against is None:
+        winners = winners.withColumn("_known", F.lit(False))
+    else:
+        stored = against.select(F.col("key_hash").alias("_stored"))
+        winners = winners.join(stored, F.col("key_hash") == F.col("_stored"), "left").withColumn(
+            "_known", F.col("_stored").isNotNull()).drop("_stored")
+    kept = keep(winners)
+    new, existing = kept.filter("NOT _known"), kept.filter("_known")
+    records = records_from(new, run)
     cell_errors = error_rows(staged, *keys)
     failures = [cell_errors]
     if run.behaviour != UPDATE:
+        dropped = valid.join(kept.select("_position"), "_position", "left_anti")
         failures.append(duplicate_errors(dropped, in_batch_message(run.behaviour), keys))
-    existing = None
     if run.mode == FULL or target is None:
         result = records.drop(*keys)
+    elif run.behaviour == UPDATE:
+        result, _ = merge(records, target, run.behaviour, row_keys=keys)
     else:
-        result, repeated = merge(records, target, run.behaviour, row_keys=keys)
-        if run.behaviour != UPDATE:
-            failures.append(repeated)
-            _, existing = split_against_target(kept.select("key_hash"), target)
+        result = target.unionByName(records.select(*(F.col(f"`{name}`") for name in target.columns)))
+        failures.append(duplicate_errors(existing, in_target_message(run.behaviour), keys))
     errors = failures[0]
     for more in failures[1:]:
         errors = errors.unionByName(more)
-    counters = run_counters(staged, kept, existing, run.mode, run.behaviour)
+    counters = run_counters(staged, kept, existing if against is not None else None, run.mode, run.behaviour)
     row = counters.select(
         F.lit(run.import_id).alias("import_id"), F.lit(run.dataset_id).alias("dataset_id"),
         F.lit(run.workspace_id).alias("workspace_id"), F.lit(run.mode).alias("import_mode"),

@@ -116,6 +116,40 @@ def l5_refused(t):
     return refused.select("dataset_id", "action", "reason")
 
 
+REPEATED_REQUESTS = """
+    SELECT event_id % 60 * 13 AS dataset_id, CASE WHEN event_type IN ('view', 'click') THEN 'recover' ELSE 'delete' END AS action,
+           event_id AS user_id, ts AS happened_at FROM {events}"""
+REPLAY_SQL = f"""
+    WITH RECURSIVE line AS (
+        SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY happened_at, user_id, action) AS step FROM ({REPEATED_REQUESTS})),
+    replay(dataset_id, step, action, user_id, happened_at, accepted, is_deleted, known) AS (
+        SELECT l.dataset_id, step, action, user_id, happened_at, d.dataset_id IS NOT NULL AND (action = 'delete') <> d.is_deleted,
+               CASE WHEN d.dataset_id IS NULL THEN NULL ELSE action = 'delete' END, d.dataset_id IS NOT NULL
+        FROM line l LEFT JOIN {{datasets}} d ON d.dataset_id = l.dataset_id WHERE step = 1
+        UNION ALL
+        SELECT l.dataset_id, l.step, l.action, l.user_id, l.happened_at, r.known AND (l.action = 'delete') <> r.is_deleted,
+               CASE WHEN r.known THEN l.action = 'delete' END, r.known
+        FROM replay r JOIN line l ON l.dataset_id = r.dataset_id AND l.step = r.step + 1)"""
+
+
+@query("l5_repeated_requests", REPLAY_SQL + """
+    , final AS (SELECT dataset_id, arg_max(action, step) AS action, max(happened_at) AS at FROM replay WHERE accepted GROUP BY dataset_id)
+    SELECT d.dataset_id, coalesce(f.action = 'delete', d.is_deleted) AS is_deleted, coalesce(f.at, d.updated_at) AS updated_at
+    FROM {datasets} d LEFT JOIN final f ON f.dataset_id = d.dataset_id""")
+def l5_repeated(t):
+    """Many requests per dataset: they count in order, and every dataset is there once."""
+    state, _ = cat.apply_soft_delete(t("datasets"), t.sql(REPEATED_REQUESTS))
+    return state.select("dataset_id", "is_deleted", "updated_at")
+
+
+@query("l5_repeated_refused", REPLAY_SQL + """
+    SELECT dataset_id, user_id, CASE WHEN known AND action = 'recover' THEN 'Dataset is not soft deleted.' ELSE 'Dataset was not found.' END AS reason
+    FROM replay WHERE NOT accepted""")
+def l5_repeated_refused(t):
+    _, refused = cat.apply_soft_delete(t("datasets"), t.sql(REPEATED_REQUESTS))
+    return refused.select("dataset_id", "user_id", "reason")
+
+
 # The checking SQL replays requests one at a time; the operator never does.
 LIFECYCLE_SQL = """
     WITH RECURSIVE line AS (SELECT dataset_id, event_id, action, row_number() OVER (PARTITION BY dataset_id ORDER BY ts, event_id) AS step FROM {requests}),
@@ -152,6 +186,44 @@ def l7(t):
     return cat.config_versions(saves, "dataset_id", ["saved_at", "config_id"]).select("dataset_id", "config_id", "version", "is_active")
 
 
+CATALOGUE = """
+    SELECT o_orderkey % 40 * 5 AS dataset_id, max(CASE WHEN o_orderstatus = 'O' THEN 'Active' ELSE 'Draft' END) AS status,
+           max(o_orderkey % 40) % 7 = 0 AS is_deleted
+    FROM {orders} GROUP BY o_orderkey % 40"""
+
+
+@query("l6_requests_against_catalogue", f"""
+    WITH RECURSIVE catalogue AS ({CATALOGUE}),
+    line AS (SELECT r.dataset_id, event_id, action, status, is_deleted,
+        row_number() OVER (PARTITION BY r.dataset_id ORDER BY ts, event_id) AS step
+        FROM {{requests}} r LEFT JOIN catalogue c ON c.dataset_id = r.dataset_id),
+    rule(action, needed, target) AS (VALUES ('activate', 'Draft', 'Active'), ('archive', 'Active', 'Archived'), ('restore', 'Archived', 'Active')),
+    replay(dataset_id, event_id, step, action, before, after) AS (
+        SELECT l.dataset_id, event_id, step, l.action, status, CASE WHEN status = needed THEN target ELSE status END
+        FROM line l LEFT JOIN rule USING (action) WHERE step = 1 AND NOT is_deleted
+        UNION ALL SELECT l.dataset_id, l.event_id, l.step, l.action, r.after, CASE WHEN r.after = needed THEN target ELSE r.after END
+        FROM replay r JOIN line l ON l.dataset_id = r.dataset_id AND l.step = r.step + 1 LEFT JOIN rule ON rule.action = l.action)
+    SELECT dataset_id, event_id, after, CASE WHEN before <> needed
+        THEN 'Invalid status transition. Dataset must be ' || needed || ' before changing to ' || target || '.' END AS reason
+    FROM replay LEFT JOIN rule USING (action)
+    UNION ALL SELECT dataset_id, event_id, NULL, 'Dataset was not found.' FROM line WHERE is_deleted IS NOT FALSE""")
+def l6_catalogue(t):
+    """Unknown and soft deleted datasets are refused, as are requests that the state does not allow."""
+    judged = cat.lifecycle_checked(t("requests"), t.sql(CATALOGUE), "dataset_id", ["ts", "event_id"])
+    return judged.select("dataset_id", "event_id", F.col("state_after").alias("after"), "reason")
+
+
+@query("l7_saves_on_stored_versions", """
+    WITH numbered AS (SELECT dataset_id, config_id, row_number() OVER (PARTITION BY dataset_id ORDER BY config_id % 2, saved_at, config_id) AS version FROM {configs})
+    SELECT dataset_id, config_id, version, version = max(version) OVER (PARTITION BY dataset_id) AS is_active FROM numbered""")
+def l7_stored(t):
+    """Half of the saves are stored versions already; the others continue their numbers."""
+    order, saves = ["saved_at", "config_id"], t("configs").select("dataset_id", "config_id", "saved_at")
+    stored = cat.config_versions(saves.filter("config_id % 2 = 0"), "dataset_id", order)
+    return cat.config_versions(saves.filter("config_id % 2 = 1"), "dataset_id", order, stored).select(
+        "dataset_id", "config_id", "version", "is_active")
+
+
 @query("l8_pin_config", """
     SELECT r.user_id AS dataset_id, r.event_id AS import_id, c.event_id AS pinned_config FROM {events} r
     ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM {events} WHERE event_type = 'signup') c
