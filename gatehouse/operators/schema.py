@@ -37,8 +37,9 @@ def header_audit(headers: DataFrame) -> DataFrame:
 
     The test stays inside each header array, so no file's headers are shuffled.
     """
-    names = F.transform("headers", lambda h: F.upper(clean_header(F.coalesce(h, F.lit("")))))
-    repeated = F.array_distinct(F.filter(names, lambda n: F.size(F.filter(names, lambda m: m == n)) > 1))
+    written = F.transform("headers", lambda h: clean_header(F.coalesce(h, F.lit(""))))
+    names = F.transform(written, lambda h: F.upper(h))
+    repeated = F.filter(written, lambda h: F.size(F.filter(names, lambda m: m == F.upper(h))) > 1)
     issue = (
         F.when(F.size("headers") == 0, "File contains no headers.")
         .when(F.exists(names, lambda n: n == ""), "File contains missing or blank headers.")

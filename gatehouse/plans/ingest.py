@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.functions.hashing import key_hash
 from gatehouse.functions.text import clean_name
 from gatehouse.functions.typed import SPARK_TYPES
-from gatehouse.functions.working import carried, data_columns, working_columns
-from gatehouse.operators.cells import error_rows, judge
+from gatehouse.functions.working import ROW, carried, data_columns, working_columns
+from gatehouse.operators.cells import ERROR_FIELDS, PROCESSING_ERROR, error_rows, judge
 from gatehouse.operators.config import FieldMapping
 from gatehouse.operators.dedup import (
     APPEND, BEHAVIOURS, FULL, MODES, UPDATE, choose_rows, duplicate_errors, in_batch_message, in_target_message, merge,
@@ -44,8 +45,8 @@ class ImportRun:
 @dataclass(frozen=True)
 class ImportResult:
     columns: tuple[ColumnSpec, ...]
-    staged: DataFrame
-    records: DataFrame
+    staged: DataFrame | None
+    records: DataFrame | None
     errors: DataFrame
     run: DataFrame
 
@@ -204,3 +205,44 @@ def ingest(
         F.lit(run.behaviour).alias("duplicate_behavior"), *counters.columns,
     )
     return ImportResult(tuple(columns), staged, result, errors, row)
+
+
+# How a run ends that publishes nothing.
+FAILED, CANCELLED = "Failed", "Cancelled"
+_MESSAGE_LENGTH = 4000
+
+
+def ended_run(
+    spark: SparkSession, target: DataFrame | None, columns: Sequence[ColumnSpec] | None, run: ImportRun, status: str, message: str
+) -> ImportResult:
+    """The outcome of a run that ended without a result: the target as it was, one error row and the run row."""
+    errors = spark.createDataFrame(
+        [(None, None, None, PROCESSING_ERROR, None, message[:_MESSAGE_LENGTH])],
+        f"{ROW} bigint, " + ", ".join(f"{name} string" for name in ERROR_FIELDS))
+    row = spark.createDataFrame(
+        [(run.import_id, run.dataset_id, run.workspace_id, run.mode, run.behaviour, 0, 0, 0, 1, 0, status)],
+        "import_id string, dataset_id string, workspace_id string, import_mode string, duplicate_behavior string, total bigint,"
+        "success bigint, rejected bigint, errors bigint, superseded bigint, status string")
+    return ImportResult(tuple(columns or ()), None, target, errors, row)
+
+
+def try_ingest(
+    batch: DataFrame,
+    target: DataFrame | None,
+    columns: Sequence[ColumnSpec] | None,
+    run: ImportRun,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
+    cancelled: Callable[[], bool] = lambda: False,
+) -> ImportResult:
+    """As :func:`ingest`, with a refusal, a failure or a cancellation as an outcome instead of an exception.
+
+    ``cancelled`` is asked before the run and once its rows are staged; a cancelled run publishes nothing.
+    """
+    spark = batch.sparkSession
+    try:
+        result = None if cancelled() else ingest(batch, target, columns, run, keep)
+    except (ValueError, PySparkException) as problem:
+        return ended_run(spark, target, columns, run, FAILED, str(problem))
+    if result is None or cancelled():
+        return ended_run(spark, target, columns, run, CANCELLED, "The import was cancelled.")
+    return result

@@ -30,13 +30,14 @@ def build_session(app: str = "gatehouse", master: str | None = None, **conf: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Shared folder named by ``spark.checkpoint.dir``, else by the session's checkpoint folder; a temporary one only in
+    local mode."""
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="gatehouse-")
+        root = tempfile.mkdtemp(prefix="gatehouse-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

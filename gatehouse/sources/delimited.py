@@ -105,11 +105,10 @@ def resolve_headers(cells: list[str]) -> list[str]:
         raise ValueError("File contains no headers.")
     if any(not name for name in names):
         raise ValueError("File contains missing or blank headers.")
-    seen: set[str] = set()
+    folded = [name.lower() for name in names]
     for name in names:
-        if name.lower() in seen:
+        if folded.count(name.lower()) > 1:
             raise ValueError(f"Duplicate column name '{name}' was found.")
-        seen.add(name.lower())
     return names
 
 

@@ -105,7 +105,7 @@ def a6(t):
 
 
 @query("b1_header_audit_of_files", """
-    SELECT DISTINCT c_nationkey AS g, CASE WHEN c_nationkey % 3 = 0 THEN 'Duplicate column name ''ID'' was found.' ELSE 'File contains missing or blank headers.' END AS issue
+    SELECT DISTINCT c_nationkey AS g, CASE WHEN c_nationkey % 3 = 0 THEN 'Duplicate column name ''id'' was found.' ELSE 'File contains missing or blank headers.' END AS issue
     FROM {customer} WHERE c_nationkey % 3 <> 2""")
 def b1_files(t):
     header = F.when(F.col("c_nationkey") % 3 == 0, 'id,name," Id "').when(F.col("c_nationkey") % 3 == 1, "id,,name").otherwise("id,name,segment")

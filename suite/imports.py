@@ -6,7 +6,7 @@ from gatehouse.functions.hashing import key_hash
 from gatehouse.operators import dedup as dd
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.operators.schema import ColumnSpec
-from gatehouse.plans.ingest import ImportRun, ingest
+from gatehouse.plans.ingest import ImportRun, ingest, try_ingest
 from suite.registry import query
 
 
@@ -221,3 +221,22 @@ def e8_first(t):
         CAST(CAST(o_orderdate AS DATE) AS STRING) AS ordered FROM {orders}""")
     result = ingest(feed, None, None, ImportRun("run-1", "orders", "ws", "Full", "Reject", ("ID",)))
     return result.records.select("key_hash", F.col("id").alias("o_orderkey"), "status", "ordered")
+
+
+@query("e8_failed_run", """
+    SELECT status, description, count(*) AS stored FROM {customer} CROSS JOIN (VALUES
+        ('Failed', 'Schema mismatch. Missing: [name]. Additional: [label].'), ('Cancelled', 'The import was cancelled.')) x(status, description)
+    GROUP BY ALL""")
+def e8_failed(t):
+    """A refused and a cancelled import leave the target as it was, with an error row and a run row each."""
+    feed = t.sql("SELECT c_custkey AS _row_number, CAST(c_custkey AS STRING) AS id, c_name AS name FROM {customer}")
+    first = ingest(feed, None, None, ImportRun("run-1", "customers", "ws", "Full", "Reject", ("id",)))
+    run = ImportRun("run-2", "customers", "ws", "Append", "Skip", ("id",))
+    bad = try_ingest(feed.withColumnRenamed("name", "label"), first.records, first.columns, run)
+    stopped = try_ingest(feed, first.records, first.columns, run, cancelled=lambda: True)
+    told = [
+        outcome.records.agg(F.count("*").alias("stored")).select(
+            F.lit(outcome.run.first()["status"]).alias("status"), F.lit(outcome.errors.first()["description"]).alias("description"), "stored")
+        for outcome in (bad, stopped)
+    ]
+    return told[0].unionByName(told[1])

@@ -294,7 +294,7 @@ def a5(t):
 
 
 @query("b1_header_audit", """
-    SELECT file, CASE WHEN file % 7 = 0 THEN 'Duplicate column name ''' || upper(trim(string_split(line, ',')[1])) || ''' was found.'
+    SELECT file, CASE WHEN file % 7 = 0 THEN 'Duplicate column name ''' || trim(string_split(line, ',')[1]) || ''' was found.'
                       ELSE 'File contains missing or blank headers.' END AS issue
     FROM {header_lines} WHERE file % 7 = 0 OR file % 11 = 0""")
 def b1(t):

@@ -39,7 +39,7 @@ def test_csv_refusals(spark, tmp_path):
         delimited.read_delimited(spark, lay(tmp_path / "wide", x_csv="a,b\n1,2,3\n"))
     with pytest.raises(ValueError, match="blank headers"):
         delimited.read_delimited(spark, lay(tmp_path / "blank", x_csv="a, \n1,2\n"))
-    with pytest.raises(ValueError, match="Duplicate column name 'A'"):
+    with pytest.raises(ValueError, match="Duplicate column name 'a'"):
         delimited.read_delimited(spark, lay(tmp_path / "twice", x_csv="a,A\n1,2\n"))
     with pytest.raises(ValueError, match="one header"):
         delimited.read_delimited(spark, lay(tmp_path / "two", x_csv="a,b\n1,2\n", y_csv="b,a\n1,2\n"))
@@ -66,7 +66,7 @@ def test_file_headers_and_audit(spark, tmp_path):
     assert found["a.csv"] == ["id", "last, first", "x"]
     issues = {r["file"].rsplit("/", 1)[1]: r["issue"] for r in header_audit(headers).collect()}
     assert issues == {
-        "b.csv": "File contains missing or blank headers.", "c.csv": "Duplicate column name 'A' was found.",
+        "b.csv": "File contains missing or blank headers.", "c.csv": "Duplicate column name 'a' was found.",
     }
 
 
