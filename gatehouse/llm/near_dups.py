@@ -19,8 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import mix, text_blocks, word_hashes
-from gatehouse.llm.rows import without
-from gatehouse.session import materialize, scratch_path
+from gatehouse.llm.rows import stored, without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,8 +29,11 @@ SKETCHES, KEPT = 24, 4
 #: Single minima of further hash functions, one byte each. A pair of similarity 0.8 agrees in 96 of 120 on average, and
 #: in fewer than LEAST_AGREEING, when it is not verified, with probability 4e-5.
 MINIMA, LEAST_AGREEING = 120, 78
-#: Members of a bucket that are compared with each other at once; a larger bucket is salted and its parts share a hub.
-BUCKET = 1000
+#: Up to SMALL members, a bucket gives its pairs, which are verified once for all buckets. A larger one is verified in
+#: place and gives the links that connect it. Beyond BUCKET members it is salted, and its parts share a hub.
+SMALL, BUCKET = 32, 1000
+#: Words of a bucket that a task holds at once, and cells of its matrix.
+_HELD_BYTES, _CELLS = 64 << 20, 4_000_000
 
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, SKETCHES + MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -105,48 +107,79 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ], names=["doc_id", "text_key", "node", "words", "minima", "sketches"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by (sketch, salt), a bucket or a part of it at a time."""
-    held: list[tuple] = []
-    bucket = None
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """The (node, value) rows of one bucket after the other, from rows sorted by (sketch, salt). A bucket of too many
+    rows or bytes is cut, and its first row, the hub, is the first of what follows as well."""
+    held: list[tuple[bytes, bytes]] = []
+    size, bucket = 0, None
     for batch in batches:
-        for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            full = len(held) >= 2 * BUCKET
-            if row[:2] != bucket or full:
-                yield from _bucket(held, first)
-                held = held[:1] if row[:2] == bucket else []
-                bucket = row[:2]
-            held.append(row[2:])
-    yield from _bucket(held, first)
-
-
-def _bucket(rows: list[tuple], first: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket's (node, label, minima) rows that may be similar and have different labels.
+        for sketch_, salt, node, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if (sketch_, salt) != bucket or len(held) >= 2 * BUCKET or size >= _HELD_BYTES:
+                if len(held) > 1:
+                    yield held
+                held = held[:1] if (sketch_, salt) == bucket else []
+                size, bucket = sum(len(row[1]) for row in held), (sketch_, salt)
+            held.append((node, value))
+            size += len(value)
+    if len(held) > 1:
+        yield held
+
+
+def _batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    both = [sorted(pair) for pair in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each small bucket's (node, minima) rows that may be similar."""
+    for rows in _grouped(batches):
+        minima = np.frombuffer(b"".join(row[1] for row in rows), np.uint8).reshape(len(rows), MINIMA)
+        agreeing = (minima[:, None] == minima[None]).sum(axis=2) >= LEAST_AGREEING
+        yield _batch([(rows[i][0], rows[j][0]) for i, j in np.argwhere(np.triu(agreeing, 1)).tolist()])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect each large bucket's (node, words) rows."""
+    for rows in _grouped(batches):
+        yield _batch(_bucket_links(rows))
+
+
+def _bucket_links(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the bucket's links, the most similar first: the shingle similarity of all pairs comes from
+    one product of the matrix of texts by shingles with itself, and a pair is aligned if it would connect two trees."""
+    words = [np.frombuffer(row[1], np.uint32) for row in rows]
+    sets = [np.unique(shingles(own)) for own in words]
+    sizes = np.array([len(x) for x in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(rows)), sizes)
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    step = max(1, _CELLS // len(rows))
+    for first in range(0, int(column.max(initial=-1)) + 1, step):
+        inside = (column >= first) & (column < first + step)
+        block = np.zeros((len(rows), step), np.float32)
+        block[row[inside], column[inside] - first] = 1
+        both += block @ block.T
+    similarity = both / np.maximum(sizes[:, None] + sizes[None] - both, 1)
+    left, right = np.nonzero(np.triu(similarity >= SIMILARITY - 1e-6, 1))
+    order = np.argsort(-similarity[left, right], kind="stable")
+    tree = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = tree[tree[i]]
+            i = tree[i]
+        return i
 
-    The first round takes hubs, the member with most partners first, and pairs each with the partners that no earlier
-    hub has; the next round, when most members have the label of a hub, takes all pairs.
-    """
-    if len(rows) < 2:
-        return
-    minima = np.frombuffer(b"".join(row[2] for row in rows), np.uint8).reshape(len(rows), MINIMA)
-    number: dict[bytes, int] = {}
-    labels = np.array([number.setdefault(row[1], len(number)) for row in rows])
-    agreeing = np.empty((len(rows), len(rows)), bool)
-    for at in range(0, len(rows), 64):
-        same = sum((minima[at : at + 64, None, i : i + 8] == minima[None, :, i : i + 8]).sum(axis=2, dtype=np.uint8)
-                   for i in range(0, MINIMA, 8)) if len(rows) > 64 else (minima[:, None] == minima[None]).sum(axis=2)
-        agreeing[at : at + 64] = (same >= LEAST_AGREEING) & (labels[at : at + 64, None] != labels[None])
-    if first:
-        pairs, weight, pool = [], agreeing.sum(axis=1), np.ones(len(rows), bool)
-        for hub in np.argsort(-weight, kind="stable").tolist():
-            if pool[hub] and weight[hub]:
-                pairs += [(hub, other) for other in np.flatnonzero(agreeing[hub] & pool).tolist()]
-                pool[agreeing[hub]] = False
-                pool[hub] = False
-    else:
-        pairs = np.argwhere(np.triu(agreeing)).tolist()
-    both = [sorted((rows[i][0], rows[j][0])) for i, j in pairs]
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    links, trees = [], len(rows)
+    for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        if trees == 1:
+            break
+        a, b = root(i), root(j)
+        if a != b and similar(words[i], words[j]):
+            tree[b] = a
+            trees -= 1
+            links.append((rows[i][0], rows[j][0]))
+    return links
 
 
 def shingle_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -207,56 +240,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _candidates(sketched: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of sequences that share a sketch, may be similar and have different labels."""
+def _buckets(sketched: DataFrame) -> DataFrame:
+    """(sketch, salt, node, n): the sequences that share a sketch with n - 1 others."""
     members = sketched.select("node", F.explode("sketches").alias("sketch"))
     shared = members.groupBy("sketch").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     salts = F.ceil(F.col("n") / BUCKET)
     salted = members.join(shared, "sketch").withColumn("salt", F.pmod(F.xxhash64("node", "sketch"), salts))
     # The hub of a salted bucket is a member of each of its parts.
     extra = shared.filter(F.col("n") > BUCKET).select(
-        F.col("hub").alias("node"), "sketch", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
-    known = sketched.select("node", "minima", F.col("node").alias("label")) if labels is None else sketched.select(
-        "node", "minima").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = salted.select("node", "sketch", "salt").union(extra).distinct().join(known, "node")
-    dealt = rows.select("sketch", "salt", "node", "label", "minima").repartition("sketch", "salt").sortWithinPartitions(
-        "sketch", "salt", "node")
-    first = labels is None
-    return dealt.mapInArrow(lambda batches: _pairs(batches, first), "a binary, b binary").distinct()
-
+        F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "sketch", F.col("hub").alias("node"), "n")
+    rows = salted.select("sketch", "salt", "node", "n").unionByName(extra)
+    return stored(rows, "buckets")
 
-def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that are linked; only the sequences of candidates are gathered."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    path = scratch_path(pairs.sparkSession, "candidate-words")
-    nodes.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
-    words = pairs.sparkSession.read.parquet(path)
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(
-        words.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
-    return materialize(both.select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary"))
 
+def _dealt(rows: DataFrame, value: str) -> DataFrame:
+    return rows.select("sketch", "salt", "node", value).distinct().repartition("sketch", "salt").sortWithinPartitions(
+        "sketch", "salt", "node")
 
-def links(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified links between different sequences, enough to connect each class, and its components.
 
-    After the first round's hubs, every pair that may be similar and is not yet in one class is verified as well.
-    """
-    spark = sequences.sparkSession
+def links(sequences: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different sequences, enough to connect each class."""
     nodes = sequences.filter("node IS NOT NULL AND size(sketches) > 0")
-    path = scratch_path(spark, "sketches")
-    nodes.groupBy("node").agg(F.first("minima").alias("minima"), F.first("sketches").alias("sketches")).write.parquet(path)
-    sketched = spark.read.parquet(path)
-    pairs = materialize(_candidates(sketched, None))
-    edges = _verify(pairs, nodes)
-    labels = components(edges)
-    more = materialize(_candidates(sketched, labels).join(pairs, ["a", "b"], "left_anti"))
-    if not more.limit(1).count():
-        return edges, labels
-    found = _verify(more, nodes)
-    if not found.limit(1).count():
-        return edges, labels
-    edges = edges.union(found)
-    return edges, components(edges)
+    sketched = stored(nodes.groupBy("node").agg(F.first("minima").alias("minima"), F.first("sketches").alias("sketches")), "sketches")
+    buckets = _buckets(sketched)
+    # Words move once, and only those of sequences that share a sketch are kept.
+    words = stored(nodes.select("node", "words").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(
+        ["node"]), "candidate-words")
+    small = buckets.filter(F.col("n") <= SMALL).join(sketched.select("node", "minima"), "node")
+    pairs = stored(_dealt(small, "minima").mapInArrow(_pairs, "a binary, b binary").distinct(), "pairs")
+    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(
+        words.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
+    verified = both.select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary")
+    large = buckets.filter(F.col("n") > SMALL).join(words, "node")
+    return stored(verified.union(_dealt(large, "words").mapInArrow(_linked, "a binary, b binary")).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,14 +280,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among neighbours, then the label of that label; rounds end when none changes.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        found = materialize(nearer.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")))
+        found = stored(nearer.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
         changed = found.filter("old <> label").limit(1).count()
         labels = found.select("node", "label")
         if not changed:
@@ -280,17 +296,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def sequences_of(docs: DataFrame) -> DataFrame:
     """Write each row's word sequence and sketches to the shared scratch folder, once, and return them."""
-    path = scratch_path(docs.sparkSession, "sequences")
-    docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text")
-    ).mapInArrow(_sequences, _SEQUENCE).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
+    return stored(rows.mapInArrow(_sequences, _SEQUENCE), "sequences")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, class_id, class_size, kept) of every row of ``docs``."""
     sequences = sequences_of(docs)
-    _, labels = links(sequences)
+    labels = components(links(sequences))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     contents = sequences.filter("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("least"), F.count("*").alias("n"))
     named = contents.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -318,7 +332,7 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest doc_id. Every row without a text stays."""
-    classes = materialize(_classes(docs))
+    classes = stored(_classes(docs), "classes")
     kept = without(docs, classes.filter("NOT kept"))
     repeats = classes.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1")
     if not repeats.limit(1).count():

@@ -1,4 +1,4 @@
-"""Removal of marked rows."""
+"""Rows kept in the shared scratch folder, and removal of marked rows."""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from gatehouse.session import scratch_path
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, and its size known to the plans that read it."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id and ``xxhash64(text)`` are in ``marked`` (doc_id, text_key).
 
     Null ids match each other. The marks are written to the shared scratch folder first, so that Spark knows their size
     when it chooses between a broadcast and a shuffle.
     """
-    path = scratch_path(docs.sparkSession, "marked-rows")
-    marked.select(F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key")).distinct().write.parquet(path)
-    marks = docs.sparkSession.read.parquet(path)
+    keys = marked.select(F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key")).distinct()
+    marks = stored(keys, "marked-rows")
     same = docs["doc_id"].cast("bigint").eqNullSafe(marks["_marked_id"]) & (F.xxhash64(docs["text"]) == marks["_marked_key"])
     return docs.join(marks, same, "left_anti")

@@ -78,6 +78,7 @@ def all_pairs(texts):
 @pytest.mark.parametrize("bucket", [1000, 3])
 def test_classes_match_all_pairs(spark, monkeypatch, bucket):
     monkeypatch.setattr(near_dups, "BUCKET", bucket)
+    monkeypatch.setattr(near_dups, "SMALL", min(near_dups.SMALL, bucket))
     texts = corpus(5)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.class_id for r in near_dups.near_dup_classes(docs).collect()}
