@@ -305,19 +305,36 @@ def text_of(t, table, *columns):
     return t(table).select(*(F.col(c).cast("string").alias(c) for c in columns))
 
 
-@query("b2_infer_types", """
-    SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'o_orderkey', 'Integer'), (1, 'total', 'Decimal'), (2, 'ordered', 'DateTime'), (3, 'flag', 'Boolean'),
-        (4, 'o_orderpriority', 'String'), (5, 'empty', 'String'), (6, 'mixed', 'Decimal')) x(ordinal, name, data_type)
-    WHERE (SELECT count(*) FROM {orders} WHERE o_totalprice <= 0) = 0""")
-def b2(t):
-    feed = t.sql("""
+def inferred(feed: str, columns: list[str]) -> str:
+    """SQL that reads every cell of a feed and names the first type that all non-blank cells of a column fit."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{name}' AS name, trim({name}) AS cell FROM feed" for i, name in enumerate(columns))
+    return f"""
+    WITH feed AS ({feed}), cells AS ({cells}),
+    fits AS (SELECT ordinal, name, unnest([0, 1, 2, 3]) AS kind, unnest([
+            regexp_full_match(cell, '[+-]?[0-9]+'), regexp_full_match(cell, '[+-]?[0-9][0-9,]*([.][0-9]*)?|[0-9][0-9,]*([.][0-9]*)?[+-]'),
+            lower(cell) IN ('true', 'false', '1', '0'), TRY_CAST(cell AS DATE) IS NOT NULL]) AS fit FROM cells WHERE cell <> ''),
+    sound AS (SELECT ordinal, name, min(kind) AS kind FROM (SELECT ordinal, name, kind FROM fits GROUP BY ALL HAVING bool_and(fit)) GROUP BY ALL)
+    SELECT CAST(c.ordinal AS BIGINT) AS ordinal, c.name, coalesce(['Integer', 'Decimal', 'Boolean', 'DateTime'][kind + 1], 'String') AS data_type
+    FROM (SELECT DISTINCT ordinal, name FROM cells) c LEFT JOIN sound USING (ordinal, name)"""
+
+
+TYPED_FEED = """
         SELECT CAST(o_orderkey AS STRING) AS o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) AS total,
                CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS ordered,
                CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' WHEN o_orderkey % 3 = 0 THEN '0' ELSE 'false' END AS flag, o_orderpriority,
                CASE WHEN o_orderkey % 2 = 0 THEN ' ' END AS empty,
-               CASE WHEN o_orderkey % 2 = 0 THEN '1,000.5-' ELSE '12' END AS mixed
-        FROM {orders}""")
-    return schema.infer_types(feed).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+               CASE WHEN o_orderkey % 2 = 0 THEN '1,000.5-' ELSE '12' END AS mixed,
+               CASE WHEN o_orderkey % 1009 = 7 THEN 'n/a' ELSE '12' END AS spoiled_number,
+               CASE WHEN o_orderkey % 1009 = 7 THEN 'soon' ELSE '2024-01-05' END AS spoiled_date,
+               CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '0' END AS bits
+        FROM {orders}"""
+TYPED_COLUMNS = ["o_orderkey", "total", "ordered", "flag", "o_orderpriority", "empty", "mixed", "spoiled_number", "spoiled_date", "bits"]
+
+
+@query("b2_infer_types", inferred(TYPED_FEED, TYPED_COLUMNS))
+def b2(t):
+    """Every type, blanks, and columns that a few cells spoil."""
+    return schema.infer_types(t.sql(TYPED_FEED)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 EXPECTED_SCHEMA = """
@@ -367,16 +384,17 @@ def b4(t):
     return schema.key_column_audit(keys, headers)
 
 
-@query("b5_schema_registry", """
-    SELECT 'customers' AS dataset_id, 'ws' AS workspace_id, name, upper(name) AS normalized_name, data_type, CAST(ordinal AS BIGINT) AS ordinal,
-           true AS is_required, name = 'c_custkey' AS is_key
-    FROM (VALUES ('c_custkey', 'Integer', 0), ('c_name', 'String', 1), ('c_nationkey', 'Integer', 2), ('balance', 'Decimal', 3), ('c_mktsegment', 'String', 4))
-        x(name, data_type, ordinal)
-    WHERE (SELECT count(*) FROM {customer}) > 0""")
+CUSTOMER_FEED = """
+    SELECT CAST(c_custkey AS STRING) AS c_custkey, c_name, CAST(c_nationkey AS STRING) AS c_nationkey,
+           CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) AS balance, c_mktsegment FROM {customer}"""
+CUSTOMER_TYPES = inferred(CUSTOMER_FEED, ["c_custkey", "c_name", "c_nationkey", "balance", "c_mktsegment"])
+
+
+@query("b5_schema_registry", CUSTOMER_TYPES.replace("SELECT CAST(c.ordinal AS BIGINT) AS ordinal, c.name,", """
+    SELECT 'customers' AS dataset_id, 'ws' AS workspace_id, upper(c.name) AS normalized_name, true AS is_required, c.name = 'c_custkey' AS is_key,
+           CAST(c.ordinal AS BIGINT) AS ordinal, c.name,"""))
 def b5(t):
-    feed = t.sql("""SELECT CAST(c_custkey AS STRING) AS c_custkey, c_name, CAST(c_nationkey AS STRING) AS c_nationkey,
-        CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) AS balance, c_mktsegment FROM {customer}""")
-    rows = schema.registry_rows(schema.infer_types(feed), "customers", "ws", [" C_CUSTKEY"])
+    rows = schema.registry_rows(schema.infer_types(t.sql(CUSTOMER_FEED)), "customers", "ws", [" C_CUSTKEY"])
     return rows.withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
@@ -438,13 +456,15 @@ def a11_back(t):
     return from_typed_long(to_typed_long(t("people"), columns, "_row_number"), columns, "_row_number")
 
 
-@query("b2_infer_lineitem_types", """
-    SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'l_orderkey', 'Integer'), (1, 'l_linenumber', 'Integer'), (2, 'price', 'Decimal'),
-        (3, 'l_returnflag', 'String'), (4, 'shipped', 'DateTime')) x(ordinal, name, data_type) WHERE (SELECT count(*) FROM {lineitem}) > 0""")
+LINES = """
+    SELECT CAST(l_orderkey AS STRING) AS l_orderkey, CAST(l_linenumber AS STRING) AS l_linenumber,
+           CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS price, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS STRING) AS shipped
+    FROM {lineitem}"""
+
+
+@query("b2_infer_lineitem_types", inferred(LINES, ["l_orderkey", "l_linenumber", "price", "l_returnflag", "shipped"]))
 def b2_lineitem(t):
-    feed = t.sql("""SELECT CAST(l_orderkey AS STRING) AS l_orderkey, CAST(l_linenumber AS STRING) AS l_linenumber,
-        CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING) AS price, l_returnflag, CAST(CAST(l_shipdate AS DATE) AS STRING) AS shipped FROM {lineitem}""")
-    return schema.infer_types(feed).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return schema.infer_types(t.sql(LINES)).withColumn("ordinal", F.col("ordinal").cast("bigint"))
 
 
 @query("d11_document_suite", """
