@@ -19,8 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import text_blocks, word_hashes
-from gatehouse.llm.rows import without
-from gatehouse.session import scratch_path
+from gatehouse.llm.rows import stored_at, without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -54,7 +53,7 @@ def index_documents(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> Data
 
     One row per segment; every row of ``docs`` is in exactly one segment, also repeated ones and those without words.
     """
-    path = scratch_path(docs.sparkSession, "positional-index")
+    path = stored_at(docs.sparkSession, "positional-index")
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text")
     )
@@ -247,4 +246,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window; null ids and repeated rows are judged by their text."""
-    return without(docs, contamination(docs, benchmark, window).filter("contaminated"))
+    return without(docs, lambda: contamination(docs, benchmark, window).filter("contaminated"))

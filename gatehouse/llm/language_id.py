@@ -217,4 +217,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` without rows that every language's regression rejects clearly: ``und``, or a score below ``least``."""
-    return without(docs, identify(docs).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))
+    return without(docs, lambda: identify(docs).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))

@@ -66,7 +66,9 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST
     text, doc_id, source = F.col(given["text"]), F.col(given["doc_id"]), F.col(given["source"])
     # The key depends on the row alone, so that reruns and any partitioning give the same order.
     sized = docs.toDF(*given.values()).withColumns({
-        "_size": words(text), "_key": F.xxhash64(F.lit(seed), doc_id, text), "_source": source.cast("string")})
+        "_size": words(text), "_key": F.xxhash64(F.lit(seed), doc_id, text), 
+        # Never null, so that the join below needs no other partitioning than the window before it.
+        "_source": F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")), "_named": source.cast("string")})
     # The number of ranges follows the rows alone, and so does every row's range.
     rows = docs.count()
     ranges = 1
@@ -75,17 +77,17 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST
     bits = ranges.bit_length() - 1
     place = (F.shiftright("_key", 64 - bits) if bits else F.lit(0)).cast("bigint")
     sized = sized.withColumn("_range", place)
-    sums = materialize(sized.groupBy("_source", "_range").agg(F.sum("_size").alias("_words")))
+    sums = materialize(sized.groupBy("_source", "_range").agg(F.first("_named").alias("_named"), F.sum("_size").alias("_words")))
     earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        F.col("_source").alias("_at_source"), F.col("_range").alias("_at_range"),
+        F.col("_source").alias("_at_source"), F.col("_range").alias("_at_range"), "_named",
         F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset"))
-    budgets = targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), share, most)
-    known = offsets.join(budgets, offsets["_at_source"].eqNullSafe(budgets["source"])).drop("source")
+    budgets = targets(sums.groupBy(F.col("_named").alias("source")).agg(F.sum("_words").alias("source_size")), share, most)
+    known = offsets.join(budgets, offsets["_named"].eqNullSafe(budgets["source"])).drop("source", "_named")
     inside = Window.partitionBy("_source", "_range").orderBy("_key", doc_id).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     joined = placed.join(
-        known, placed["_source"].eqNullSafe(known["_at_source"]) & (placed["_range"] == known["_at_range"]))
+        known, (placed["_source"] == known["_at_source"]) & (placed["_range"] == known["_at_range"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor("target") - epochs * F.col("source_size") - F.col("_offset") - F.col("_before")
     taken = epochs * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest))

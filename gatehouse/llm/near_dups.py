@@ -19,7 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import mix, text_blocks, word_hashes
-from gatehouse.llm.rows import stored, without
+from gatehouse.llm.rows import scratch_tables, stored, without
+from gatehouse.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -332,8 +333,12 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest doc_id. Every row without a text stays."""
-    classes = stored(_classes(docs), "classes")
-    kept = without(docs, classes.filter("NOT kept"))
+    spark = docs.sparkSession
+    path = scratch_path(spark, "classes")
+    with scratch_tables(spark, "near-duplicates"):
+        _classes(docs).write.parquet(path)
+    classes = spark.read.parquet(path)
+    kept = without(docs, lambda: classes.filter("NOT kept"))
     repeats = classes.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1")
     if not repeats.limit(1).count():
         return kept

@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatehouse.session import scratch_path
 
+_FOLDER: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession, label: str) -> Iterator[None]:
+    """Tables that are ``stored`` meanwhile go into one folder, which is deleted at the end: what is to last longer must
+    be stored outside, and nothing lazy may still read them."""
+    path = scratch_path(spark, label)
+    outer = _FOLDER.set(path)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(outer)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_at(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared scratch folder, inside the innermost ``scratch_tables``."""
+    path, folder = scratch_path(spark, label), _FOLDER.get()
+    return f"{folder}/{path.rsplit('/', 1)[-1]}" if folder else path
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder: computed once, and its size known to the plans that read it."""
-    path = scratch_path(df.sparkSession, label)
+    path = stored_at(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def without(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and ``xxhash64(text)`` are in ``marked`` (doc_id, text_key).
+def without(docs: DataFrame, find: Callable[[], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``xxhash64(text)`` are among those of ``find()`` (doc_id, text_key).
 
     Null ids match each other. The marks are written to the shared scratch folder first, so that Spark knows their size
-    when it chooses between a broadcast and a shuffle.
+    when it chooses between a broadcast and a shuffle; what finding them stored is deleted.
     """
-    keys = marked.select(F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key")).distinct()
-    marks = stored(keys, "marked-rows")
+    path = scratch_path(docs.sparkSession, "marked-rows")
+    with scratch_tables(docs.sparkSession, "finding"):
+        find().select(F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key")).distinct().write.parquet(path)
+    marks = docs.sparkSession.read.parquet(path)
     same = docs["doc_id"].cast("bigint").eqNullSafe(marks["_marked_id"]) & (F.xxhash64(docs["text"]) == marks["_marked_key"])
     return docs.join(marks, same, "left_anti")
