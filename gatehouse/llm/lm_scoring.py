@@ -12,8 +12,8 @@ sends its different tokens once, buckets of tokens add them up and answer every
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from gatehouse.llm.arrow_text import LOWER, TOKEN, Block, mix, span_hashes, text_blocks, tokens
+from gatehouse.llm.arrow_text import LOWER, TOKEN, Block, span_hashes, text_blocks, tokens
 from gatehouse.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,13 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 5
 DISCOUNTS, STRENGTHS = (0.4, 0.5, 0.6, 0.7, 0.75), (1.0, 1.0, 0.5, 0.5, 0.5)
 SWEEPS, BURN_IN = 6, 3
-SEGMENT_BYTES, BUCKET_TOKENS = 8 << 20, 2_000_000
-#: Entries of one piece of the model; a task loads one piece at a time.
-PIECE = 1_000_000
+SEGMENT_BYTES, BUCKET_TOKENS, BLOCK_BYTES = 2 << 20, 2_000_000, 1 << 19
+#: Entries of one piece of the model; a text is scored by one piece after the other.
+PIECE = 4_000_000
+#: Different grams that a task adds up before it hands them on.
+FLUSH = 600_000
 BLANK, END = 0x20, 0x0A
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-#: One row per segment: numbers as the bytes of an array, ``named`` and ``held`` as one byte per text.
+#: One row per segment: numbers as the bytes of an array, ``named`` and ``held`` as one byte per text, texts compressed.
 _SEGMENT = (
     "seg bigint, doc_ids binary, named binary, held binary, text binary, offsets binary, vocabulary binary, counts binary,"
     "bytes array<bigint>, n_train bigint"
@@ -130,9 +131,10 @@ def _segment(seg: int, held: list[tuple]) -> pa.RecordBatch:
         at += len(block.data)
     ids, named, out = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
     blob = lambda x: pa.array([x.tobytes()], pa.binary())
+    texts = pa.compress(np.concatenate([x[0].data for x in held]).tobytes(), "zstd", asbytes=True)
     return pa.RecordBatch.from_arrays([
         pa.array([seg]), blob(ids), blob(named), blob(out),
-        blob(np.concatenate([x[0].data for x in held])), blob(np.concatenate(offsets)), blob(vocabulary), blob(total),
+        pa.array([texts], pa.binary()), blob(np.concatenate(offsets)), blob(vocabulary), blob(total),
         pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([int((~out).sum())])],
         names=[x.split()[0] for x in _SEGMENT.split(",")])
 
@@ -142,12 +144,13 @@ def token_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(LOWER[block.data], found.starts, found.ends), found.bounds
 
 
-def _texts(text: bytes, offsets: bytes) -> Iterator[Block]:
+def _texts(text, offsets) -> Iterator[Block]:
     """The texts of a segment, a block at a time."""
-    data, bounds = np.frombuffer(text, np.uint8), np.frombuffer(offsets, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)
+    data = np.frombuffer(pa.decompress(text, int(bounds[-1]), "zstd"), np.uint8)
     first = 0
     while first < len(bounds) - 1:
-        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (1 << 20), "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, "right")) - 1)
         yield Block(first, last - first, data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
         first = last
 
@@ -172,12 +175,12 @@ def _cuts(vocabulary: np.ndarray, buckets: int) -> np.ndarray:
 
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for seg, vocabulary, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            words, numbers = np.frombuffer(vocabulary, np.uint64), np.frombuffer(counts, np.int64)
+        for seg, vocabulary, counts in zip(*batch.columns, strict=True):
+            words, numbers = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((vocabulary, np.uint64), (counts, np.int64)))
             cuts = _cuts(words, buckets)
             some = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays([
-                pa.array(some, pa.int32()), pa.array([seg] * len(some), pa.int64()),
+                pa.array(some, pa.int32()), pa.array([seg.as_py()] * len(some), pa.int64()),
                 *(pa.array([x[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()) for x in (words, numbers))],
                 names=["bucket", "seg", "vocabulary", "counts"])
 
@@ -219,24 +222,34 @@ def model_pieces(parts: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different grams of the training texts with their counts, added up over the segments of a task."""
+    """Different grams of the training texts with their counts, added up over the segments of a task until there are
+    FLUSH of them."""
     codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     for batch in batches:
-        for text, offsets, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            out = np.frombuffer(held, bool)
-            parts = [(codes, counts)]
-            for block in _texts(text, offsets):
+        for text, offsets, held in zip(*batch.columns, strict=True):
+            out = np.frombuffer(held.as_buffer(), bool)
+            parts = []
+            for block in _texts(text.as_buffer(), offsets.as_buffer()):
                 data, bounds = spelled(block)
                 training = np.repeat(~out[block.first : block.first + block.count], np.diff(bounds))[ORDER:]
                 parts.append(np.unique(grams(data)[training & _inside(bounds)], return_counts=True))
-            codes, number = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-            counts = np.bincount(number, np.concatenate([x[1] for x in parts]), len(codes)).astype(np.int64)
-            if len(codes) > PIECE:
+            codes, counts = _added([(codes, counts), _added(parts)])
+            if len(codes) > FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
                 codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes of all parts, each with the sum of its counts."""
+    codes = np.concatenate([x[0] for x in parts])
+    counts = np.concatenate([x[1] for x in parts])
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def seat(counts: np.ndarray, start: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
     """Tables of each dish after seating its customers one by one: the first opens a table, customer j + 1 a further one
     with weight ``start`` (strength and discounted tables of the restaurant times the parent's probability) against
@@ -294,74 +307,50 @@ def subtree(codes: np.ndarray, counts: np.ndarray, base: np.ndarray, seed: int)
     return np.concatenate(keys), np.concatenate(values).astype(np.float32)
 
 
-class Table:
-    """A hash table from keys to values in numpy, with linear probing."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, _EMPTY, np.uint64)
-        self.values = np.zeros(1 << self.bits, np.float32)
-        left, at = np.arange(len(keys)), self.place(keys)
-        while len(left):
-            _, first = np.unique(at, return_index=True)
-            first = first[self.keys[at[first]] == _EMPTY]
-            self.keys[at[first]] = keys[left[first]]
-            self.values[at[first]] = values[left[first]]
-            rest = np.ones(len(left), bool)
-            rest[first] = False
-            left, at = left[rest], (at[rest] + 1) & (len(self.keys) - 1)
+class Piece(NamedTuple):
+    """Part of the model: which suffixes it has, and its entries, sorted by key."""
 
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+    inside: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, values)."""
-        at = self.place(keys)
-        there = self.keys[at]
-        found, left = there == keys, np.flatnonzero((there != keys) & (there != _EMPTY))
-        while len(left):
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            there = self.keys[at[left]]
-            hit = there == keys[left]
-            found[left[hit]] = True
-            left = left[~hit & (there != _EMPTY)]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
         return found, np.where(found, self.values[at], np.float32(0))
 
 
-_BUILT: dict[str, tuple] = {}
+def piece_of(rows: list[tuple[int, bytes, bytes]]) -> Piece:
+    """The piece of (suffix, keys, values) rows."""
+    inside = np.zeros(256, bool)
+    inside[[suffix for suffix, _, _ in rows]] = True
+    keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
+    order = np.argsort(keys)
+    return Piece(inside, keys[order], np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])[order])
 
 
-def piece_of(tag: str, rows: list[tuple]) -> tuple[np.ndarray, Table]:
-    """(suffixes in the piece, its table); a worker keeps one table at a time."""
-    if tag not in _BUILT:
-        _BUILT.clear()
-        inside = np.zeros(256, bool)
-        inside[[suffix for suffix, _, _ in rows]] = True
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
-        _BUILT[tag] = (inside, Table(keys, np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])))
-    return _BUILT[tag]
-
-
-def log_probabilities(codes: np.ndarray, inside: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def log_probabilities(codes: np.ndarray, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, log10 probability, last byte) for the grams whose context ends in a suffix of the piece: the longest
     context in which the byte was seen, times the parent weights of the longer contexts. Where no context has it, the
     third part is the byte for the root, else -1."""
-    places = np.flatnonzero(inside[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)])
-    own = codes[places]
-    out, left = np.zeros(len(places)), np.arange(len(places))
-    rest = np.full(len(places), -1, np.int64)
+    places = np.flatnonzero(piece.inside[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)])
+    # Every different gram is looked up once, in the order of the keys.
+    own, number = np.unique(codes[places], return_inverse=True)
+    out, left = np.zeros(len(own)), np.arange(len(own))
+    rest = np.full(len(own), -1, np.int64)
     for length in range(ORDER, 0, -1):
         mark = np.uint64(length << 56)
         gram = own[left] & np.uint64((1 << (8 * (length + 1))) - 1)
-        found, value = table.find(gram | mark)
+        found, value = piece.find(gram | mark)
         out[left[found]] += value[found]
         left, gram = left[~found], gram[~found]
         if not len(left):
-            return places, out, rest
-        _, value = table.find((gram >> np.uint64(8)) | mark | np.uint64(1 << 63))
+            break
+        _, value = piece.find((gram >> np.uint64(8)) | mark | np.uint64(1 << 63))
         out[left] += value
     rest[left] = (own[left] & np.uint64(255)).astype(np.int64)
-    return places, out, rest
+    return places, out[number], rest[number]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -381,7 +370,7 @@ def score(docs: DataFrame) -> DataFrame:
     sent, held, size, known = [], [], 0, np.zeros(256, bool)
 
     def send() -> None:
-        sent.append(spark.sparkContext.broadcast((uuid.uuid4().hex, list(held))))
+        sent.append(spark.sparkContext.broadcast(piece_of(held)))
 
     for row in pieces.orderBy("suffix").toLocalIterator():
         held.append((row["suffix"], bytes(row["keys"]), bytes(row["values"])))
@@ -394,7 +383,7 @@ def score(docs: DataFrame) -> DataFrame:
         send()
     floor = np.log10(base)
     scored = _scorer(sent, known, floor, ends, train_tokens, different)
-    return parts.select("seg", "doc_ids", "named", "held", "text", "offsets", "vocabulary").groupBy("seg").cogroup(
+    return parts.select("seg", "doc_ids", "named", "held", "text", "offsets").groupBy("seg").cogroup(
         answers.select("seg", "bucket", "totals").groupBy("seg")).applyInPandas(
         scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
@@ -413,43 +402,41 @@ def _scorer(sent: list, known: np.ndarray, floor: np.ndarray, ends: int, train_t
 
 
 def _base_scores(row, counts: np.ndarray, ends: int, train_tokens: int, different: int) -> pd.DataFrame:
-    vocabulary = np.frombuffer(row.vocabulary, np.uint64)
     value = np.log10((counts + 0.1) / (train_tokens + 0.1 * (different + 1)))
     end = np.log10((ends + 0.1) / (train_tokens + 0.1 * (different + 1)))
-    n_tokens, n_known, base = [], [], []
-    for block in _texts(row.text, row.offsets):
-        hashes, bounds = token_hashes(block)
-        at = np.searchsorted(vocabulary, hashes)
-        text = np.repeat(np.arange(block.count), np.diff(bounds))
-        n_tokens.append(np.diff(bounds) + 1)
-        n_known.append(np.bincount(text, counts[at] > 0, block.count).astype(np.int64) + (ends > 0))
-        base.append(np.bincount(text, value[at], block.count) + end)
+    found = [token_hashes(block) for block in _texts(row.text, row.offsets)]
+    # The answers are in the order of the segment's different tokens.
+    number = np.unique(np.concatenate([hashes for hashes, _ in found]), return_inverse=True)[1]
+    per_text = np.concatenate([np.diff(bounds) for _, bounds in found])
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    n_known = np.bincount(text, counts[number] > 0, len(per_text)).astype(np.int64) + (ends > 0)
+    base = np.bincount(text, value[number], len(per_text)) + end
     named = np.frombuffer(row.named, bool)
     return pd.DataFrame({
         "doc_id": pd.arrays.IntegerArray(np.frombuffer(row.doc_ids, np.int64).copy(), ~named),
-        "held_out": np.frombuffer(row.held, bool), "n_tokens": np.concatenate(n_tokens), "n_known": np.concatenate(n_known),
-        "train_tokens": train_tokens, "base_score": np.concatenate(base)})
+        "held_out": np.frombuffer(row.held, bool), "n_tokens": per_text + 1, "n_known": n_known,
+        "train_tokens": train_tokens, "base_score": base})
 
 
 def _model_scores(row, sent: list, known: np.ndarray, floor: np.ndarray) -> np.ndarray:
     """log10 probability of each text of a segment, one piece of the model after the other."""
     out = np.zeros(len(row.held))
-    for tag, rows in [broadcast.value for broadcast in sent] or [("none", [])]:
-        piece = piece_of(tag, rows) if rows else None
+    for first, piece in enumerate([broadcast.value for broadcast in sent] or [None]):
         for block in _texts(row.text, row.offsets):
             data, bounds = spelled(block)
             own = _inside(bounds)
             codes = grams(data)[own]
             text = np.repeat(np.arange(block.count), np.diff(bounds))[ORDER:][own]
-            if piece:
-                places, logs, rest = log_probabilities(codes, *piece)
+            rows = slice(block.first, block.first + block.count)
+            if piece is not None:
+                places, logs, rest = log_probabilities(codes, piece)
                 logs += np.where(rest >= 0, floor[rest], 0)
-                out[block.first : block.first + block.count] += np.bincount(text[places], logs, block.count)
-            if not piece or tag == sent[0].value[0]:
+                out[rows] += np.bincount(text[places], logs, block.count)
+            if first == 0:
                 # After a byte that came before no other one in training there is the root alone.
                 alone = ~known[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
                 last = (codes[alone] & np.uint64(255)).astype(np.int64)
-                out[block.first : block.first + block.count] += np.bincount(text[alone], floor[last], block.count)
+                out[rows] += np.bincount(text[alone], floor[last], block.count)
     return out
 
 

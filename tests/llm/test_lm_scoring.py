@@ -97,23 +97,15 @@ def test_probabilities_of_all_bytes_add_up():
     for s in sorted(set(suffix.tolist())):
         keys, values = lm.subtree(codes[suffix == s], counts[suffix == s], base, s)
         rows.append((s, keys.tobytes(), values.tobytes()))
-    piece = lm.piece_of("test", rows)
+    piece = lm.piece_of(rows)
     contexts = [b"abcde", b"zzzza", b"zz ab", b"eeeee", bytes(codes[3].item().to_bytes(8, "big")[2:7])]
     for context in contexts:
         own = np.array([int.from_bytes(context[-lm.ORDER:] + bytes([b]), "big") for b in range(256)], np.uint64)
-        places, logs, rest = lm.log_probabilities(own, *piece)
+        places, logs, rest = lm.log_probabilities(own, piece)
         assert len(places) == 256
         assert np.sum(10 ** (logs + np.where(rest >= 0, np.log10(base)[rest], 0))) == pytest.approx(1, abs=0.02)
 
 
-def test_table():
-    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 60, 5000, dtype=np.uint64))
-    table = lm.Table(keys, np.arange(len(keys), dtype=np.float32))
-    hit, values = table.find(np.concatenate([keys, keys + np.uint64(1)]))
-    assert hit[: len(keys)].all() and np.array_equal(values[: len(keys)], np.arange(len(keys)))
-    assert np.array_equal(hit[len(keys):], np.isin(keys + np.uint64(1), keys))
-
-
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
