@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 5
 DISCOUNTS, STRENGTHS = (0.4, 0.5, 0.6, 0.7, 0.75), (1.0, 1.0, 0.5, 0.5, 0.5)
 SWEEPS, BURN_IN = 6, 3
-SEGMENT_BYTES, BUCKET_TOKENS, BLOCK_BYTES = 2 << 20, 2_000_000, 1 << 19
+SEGMENT_BYTES, BUCKET_TOKENS, BLOCK_BYTES = 2 << 20, 2_000_000, 1 << 17
 #: Entries of one piece of the model; a text is scored by one piece after the other.
 PIECE = 4_000_000
 #: Different grams that a task adds up before it hands them on.
