@@ -3,7 +3,8 @@
 Texts are first collapsed to different word sequences. Each sequence gets ``SKETCHES`` sketches: the ``KEPT`` smallest
 hashes among its occurrence-labelled five-word shingles, kept in text order, so that two sequences share a sketch only
 if they share these shingles in the same order. Sequences that share a sketch are candidates; a candidate pair is
-verified by its shingle similarity and by an alignment in a band around the diagonal. Classes are the connected
+verified by its shingle similarity and by an alignment in a band around the diagonal. Members of a bucket that is too
+large to be compared as a whole are joined once more, exactly, by their rarest shingles. Classes are the connected
 components of the verified links.
 """
 
@@ -31,10 +32,13 @@ SKETCHES, KEPT = 24, 4
 #: in fewer than LEAST_AGREEING, when it is not verified, with probability 4e-5.
 MINIMA, LEAST_AGREEING = 120, 78
 #: Up to SMALL members, a bucket gives its pairs, which are verified once for all buckets. A larger one is verified in
-#: place and gives the links that connect it. Beyond BUCKET members it is salted, and its parts share a hub.
+#: place and gives the links that connect it. Beyond BUCKET members it is salted, and its parts share a hub; pairs that
+#: no part holds are found by ``_across``.
 SMALL, BUCKET = 32, 1000
 #: Words of a bucket that a task holds at once, and cells of its matrix.
 _HELD_BYTES, _CELLS = 64 << 20, 4_000_000
+#: Counters by which shingles are ranked from rare to frequent; any ranking finds all pairs.
+_SLOTS = 1 << 18
 
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, SKETCHES + MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -241,16 +245,79 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by slot of their shingles."""
+    counts = np.zeros(_SLOTS, np.int64)
+    for batch in batches:
+        for words in batch.column(0):
+            own = np.unique(shingles(np.frombuffer(words.as_py(), np.uint32)))
+            counts += np.bincount((own % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots])], names=["slot", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each (node, label, words) row, with their place in the ranking."""
+    for batch in batches:
+        for node, label, words in zip(*batch.columns, strict=True):
+            own = np.unique(shingles(np.frombuffer(words.as_py(), np.uint32)))
+            size = len(own)
+            ranked = own[np.lexsort((own, counts[(own % np.uint64(_SLOTS)).astype(np.int64)]))]
+            # The first common shingle of a similar pair is among these of both, and among the fewer of the smaller set.
+            longer = size - int(np.ceil(SIMILARITY * size - 1e-6)) + 1
+            smaller = size - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * size - 1e-6)) + 1
+            place = np.arange(longer)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ranked[:longer].view(np.int64)), pa.array([node.as_py()] * longer, pa.binary()),
+                pa.array([label.as_py()] * longer, pa.binary()), pa.array(np.full(longer, size, np.int32)),
+                pa.array(place.astype(np.int32)), pa.array(place < smaller),
+            ], names=["shingle", "node", "label", "size", "place", "smaller"])
+
+
+def _across(words: DataFrame, found: DataFrame) -> DataFrame:
+    """Every pair (a, b) of the (node, words) rows that may be similar and that the links ``found`` do not connect.
+
+    A pair of similarity SIMILARITY has a common shingle so early in both rankings that enough others can follow. A
+    shingle of many texts is salted: the smaller sets' entries meet each part of the others.
+    """
+    context = words.sparkSession.sparkContext
+    members = stored(words.join(components(found), "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), "words"), "cut-members")
+    counts = np.zeros(_SLOTS, np.int64)
+    for slot, n in members.select("words").mapInArrow(_counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        counts[slot] = n
+    sent = context.broadcast(counts)
+    prefixes = stored(members.select("node", "label", "words").mapInArrow(
+        lambda batches: _prefixes(batches, sent.value),
+        "shingle bigint, node binary, label binary, size int, place int, smaller boolean"), "prefixes")
+    shared = prefixes.groupBy("shingle").agg(
+        F.count("*").alias("n"), F.bool_or("smaller").alias("any"), F.min("label").alias("least"), F.max("label").alias("most"),
+    ).filter("any AND least <> most").select("shingle", F.ceil(F.col("n") / BUCKET).alias("salts"))
+    useful = stored(prefixes.join(shared, "shingle"), "shared-prefixes")
+    one = useful.filter("smaller").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).alias("x")
+    other = useful.withColumn("salt", F.pmod(F.xxhash64("node", "shingle"), "salts")).alias("y")
+    common = F.ceil((F.col("x.size") + F.col("y.size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    pairs = one.join(
+        other, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.salt") == F.col("y.salt"))
+        & (F.col("x.label") != F.col("y.label")) & (F.struct("x.size", "x.node") < F.struct("y.size", "y.node"))
+        & (F.col("x.place") + common <= F.col("x.size")) & (F.col("y.place") + common <= F.col("y.size")))
+    return stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "across")
+
+
 def _buckets(sketched: DataFrame) -> DataFrame:
-    """(sketch, salt, node, n): the sequences that share a sketch with n - 1 others."""
-    members = sketched.select("node", F.explode("sketches").alias("sketch"))
-    shared = members.groupBy("sketch").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    """(sketch, salt, node, n, cut): the sequences that share a sketch with n - 1 others, and whether its bucket is too
+    large for all of them to meet."""
+    members = sketched.select("node", "bytes", F.explode("sketches").alias("sketch"))
+    cut = (F.col("n") > BUCKET) | ((F.col("n") > SMALL) & (F.col("held") >= _HELD_BYTES))
+    shared = members.groupBy("sketch").agg(
+        F.count("*").alias("n"), F.min("node").alias("hub"), F.sum("bytes").alias("held"),
+    ).filter("n > 1").withColumn("cut", cut).drop("held")
     salts = F.ceil(F.col("n") / BUCKET)
     salted = members.join(shared, "sketch").withColumn("salt", F.pmod(F.xxhash64("node", "sketch"), salts))
     # The hub of a salted bucket is a member of each of its parts.
     extra = shared.filter(F.col("n") > BUCKET).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "sketch", F.col("hub").alias("node"), "n")
-    rows = salted.select("sketch", "salt", "node", "n").unionByName(extra)
+        F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"), "sketch", F.col("hub").alias("node"), "n", "cut")
+    rows = salted.select("sketch", "salt", "node", "n", "cut").unionByName(extra)
     return stored(rows, "buckets")
 
 
@@ -262,18 +329,27 @@ def _dealt(rows: DataFrame, value: str) -> DataFrame:
 def links(sequences: DataFrame) -> DataFrame:
     """Verified links (a, b) between different sequences, enough to connect each class."""
     nodes = sequences.filter("node IS NOT NULL AND size(sketches) > 0")
-    sketched = stored(nodes.groupBy("node").agg(F.first("minima").alias("minima"), F.first("sketches").alias("sketches")), "sketches")
+    sketched = stored(nodes.groupBy("node").agg(
+        F.first("minima").alias("minima"), F.first("sketches").alias("sketches"),
+        F.first(F.octet_length("words")).alias("bytes")), "sketches")
     buckets = _buckets(sketched)
     # Words move once, and only those of sequences that share a sketch are kept.
     words = stored(nodes.select("node", "words").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(
         ["node"]), "candidate-words")
     small = buckets.filter(F.col("n") <= SMALL).join(sketched.select("node", "minima"), "node")
     pairs = stored(_dealt(small, "minima").mapInArrow(_pairs, "a binary, b binary").distinct(), "pairs")
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(
-        words.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
-    verified = both.select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("left")), "a").join(
+            words.select(F.col("node").alias("b"), F.col("words").alias("right")), "b")
+        return both.select("a", "b", "left", "right").mapInArrow(_verified, "a binary, b binary")
+
     large = buckets.filter(F.col("n") > SMALL).join(words, "node")
-    return stored(verified.union(_dealt(large, "words").mapInArrow(_linked, "a binary, b binary")).distinct(), "links")
+    found = stored(verified(pairs).union(_dealt(large, "words").mapInArrow(_linked, "a binary, b binary")).distinct(), "links")
+    cut = buckets.filter("cut").select("node").distinct()
+    if not cut.limit(1).count():
+        return found
+    return stored(found.union(verified(_across(words.join(cut, "node", "left_semi"), found))), "all-links")
 
 
 def components(edges: DataFrame) -> DataFrame:

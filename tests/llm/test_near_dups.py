@@ -99,6 +99,25 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in found if r.kept] == [0]
 
 
+@pytest.mark.parametrize(("bucket", "held"), [(8, 64 << 20), (1000, 8 * 800)])
+def test_isolated_pairs_in_a_group_that_shares_a_template(spark, monkeypatch, bucket, held):
+    monkeypatch.setattr(near_dups, "BUCKET", bucket)
+    monkeypatch.setattr(near_dups, "SMALL", 4)
+    monkeypatch.setattr(near_dups, "_HELD_BYTES", held)
+    template = [f"t{i}" for i in range(176)]
+    texts = []
+    for i in range(160):
+        own = [f"u{i}x{k}" for k in range(24)]
+        texts.append(" ".join(template + own))
+        if i % 4 == 0:
+            texts.append(" ".join(template + own[:8] + [f"v{i}x{k}" for k in range(16)]))
+    expected = all_pairs(texts)
+    assert len(set(expected)) == 160
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dups.near_dup_classes(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+
+
 def test_nulls_repeats_and_other_columns(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (None, "A b, c d e f g", None, None), (2, None, "x", 1),
             (3, None, "x", 1), (4, "", "x", 1), (5, "", "x", 1), (6, "!!", "x", 1), (7, "??", "x", 1), (None, "alone here", "x", 2),
