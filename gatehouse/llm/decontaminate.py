@@ -143,29 +143,21 @@ class Postings:
         at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + self.start[term][owner]
         return owner, self.keys[at] % self.size
 
-    def holds(self, term: np.ndarray, position: np.ndarray, slop: int = 0) -> np.ndarray:
-        """Whether the term stands at the position, or at most ``slop`` words from it."""
-        inside = (position >= 0) & (position < self.size - 1)
-        low = term * self.size + np.maximum(position - slop, 0)
-        high = term * self.size + np.minimum(position + slop, self.size - 1)
-        at = np.searchsorted(self.keys, low)
-        found = at < len(self.keys)
-        found[found] = self.keys[at[found]] <= high[found]
-        return found & (inside | (slop > 0))
-
-
-def matches(postings: Postings, queries: Queries, word_starts: np.ndarray, slop: int, share: float):
-    """Exact and proximity matches as (window, position, exact), a bounded number of candidates at a time.
-
-    Candidates are the positions of a window's rarest term. A proximity match has at least ``share`` of the window's
-    words, each at most ``slop`` words from its place.
-    """
-    count = np.where(queries.windows >= 0, postings.count[queries.windows], np.iinfo(np.int64).max)
-    order = np.argsort(count, axis=1, kind="stable")
-    rarest = count[np.arange(len(count)), order[:, 0]] if len(count) else np.empty(0, np.int64)
-    alive = np.flatnonzero(rarest > 0)
-    group = np.cumsum(rarest[alive]) // _STEP
-    for part in np.split(alive, np.flatnonzero(np.diff(group)) + 1) if len(alive) else []:
+    def holds(self, term: np.ndarray, position: np.ndarray, slop: int = 0, first=0, end=None) -> np.ndarray:
+        """Whether the term stands at the position, or at most ``slop`` words from it, from ``first`` on and before ``end``."""
+        low = np.maximum(position - slop, first)
+        high = np.minimum(position + slop, (self.size - 1 if end is None else end) - 1)
+        at = np.searchsorted(self.keys, term * self.size + low)
+        found = (at < len(self.keys)) & (low <= high)
+        found[found] = self.keys[at[found]] <= (term * self.size + high)[found]
+        return found
+
+
+def matches(postings: Postings, queries: Queries, word_starts: np.ndarray):
+    """Exact matches as (window, position), a bounded number of candidates, the positions of a window's rarest term, at a
+    time."""
+    order, count = _by_rarity(postings, queries)
+    for part in _parts(count[:, 0]):
         owner, position = postings.positions(queries.windows[part, order[part, 0]])
         window = part[owner]
         start = position - order[window, 0]
@@ -177,13 +169,58 @@ def matches(postings: Postings, queries: Queries, word_starts: np.ndarray, slop:
             term = queries.windows[exact, place]
             keep = (term < 0) | postings.holds(np.maximum(term, 0), exact_at + place)
             exact, exact_at = exact[keep], exact_at[keep]
-        yield exact, exact_at, True
-        near = np.zeros(len(window), np.int64)
-        for k in range(queries.windows.shape[1]):
-            term = queries.windows[window, k]
-            near += (term >= 0) & postings.holds(np.maximum(term, 0), start + k, slop)
-        keep = near >= np.ceil(share * queries.lengths[window])
-        yield window[keep], position[keep], False
+        yield exact, exact_at
+
+
+def near_matches(postings: Postings, queries: Queries, word_starts: np.ndarray, slop: int, share: float):
+    """Proximity matches as (window, document): from some start, at least ``share`` of the window's words are in the
+    document, each at most ``slop`` words from its place.
+
+    A match lacks at most ``spare`` words, so it has one of the ``spare + 1`` rarest. The positions of each of these are
+    candidates for the matches that lack all rarer ones; how the rows are cut into segments changes only their order.
+    """
+    order, count = _by_rarity(postings, queries)
+    needed = np.ceil(share * queries.lengths - 1e-9).astype(np.int64)
+    spare = queries.lengths - needed
+    for rank in range(int(spare.max(initial=-1)) + 1):
+        for part in _parts(np.where(spare >= rank, count[:, rank], 0)):
+            owner, position = postings.positions(queries.windows[part, order[part, rank]])
+            window = part[owner]
+            start = position - order[window, rank]
+            document = np.searchsorted(word_starts, position, "right") - 1
+            # The start may be ``slop`` words off, which puts a word at most twice as far from here.
+            lacking = np.full(len(window), rank)
+            for k in range(rank + 1, queries.windows.shape[1]):
+                place = order[window, k]
+                term = queries.windows[window, place]
+                lacking += (term >= 0) & ~postings.holds(
+                    np.maximum(term, 0), start + place, 2 * slop, word_starts[document], word_starts[document + 1])
+                keep = lacking <= spare[window]
+                window, start, document, lacking = window[keep], start[keep], document[keep], lacking[keep]
+            window, start, document = np.unique(np.stack([window, start, document]), axis=1)
+            for shift in sorted(range(-slop, slop + 1), key=abs):
+                near = np.zeros(len(window), np.int64)
+                for k in range(queries.windows.shape[1]):
+                    term = queries.windows[window, k]
+                    near += (term >= 0) & postings.holds(
+                        np.maximum(term, 0), start + shift + k, slop, word_starts[document], word_starts[document + 1])
+                found = near >= needed[window]
+                yield window[found], document[found]
+                window, start, document = window[~found], start[~found], document[~found]
+
+
+def _by_rarity(postings: Postings, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts): the places of each window from its rarest term in the segment on, and how often these occur."""
+    count = np.where(queries.windows >= 0, postings.count[queries.windows], np.iinfo(np.int64).max)
+    order = np.argsort(count, axis=1, kind="stable")
+    return order, np.take_along_axis(count, order, 1)
+
+
+def _parts(count: np.ndarray) -> list[np.ndarray]:
+    """Windows with candidates, in parts of about _STEP candidates."""
+    alive = np.flatnonzero(count > 0)
+    group = np.cumsum(count[alive]) // _STEP
+    return np.split(alive, np.flatnonzero(np.diff(group)) + 1) if len(alive) else []
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3, share: float = 0.8) -> DataFrame:
@@ -220,14 +257,12 @@ def _answer(segment: pa.RecordBatch, blocks: list, slop: int, share: float) -> p
     for block in blocks:
         queries = block.value
         found = Postings(terms, term_starts, postings, queries.terms)
-        for window, start, exact in matches(found, queries, word_starts, slop, share):
-            if exact:
-                np.add.at(edges, start, 1)
-                np.add.at(edges, start + queries.lengths[window], -1)
-            document = np.searchsorted(word_starts, start, "right") - 1
-            for d, w in np.unique(np.stack([document, window], 1), axis=0).tolist():
-                (items if exact else near).setdefault(d, set()).update(
-                    queries.items[queries.item_bounds[w] : queries.item_bounds[w + 1]])
+        for window, start in matches(found, queries, word_starts):
+            np.add.at(edges, start, 1)
+            np.add.at(edges, start + queries.lengths[window], -1)
+            _note(items, queries, window, np.searchsorted(word_starts, start, "right") - 1)
+        for window, document in near_matches(found, queries, word_starts, slop, share):
+            _note(near, queries, window, document)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
     n_hit = hit[word_starts[1:]] - hit[word_starts[:-1]]
     empty = hashlib.sha256(b"").hexdigest()
@@ -239,6 +274,11 @@ def _answer(segment: pa.RecordBatch, blocks: list, slop: int, share: float) -> p
     ], schema=_FOUND)
 
 
+def _note(items: dict[int, set[str]], queries: Queries, window: np.ndarray, document: np.ndarray) -> None:
+    for d, w in np.unique(np.stack([document, window], 1), axis=0).tolist():
+        items.setdefault(d, set()).update(queries.items[queries.item_bounds[w] : queries.item_bounds[w + 1]])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: see ``search``. ``text_key`` is ``xxhash64(text)``, to join the result back to rows."""
     return search(index_documents(docs), benchmark, window)

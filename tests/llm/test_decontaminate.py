@@ -1,6 +1,7 @@
 """Positional index against the contract read literally."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -83,6 +84,58 @@ def test_proximity_match(spark):
     assert not found["contaminated"] and found["n_near"] == 1
 
 
+def near_items(documents, benchmark, window=10, slop=3):
+    """doc_id -> items, by every start of every window."""
+    out = {}
+    for doc_id, text in documents:
+        own = words(text)
+        places = {}
+        for i, word in enumerate(own):
+            places.setdefault(word, []).append(i)
+        for item, passage in benchmark:
+            of_item = words(passage)
+            for at in range(max(len(of_item) - window + 1, min(len(of_item), 1))):
+                part = of_item[at : at + window]
+                if any(5 * sum(any(abs(p - start - k) <= slop for p in places.get(w, ())) for k, w in enumerate(part)) >= 4 * len(part)
+                       for start in range(-window - slop, len(own) + slop)):
+                    out.setdefault(doc_id, set()).add(item)
+    return {doc_id: len(out.get(doc_id, ())) for doc_id, _ in documents}
+
+
+def test_proximity_with_the_rarest_word_replaced(spark):
+    docs = [(1, "one two three four five six seven eight rare ten"), (2, "one two three four five six seven eight other ten"),
+            (3, "one two three four five"), (4, "six seven eight rare ten"), (5, "one two"),
+            (6, "two one three four so so five six ten seven eight")] + [(10 + i, "one two three four five six seven eight") for i in range(5)]
+    bench = [(1, docs[0][1]), (2, "alpha beta"), (3, "two three four five six")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    expected_near = near_items(docs, bench)
+    assert expected_near[2] == 2 and expected_near[4] == 0
+    for size in (1, 12, 1_000_000):
+        index = decontaminate.index_documents(frame, segment_words=size)
+        assert {r.doc_id: r.n_near for r in decontaminate.search(index, items).collect()} == expected_near
+
+
+def test_proximity_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_STEP", 7)
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    bench = [(i, text(rng.choice([3, 6, 10, 13]))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        own = rng.choice(bench)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = [[], ["z"], [own[at], "z"]][rng.randrange(3)]
+            own = own or ["z"]
+        docs.append((i, " ".join([text(rng.randint(0, 9)), *own, text(rng.randint(0, 9))])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    for size in (20, 1_000_000):
+        index = decontaminate.index_documents(frame, segment_words=size)
+        assert {r.doc_id: r.n_near for r in decontaminate.search(index, items).collect()} == near_items(docs, bench)
+
+
 def test_clean_rows_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "x") for i, t in CASES], DOCS)
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
