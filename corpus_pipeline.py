@@ -9,7 +9,7 @@ from gatehouse.session import scratch_path
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, without a text, or that every language's regression rejects clearly, go."""
+    """Documents without a letter, without a text, or hardly in any of the learned languages, go."""
     return language_id.keep_identified(docs)
 
 

@@ -4,6 +4,9 @@ The blended-spectrum presence kernel counts the different byte n-grams, of one t
 divided by the root of the product of their own counts. A few landmark texts per language span a Nyström approximation
 of the kernel space, a ridge regression per language (one against the rest) is fitted in it on a bounded sample, and
 texts are scored by matrix products, a batch of texts at a time.
+
+The regressions' outputs always have the same sum, so one of them is high for any text. Whether a text is in the language
+at all is judged by the share of its three-byte n-grams that the language's landmarks have.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ PER_LANGUAGE, SAMPLE, LANDMARKS, ALL_LANDMARKS = 300, 6000, 60, 1200
 LANGUAGES, SAMPLE_CHARS, GRAMS = 500, 50_000, 20_000
 RIDGE = 1e-2
 SPECTRUM = (1, 2, 3)
+#: A text is strange if its share of known n-grams, with MARGIN standard errors at most, is below FAMILIAR of the share
+#: that all but STRAY of its language's labelled texts reach.
+FAMILIAR, STRAY, MARGIN = 0.8, 0.01, 4.0
 
 _CODES = np.arange(256)
 _LETTERS = (LOWER >= 0x61) & (LOWER <= 0x7A)
@@ -37,13 +43,16 @@ _TABLES: dict[int, tuple] = {}
 
 
 class Model(NamedTuple):
-    """N-gram codes by spectrum, landmark presence (divided by its norm), weights and shift per language."""
+    """N-gram codes by spectrum, landmark presence (divided by its norm), weights and shift per language, whether each
+    language's landmarks have an n-gram, and the least share of known n-grams per language."""
 
     grams: tuple[np.ndarray, ...]
     landmarks: np.ndarray
     weights: np.ndarray
     shift: np.ndarray
     languages: list[str]
+    known: np.ndarray
+    least: np.ndarray
 
     @property
     def size(self) -> int:
@@ -93,6 +102,41 @@ def normed(present: np.ndarray) -> np.ndarray:
     return present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
 
 
+def _trigrams(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(text, column) of every three-byte n-gram that is not blank, as often as it occurs; -1 for an unknown one."""
+    row, codes = gram_codes(block, 3)
+    own = codes != 0x202020
+    return row[own], _numbers(model)[2][codes[own]]
+
+
+def strange(model: Model, block: Block, language: np.ndarray) -> np.ndarray:
+    """Whether each text has clearly fewer n-grams of its language than the language's labelled texts."""
+    row, column = _trigrams(model, block)
+    known = (column >= 0) & model.known[language[row], column]
+    every = np.maximum(np.bincount(row, minlength=block.count), 1)
+    share = np.bincount(row, weights=known, minlength=block.count) / every
+    return share + MARGIN * 0.5 / np.sqrt(every) < model.least[language]
+
+
+def _least_shares(model: Model, own: dict[str, list[str]], each: int) -> np.ndarray:
+    """Per language FAMILIAR of the share of known n-grams that all but STRAY of its labelled texts reach. An n-gram of a
+    landmark is known if another landmark has it; a language with a single text rejects nothing."""
+    least = np.zeros(len(model.languages))
+    for number, language in enumerate(model.languages):
+        if len(own[language]) < 2:
+            continue
+        landmarks = own[language][:each]
+        having = (presence(model, one_block(landmarks)) > 0).sum(axis=0)
+        shares = []
+        for at, text in enumerate(own[language]):
+            column = _trigrams(model, one_block([text]))[1]
+            if len(column):
+                shares.append(np.mean((column >= 0) & (having[column] > (1 if at < len(landmarks) else 0))))
+        if shares:
+            least[number] = FAMILIAR * np.sort(shares)[int(STRAY * len(shares))]
+    return least
+
+
 def has_letter(block: Block) -> np.ndarray:
     """Whether each text has a letter of any script."""
     plain = np.concatenate([[0], np.cumsum(_LETTERS[block.data])])[block.offsets]
@@ -125,8 +169,11 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     kept[order] = True
     parts = np.split(kept, np.cumsum([len(n) for _, n in counts])[:-1])
     model = Model(tuple(codes[part].astype(np.int64) for (codes, _), part in zip(counts, parts, strict=True)),
-                  np.zeros((0, 64), np.float32), np.zeros((0, 0)), np.zeros(0), languages)
+                  np.zeros((0, 64), np.float32), np.zeros((0, 0)), np.zeros(0), languages, np.zeros((0, 0), bool), np.zeros(0))
     model = model._replace(landmarks=normed(presence(model, block)))
+    first = np.cumsum([0, *(len(own[language][:each]) for language in languages)])
+    model = model._replace(known=np.stack([(model.landmarks[a:b] > 0).any(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)]),
+                           least=_least_shares(model, own, each))
     values, vectors = np.linalg.eigh(model.landmarks.astype(np.float64) @ model.landmarks.T.astype(np.float64))
     strong = values > 1e-6 * values.max()
     whiten = vectors[:, strong] / np.sqrt(values[strong])
@@ -177,20 +224,21 @@ def held_out(modulus: int):
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, lang_pred, score.
+    """One row per row of ``docs``: doc_id, text_key, lang_pred, score, strange.
 
     ``lang_pred`` is the language of the highest value; ``score`` maps that value from -1..1 to 0..1, so above one half
-    its own regression accepts the text. A null text, one without a letter, or any text without a model is ``und``, 0.
+    its own regression accepts the text. ``strange`` marks texts that are hardly in that language. A null text, one without a letter, or any text without a model is ``und``, 0.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
     return rows.mapInArrow(
-        lambda batches: _predicted(batches, sent.value), "doc_id bigint, text_key bigint, lang_pred string, score double")
+        lambda batches: _predicted(batches, sent.value),
+        "doc_id bigint, text_key bigint, lang_pred string, score double, strange boolean")
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, values = [], []
+        names, values, odd = [], [], []
         for block in text_blocks(batch.column(2)):
             step = max(1, 4_000_000 // model.size) if model else block.count
             for at in range(0, block.count, step):
@@ -201,20 +249,24 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
                 found = scores(model, part) if model else np.zeros((part.count, 1))
                 best = found.argmax(axis=1)
                 names += [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+                odd.append(known & strange(model, part, best) if model else known)
                 values.append(np.where(known, np.clip((found.max(axis=1) + 1) / 2, 0, 1), 0.0))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(names, pa.string()),
-             pa.array(np.concatenate(values) if values else np.zeros(0), pa.float64())],
-            names=["doc_id", "text_key", "lang_pred", "score"])
+             pa.array(np.concatenate(values) if values else np.zeros(0), pa.float64()),
+             pa.array(np.concatenate(odd) if odd else np.zeros(0, bool), pa.bool_())],
+            names=["doc_id", "text_key", "lang_pred", "score", "strange"])
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return predict(docs.select("doc_id", "text"), train(docs.filter(~held_out(5)))).withColumn("held_out", held_out(5))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Language of every row of ``docs``, learned from labelled rows that are not held out; see ``predict``."""
-    model = train(docs.filter(~held_out(5)))
-    return predict(docs.select("doc_id", "text"), model).withColumn("held_out", held_out(5)).select(
-        "doc_id", "held_out", "lang_pred", "score", "text_key")
+    return _identified(docs).select("doc_id", "held_out", "lang_pred", "score", "text_key")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """``docs`` without rows that every language's regression rejects clearly: ``und``, or a score below ``least``."""
-    return without(docs, lambda: identify(docs).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that are in no learned language: ``und``, or strange to the most likely one."""
+    return without(docs, lambda: _identified(docs).filter((F.col("lang_pred") == UNKNOWN) | F.col("strange")))

@@ -1,5 +1,6 @@
 """String kernel: exact kernel values, held-out accuracy and the defined cases."""
 
+import random
 import zlib
 
 import numpy as np
@@ -67,3 +68,16 @@ def test_held_out_accuracy(spark):
     held = [r for r in found if r.held_out]
     assert len(held) > 100 and sum(r.lang == r.lang_pred for r in held) / len(held) >= 0.98
     assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_unlearned_scripts_and_random_letters_go_and_labelled_languages_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    strange = ["это язык которого нет в таблице и никто его не знает", "これは表にない言語のテキストです", "a これは表にない言語のテキストです",
+               "αυτή η γλώσσα δεν υπάρχει στον πίνακα", *(letters(n) for n in (100, 300, 1000, 20_000))]
+    added = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id: r.lang for r in language_id.keep_identified(docs.union(added)).collect()}
+    assert not any(i >= 10**9 for i in kept)
+    before = {r.doc_id: r.lang for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").collect()}
+    assert set(before.values()) == {"en", "fr", "de", "es"} and len(set(before) - set(kept)) <= 3
