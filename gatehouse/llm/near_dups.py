@@ -28,6 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 misses all sketches with probability (1 - 0.8 ** KEPT) ** SKETCHES, about 3e-6.
 SKETCHES, KEPT = 24, 4
+#: Of few shingles, four are seldom all common: a sequence of up to SHORT has as many sketches of KEPT_SHORT as well. A
+#: pair of which only one sequence is so short has at least 17 shingles each.
+SHORT, KEPT_SHORT = 20, 2
 #: Single minima of further hash functions, one byte each. A pair of similarity 0.8 agrees in 96 of 120 on average, and
 #: in fewer than LEAST_AGREEING, when it is not verified, with probability 4e-5.
 MINIMA, LEAST_AGREEING = 120, 78
@@ -71,24 +74,35 @@ def labelled_by_occurrence(values: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sketches, minima): order-sensitive keys, and bytes of the smallest value under each further hash function."""
-    values = labelled_by_occurrence(shingles(words))
-    kept = min(KEPT, len(values))
-    keys, minima = np.empty(SKETCHES, np.uint64), np.empty(MINIMA, np.uint8)
+    """(sketches, minima): order-sensitive keys, and bytes of the smallest value under each further hash function. The
+    sketches count repeated shingles, the minima, like the similarity, do not."""
+    every = shingles(words)
+    values, distinct = labelled_by_occurrence(every), np.unique(every)
+    keys = [_sketches(values, KEPT, 0)]
+    if len(distinct) <= SHORT:
+        keys.append(_sketches(values, KEPT_SHORT, SKETCHES))
+    minima = np.empty(MINIMA, np.uint8)
+    group = max(1, 500_000 // len(distinct))
+    for at in range(0, MINIMA, group):
+        odd = _ODD[SKETCHES + at : min(SKETCHES + at + group, SKETCHES + MINIMA), None]
+        minima[at : at + len(odd)] = mix((distinct[None, :] * odd).min(axis=1)) >> np.uint64(56)
+    return np.concatenate(keys), minima
+
+
+def _sketches(values: np.ndarray, most: int, first: int) -> np.ndarray:
+    """One key per hash function, of the ``most`` smallest values in text order; keys are numbered from ``first`` on."""
+    kept, keys = min(most, len(values)), np.empty(SKETCHES, np.uint64)
     group = max(1, 500_000 // len(values))
     for at in range(0, SKETCHES, group):
         hashed = values[None, :] * _ODD[at : min(at + group, SKETCHES), None]
         near = np.argpartition(hashed, kept - 1, axis=1)[:, :kept] if kept < len(values) else np.tile(
             np.arange(kept), (len(hashed), 1))
         near.sort(axis=1)
-        key = np.arange(at, at + len(hashed), dtype=np.uint64)
+        key = np.arange(first + at, first + at + len(hashed), dtype=np.uint64)
         for place in range(kept):
             key = mix(key * _STEP + values[near[:, place]])
         keys[at : at + len(hashed)] = key
-    for at in range(0, MINIMA, group):
-        odd = _ODD[SKETCHES + at : min(SKETCHES + at + group, SKETCHES + MINIMA), None]
-        minima[at : at + len(odd)] = mix((values[None, :] * odd).min(axis=1)) >> np.uint64(56)
-    return keys, minima
+    return keys
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,6 +118,20 @@ def test_isolated_pairs_in_a_group_that_shares_a_template(spark, monkeypatch, bu
     assert [found[i] for i in range(len(texts))] == expected
 
 
+def test_minima_agree_for_equal_sets_of_shingles():
+    x, y = [1, 2, 3, 4, 5, 6], [7, 8, 9, 10, 11, 12]
+    a, b = as_words((x * 50) + (y * 50)), as_words((x * 30) + (y * 70))
+    assert near_dups.shingle_similarity(a, b) == 1
+    assert np.array_equal(near_dups.sketch(a)[1], near_dups.sketch(b)[1])
+
+
+def test_short_texts_of_similarity_four_fifths_share_a_sketch():
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        words = rng.integers(1, 1 << 32, 9, dtype=np.uint32)
+        assert set(near_dups.sketch(words)[0].tolist()) & set(near_dups.sketch(words[:-1])[0].tolist())
+
+
 def test_nulls_repeats_and_other_columns(spark):
     rows = [(1, "a b c d e f g", "x", 1), (1, "a b c d e f g", "x", 1), (None, "A b, c d e f g", None, None), (2, None, "x", 1),
             (3, None, "x", 1), (4, "", "x", 1), (5, "", "x", 1), (6, "!!", "x", 1), (7, "??", "x", 1), (None, "alone here", "x", 2),
