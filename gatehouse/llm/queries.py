@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import decontaminate, fingerprints, importance, language_id, license_scan, lm_scoring, mixing, near_dups, pii, secrets_scan
+from gatehouse.llm import (
+    collocations, decontaminate, fingerprints, importance, language_id, license_scan, lm_scoring, mixing, near_dups, pii, ranked_search,
+    secrets_scan, simhash,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +90,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark windows that they hold; checked by brute force in tests."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
+@register("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and component of every document; checked against all pairs in tests."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op12_ranked_search", ranked_search.CHECKING_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest-scoring documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "item_id", "rank", "doc_id", "score")
+
+
+@register("op13_collocations", collocations.CHECKING_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
