@@ -58,6 +58,7 @@ def test_phrases_match_direct_counting(spark, monkeypatch, least, block_words):
     documents = invented(least, 400) + CASES
     default = collocations.word_blocks
     monkeypatch.setattr(collocations, "word_blocks", lambda docs, _: default(docs, block_words))
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 1500)
     docs = spark.createDataFrame([(i, t, lang, "x", "y") for i, (t, lang) in enumerate(documents)], DOCS).repartition(3)
     assert rows(collocations.collocations(docs, least)) == expected(documents, least)
 
