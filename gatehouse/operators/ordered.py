@@ -52,6 +52,19 @@ def running_number(
     return numbered.drop("_offset", *(() if chunked else (CHUNK,)))
 
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "before", chunked: bool = False
+) -> DataFrame:
+    """Sum of ``value`` over the key's rows before each row, 0 for the first."""
+    parts = (df if chunked else chunk(df, keys, order)).withColumn("_value", value.cast("bigint"))
+    sums = parts.groupBy(*keys, CHUNK).agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_offset", F.sum("_sum").over(earlier)).filter("_offset IS NOT NULL").drop("_sum")
+    local = F.sum("_value").over(Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = _attach(parts, offsets, keys).withColumn(name, F.coalesce(local, F.lit(0)) + F.coalesce("_offset", F.lit(0)))
+    return summed.drop("_value", "_offset", *(() if chunked else (CHUNK,)))
+
+
 def last_known(
     df: DataFrame,
     keys: Sequence[str],

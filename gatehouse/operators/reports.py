@@ -113,12 +113,12 @@ def run_history(
     wanted = optional_filters(runs, {"dataset_id": dataset_id, "status": status})
     names = files.select(F.col("file_id").alias("_f"), F.col("original_name"))
     named = lookup_join(wanted, names, {"file_id": "_f"}, "inner").drop("_f")
-    return page_rows(named, [F.col("created_at").desc(), F.col("import_id").asc()], number, size)
+    return page_rows(named, [("created_at", False), ("import_id", True)], number, size)
 
 
 def error_page(errors: DataFrame, import_id=None, number: int = 1, size: int = 50) -> DataFrame:
     wanted = optional_filters(errors, {"import_id": import_id})
-    order = [F.col("row_number").asc(), F.col("happened_at").asc(), F.col("error_id").asc()]
+    order = [("row_number", True), ("happened_at", True), ("error_id", True)]
     return page_rows(wanted, order, number, size, MAX_ERROR_PAGE_SIZE)
 
 
@@ -191,7 +191,7 @@ def user_list(
     wanted = optional_filters(users, {"is_active": is_active})
     if search and search.strip():
         wanted = wanted.filter(contains_ci(F.col("full_name"), search) | contains_ci(F.col("email"), search))
-    return page_rows(wanted, [F.col("full_name").asc(), F.col("user_id").asc()], number, size)
+    return page_rows(wanted, [("full_name", True), ("user_id", True)], number, size)
 
 
 def category_list(categories: DataFrame, active_only: bool = True) -> DataFrame:

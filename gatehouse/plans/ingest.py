@@ -44,11 +44,15 @@ class ImportRun:
 
 @dataclass(frozen=True)
 class ImportResult:
+    """``records`` is the whole table after the run, ``added`` what the run itself puts into it: the rows to append, or
+    under Update those to upsert."""
+
     columns: tuple[ColumnSpec, ...]
     staged: DataFrame | None
     records: DataFrame | None
     errors: DataFrame
     run: DataFrame
+    added: DataFrame | None = None
 
 
 def establish_schema(batch: DataFrame, keys: Sequence[str]) -> tuple[ColumnSpec, ...]:
@@ -156,11 +160,14 @@ def ingest(
     columns: Sequence[ColumnSpec] | None,
     run: ImportRun,
     keep: Callable[[DataFrame], DataFrame] = materialize,
+    known: Callable[[DataFrame], DataFrame] | None = None,
 ) -> ImportResult:
     """Run one import over a batch of text columns whose ``row_keys`` are unique.
 
     ``target`` and ``columns`` are None before the first import, which must be Full and fixes the schema. ``keep``
     makes the staged rows and the winners durable (a checkpoint by default): errors, counters and records all read them.
+    ``known`` gives those of a frame's ``key_hash`` that the target has, where there is a shorter way than to read all of
+    the target's keys.
     """
     if columns is None:
         if run.mode != FULL:
@@ -177,7 +184,7 @@ def ingest(
     if against is None:
         winners = winners.withColumn("_known", F.lit(False))
     else:
-        stored = against.select(F.col("key_hash").alias("_stored"))
+        stored = (against if known is None else known(winners.select("key_hash"))).select(F.col("key_hash").alias("_stored"))
         winners = winners.join(stored, F.col("key_hash") == F.col("_stored"), "left").withColumn(
             "_known", F.col("_stored").isNotNull()).drop("_stored")
     kept = keep(winners)
@@ -204,7 +211,7 @@ def ingest(
         F.lit(run.workspace_id).alias("workspace_id"), F.lit(run.mode).alias("import_mode"),
         F.lit(run.behaviour).alias("duplicate_behavior"), *counters.columns,
     )
-    return ImportResult(tuple(columns), staged, result, errors, row)
+    return ImportResult(tuple(columns), staged, result, errors, row, records.drop(*keys))
 
 
 # How a run ends that publishes nothing.

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "quality_checks", "history", "rule_checks", "imports", "files", "streams")
+MODULES = ("relational", "quality_checks", "history", "rule_checks", "imports", "files", "streams", "competing")
 
 
 def load() -> None:

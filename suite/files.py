@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatehouse.functions.hashing import key_hash
-from gatehouse.sources import delimited, landing, store, workbooks
+from gatehouse.sources import delimited, keyed, landing, store, workbooks
 from suite import fixtures
 from gatehouse.operators.schema import header_audit
 from gatehouse.plans.ingest import ImportRun, ingest
@@ -170,8 +170,8 @@ def a10(t):
     path = t.scratch("table")
     batch = t.sql("SELECT CAST(o_orderkey AS STRING) AS key_hash, 'appended' AS origin FROM {orders}")
     store.full_replace(t.sql("SELECT CAST(c_custkey * 2 AS STRING) AS key_hash, 'stored' AS origin FROM {customer}"), path, "run-1")
-    store.append_records(batch, path, "run-2")
-    store.append_records(batch, path, "run-2")
+    keyed.append_records(batch, path, "run-2")
+    keyed.append_records(batch, path, "run-2")
     return store.read_table(t.spark, path)
 
 

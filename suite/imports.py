@@ -7,6 +7,8 @@ from gatehouse.operators import dedup as dd
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.operators.schema import ColumnSpec
 from gatehouse.plans.ingest import ImportRun, ingest, try_ingest
+from gatehouse.sources import keyed
+from gatehouse.sources.store import read_manifest, read_table
 from suite.registry import query
 
 
@@ -72,6 +74,53 @@ def e5(t):
     return dd.upsert(t.sql(TARGET), batch, identity=("record_id", "created_at"))
 
 
+@query("e4_append_by_filters", WINNERS + """
+    SELECT _row_number, key_hash, key_hash IN (SELECT key_hash FROM target) AS is_rejected FROM first_rows""")
+def e4_filters(t):
+    """The target is a keyed table: bounds and filters say which of its parts may hold a key of the batch."""
+    path = t.scratch("target")
+    keyed.write_keyed(t.sql(TARGET), path, "seed", part_rows=200)
+    kept, _ = dd.dedup(valid_rows(t), dd.SKIP)
+    known = keyed.known_keys(kept, path).withColumn("is_rejected", F.lit(True))
+    return kept.join(known, "key_hash", "left").select("_row_number", "key_hash", F.coalesce("is_rejected", F.lit(False)).alias("is_rejected"))
+
+
+@query("e5_upsert_by_parts", WINNERS + """
+    SELECT coalesce(t.key_hash, b.key_hash) AS key_hash, coalesce(t.record_id, -b._row_number) AS record_id,
+           CASE WHEN b.key_hash IS NULL THEN t.priority ELSE b.priority END AS priority, coalesce(t.created_at, 'new') AS created_at
+    FROM target t FULL JOIN last_rows b ON b.key_hash = t.key_hash""")
+def e5_parts(t):
+    """The rows of e5_upsert from a table of many parts, after two batches and a compaction."""
+    path = t.scratch("target")
+    keyed.write_keyed(t.sql(TARGET), path, "seed", part_rows=200)
+    kept, _ = dd.dedup(valid_rows(t), dd.UPDATE)
+    batch = kept.select("key_hash", (-F.col("_row_number")).alias("record_id"), "priority", F.lit("new").alias("created_at"))
+    for number, part in enumerate((batch.filter("record_id % 2 = 0"), batch.filter("record_id % 2 <> 0"))):
+        keyed.upsert_keyed(part, path, f"run-{number}", identity=("record_id", "created_at"), part_rows=500)
+    keyed.compact(t.spark, path, small_rows=300, many=2, part_rows=400)
+    return read_table(t.spark, path)
+
+
+@query("e5_untouched_parts", """
+    SELECT count(*) AS n_rows, count(*) FILTER (p_partkey BETWEEN lo AND lo + n // 100) AS updated, 0 AS updated_in_kept, true AS most_kept, 1 AS runs_added
+    FROM (SELECT *, (SELECT max(p_partkey) // 2 FROM {part}) AS lo, (SELECT count(*) FROM {part}) AS n FROM {part}) GROUP BY lo, n""")
+def e5_untouched(t):
+    """An upsert of a hundredth of the keys, all near each other: parts that hold none of them keep their names."""
+    path = t.scratch("parts")
+    rows = t.sql("SELECT lpad(p_partkey, 12, '0') AS key_hash, p_name AS name, 0 AS version FROM {part}")
+    keyed.write_keyed(rows, path, "seed", part_rows=max(1, rows.count() // 20))
+    before = {part for _, part in read_manifest(t.spark, path)["runs"]}
+    batch = t.sql("""SELECT lpad(p_partkey, 12, '0') AS key_hash, upper(p_name) AS name, 1 AS version FROM {part}
+        WHERE p_partkey BETWEEN (SELECT max(p_partkey) div 2 FROM {part}) AND (SELECT max(p_partkey) div 2 FROM {part}) + (SELECT count(*) div 100 FROM {part})""")
+    keyed.upsert_keyed(batch, path, "run-2")
+    after = read_manifest(t.spark, path)
+    kept = [part for _, part in after["runs"] if part in before]
+    runs_added = len({run for run, _ in after["runs"]})
+    in_kept = t.spark.read.parquet(*(f"{path}/{part}" for part in kept)).agg(F.count_if(F.col("version") == 1).alias("updated_in_kept"))
+    return read_table(t.spark, path).agg(F.count("*").alias("n_rows"), F.sum("version").alias("updated")).crossJoin(in_kept).select(
+        "n_rows", "updated", "updated_in_kept", F.lit(len(kept) >= 0.8 * len(before)).alias("most_kept"), F.lit(runs_added).alias("runs_added"))
+
+
 @query("e6_run_counters", WINNERS + """
     SELECT (SELECT count(*) FROM batch) AS total,
            (SELECT count(*) FROM first_rows WHERE key_hash NOT IN (SELECT key_hash FROM target)) AS success,
@@ -168,6 +217,12 @@ def e8_update(t):
     return shown(run_orders(t, "Append", "Update").records)
 
 
+@query("e8_added_rows", JUDGED + f" {NEW_ROW} WHERE from_first = 1 AND CAST(customer AS BIGINT) % 2 = 1")
+def e8_added(t):
+    """What an appending import puts into the table: its new rows alone."""
+    return shown(run_orders(t, "Append", "Skip").added)
+
+
 ORDER_ERRORS = """
     SELECT _row_number, 'status' AS column_name, 'Validation Error' AS error_type, 'AllowedValues validation failed.' AS description FROM judged WHERE bad_status
     UNION ALL SELECT _row_number, 'total', 'Validation Error', 'NumericRange validation failed.' FROM judged WHERE bad_range

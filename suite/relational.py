@@ -218,6 +218,29 @@ def h3(t):
     return rows.withColumn("total", F.lit(total).cast("bigint"))
 
 
+DEEP = """
+    SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, (SELECT count(*) FROM {lineitem}) AS total
+    FROM {lineitem} ORDER BY l_shipdate DESC, l_returnflag, l_orderkey, l_linenumber LIMIT 100 OFFSET """
+DEEP_ORDER = [("l_shipdate", False), ("l_returnflag", True), ("l_orderkey", True), ("l_linenumber", True)]
+
+
+@query("h3_deep_page", DEEP + "(SELECT count(*) // 200 * 100 FROM {lineitem})")
+def h3_deep(t):
+    """A page in the middle of all lines; the rows before it are counted, not sorted."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
+    rows, total = paging.page(lines, DEEP_ORDER, t("lineitem").count() // 200 + 1, 100)
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
+
+
+@query("h3_page_after", DEEP + "100")
+def h3_after(t):
+    """The second page by the last row of the first."""
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
+    last = paging.page_rows(lines, DEEP_ORDER, 1, 100).collect()[-1]
+    rows = paging.page_after(lines, DEEP_ORDER, [last[name] for name, _ in DEEP_ORDER], 100)
+    return rows.withColumn("total", F.lit(lines.count()))
+
+
 @query("h4_latest_n", """
     SELECT error_id, import_id, row_number, happened_at FROM {import_errors} ORDER BY happened_at DESC, row_number, error_id LIMIT 200""")
 def h4(t):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatehouse.operators.schema import header_audit, validate_key_columns
-from gatehouse.sources import delimited, landing, store, workbooks
+from gatehouse.sources import delimited, keyed, landing, store, workbooks
 from suite.fixtures import workbook_bytes
 
 
@@ -120,8 +120,8 @@ def test_store_publishes_whole_versions(spark, tmp_path):
     assert store.read_table(spark, path) is None
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "key_hash string, n int")
     store.full_replace(rows, path, "r1")
-    store.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
-    store.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
+    keyed.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
+    keyed.append_records(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "r2")
     assert sorted(r["key_hash"] for r in store.read_table(spark, path).collect()) == ["a", "b", "c"]
     manifest = store.read_manifest(spark, path)
     assert manifest["run"] == "r2" and [run for run, _ in manifest["runs"]] == ["r1", "r2"]
@@ -138,7 +138,7 @@ def test_failed_write_leaves_the_published_version(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         store.full_replace(broken, path, "r1")
     with pytest.raises(Exception, match="stop"):
-        store.append_records(broken.withColumn("key_hash", F.col("n")), path, "r1")
+        keyed.append_records(broken.withColumn("key_hash", F.col("n")), path, "r1")
     assert store.read_table(spark, path).count() == 3
 
 
