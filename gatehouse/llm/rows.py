@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatehouse.session import scratch_path
 
@@ -40,15 +40,40 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Words of 64 bits that a filter of marked rows has at most, 2 MB of bits, and rows to a word below that.
+_WORDS, _ROWS_PER_WORD = 1 << 18, 6
+
+
+def _row_hash(doc_id: Column, text_key: Column) -> Column:
+    return F.xxhash64(doc_id, text_key)
+
+
+def _mask(row_hash: Column) -> Column:
+    """Four bits of a word."""
+    mixed = F.xxhash64(row_hash, F.lit("bits"))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+            for i in range(4)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
 def without(docs: DataFrame, find: Callable[[], DataFrame]) -> DataFrame:
     """``docs`` without the rows whose doc_id and ``xxhash64(text)`` are among those of ``find()`` (doc_id, text_key).
 
-    Null ids match each other. The marks are written to the shared scratch folder first, so that Spark knows their size
-    when it chooses between a broadcast and a shuffle; what finding them stored is deleted.
+    Null ids match each other. The marks are written to the shared scratch folder first; what finding them stored is
+    deleted. Their filter, whose size is bounded, is sent to every task, and a row that it rules out stays where it is,
+    with its text; only rows that may be marked are compared with the marks. Of more marks than the filter has room for,
+    it rules out fewer rows.
     """
     path = scratch_path(docs.sparkSession, "marked-rows")
     with scratch_tables(docs.sparkSession, "finding"):
         find().select(F.col("doc_id").alias("_marked_id"), F.col("text_key").alias("_marked_key")).distinct().write.parquet(path)
     marks = docs.sparkSession.read.parquet(path)
-    same = docs["doc_id"].cast("bigint").eqNullSafe(marks["_marked_id"]) & (F.xxhash64(docs["text"]) == marks["_marked_key"])
-    return docs.join(marks, same, "left_anti")
+    words = F.lit(min(_WORDS, -(-marks.count() // _ROWS_PER_WORD) or 1))
+    marked = _row_hash(F.col("_marked_id"), F.col("_marked_key"))
+    filters = marks.groupBy(F.pmod(marked, words).alias("_word")).agg(F.bit_or(_mask(marked)).alias("_bits"))
+    row_hash = _row_hash(docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"]))
+    placed = docs.alias("_row").join(F.broadcast(filters), F.pmod(row_hash, words) == filters["_word"], "left")
+    possible = F.coalesce(filters["_bits"].bitwiseAND(_mask(row_hash)) == _mask(row_hash), F.lit(False))
+    sure, unsure = (placed.filter(condition).select("_row.*") for condition in (~possible, possible))
+    same = unsure["doc_id"].cast("bigint").eqNullSafe(marks["_marked_id"]) & (F.xxhash64(unsure["text"]) == marks["_marked_key"])
+    return sure.unionAll(unsure.join(marks, same, "left_anti"))
