@@ -34,11 +34,16 @@ def _scan(spark: SparkSession, path: str, width: int, delimiter: str, multi_line
     )
 
 
-def _drop_blank(rows: DataFrame, width: int) -> DataFrame:
+def drop_blank(rows: DataFrame, width: int) -> DataFrame:
     cells = [is_blank(F.col(f"c{i}")) for i in range(width)] + [is_blank(F.col("overflow"))]
     return rows.filter(~reduce(lambda a, b: a & b, cells))
 
 
+def text_cells(spark: SparkSession, path: str, width: int, delimiter: str = ",", multi_line: bool = True) -> DataFrame:
+    """Every record that is not blank, as ``width`` text cells and ``overflow``, which wider records have."""
+    return drop_blank(_scan(spark, path, width, delimiter, multi_line), width)
+
+
 def number_rows(rows: DataFrame) -> DataFrame:
     """1-based position of each row within its file, without gathering a file in one task.
 
@@ -71,11 +76,11 @@ def read_delimited(
         raise ValueError("The delimiter must be one character.")
     first = spark.read.option("sep", delimiter).option("escape", '"').option("multiLine", multi_line).csv(path)
     width = max(1, len(first.columns))
-    rows = _drop_blank(_scan(spark, path, width, delimiter, multi_line), width)
+    rows = drop_blank(_scan(spark, path, width, delimiter, multi_line), width)
     if not header:
         while not rows.filter("overflow IS NOT NULL").isEmpty():
             width *= 2
-            rows = _drop_blank(_scan(spark, path, width, delimiter, multi_line), width)
+            rows = drop_blank(_scan(spark, path, width, delimiter, multi_line), width)
         filled = rows.agg(*(F.bool_or(F.col(f"c{i}") != "").alias(f"c{i}") for i in range(width))).first()
         if filled is None or not any(filled):
             raise ValueError("The file is empty.")
@@ -83,21 +88,24 @@ def read_delimited(
         names = [f"Column{i + 1}" for i in range(width)]
         numbered = number_rows(rows)
     else:
-        numbered = number_rows(rows)
-        wide = numbered.filter("overflow IS NOT NULL").orderBy(ROW).select(SOURCE, ROW).take(1)
-        if wide:
-            raise ValueError(f"File contains missing or blank headers: row {wide[0][ROW]} is wider than the header.")
-        heads = numbered.filter(F.col(ROW) == 1).select(*(f"c{i}" for i in range(width))).distinct().take(2)
-        if not heads:
-            raise ValueError("The file is empty.")
-        if len(heads) > 1:
-            raise ValueError("The files do not share one header.")
-        names = resolve_headers(list(heads[0]))
-        numbered = numbered.filter(F.col(ROW) > 1)
+        numbered, names = without_header(number_rows(rows), width)
     cells = [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
     return numbered.select(*(marked(F.col(role), role, names) for role in (SOURCE, ROW)), *cells)
 
 
+def without_header(numbered: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
+    """(data rows, names) of numbered rows of ``width`` cells whose files must share one header and be no wider."""
+    wide = numbered.filter("overflow IS NOT NULL").orderBy(ROW).select(SOURCE, ROW).take(1)
+    if wide:
+        raise ValueError(f"File contains missing or blank headers: row {wide[0][ROW]} is wider than the header.")
+    heads = numbered.filter(F.col(ROW) == 1).select(*(f"c{i}" for i in range(width))).distinct().take(2)
+    if not heads:
+        raise ValueError("The file is empty.")
+    if len(heads) > 1:
+        raise ValueError("The files do not share one header.")
+    return numbered.filter(F.col(ROW) > 1), resolve_headers(list(heads[0]))
+
+
 def resolve_headers(cells: list[str]) -> list[str]:
     """Clean header names; blank and repeated names (ignoring case) are refused."""
     names = [clean_name(cell or "") for cell in cells]

@@ -61,7 +61,7 @@ def workbook_rows(files: DataFrame, sheet: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 numbers, cells = [], []
-                for number, row in enumerate(_rows(content, sheet), start=1):
+                for number, row in enumerate(sheet_rows(content, sheet), start=1):
                     numbers.append(number)
                     cells.append(row)
                     if len(cells) == 10_000:
@@ -112,7 +112,8 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root.iter(f"{_MAIN}si")]
 
 
-def _rows(content: bytes, sheet: str) -> Iterator[list[str]]:
+def sheet_rows(content: bytes, sheet: str) -> Iterator[list[str]]:
+    """Non-blank rows of one sheet of a workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         parts = {name.lower(): part for name, part in reversed(_sheets(book))}
         part = parts.get(sheet.lower())

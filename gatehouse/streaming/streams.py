@@ -10,20 +10,18 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import replace
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gatehouse.functions.text import clean_header, is_blank
 from gatehouse.operators.cells import PROCESSING_ERROR
 from gatehouse.operators.catalogue import DRAFT, TRANSITIONS
 from gatehouse.operators.dedup import FULL, REJECT, UPDATE, choose_rows, duplicate_errors, in_batch_message, in_target_message, upsert
 from gatehouse.operators.schema import ColumnSpec
-from gatehouse.functions.working import ROW, SOURCE, marked
+from gatehouse.functions.working import SOURCE
 from gatehouse.plans.ingest import ImportRun, ingest, row_keys
 from gatehouse.session import materialize
 from gatehouse.sources.delimited import number_rows
+from gatehouse.sources.headed import bind_headers, raw_cells
 from gatehouse.sources.keyed import append_new, compact, known_keys, upsert_keyed, write_keyed
 from gatehouse.sources.store import AUDIT_FIELDS, Conflict, read_manifest, read_table, write_errors, write_runs, write_staging
 from gatehouse.streaming.stateful import FIRST, LATE, REPEATED, first_within, lifecycle
@@ -62,42 +60,6 @@ def _applied(manifest: dict, stream: str, batch_id: int) -> bool:
     return manifest["marks"].get(stream, -1) >= batch_id
 
 
-def _cells(columns: Sequence[ColumnSpec]) -> list[str]:
-    """Names of the raw cells: one more than the schema has columns, to see that a row is wider."""
-    return [f"c{i}" for i in range(len(columns) + 1)]
-
-
-def bind_headers(rows: DataFrame, columns: Sequence[ColumnSpec]) -> tuple[DataFrame, DataFrame]:
-    """``(rows, issues)``: numbered raw rows of headed files as columns of the schema, bound by each file's own header.
-
-    A file whose header does not name exactly the schema's columns, or that has a row wider than its header, is refused
-    whole: it gives one row of ``issues`` (file, description) and no rows. Rows of blank cells are not rows.
-    """
-    cells = _cells(columns)
-    wanted = F.array(*(F.upper(clean_header(F.lit(c.name))) for c in columns))
-    heads = rows.filter(F.col(ROW) == 1).select(
-        F.col(SOURCE).alias("file"),
-        F.filter(F.transform(F.array(*cells), lambda h: F.upper(clean_header(F.coalesce(h, F.lit(""))))), lambda h: h != "").alias("header"))
-    width = reduce(lambda a, b: F.greatest(a, b), (
-        F.when(~is_blank(F.coalesce(name, F.lit(""))), F.lit(i + 1)).otherwise(F.lit(0)) for i, name in enumerate(cells)))
-    widths = rows.groupBy(F.col(SOURCE).alias("file")).agg(F.max(width).alias("width"))
-    missing, extra = F.array_except(wanted, "header"), F.array_except("header", wanted)
-    issue = (
-        F.when((F.size(missing) > 0) | (F.size(extra) > 0), F.concat(
-            F.lit("Schema mismatch. Missing: ["), F.array_join(missing, ", "), F.lit("]. Additional: ["), F.array_join(extra, ", "), F.lit("].")))
-        .when(F.size("header") != F.size(F.array_distinct("header")), F.lit("File contains duplicate column names."))
-        .when(F.col("width") > F.size("header"), F.lit("File contains missing or blank headers."))
-    )
-    judged = materialize(heads.join(widths, "file").withColumn("description", issue))
-    good = judged.filter("description IS NULL").select(F.col("file").alias(SOURCE), "header")
-    data = rows.filter(F.col(ROW) > 1).filter(~reduce(lambda a, b: a & b, (is_blank(F.coalesce(c, F.lit(""))) for c in cells)))
-    names = [c.name for c in columns]
-    bound = data.join(good, SOURCE).select(*(marked(F.col(role), role, names) for role in (SOURCE, ROW)), *(
-        F.coalesce(F.get(F.array(*cells), F.array_position("header", F.upper(clean_header(F.lit(c.name)))).cast("int") - 1),
-                   F.lit("")).alias(c.name) for c in columns))
-    return bound, judged.filter("description IS NOT NULL").select("file", "description")
-
-
 def ingest_stream(
     spark: SparkSession, landing: str, columns: Sequence[ColumnSpec], run: ImportRun, checkpoint: str, target: str,
     delimiter: str = ",", files_per_batch: int = 1000, at: Callable[[int], str] | None = None,
@@ -111,11 +73,11 @@ def ingest_stream(
     """
     stream, path = stream_id(checkpoint), f"{target}/records"
     lines = (
-        spark.readStream.schema(", ".join(f"{c} string" for c in _cells(columns)))
+        spark.readStream.schema(", ".join(f"{c} string" for c in raw_cells(columns)))
         .option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(landing)
-        .select(F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("_split"), *_cells(columns))
+        .select(F.col("_metadata.file_path").alias(SOURCE), F.col("_metadata.file_block_start").alias("_split"), *raw_cells(columns))
     )
 
     def apply(batch: DataFrame, batch_id: int) -> None:

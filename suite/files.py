@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from gatehouse.functions.hashing import key_hash
-from gatehouse.sources import delimited, keyed, landing, store, workbooks
+from gatehouse.sources import delimited, headed, keyed, landing, quoted, store, workbooks
 from suite import fixtures
-from gatehouse.operators.schema import header_audit
+from gatehouse.operators.schema import ColumnSpec, header_audit
 from gatehouse.plans.ingest import ImportRun, ingest
 from suite.registry import query
 
@@ -20,6 +20,67 @@ def a1(t):
     return rows.select("doc_id", "lang", "source", F.upper(F.sha2("text", 256)).alias("text_hash"))
 
 
+@query("a1_split_by_quotes", """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, upper(sha256(text)) AS text_hash, 1 + row_number() OVER (ORDER BY doc_id) AS row_number
+    FROM {documents}""")
+def a1_split(t):
+    """One file of whole documents, read in splits of a hundredth of it, which begin anywhere in their cells."""
+    docs = t("documents").orderBy("doc_id").select(F.col("doc_id").cast("string"), "text", "lang", "source")
+    path = fixtures.write_csv(docs.coalesce(1), t.scratch("documents"), ";")
+    size = t.spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    settings = {"spark.sql.files.maxPartitionBytes": str(max(1000, size // 100)), "spark.sql.files.openCostInBytes": "0"}
+    before = {name: t.spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            t.spark.conf.set(name, value)
+        rows = quoted.read_quoted(t.spark, path, ";")
+    finally:
+        for name, value in before.items():
+            t.spark.conf.set(name, value)
+    return rows.select("doc_id", "lang", "source", F.upper(F.sha2("text", 256)).alias("text_hash"), F.col("_row_number").alias("row_number"))
+
+
+CUSTOMER_COLUMNS = (ColumnSpec("id", "Integer", 0, True), ColumnSpec("name", "String", 1))
+
+
+@query("a1_refused_files", """
+    SELECT c_nationkey AS g, CASE WHEN c_nationkey % 3 = 0 THEN 'Schema mismatch. Missing: [NAME]. Additional: [LABEL].'
+           WHEN c_nationkey % 3 = 1 THEN 'File contains missing or blank headers.' ELSE 'read' END AS outcome,
+           CASE WHEN c_nationkey % 3 = 2 THEN count(*) ELSE 1 END AS n_rows
+    FROM {customer} GROUP BY c_nationkey""")
+def a1_refused(t):
+    """Files of another header, or with a row wider than the header, are refused; the rows of the others are read."""
+    lines = t.sql("""SELECT c_nationkey, c_custkey, CASE WHEN c_nationkey % 3 = 1 THEN concat(c_custkey, ',x,y') ELSE concat(c_custkey, ',x') END AS value
+        FROM {customer}""")
+    heads = t.sql("""SELECT DISTINCT c_nationkey, CAST(-1 AS BIGINT) AS c_custkey,
+        CASE WHEN c_nationkey % 3 = 0 THEN 'id,label' ELSE 'id,name' END AS value FROM {customer}""")
+    path = fixtures.write_ordered_lines(lines.unionByName(heads), "c_nationkey", "c_custkey", t.scratch("landing"))
+    rows, issues = headed.read_headed(t.spark, f"{path}/*/*", CUSTOMER_COLUMNS)
+    told = rows.select(F.col("_source_file").alias("file"), F.lit("read").alias("outcome")).unionByName(
+        issues.select("file", F.col("description").alias("outcome")))
+    group = F.regexp_extract("file", r"c_nationkey=(\d+)/", 1).cast("int").alias("g")
+    return told.groupBy(group, "outcome").agg(F.count("*").alias("n_rows"))
+
+
+@query("a2_refused_workbooks", """
+    SELECT 'book-' || CAST(book AS VARCHAR) || '.xlsx' AS file, CASE book % 4 WHEN 1 THEN 'The workbook could not be read.'
+           WHEN 2 THEN 'Worksheet ''Data'' was not found.' WHEN 3 THEN 'Schema mismatch. Missing: [NAME]. Additional: [LABEL].' ELSE 'read' END AS outcome,
+           CASE WHEN book % 4 = 0 THEN count(*) ELSE 1 END AS n_rows
+    FROM (SELECT c_custkey // 20 AS book FROM {customer}) GROUP BY book""")
+def a2_refused(t):
+    """Good workbooks between broken ones, ones without the sheet, and ones of another header."""
+    feed = t.sql("SELECT c_custkey DIV 20 AS book, CAST(c_custkey AS STRING) AS id, c_name AS name, c_name AS label FROM {customer}")
+    good = fixtures.workbooks(feed.filter("book % 4 < 2"), "book", ["id", "name"], "Data")
+    books = good.withColumn("content", F.when(
+        F.regexp_extract("path", r"(\d+)", 1).cast("int") % 4 == 1, F.substring("content", 1, 300)).otherwise(F.col("content")))
+    other = fixtures.workbooks(feed.filter("book % 4 = 2"), "book", ["id", "name"], "Else")
+    label = fixtures.workbooks(feed.filter("book % 4 = 3"), "book", ["id", "label"], "Data")
+    rows, issues = headed.read_headed_workbooks(books.unionByName(other).unionByName(label), "Data", CUSTOMER_COLUMNS)
+    told = rows.select(F.col("_source_file").alias("file"), F.lit("read").alias("outcome")).unionByName(
+        issues.select("file", F.col("description").alias("outcome")))
+    return told.groupBy("file", "outcome").agg(F.count("*").alias("n_rows"))
+
+
 @query("a1_read_single_lines", """
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, 2 AS first_row FROM {customer}""")
 def a1_lines(t):

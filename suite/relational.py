@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gatehouse.functions.text import contains_ci
-from gatehouse.operators import aggregates as agg
+from gatehouse.operators import aggregates as agg, trigrams
 from gatehouse.operators import filters, joins, paging, quality, reports
 from gatehouse.operators.catalogue import tag_lists
 from gatehouse.plans.search import Reader, SearchRequest, catalog_search
@@ -316,6 +316,54 @@ def j2(t):
     ).select("dataset_id", "name")
 
 
+KEYWORD_SQL = """
+    SELECT d.dataset_id, d.name FROM {datasets} d WHERE contains(lower(coalesce(d.code, '')), 'KEY')
+       OR contains(lower(d.name), 'KEY') OR contains(lower(coalesce(d.description, '')), 'KEY') OR contains(lower(d.source_name), 'KEY')
+       OR EXISTS (SELECT 1 FROM {dataset_tags} b JOIN {tags} t ON t.tag_id = b.tag_id
+                  WHERE b.dataset_id = d.dataset_id AND contains(lower(t.tag_name), 'KEY'))"""
+KEYWORD_TEXTS = ["code", "name", "description", "source_name"]
+
+
+def searched(t, keyword):
+    """A search by indexes that were written before."""
+    index = trigrams.gram_index(t("datasets"), "dataset_id", KEYWORD_TEXTS)
+    tag_index = trigrams.gram_index(t("tags"), "tag_id", ["tag_name"])
+    stored = []
+    for name, frame in (("grams", index), ("tag-grams", tag_index)):
+        path = t.scratch(name)
+        frame.repartition("gram").sortWithinPartitions("gram").write.parquet(path)
+        stored.append(t.spark.read.parquet(path))
+    return trigrams.indexed_match(
+        t("datasets"), stored[0], keyword, KEYWORD_TEXTS, "dataset_id", t("dataset_tags"), t("tags"), stored[1]).select("dataset_id", "name")
+
+
+@query("j2_keyword_by_index", KEYWORD_SQL.replace("KEY", "urgent of 1"))
+def j2_index(t):
+    """The rarest grams first, then the text itself."""
+    return searched(t, " URGENT of 1")
+
+
+@query("j2_short_keyword_by_index", KEYWORD_SQL.replace("KEY", "9"))
+def j2_short(t):
+    """A keyword without a gram searches all rows."""
+    return searched(t, "9 ")
+
+
+@query("j2_index_of_changed_rows", """
+    SELECT dataset_id, CASE WHEN dataset_id % 4 = 0 THEN upper('renamed ' || name) ELSE name END AS name FROM {datasets}
+    WHERE dataset_id % 7 <> 0 AND (dataset_id % 4 = 0 OR contains(lower(name), 'renamed')) AND contains(lower(name), '-high')""")
+def j2_changed(t):
+    """An index that is kept up: a quarter of the datasets is renamed, a seventh removed."""
+    names = t("datasets").select("dataset_id", "name")
+    index = trigrams.gram_index(names, "dataset_id", ["name"])
+    changed = names.filter("dataset_id % 4 = 0 AND dataset_id % 7 <> 0").withColumn("name", F.upper(F.concat(F.lit("renamed "), "name")))
+    removed = names.filter("dataset_id % 7 = 0")
+    now = names.join(removed, "dataset_id", "left_anti").join(changed, "dataset_id", "left_anti").unionByName(changed)
+    kept = trigrams.updated_index(index, changed, "dataset_id", ["name"], removed)
+    found = trigrams.indexed_match(now, kept, "renamed", ["name"], "dataset_id")
+    return found.join(trigrams.indexed_match(now, kept, "-high", ["name"], "dataset_id").select("dataset_id"), "dataset_id", "left_semi")
+
+
 @query("j3_contains_and_prefix", """
     SELECT p_partkey, p_name FROM {part} WHERE contains(lower(p_name), 'ring') OR p_name LIKE 'small%'""")
 def j3(t):
