@@ -33,10 +33,26 @@ def side_by_side(rows: Sequence[DataFrame]) -> DataFrame:
     return stacked.agg(*(F.any_value(name, True).alias(name) for name in stacked.columns))
 
 
-def joined_text(df: DataFrame, keys: Sequence[str], value: str, name: str, separator: str = ", ") -> DataFrame:
-    """Sorted distinct values as one text; meant for values of bounded variety, such as names or tags."""
-    text = F.array_join(F.array_sort(F.collect_set(value)), separator)
-    return df.groupBy(*keys).agg(text.alias(name)) if keys else df.agg(text.alias(name))
+#: Different values that one text may join.
+MOST_JOINED = 100_000
+
+
+def joined_text(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, separator: str = ", ", most: int = MOST_JOINED
+) -> DataFrame:
+    """Sorted distinct values as one text, at most ``most`` of them: more end the query with an error.
+
+    Values are made distinct before they meet, and counted before they are collected, so that no task gathers more.
+    """
+    different = df.select(*keys, F.col(value).alias("_value")).distinct()
+    # What is beyond the bound is counted, not collected.
+    sizes = different.groupBy(*keys).agg(F.count("_value").alias("_n")).select(*(F.col(k).alias(f"_of_{k}") for k in keys), "_n")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys), F.lit(True))
+    counted = different.join(sizes, same)
+    text = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("_value")))), separator)
+    joined = counted.groupBy(*keys).agg(F.max("_n").alias("_n"), text.alias(name))
+    refused = F.raise_error(F.lit(f"More than {most} values to join.")).cast("string")
+    return joined.select(*keys, F.when(F.col("_n") > most, refused).otherwise(F.col(name)).alias(name))
 
 
 def next_version(df: DataFrame, keys: Sequence[str], version: str, name: str = "next_version") -> DataFrame:

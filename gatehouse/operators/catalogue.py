@@ -316,18 +316,24 @@ def _with_tag_reason(requests: DataFrame) -> DataFrame:
 
 
 def sync_tags(
-    tags: DataFrame, bridge: DataFrame, requests: DataFrame
+    tags: DataFrame, bridge: DataFrame, requests: DataFrame, order: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Replace tag lists: ``(tags, bridge, refused)``.
 
-    ``tags(tag_id, workspace_id, name, normalized_name)``, ``bridge(dataset_id, tag_id)`` and one request per
-    dataset. Unknown tags are created per workspace with an id hashed from workspace and normalized name.
+    ``tags(tag_id, workspace_id, name, normalized_name)``, ``bridge(dataset_id, tag_id)`` and ``requests(dataset_id,
+    workspace_id, tags)``. Unknown tags are created per workspace with an id hashed from workspace and normalized name.
+    With ``order``, a column of the requests' time, all are judged, and the last accepted one of a dataset counts;
+    without it, the last one by its list is the only one that is judged, so that reruns agree.
     """
-    # The last request of a dataset by its list decides where several are given, so that reruns agree.
-    alone = choose_rows(requests, "dataset_id", "tags", last=True)
-    judged = _with_tag_reason(alone)
+    # The judged requests feed four outputs and are kept once.
+    if order is None:
+        judged = materialize(_with_tag_reason(choose_rows(requests, "dataset_id", "tags", last=True)))
+        accepted = judged.filter("reason IS NULL").drop("reason")
+    else:
+        judged = materialize(_with_tag_reason(requests))
+        ranked = judged.filter("reason IS NULL").withColumn("_order", F.struct(order, "tags"))
+        accepted = materialize(choose_rows(ranked, "dataset_id", "_order", last=True).drop("reason", "_order"))
     refused = judged.filter("reason IS NOT NULL")
-    accepted = judged.filter("reason IS NULL").drop("reason")
     asked = (
         accepted.select("dataset_id", "workspace_id", F.posexplode("tags").alias("_at", "_raw"))
         .withColumn("name", trim_ws(F.col("_raw")))

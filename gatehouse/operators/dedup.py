@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gatehouse.operators.aggregates import side_by_side
 from gatehouse.operators.cells import DUPLICATE_ERROR
+from gatehouse.session import materialize
 
 # What a run may do with a key it has already seen, and how it treats the target.
 SKIP, UPDATE, REJECT = "Skip", "Update", "Reject"
@@ -63,9 +64,10 @@ def in_target_message(behaviour: str) -> str:
 
 
 def split_against_target(kept: DataFrame, target: DataFrame, key: str = "key_hash") -> tuple[DataFrame, DataFrame]:
-    """Kept rows to ``(new, existing)`` by key hash."""
-    known = target.select(key)
-    return kept.join(known, key, "left_anti"), kept.join(known, key, "left_semi")
+    """Kept rows to ``(new, existing)`` by key hash; the target is read once, for the marks that both are taken from."""
+    known = target.select(F.col(key).alias("_stored"))
+    marked = materialize(kept.join(known, kept[key] == known["_stored"], "left"))
+    return marked.filter("_stored IS NULL").drop("_stored"), marked.filter("_stored IS NOT NULL").drop("_stored")
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str = "key_hash", identity: Sequence[str] = ()) -> DataFrame:
@@ -131,6 +133,20 @@ def run_counters(
     facts = side_by_side([base, winners] if known is None else [base, winners, known])
     if known is None:
         facts = facts.withColumn("existing", F.lit(0).cast("bigint"))
+    return counters_of(facts, behaviour)
+
+
+def observed_facts(what: str) -> list[Column]:
+    """Counts of the ``staged`` rows, or of the ``kept`` ones with their mark ``_known``, to be observed while they are
+    written."""
+    if what == "staged":
+        return [F.count(F.lit(1)).alias("total"), F.count_if(~F.col("is_valid")).alias("invalid"),
+                F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("cell_errors")]
+    return [F.count(F.lit(1)).alias("kept"), F.count_if(F.col("_known")).alias("existing")]
+
+
+def counters_of(facts: DataFrame, behaviour: str) -> DataFrame:
+    """The run's counters from one row of total, invalid, cell_errors, kept and existing."""
     losers = F.col("total") - F.col("invalid") - F.col("kept")
     if behaviour == UPDATE:
         rejected, errors, superseded = F.col("invalid"), F.col("cell_errors"), losers

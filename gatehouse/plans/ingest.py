@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from gatehouse.functions.hashing import key_hash
 from gatehouse.functions.text import clean_name
@@ -15,8 +15,8 @@ from gatehouse.functions.working import ROW, carried, data_columns, working_colu
 from gatehouse.operators.cells import ERROR_FIELDS, PROCESSING_ERROR, error_rows, judge
 from gatehouse.operators.config import FieldMapping
 from gatehouse.operators.dedup import (
-    APPEND, BEHAVIOURS, FULL, MODES, UPDATE, choose_rows, duplicate_errors, in_batch_message, in_target_message, merge,
-    run_counters,
+    APPEND, BEHAVIOURS, FULL, MODES, UPDATE, choose_rows, counters_of, duplicate_errors, in_batch_message, in_target_message, merge,
+    observed_facts, run_counters,
 )
 from gatehouse.operators.schema import ColumnSpec, infer_types, validate_key_columns
 from gatehouse.session import materialize, spread
@@ -175,7 +175,10 @@ def ingest(
         columns = establish_schema(batch, run.keys)
     else:
         check_schema(batch, columns, run)
-    staged = keep(stage(batch, columns, run))
+    # What writes the rows counts them as well; another ``keep`` may be lazy, then they are counted by jobs of their own.
+    counts = {what: Observation() for what in ("staged", "kept")} if keep is materialize else {}
+    watched = lambda rows, what: rows.observe(counts[what], *observed_facts(what)) if counts else rows
+    staged = keep(watched(stage(batch, columns, run), "staged"))
     keys = row_keys(staged)
     valid = staged.filter("is_valid").withColumn("_position", F.struct(*keys))
     against = target if run.mode == APPEND and run.behaviour != UPDATE else None
@@ -187,7 +190,7 @@ def ingest(
         stored = (against if known is None else known(winners.select("key_hash"))).select(F.col("key_hash").alias("_stored"))
         winners = winners.join(stored, F.col("key_hash") == F.col("_stored"), "left").withColumn(
             "_known", F.col("_stored").isNotNull()).drop("_stored")
-    kept = keep(winners)
+    kept = keep(watched(winners, "kept"))
     new, existing = kept.filter("NOT _known"), kept.filter("_known")
     records = records_from(new, run)
     cell_errors = error_rows(staged, *keys)
@@ -205,7 +208,12 @@ def ingest(
     errors = failures[0]
     for more in failures[1:]:
         errors = errors.unionByName(more)
-    counters = run_counters(staged, kept, existing if against is not None else None, run.mode, run.behaviour)
+    if counts:
+        facts = counts["staged"].get | counts["kept"].get
+        row_type = ", ".join(f"{name} bigint" for name in facts)
+        counters = counters_of(batch.sparkSession.createDataFrame([tuple(facts.values())], row_type), run.behaviour)
+    else:
+        counters = run_counters(staged, kept, existing if against is not None else None, run.mode, run.behaviour)
     row = counters.select(
         F.lit(run.import_id).alias("import_id"), F.lit(run.dataset_id).alias("dataset_id"),
         F.lit(run.workspace_id).alias("workspace_id"), F.lit(run.mode).alias("import_mode"),

@@ -295,6 +295,20 @@ def l11(t):
     return joined.select("dataset_id", F.when(fresh, F.concat(F.lit("new:"), "normalized_name")).otherwise(F.col("tag_id")).alias("tag"))
 
 
+@query("l11_tag_requests_in_order", """
+    WITH asked AS (SELECT l_orderkey AS dataset_id, l_linenumber AS n, 'tag ' || l_suppkey % 9 AS first, 'tag ' || l_partkey % 9 AS second FROM {lineitem}),
+    accepted AS (SELECT * FROM asked WHERE first <> second QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, first DESC, second DESC) = 1)
+    SELECT dataset_id, upper(first) AS tag FROM accepted UNION ALL SELECT dataset_id, upper(second) FROM accepted""")
+def l11_order(t):
+    """Many requests of a dataset: the last that is not refused, for naming a tag twice, replaces its tags."""
+    asked = t.sql("""SELECT l_orderkey AS dataset_id, l_orderkey % 5 AS workspace_id, l_linenumber AS n,
+        array(concat('tag ', l_suppkey % 9), concat(' Tag ', l_partkey % 9)) AS tags FROM {lineitem}""")
+    none = t.sql("SELECT 'x' AS tag_id, p_partkey % 5 AS workspace_id, 'x' AS name, 'X' AS normalized_name FROM {part}").limit(0)
+    old = none.select(F.lit(0).cast("bigint").alias("dataset_id"), "tag_id")
+    tags, bridge, _ = cat.sync_tags(none, old, asked, "n")
+    return bridge.join(tags.select("tag_id", F.col("normalized_name").alias("tag")), "tag_id").select("dataset_id", "tag")
+
+
 @query("l11_sync_tags_created", TAG_SQL + """
     SELECT DISTINCT w.workspace_id, w.normalized_name FROM wanted w
     WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.workspace_id = w.workspace_id AND o.normalized_name = w.normalized_name)""")
