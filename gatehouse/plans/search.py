@@ -10,8 +10,10 @@ from gatehouse.functions.text import contains_ci
 from gatehouse.operators.filters import (
     ACTIVE, DATASET_STATUSES, date_range, for_workspace, keyword_match, optional_filters, visible, with_tag,
 )
-from gatehouse.operators.paging import page_rows, requested_order
+from gatehouse.operators.joins import exists_filter
+from gatehouse.operators.paging import page_rows, requested_order, sort_columns
 from gatehouse.operators.reports import catalogue_report
+from gatehouse.session import materialize
 
 KEYWORD_FIELDS = ("code", "name", "description", "category_name", "source_name", "source_type", "owner_name")
 
@@ -75,7 +77,15 @@ def catalog_matches(tables: dict[str, DataFrame], request: SearchRequest, reader
 def catalog_search(
     tables: dict[str, DataFrame], request: SearchRequest, reader: Reader
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of the catalogue, and a one-row total before paging."""
-    rows = catalog_matches(tables, request, reader)
+    """One page of the catalogue, and a one-row total before paging.
+
+    The search runs once, for ids and sort values, which are kept; the page and the total are taken from these, and only
+    the page's datasets are read again.
+    """
     order = requested_order(request.sort_by, request.direction, "dataset_id")
-    return page_rows(rows, order, request.page, request.size), rows.agg(F.count("*").alias("total"))
+    keys = list(dict.fromkeys(name for name, _ in order))
+    found = materialize(catalog_matches(tables, request, reader).select(*keys))
+    ids = page_rows(found, order, request.page, request.size).select(F.col("dataset_id").alias("_id"))
+    listed = exists_filter(tables["datasets"], ids, {"dataset_id": "_id"})
+    rows = catalogue_report(listed, tables["workspaces"], tables["categories"], tables["users"])
+    return rows.orderBy(*sort_columns(order)), found.agg(F.count("*").alias("total"))

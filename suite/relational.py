@@ -27,13 +27,13 @@ def f2(t):
 
 
 @query("f3_missing_parents", """
-    SELECT d.dataset_id, d.code,
-           CASE WHEN w.workspace_id IS NULL THEN 'Missing Workspace' END AS workspace_issue,
-           CASE WHEN c.category_id IS NULL THEN 'Missing Category' END AS category_issue,
-           CASE WHEN u.user_id IS NULL THEN 'Missing Owner' END AS owner_issue
-    FROM {datasets} d LEFT JOIN {workspaces} w ON w.workspace_id = d.workspace_id
-    LEFT JOIN {categories} c ON c.category_id = d.category_id LEFT JOIN {users} u ON u.user_id = d.owner_id
-    WHERE w.workspace_id IS NULL OR c.category_id IS NULL OR u.user_id IS NULL""")
+    WITH lost AS (
+        SELECT dataset_id, 'workspace' AS parent FROM {datasets} ANTI JOIN {workspaces} USING (workspace_id)
+        UNION ALL SELECT dataset_id, 'category' FROM {datasets} ANTI JOIN {categories} USING (category_id)
+        UNION ALL SELECT dataset_id, 'owner' FROM {datasets} WHERE owner_id NOT IN (SELECT user_id FROM {users}))
+    SELECT dataset_id, any_value(code) AS code, max('Missing Workspace') FILTER (parent = 'workspace') AS workspace_issue,
+           max('Missing Category') FILTER (parent = 'category') AS category_issue, max('Missing Owner') FILTER (parent = 'owner') AS owner_issue
+    FROM lost JOIN {datasets} USING (dataset_id) GROUP BY dataset_id""")
 def f3(t):
     return quality.missing_relationships(t("datasets"), t("workspaces"), t("categories"), t("users"))
 
@@ -62,9 +62,11 @@ def f6(t):
 
 
 @query("f7_join_with_inequality", """
-    SELECT d.dataset_id, d.workspace_id, d.owner_id, u.workspace_id AS owner_workspace_id, u.is_active AS owner_is_active
-    FROM {datasets} d JOIN {users} u ON u.user_id = d.owner_id
-    WHERE NOT u.is_active OR u.workspace_id IS NULL OR u.workspace_id <> d.workspace_id""")
+    WITH owned AS (SELECT dataset_id, workspace_id, owner_id FROM {datasets} SEMI JOIN (SELECT user_id AS owner_id FROM {users}) USING (owner_id)),
+    proper AS (SELECT dataset_id FROM owned SEMI JOIN (SELECT user_id AS owner_id, workspace_id FROM {users} WHERE is_active) USING (owner_id, workspace_id))
+    SELECT o.*, (SELECT any_value(workspace_id) FROM {users} WHERE user_id = o.owner_id) AS owner_workspace_id,
+           (SELECT bool_and(is_active) FROM {users} WHERE user_id = o.owner_id) AS owner_is_active
+    FROM owned o ANTI JOIN proper USING (dataset_id)""")
 def f7(t):
     return quality.owner_inconsistent(t("datasets"), t("users"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.plans.ingest import ImportRun, ingest
 
-HEADER = ["EmployeeId", "Name", "Email", "Salary", "Status"]
+HEADER = ["CraneNo", "Name", "Depot", "Load", "Status"]
 FIRST = [("E000", "Initial User", "initial.user@example.com", "50000", "ACTIVE")]
 SECOND = [
     ("E001", " Alice Smith ", "ALICE@EXAMPLE.COM", "75000", "active"),
@@ -14,11 +14,11 @@ SECOND = [
     ("E001", "Duplicate User", "duplicate@example.com", "90000", "ACTIVE"),
 ]
 CONFIG = (
-    FieldMapping("EmployeeId", "EmployeeId", transformations=(Rule("Trim", 1),)),
+    FieldMapping("CraneNo", "CraneNo", transformations=(Rule("Trim", 1),)),
     FieldMapping("Name", "Name", transformations=(Rule("Trim", 1),), validations=(Rule("Required", 1),)),
-    FieldMapping("Email", "Email", transformations=(Rule("Trim", 1), Rule("Lowercase", 2)),
+    FieldMapping("Depot", "Depot", transformations=(Rule("Trim", 1), Rule("Lowercase", 2)),
                  validations=(Rule("Pattern", 1, {"pattern": "^[^@]+@[^@]+$"}),)),
-    FieldMapping("Salary", "Salary", transformations=(Rule("Numeric", 1),),
+    FieldMapping("Load", "Load", transformations=(Rule("Numeric", 1),),
                  validations=(Rule("NumericRange", 1, {"min": "0", "max": "1000000"}),)),
     FieldMapping("Status", "Status", transformations=(Rule("Trim", 1), Rule("Uppercase", 2)),
                  validations=(Rule("AllowedValues", 1, {"values": "ACTIVE|INACTIVE"}),)),
@@ -31,7 +31,7 @@ def feed(spark, rows):
 
 
 def settings(mode, behaviour, **more):
-    return ImportRun("run-" + mode, "employees", "ws", mode, behaviour, ("EmployeeId",), **more)
+    return ImportRun("run-" + mode, "cranes", "ws", mode, behaviour, ("CraneNo",), **more)
 
 
 @pytest.fixture(scope="module")
@@ -46,8 +46,8 @@ def counters(result):
 
 def test_first_import_fixes_the_schema(first):
     assert [(c.name, c.data_type, c.is_key) for c in first.columns] == [
-        ("EmployeeId", "String", True), ("Name", "String", False), ("Email", "String", False),
-        ("Salary", "Integer", False), ("Status", "String", False),
+        ("CraneNo", "String", True), ("Name", "String", False), ("Depot", "String", False),
+        ("Load", "Integer", False), ("Status", "String", False),
     ]
     assert counters(first) == (1, 1, 0, 0, 0, "Completed")
     assert first.records.first()["key_hash"] == "42FEB26E871A2E88933BD08339D1C8A076CDEC073A92DDD8333321A2DA57DD78"
@@ -56,28 +56,28 @@ def test_first_import_fixes_the_schema(first):
 def test_append_reject(spark, first):
     result = ingest(feed(spark, SECOND), first.records, first.columns, settings("Append", "Reject", mappings=CONFIG))
     assert counters(result) == (3, 1, 2, 6, 0, "Completed With Errors")
-    records = {r["EmployeeId"]: r for r in result.records.collect()}
+    records = {r["CraneNo"]: r for r in result.records.collect()}
     assert set(records) == {"E000", "E001"}
     alice = records["E001"]
-    assert (alice["Name"], alice["Email"], alice["Salary"], alice["Status"]) == ("Alice Smith", "alice@example.com", 75000, "ACTIVE")
+    assert (alice["Name"], alice["Depot"], alice["Load"], alice["Status"]) == ("Alice Smith", "alice@example.com", 75000, "ACTIVE")
     assert alice["key_hash"] == "A6634568695C7BD7463914EF7404A939DAB3FB7A15C189847E783693B0B0AEBC"
     errors = sorted((r["_row_number"], r["column_name"] or "", r["error_type"]) for r in result.errors.collect())
     assert errors == [
-        (3, "Email", "Validation Error"), (3, "Name", "Validation Error"), (3, "Salary", "Processing Error"),
-        (3, "Salary", "Transformation Error"), (3, "Status", "Validation Error"), (4, "", "Duplicate Error"),
+        (3, "Depot", "Validation Error"), (3, "Name", "Validation Error"), (3, "Load", "Processing Error"),
+        (3, "Load", "Transformation Error"), (3, "Status", "Validation Error"), (4, "", "Duplicate Error"),
     ]
 
 
 def test_append_update_last_row_wins(spark, first):
     result = ingest(feed(spark, SECOND), first.records, first.columns, settings("Append", "Update", mappings=CONFIG))
     assert counters(result) == (3, 1, 1, 5, 1, "Completed With Errors")
-    row = result.records.filter("EmployeeId = 'E001'").first()
-    assert (row["Name"], row["Salary"]) == ("Duplicate User", 90000)
+    row = result.records.filter("CraneNo = 'E001'").first()
+    assert (row["Name"], row["Load"]) == ("Duplicate User", 90000)
 
 
 def test_full_replaces_everything(spark, first):
     result = ingest(feed(spark, SECOND), first.records, first.columns, settings("Full", "Reject", mappings=CONFIG))
-    assert [r["EmployeeId"] for r in result.records.collect()] == ["E001"]
+    assert [r["CraneNo"] for r in result.records.collect()] == ["E001"]
 
 
 def test_existing_key_is_rejected_or_updated(spark, first):
@@ -85,9 +85,9 @@ def test_existing_key_is_rejected_or_updated(spark, first):
     skipped = ingest(again, first.records, first.columns, settings("Append", "Skip"))
     assert counters(skipped) == (2, 1, 1, 1, 0, "Completed With Errors")
     assert skipped.errors.first()["description"] == "Duplicate record already exists in the dataset. Behavior: Skip."
-    run = ImportRun("later", "employees", "ws", "Append", "Update", ("EmployeeId",), at="2024-05-01 00:00:00")
+    run = ImportRun("later", "cranes", "ws", "Append", "Update", ("CraneNo",), at="2024-05-01 00:00:00")
     updated = ingest(again, first.records, first.columns, run)
-    old, new = first.records.first(), updated.records.filter("EmployeeId = 'E000'").first()
+    old, new = first.records.first(), updated.records.filter("CraneNo = 'E000'").first()
     assert counters(updated) == (2, 2, 0, 0, 0, "Completed")
     assert new["record_id"] == old["record_id"] and new["created_at"] == old["created_at"]
     assert new["Name"] == "New Name" and new["source_import_id"] == "later" and str(new["updated_at"]) == "2024-05-01 00:00:00"
@@ -109,7 +109,7 @@ def test_hot_key_in_batch(spark, first):
     rows = [("HOT" if i % 3 == 0 else f"K{i}", "n", "e@x", str(i), "ACTIVE") for i in range(3000)]
     result = ingest(feed(spark, rows).repartition(7), first.records, first.columns, settings("Append", "Skip"))
     assert counters(result) == (3000, 2001, 999, 999, 0, "Completed With Errors")
-    assert result.records.filter("EmployeeId = 'HOT'").first()["Salary"] == 0
+    assert result.records.filter("CraneNo = 'HOT'").first()["Load"] == 0
 
 
 def test_headers_with_underscores_are_data(spark, tmp_path):

@@ -164,13 +164,6 @@ def test_change_detection_ignores_order_case_and_blank_tags(spark):
     assert cat.detect_changes(stored, same.withColumn("name", F.lit("N"))).first()["changed"]
 
 
-def test_contract(spark):
-    rows = quality.contract({"a": spark.range(1)}, [("a", "id"), ("a", "x"), ("b", "id")]).collect()
-    assert {(r["table_name"], r["column_name"]): r["status"] for r in rows} == {
-        ("a", "id"): "Available", ("a", "x"): "Missing", ("b", "id"): "Missing",
-    }
-
-
 def test_plans_keep_hot_keys_and_pairs_out_of_one_task(spark):
     """Winners are limited before the shuffle, and no plan multiplies rows."""
     import contextlib

@@ -71,11 +71,11 @@ def test_file_headers_and_audit(spark, tmp_path):
 
 
 def test_key_columns():
-    assert validate_key_columns(["Employee Name"], ["Employee Name", "Status"]) is None
-    assert validate_key_columns([" employee name "], ["﻿Employee Name", "Status"]) is None
+    assert validate_key_columns(["Crane Number"], ["Crane Number", "Status"]) is None
+    assert validate_key_columns([" crane number "], ["﻿Crane Number", "Status"]) is None
     assert validate_key_columns([], ["a"]) is None
-    assert validate_key_columns(["Employee Name"], ["EmployeeName", "Status"]) == (
-        "Unknown key column(s): Employee Name. Available columns: EmployeeName, Status."
+    assert validate_key_columns(["Crane Number"], ["CraneNumber", "Status"]) == (
+        "Unknown key column(s): Crane Number. Available columns: CraneNumber, Status."
     )
 
 
