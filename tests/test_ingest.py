@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gatehouse.operators.config import FieldMapping, Rule
 from gatehouse.plans.ingest import ImportRun, ingest
 
-HEADER = ["CraneNo", "Name", "Depot", "Weight", "Status"]
+HEADER = ["CraneNo", "Name", "Depot", "Pull", "Status"]
 FIRST = [("E000", "Initial User", "initial.user@example.com", "50000", "ACTIVE")]
 SECOND = [
     ("E001", " Alice Smith ", "ALICE@EXAMPLE.COM", "75000", "active"),
@@ -18,7 +18,7 @@ CONFIG = (
     FieldMapping("Name", "Name", transformations=(Rule("Trim", 1),), validations=(Rule("Required", 1),)),
     FieldMapping("Depot", "Depot", transformations=(Rule("Trim", 1), Rule("Lowercase", 2)),
                  validations=(Rule("Pattern", 1, {"pattern": "^[^@]+@[^@]+$"}),)),
-    FieldMapping("Weight", "Weight", transformations=(Rule("Numeric", 1),),
+    FieldMapping("Pull", "Pull", transformations=(Rule("Numeric", 1),),
                  validations=(Rule("NumericRange", 1, {"min": "0", "max": "1000000"}),)),
     FieldMapping("Status", "Status", transformations=(Rule("Trim", 1), Rule("Uppercase", 2)),
                  validations=(Rule("AllowedValues", 1, {"values": "ACTIVE|INACTIVE"}),)),
@@ -47,7 +47,7 @@ def counters(result):
 def test_first_import_fixes_the_schema(first):
     assert [(c.name, c.data_type, c.is_key) for c in first.columns] == [
         ("CraneNo", "String", True), ("Name", "String", False), ("Depot", "String", False),
-        ("Weight", "Integer", False), ("Status", "String", False),
+        ("Pull", "Integer", False), ("Status", "String", False),
     ]
     assert counters(first) == (1, 1, 0, 0, 0, "Completed")
     assert first.records.first()["key_hash"] == "42FEB26E871A2E88933BD08339D1C8A076CDEC073A92DDD8333321A2DA57DD78"
@@ -59,12 +59,12 @@ def test_append_reject(spark, first):
     records = {r["CraneNo"]: r for r in result.records.collect()}
     assert set(records) == {"E000", "E001"}
     alice = records["E001"]
-    assert (alice["Name"], alice["Depot"], alice["Weight"], alice["Status"]) == ("Alice Smith", "alice@example.com", 75000, "ACTIVE")
+    assert (alice["Name"], alice["Depot"], alice["Pull"], alice["Status"]) == ("Alice Smith", "alice@example.com", 75000, "ACTIVE")
     assert alice["key_hash"] == "A6634568695C7BD7463914EF7404A939DAB3FB7A15C189847E783693B0B0AEBC"
     errors = sorted((r["_row_number"], r["column_name"] or "", r["error_type"]) for r in result.errors.collect())
     assert errors == [
-        (3, "Depot", "Validation Error"), (3, "Name", "Validation Error"), (3, "Weight", "Processing Error"),
-        (3, "Weight", "Transformation Error"), (3, "Status", "Validation Error"), (4, "", "Duplicate Error"),
+        (3, "Depot", "Validation Error"), (3, "Name", "Validation Error"), (3, "Pull", "Processing Error"),
+        (3, "Pull", "Transformation Error"), (3, "Status", "Validation Error"), (4, "", "Duplicate Error"),
     ]
 
 
@@ -72,7 +72,7 @@ def test_append_update_last_row_wins(spark, first):
     result = ingest(feed(spark, SECOND), first.records, first.columns, settings("Append", "Update", mappings=CONFIG))
     assert counters(result) == (3, 1, 1, 5, 1, "Completed With Errors")
     row = result.records.filter("CraneNo = 'E001'").first()
-    assert (row["Name"], row["Weight"]) == ("Duplicate User", 90000)
+    assert (row["Name"], row["Pull"]) == ("Duplicate User", 90000)
 
 
 def test_full_replaces_everything(spark, first):
@@ -109,7 +109,7 @@ def test_hot_key_in_batch(spark, first):
     rows = [("HOT" if i % 3 == 0 else f"K{i}", "n", "e@x", str(i), "ACTIVE") for i in range(3000)]
     result = ingest(feed(spark, rows).repartition(7), first.records, first.columns, settings("Append", "Skip"))
     assert counters(result) == (3000, 2001, 999, 999, 0, "Completed With Errors")
-    assert result.records.filter("CraneNo = 'HOT'").first()["Weight"] == 0
+    assert result.records.filter("CraneNo = 'HOT'").first()["Pull"] == 0
 
 
 def test_headers_with_underscores_are_data(spark, tmp_path):
