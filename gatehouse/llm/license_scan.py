@@ -1,9 +1,11 @@
 """License notices by a positional rare-token index, in DataFrame functions only.
 
-The templates are fixed phrases. Over all documents, the inverse document frequency of every licence word is counted;
-each template is entered in the index under its rarest words, with their offsets. A document's occurrences of these
-words propose places, the template's words are compared at their relative positions, and a place counts when enough of
-the words' weight is there and the template's mandatory phrase stands in full. Everything happens inside the row.
+The templates are fixed phrases and whole notices. Over all documents, the inverse document frequency of every licence
+word is counted; each template is entered in the index under its rarest words, with their offsets, until these have more
+of its weight than a place may lack, and under the rarest word of its mandatory phrase. So every place that can count is
+proposed. A document's occurrences of these words propose places, the template's words are compared at their relative
+positions, and a place counts when enough of the words' weight is there and the mandatory phrase stands in full.
+Everything happens inside the row.
 """
 
 from __future__ import annotations
@@ -29,10 +31,38 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "public domain"),
     ("cc-by-sa", "cc by sa", "cc by sa"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"
+     " files the software to deal in the software without restriction including without limitation the rights to use copy modify"
+     " merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is"
+     " furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be"
+     " included in all copies or substantial portions of the software the software is provided as is without warranty of any kind"
+     " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
+     " noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability"
+     " whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or"
+     " other dealings in the software", "without warranty of any kind"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+     " provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and"
+     " the author disclaims all warranties with regard to this software including all implied warranties of merchantability and"
+     " fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages"
+     " whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"
+     " arising out of or in connection with the use or performance of this software", "with or without fee"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+     " conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the"
+     " following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and"
+     " the following disclaimer in the documentation and or other materials provided with the distribution",
+     "this list of conditions and the following disclaimer"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the"
+     " license you may obtain a copy of the license at", "apache license version 2"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+     " license as published by the free software foundation either version 3 of the license or at your option any later version",
+     "gnu general public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not"
+     " distributed with this file you can obtain one at", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use"
+     " compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non"
+     " commercial and by any means", "unencumbered software"),
 )
 BASE = 3
-#: Words under which a template is entered in the index.
-RAREST = 2
 #: Share of a notice's weight that must stand in its place.
 LEAST_SHARE = 0.8
 
@@ -62,6 +92,18 @@ def frequencies(worded: DataFrame) -> tuple[int, dict[str, int]]:
     return counts.pop("", 0), {word: counts.get(word, 0) for word in vocabulary}
 
 
+def entered(notice: list[str], phrase: list[str], weight: dict[str, float]) -> set[str]:
+    """Words under which a notice is in the index: a place without any of them lacks too much weight, or the phrase."""
+    found, held = set(), 0.0
+    allowed = (1 - LEAST_SHARE) * sum(weight[word] for word in notice)
+    for word in sorted(set(notice), key=lambda word: (weight[word], word), reverse=True):
+        if held > allowed:
+            break
+        found.add(word)
+        held += weight[word] * notice.count(word)
+    return found | {max(phrase, key=lambda word: (weight[word], word))}
+
+
 def licenses(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -77,7 +119,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     templates, entries = [], {}
     for number, (label, notice, phrase) in enumerate(TEMPLATES):
         own, key = notice.split(), phrase.split()
-        for word in sorted(set(own), key=lambda word: (weight[word], word))[-RAREST:]:
+        for word in entered(own, key, weight):
             entries.setdefault(word, []).extend((number, offset) for offset, other in enumerate(own) if other == word)
         shift = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
         templates.append(F.struct(
@@ -107,7 +149,7 @@ def licenses(docs: DataFrame) -> DataFrame:
                         F.when(stands, found / template["total"]).otherwise(0.0).alias("share"))
 
     hits = F.filter(F.transform(F.col("words"), lambda word, place: F.struct(word.alias("word"), place.alias("place"))),
-                    lambda hit: F.array_contains(rare, hit["word"]))
+                    lambda hit: hit["word"].isin(sorted(entries)))
     some = worded.withColumn("hits", F.when(F.arrays_overlap("words", rare), hits))
     scanned = some.withColumn("places", F.when(F.col("hits").isNotNull(), F.transform(
         F.array_distinct(F.flatten(F.transform("hits", proposed))), judged)))
@@ -130,7 +172,8 @@ def _idf(rows: int, with_word: int) -> float:
 
 
 def _checking_sql() -> str:
-    """DuckDB SQL by another route: words as rows, joined to the templates' words by relative position."""
+    """DuckDB SQL by another route: words as rows, joined to the templates' words by relative position, wherever the
+    mandatory phrase stands."""
     notices = ", ".join(f"({n}, '{label}', {str(n < BASE).lower()}, '{notice}', '{phrase}')"
                         for n, (label, notice, phrase) in enumerate(TEMPLATES))
     return f"""
@@ -143,31 +186,25 @@ part AS (
   FROM template),
 key_part AS (
   SELECT number, word, nth,
-    (SELECT min(i) FROM range(0, 20) r(i)
+    (SELECT min(i) FROM range(0, len(string_split(notice, ' '))) r(i)
      WHERE string_split(notice, ' ')[i + 1 : i + len(string_split(phrase, ' '))] = string_split(phrase, ' ')) + nth AS at
   FROM (SELECT number, notice, phrase, unnest(string_split(phrase, ' ')) AS word,
           generate_subscripts(string_split(phrase, ' '), 1) - 1 AS nth FROM template)),
 weight AS (
   SELECT p.word, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT w.doc_id) + 1)) + 1e-6, 6) AS weight
   FROM (SELECT DISTINCT word FROM part) p LEFT JOIN word w ON w.word = p.word GROUP BY p.word),
-ranked AS (
-  SELECT number, word, nth, dense_rank() OVER (PARTITION BY number ORDER BY weight DESC, word DESC) AS rank
-  FROM part JOIN weight USING (word)),
-proposed AS (
-  SELECT DISTINCT doc_id, number, place - nth AS start FROM ranked JOIN word USING (word) WHERE rank <= {RAREST}),
 key_size AS (SELECT number, count(*) AS n FROM key_part GROUP BY number),
 whole AS (SELECT number, sum(weight) AS total FROM part JOIN weight USING (word) GROUP BY number),
+verified AS (
+  SELECT w.doc_id, k.number, w.place - k.at AS start
+  FROM key_part k JOIN key_size z ON z.number = k.number JOIN word w ON w.word = k.word
+  GROUP BY w.doc_id, k.number, w.place - k.at, z.n HAVING count(*) = z.n),
 found AS (
   SELECT p.doc_id, p.number, p.start, sum(weight) AS found
-  FROM proposed p JOIN part ON part.number = p.number
+  FROM verified p JOIN part ON part.number = p.number
   JOIN word w ON w.doc_id = p.doc_id AND w.place = p.start + part.nth AND w.word = part.word
   JOIN weight ON weight.word = part.word
   GROUP BY ALL),
-verified AS (
-  SELECT p.doc_id, p.number, p.start
-  FROM proposed p JOIN key_part k ON k.number = p.number JOIN key_size z ON z.number = p.number
-  JOIN word w ON w.doc_id = p.doc_id AND w.place = p.start + k.at AND w.word = k.word
-  GROUP BY p.doc_id, p.number, p.start, z.n HAVING count(*) = z.n),
 place AS (
   SELECT doc_id, label, base, start, found / total AS share,
     CASE WHEN base THEN true ELSE found / total >= {LEAST_SHARE} END AS good

@@ -51,6 +51,21 @@ def test_partial_notices_need_their_phrase(spark):
     assert found[3].labels == ""
 
 
+def test_places_without_the_rarest_words(spark):
+    """Whichever words are missing, a place with enough of the weight and the phrase is found."""
+    notices = {label: notice.split() for label, notice, _ in license_scan.TEMPLATES if len(notice.split()) > 20}
+    whole = license_scan.TEMPLATES[8][1]
+    texts = ["permission is hereby granted free of charge for any person obtaining a copy of the software"]
+    for word in set(whole.split()) - {"free", "of", "charge"}:
+        texts.append(whole.replace(word, "other", 1))
+    texts += [" ".join(notice) for notice in notices.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, "plain words to read") for i in range(200)], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan.licenses(docs).collect()}
+    assert all("mit" in found[i].labels.split(",") for i in range(len(texts) - len(notices)))
+    for i, label in enumerate(notices, len(texts) - len(notices)):
+        assert label in found[i].labels.split(",") and found[i].score == 1
+
+
 def test_query_matches_sql_and_contract(spark):
     folder = "/root/testdata/sf0.01"
     frame = QUERIES["op8_licenses"](spark, folder)
