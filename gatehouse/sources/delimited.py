@@ -95,15 +95,16 @@ def read_delimited(
 
 def without_header(numbered: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
     """(data rows, names) of numbered rows of ``width`` cells whose files must share one header and be no wider."""
-    wide = numbered.filter("overflow IS NOT NULL").orderBy(ROW).select(SOURCE, ROW).take(1)
-    if wide:
-        raise ValueError(f"File contains missing or blank headers: row {wide[0][ROW]} is wider than the header.")
-    heads = numbered.filter(F.col(ROW) == 1).select(*(f"c{i}" for i in range(width))).distinct().take(2)
-    if not heads:
+    head = F.when(F.col(ROW) == 1, F.struct(*(f"c{i}" for i in range(width))))
+    wide = F.when(F.col("overflow").isNotNull(), F.col(ROW))
+    found = numbered.agg(F.min(wide).alias("wide"), F.min(head).alias("least"), F.max(head).alias("most")).first()
+    if found["wide"] is not None:
+        raise ValueError(f"File contains missing or blank headers: row {found['wide']} is wider than the header.")
+    if found["least"] is None:
         raise ValueError("The file is empty.")
-    if len(heads) > 1:
+    if found["least"] != found["most"]:
         raise ValueError("The files do not share one header.")
-    return numbered.filter(F.col(ROW) > 1), resolve_headers(list(heads[0]))
+    return numbered.filter(F.col(ROW) > 1), resolve_headers(list(found["least"]))
 
 
 def resolve_headers(cells: list[str]) -> list[str]:

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gatehouse.operators import catalogue as cat
+from gatehouse.sources import keyed
+from gatehouse.sources.store import read_table
 from suite.registry import query
 
 EDITS = """
@@ -334,6 +336,20 @@ def l12(t):
     return cat.upsert_reference(target, source, "id", ["name"])
 
 
+@query("l12_upsert_reference_by_parts", """
+    SELECT coalesce(t.id, s.id) AS id, CASE WHEN s.id IS NULL THEN t.name ELSE s.name END AS name,
+           CASE WHEN t.id IS NULL THEN s.note ELSE t.note END AS note
+    FROM (SELECT p_partkey AS id, p_name AS name, p_brand AS note FROM {part}) t
+    FULL JOIN (SELECT p_partkey * 2 AS id, upper(p_name) AS name, 'seed' AS note FROM {part}) s ON s.id = t.id""")
+def l12_parts(t):
+    """The reference merge on a keyed table; numbers are keys as well."""
+    path = t.scratch("reference")
+    keyed.write_keyed(t.sql("SELECT p_partkey AS id, p_name AS name, p_brand AS note FROM {part}"), path, "seed", "id", part_rows=100)
+    source = t.sql("SELECT p_partkey * 2 AS id, upper(p_name) AS name, 'seed' AS note FROM {part}")
+    keyed.upsert_keyed(source, path, "run-1", "id", identity=("note",))
+    return read_table(t.spark, path)
+
+
 @query("l13_sync_to_required", """
     WITH required AS (SELECT p_partkey % 100 AS role_id, p_partkey AS permission_id FROM {part} UNION SELECT s_suppkey, s_suppkey * 2 FROM {supplier}),
     existing AS (SELECT DISTINCT role_id, permission_id FROM {grants}),
