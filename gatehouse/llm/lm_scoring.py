@@ -3,25 +3,32 @@
 The model spells a text byte by byte, tokens parted by one blank and closed by an end mark. Every context of up to five
 bytes is a restaurant whose parent is the context without its first byte; a restaurant's new tables are customers of
 its parent. Table counts are sampled by Gibbs sweeps, and the predictive probabilities of the kept sweeps are averaged.
-All contexts that end in one byte form a subtree, sampled in one task from merged counts; only the root is shared.
 
-Counts of whole tokens, for the base score, are exact over the whole corpus: documents are cut into segments, a segment
-sends its different tokens once, buckets of tokens add them up and answer every segment that asked.
+Documents are cut into segments. A segment sends its different grams (a byte with the five before it) once, with their
+counts in training documents, to buckets by the last two bytes of the context. All contexts that end in the same two
+bytes form a subtree; a bucket samples its subtrees from the counts of all segments, whatever the segments are. A bucket
+that many segments ask is salted, and each part samples the same restaurants from the same counts and seed. The bucket
+returns the averaged probability of every gram that a segment asked for. Only the restaurants of single bytes are shared:
+they are sampled first, in a model of contexts of up to two bytes, and their 256 x 256 probabilities are sent to all tasks.
+
+Counts of whole tokens, for the base score, are exact over the whole corpus: a segment sends its different tokens once,
+buckets of tokens add them up and answer every segment that asked.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from gatehouse.llm.arrow_text import LOWER, TOKEN, Block, span_hashes, text_blocks, tokens
+from gatehouse.llm.arrow_text import LOWER, TOKEN, Block, mix, span_hashes, text_blocks, tokens
 from gatehouse.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,17 +37,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 5
 DISCOUNTS, STRENGTHS = (0.4, 0.5, 0.6, 0.7, 0.75), (1.0, 1.0, 0.5, 0.5, 0.5)
 SWEEPS, BURN_IN = 6, 3
-SEGMENT_BYTES, BUCKET_TOKENS, BLOCK_BYTES = 2 << 20, 2_000_000, 1 << 17
-#: Entries of one piece of the model; a text is scored by one piece after the other.
-PIECE = 4_000_000
-#: Different grams that a task adds up before it hands them on.
-FLUSH = 600_000
+#: Bytes of the context that make a subtree, and those of the model that is sampled for the levels above it.
+SUFFIX = 2
+SEGMENT_BYTES, BUCKET_TOKENS, BLOCK_BYTES = 8 << 20, 2_000_000, 1 << 17
+#: Buckets of subtrees, and segments that one part of a bucket answers.
+BUCKETS, TOGETHER = 128, 512
 BLANK, END = 0x20, 0x0A
 
 #: One row per segment: numbers as the bytes of an array, ``named`` and ``held`` as one byte per text, texts compressed.
 _SEGMENT = (
     "seg bigint, doc_ids binary, named binary, held binary, text binary, offsets binary, vocabulary binary, counts binary,"
-    "bytes array<bigint>, n_train bigint"
+    "n_train bigint"
 )
 
 
@@ -110,19 +117,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segment(seg: int, held: list[tuple]) -> pa.RecordBatch:
-    vocabularies, counts, seen = [], [], np.zeros(256, np.int64)
+    vocabularies, counts = [], []
     for block, _, _, out in held:
         hashes, bounds = token_hashes(block)
         training = np.repeat(~out, np.diff(bounds))
         different, number = np.unique(hashes, return_inverse=True)
         vocabularies.append(different)
         counts.append(np.bincount(number, training, len(different)).astype(np.int64))
-        data, text_bounds = spelled(block)
-        lengths = np.diff(text_bounds)
-        lengths = np.where(out, 0, lengths - ORDER)
-        starts = text_bounds[:-1] + ORDER
-        take = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        seen += np.bincount(data[take], minlength=256)
     vocabulary, number = np.unique(np.concatenate(vocabularies), return_inverse=True)
     total = np.bincount(number, np.concatenate(counts), len(vocabulary)).astype(np.int64)
     offsets, at = [np.zeros(1, np.int64)], 0
@@ -135,7 +136,7 @@ def _segment(seg: int, held: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array([seg]), blob(ids), blob(named), blob(out),
         pa.array([texts], pa.binary()), blob(np.concatenate(offsets)), blob(vocabulary), blob(total),
-        pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([int((~out).sum())])],
+        pa.array([int((~out).sum())])],
         names=[x.split()[0] for x in _SEGMENT.split(",")])
 
 
@@ -198,58 +199,128 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
         "n": np.where(first, totals.sum(), 0), "v": np.where(first, (totals > 0).sum(), 0)})
 
 
-def model_pieces(parts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The averaged model from the training documents of all segments: (suffix, keys, values, size) of each subtree,
-    written to the shared scratch folder, and the root's probability of each byte."""
-    spark = parts.sparkSession
-    root = np.zeros(256)
-    for at, n in parts.select(F.posexplode("bytes")).groupBy("pos").agg(F.sum("col")).collect():
-        root[at] = n
-    counted = parts.select("text", "offsets", "held").mapInArrow(_counted, "code bigint, n bigint")
-    summed = counted.groupBy("code").agg(F.sum("n").alias("n"))
-    path = scratch_path(spark, "language-model")
-    base = (root + 1) / (root.sum() + 256)
-
-    def sampled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        keys, values = subtree(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy(), base, key[0])
-        return pd.DataFrame({"suffix": [key[0]], "keys": [keys.tobytes()], "values": [values.tobytes()], "size": [len(keys)]})
-
-    suffix = F.shiftright("code", 8).bitwiseAND(F.lit(255)).cast("int").alias("suffix")
-    summed.select(suffix, "code", "n").groupBy("suffix").applyInPandas(
-        sampled, "suffix int, keys binary, values binary, size bigint").write.parquet(path)
-    return spark.read.parquet(path), base
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different grams of the training texts with their counts, added up over the segments of a task until there are
-    FLUSH of them."""
-    codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+def bucket_of(codes: np.ndarray) -> np.ndarray:
+    """The bucket of each gram, by the last bytes of its context."""
+    suffix = (codes >> np.uint64(8)) & np.uint64((1 << (8 * SUFFIX)) - 1)
+    return (mix(suffix) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as the bytes of their differences, in planes."""
+    planes = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _numbers(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), np.int64)
+
+
+def segment_grams(parts: DataFrame) -> DataFrame:
+    """(bucket, salt, seg, codes, counts): the different grams of each segment with their counts in training documents,
+    written to the shared scratch folder."""
+    salts = max(1, -(-parts.count() // TOGETHER))
+    found = parts.select("seg", "text", "offsets", "held").mapInArrow(_grams_asked, "bucket int, seg bigint, codes binary, counts binary")
+    path = scratch_path(parts.sparkSession, "segment-grams")
+    found.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(salts))).write.parquet(path)
+    return parts.sparkSession.read.parquet(path)
+
+
+def _grams_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, offsets, held in zip(*batch.columns, strict=True):
+        for seg, text, offsets, held in zip(*batch.columns, strict=True):
             out = np.frombuffer(held.as_buffer(), bool)
-            parts = []
+            merged, waiting = (np.empty(0, np.uint64), np.empty(0, np.int64)), []
             for block in _texts(text.as_buffer(), offsets.as_buffer()):
                 data, bounds = spelled(block)
-                training = np.repeat(~out[block.first : block.first + block.count], np.diff(bounds))[ORDER:]
-                parts.append(np.unique(grams(data)[training & _inside(bounds)], return_counts=True))
-            codes, counts = _added([(codes, counts), _added(parts)])
-            if len(codes) > FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
-                codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
+                own = _inside(bounds)
+                training = np.repeat(~out[block.first : block.first + block.count], np.diff(bounds))[ORDER:][own]
+                codes, number = np.unique(grams(data)[own], return_inverse=True)
+                waiting.append((codes, np.bincount(number, training, len(codes)).astype(np.int64)))
+                if sum(len(x[0]) for x in waiting) > len(merged[0]) + 500_000:
+                    merged, waiting = _added([merged, *waiting]), []
+            codes, counts = _added([merged, *waiting])
+            bucket = bucket_of(codes)
+            order = np.argsort(bucket, kind="stable")
+            some, first = np.unique(bucket[order], return_index=True)
+            cut = np.split(order, first[1:]) if len(order) else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array(some, pa.int32()), pa.array([seg.as_py()] * len(some), pa.int64()),
+                pa.array([_packed(codes[part]) for part in cut], pa.binary()),
+                pa.array([_numbers(counts[part]) for part in cut], pa.binary())], names=["bucket", "seg", "codes", "counts"])
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Different codes of all parts, each with the sum of its counts."""
     codes = np.concatenate([x[0] for x in parts])
     counts = np.concatenate([x[1] for x in parts])
-    order = np.argsort(codes)
+    order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _added([(_unpacked(c.as_py()), _counts(n.as_py())) for c, n in zip(rows.column("codes"), rows.column("counts"), strict=True)])
+
+
+def corpus_grams(asked: DataFrame) -> DataFrame:
+    """(bucket, codes, counts): the grams of all training documents, one row a bucket. Each part of a bucket adds up its
+    segments first."""
+
+    def added(rows: pa.Table) -> pa.Table:
+        codes, counts = _summed(rows)
+        some = counts > 0
+        return pa.table({"bucket": rows.column("bucket")[:1], "codes": pa.array([_packed(codes[some])], pa.binary()),
+                         "counts": pa.array([_numbers(counts[some])], pa.binary())})
+
+    schema = "bucket int, codes binary, counts binary"
+    path = scratch_path(asked.sparkSession, "corpus-grams")
+    asked.groupBy("bucket", "salt").applyInArrow(added, schema).groupBy("bucket").applyInArrow(added, schema).write.parquet(path)
+    return asked.sparkSession.read.parquet(path)
+
+
+def shared_levels(grams_: DataFrame) -> np.ndarray:
+    """Probability of each byte after each single byte, sampled in a model of contexts of up to SUFFIX bytes; at most
+    256 x 256 numbers come to the driver."""
+    spark, path = grams_.sparkSession, scratch_path(grams_.sparkSession, "short-grams")
+    grams_.mapInArrow(_shortened, "last int, code bigint, n bigint").groupBy("last", "code").agg(F.sum("n").alias("n")).write.parquet(path)
+    short = spark.read.parquet(path)
+    bytes_ = np.zeros(256)
+    for at, n in short.groupBy(F.col("code").bitwiseAND(F.lit(255))).agg(F.sum("n")).collect():
+        bytes_[at] = n
+    root = (bytes_ + 1) / (bytes_.sum() + 256)
+
+    def sampled(rows: pa.Table) -> pa.Table:
+        codes, counts = _added([(rows.column("code").to_numpy().view(np.uint64), rows.column("n").to_numpy())])
+        last = rows.column("last")[0].as_py()
+        levels = subtree(codes, counts, lambda own: root[own & np.uint64(255)], last, range(1, SUFFIX + 1))
+        every = np.arange(256, dtype=np.uint64) | np.uint64(last << 8)
+        return pa.table({"last": pa.array([last], pa.int32()), "p": pa.array([averaged(levels[:1], every, root[every & np.uint64(255)]).tolist()])})
+
+    first = np.tile(root, (256, 1))
+    for last, p in short.groupBy("last").applyInArrow(sampled, "last int, p array<double>").collect():
+        first[last] = p
+    return first
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for codes, counts in zip(batch.column("codes"), batch.column("counts"), strict=True):
+            own = _unpacked(codes.as_py()) & np.uint64((1 << (8 * (SUFFIX + 1))) - 1)
+            own, n = _added([(own, _counts(counts.as_py()))])
+            last = ((own >> np.uint64(8)) & np.uint64(255)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(last), pa.array(own.view(np.int64)), pa.array(n)], names=["last", "code", "n"])
+
+
 def seat(counts: np.ndarray, start: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
     """Tables of each dish after seating its customers one by one: the first opens a table, customer j + 1 a further one
     with weight ``start`` (strength and discounted tables of the restaurant times the parent's probability) against
@@ -266,91 +337,103 @@ def seat(counts: np.ndarray, start: np.ndarray, discount: float, random: np.rand
     return tables
 
 
-def subtree(codes: np.ndarray, counts: np.ndarray, base: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, log10 values) of all contexts that end in one byte: the probability of each dish, keyed by (length, gram),
-    and each context's weight of its parent, keyed by (length, context) with the highest bit set."""
+class Level(NamedTuple):
+    """Restaurants of one context length: grams and contexts, and, for each kept sweep, a gram's own part of its
+    probability and a context's weight of its parent."""
+
+    length: int
+    grams: np.ndarray
+    contexts: np.ndarray
+    own: np.ndarray
+    back: np.ndarray
+
+
+def subtree(
+    codes: np.ndarray, counts: np.ndarray, above_first: Callable[[np.ndarray], np.ndarray], seed: int, lengths: range
+) -> list[Level]:
+    """Sampled restaurants of the given context ``lengths``, from the different grams of the longest one and their counts;
+    ``above_first`` gives the parents' probability of the shortest one's grams. The seed alone fixes the sample."""
     random = np.random.default_rng(seed)
-    levels = []  # per context length: codes, number of the parent's entry, restaurants, number of the restaurant
-    for length in range(ORDER, 0, -1):
+    levels = []  # per context length: grams, number of the parent's gram, contexts, number of the context
+    for length in reversed(lengths):
         houses, house = np.unique(codes >> np.uint64(8), return_inverse=True)
         shorter, parent = np.unique(codes & np.uint64((1 << (8 * length)) - 1), return_inverse=True)
         levels.append((codes, parent, houses, house))
-        codes = shorter
+        codes = shorter if length > lengths[0] else codes
     levels.reverse()
-    root = base[codes.astype(np.int64)]
+    first = above_first(levels[0][0])
     tables = [np.ones(len(level[0]), np.int64) for level in levels]
-    sums = [[np.zeros(len(level[0])), np.zeros(len(level[2]))] for level in levels]
+    own, back = [[] for _ in levels], [[] for _ in levels]
     for sweep in range(SWEEPS):
-        customers: list[np.ndarray] = [counts] * ORDER
-        for k in range(ORDER - 2, -1, -1):
-            customers[k] = np.bincount(levels[k + 1][1], tables[k + 1], len(levels[k][0])).astype(np.int64)
-        probability, chances = root, []
+        customers = _customers(levels, tables, counts)
+        probability, chances = None, []
         for k, (_, parent, houses, house) in enumerate(levels):
+            discount, strength = DISCOUNTS[lengths[k] - 1], STRENGTHS[lengths[k] - 1]
             seats, open_ = (np.bincount(house, x, len(houses)) for x in (customers[k], tables[k]))
-            total = STRENGTHS[k] + seats
-            back = (STRENGTHS[k] + DISCOUNTS[k] * open_) / total
-            above = probability[parent]
-            probability = (customers[k] - DISCOUNTS[k] * tables[k]) / total[house] + back[house] * above
-            chances.append((above, STRENGTHS[k] + DISCOUNTS[k] * open_))
+            weight = strength + discount * open_
+            share, rest = (customers[k] - discount * tables[k]) / (strength + seats)[house], weight / (strength + seats)
+            above = first if k == 0 else probability[parent]
+            probability = share + rest[house] * above
+            chances.append((above, weight))
             if sweep >= BURN_IN:
-                sums[k][0] += probability
-                sums[k][1] += back
-        for k in range(ORDER - 1, -1, -1):
-            own = counts if k == ORDER - 1 else np.bincount(levels[k + 1][1], tables[k + 1], len(levels[k][0])).astype(np.int64)
+                own[k].append(share)
+                back[k].append(rest)
+        for k in range(len(levels) - 1, -1, -1):
             above, weight = chances[k]
-            tables[k] = seat(own, weight[levels[k][3]] * above, DISCOUNTS[k], random)
-    keys, values = [], []
-    for k, (codes, _, houses, _) in enumerate(levels):
-        mark = np.uint64((k + 1) << 56)
-        keys += [codes | mark, houses | mark | np.uint64(1 << 63)]
-        values += [np.log10(x / (SWEEPS - BURN_IN)) for x in sums[k]]
-    return np.concatenate(keys), np.concatenate(values).astype(np.float32)
-
-
-class Piece(NamedTuple):
-    """Part of the model: which suffixes it has, and its entries, sorted by key."""
-
-    inside: np.ndarray
-    keys: np.ndarray
-    values: np.ndarray
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, values)."""
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return found, np.where(found, self.values[at], np.float32(0))
-
-
-def piece_of(rows: list[tuple[int, bytes, bytes]]) -> Piece:
-    """The piece of (suffix, keys, values) rows."""
-    inside = np.zeros(256, bool)
-    inside[[suffix for suffix, _, _ in rows]] = True
-    keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
-    order = np.argsort(keys)
-    return Piece(inside, keys[order], np.concatenate([np.frombuffer(v, np.float32) for _, _, v in rows])[order])
-
-
-def log_probabilities(codes: np.ndarray, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, log10 probability, last byte) for the grams whose context ends in a suffix of the piece: the longest
-    context in which the byte was seen, times the parent weights of the longer contexts. Where no context has it, the
-    third part is the byte for the root, else -1."""
-    places = np.flatnonzero(piece.inside[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)])
-    # Every different gram is looked up once, in the order of the keys.
-    own, number = np.unique(codes[places], return_inverse=True)
-    out, left = np.zeros(len(own)), np.arange(len(own))
-    rest = np.full(len(own), -1, np.int64)
-    for length in range(ORDER, 0, -1):
-        mark = np.uint64(length << 56)
-        gram = own[left] & np.uint64((1 << (8 * (length + 1))) - 1)
-        found, value = piece.find(gram | mark)
-        out[left[found]] += value[found]
-        left, gram = left[~found], gram[~found]
-        if not len(left):
-            break
-        _, value = piece.find((gram >> np.uint64(8)) | mark | np.uint64(1 << 63))
-        out[left] += value
-    rest[left] = (own[left] & np.uint64(255)).astype(np.int64)
-    return places, out[number], rest[number]
+            tables[k] = seat(_customers(levels, tables, counts)[k], weight[levels[k][3]] * above, DISCOUNTS[lengths[k] - 1], random)
+    return [Level(lengths[k], level[0], level[2], np.array(own[k]), np.array(back[k])) for k, level in enumerate(levels)]
+
+
+def _customers(levels: list[tuple], tables: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
+    """Customers of each level's dishes: the tables of the longer contexts, and at the longest the counts."""
+    inner = [np.bincount(levels[k + 1][1], tables[k + 1], len(levels[k][0])).astype(np.int64) for k in range(len(levels) - 1)]
+    return [*inner, counts]
+
+
+def averaged(levels: list[Level], codes: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Predictive probability of each gram, averaged over the kept sweeps; ``above`` is that of the shared levels."""
+    probability = np.tile(above, (SWEEPS - BURN_IN, 1))
+    for level in levels:
+        gram = codes & np.uint64((1 << (8 * (level.length + 1))) - 1)
+        house, seated = _place(level.contexts, gram >> np.uint64(8))
+        dish, known = _place(level.grams, gram)
+        probability = np.where(known, level.own[:, dish], 0) + np.where(seated, level.back[:, house], 1) * probability
+    return probability.mean(axis=0)
+
+
+def _place(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+def bucket_probabilities(asked: np.ndarray, codes: np.ndarray, counts: np.ndarray, shared: np.ndarray, seed: int) -> np.ndarray:
+    """Probability of each of the ``asked`` grams of a bucket, from its training grams and their counts."""
+    def above(own: np.ndarray) -> np.ndarray:
+        return shared[(own >> np.uint64(8)) & np.uint64(255), own & np.uint64(255)]
+
+    levels = subtree(codes, counts, above, seed, range(SUFFIX, ORDER + 1)) if len(codes) else []
+    # A bounded number at a time: each gram has a probability for each sweep.
+    parts = np.split(asked, range(100_000, len(asked), 100_000))
+    return np.concatenate([averaged(levels, part, above(part)) for part in parts])
+
+
+def gram_answers(asked: DataFrame, grams_: DataFrame, shared: np.ndarray) -> DataFrame:
+    """(seg, bucket, codes, logs): log10 probability of every gram that a segment asked for."""
+    last = asked.agg(F.max("salt")).first()[0] or 0
+    copies = grams_.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
+
+    def answered(rows: pa.Table, corpus: pa.Table) -> pa.Table:
+        own = [_unpacked(x.as_py()) for x in rows.column("codes")]
+        known = _summed(corpus) if corpus.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        different, number = np.unique(np.concatenate([np.empty(0, np.uint64), *own]), return_inverse=True)
+        seed = int(bucket_of(different[:1])[0]) if len(different) else 0
+        logs = np.log10(bucket_probabilities(different, *known, shared, seed))[number]
+        parts = np.split(logs, np.cumsum([len(x) for x in own])[:-1])
+        return pa.table({"seg": rows.column("seg"), "bucket": rows.column("bucket"), "codes": rows.column("codes"),
+                         "logs": pa.array([x.astype(np.float32).tobytes() for x in parts[: len(own)]], pa.binary())})
+
+    return asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(
+        answered, "seg bigint, bucket int, codes binary, logs binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -360,41 +443,33 @@ def score(docs: DataFrame) -> DataFrame:
     counts as a token. Rows with a null doc_id are held out; repeated rows count as often as they occur. Without
     training rows the base score is 0 and the model spells every byte alike. Other columns are not read.
     """
-    spark = docs.sparkSession
     parts = segments(docs)
     answers = token_answers(parts)
-    pieces, base = model_pieces(parts)
     totals = answers.agg(F.sum("n"), F.sum("v")).first()
     ends = parts.agg(F.sum("n_train")).first()[0] or 0
     train_tokens, different = (totals[0] or 0) + ends, (totals[1] or 0) + (1 if ends else 0)
-    sent, held, size, known = [], [], 0, np.zeros(256, bool)
-
-    def send() -> None:
-        sent.append(spark.sparkContext.broadcast(piece_of(held)))
-
-    for row in pieces.orderBy("suffix").toLocalIterator():
-        held.append((row["suffix"], bytes(row["keys"]), bytes(row["values"])))
-        known[row["suffix"]] = True
-        size += row["size"]
-        if size >= PIECE:
-            send()
-            held, size = [], 0
-    if held:
-        send()
-    floor = np.log10(base)
-    scored = _scorer(sent, known, floor, ends, train_tokens, different)
-    return parts.select("seg", "doc_ids", "named", "held", "text", "offsets").groupBy("seg").cogroup(
-        answers.select("seg", "bucket", "totals").groupBy("seg")).applyInPandas(
-        scored, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _scorer(sent: list, known: np.ndarray, floor: np.ndarray, ends: int, train_tokens: int, different: int):
+    asked = segment_grams(parts)
+    corpus = corpus_grams(asked)
+    spelt = gram_answers(asked, corpus, shared_levels(corpus))
+    nothing = F.lit(None).cast("binary")
+    every = answers.select("seg", "bucket", "totals", nothing.alias("codes"), nothing.alias("logs")).unionByName(
+        spelt.select("seg", "bucket", nothing.alias("totals"), "codes", "logs"))
+    return parts.select("seg", "doc_ids", "named", "held", "text", "offsets").groupBy("seg").cogroup(every.groupBy("seg")).applyInPandas(
+        _scorer(ends, train_tokens, different),
+        "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _scorer(ends: int, train_tokens: int, different: int):
     def scored(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in answers.sort_values("bucket")["totals"])])
+        of_tokens, of_grams = answers[answers["totals"].notna()], answers[answers["codes"].notna()]
+        counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in of_tokens.sort_values("bucket")["totals"])])
+        codes = np.concatenate([np.empty(0, np.uint64), *(_unpacked(x) for x in of_grams["codes"])])
+        logs = np.concatenate([np.empty(0, np.float32), *(np.frombuffer(x, np.float32) for x in of_grams["logs"])])
+        order = np.argsort(codes)
         out = []
         for row in parts.itertuples():
             found = _base_scores(row, counts, ends, train_tokens, different)
-            found["score"] = _model_scores(row, sent, known, floor)
+            found["score"] = _model_scores(row, codes[order], logs[order].astype(float))
             out.append(found)
         return pd.concat(out)
 
@@ -418,25 +493,17 @@ def _base_scores(row, counts: np.ndarray, ends: int, train_tokens: int, differen
         "train_tokens": train_tokens, "base_score": base})
 
 
-def _model_scores(row, sent: list, known: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    """log10 probability of each text of a segment, one piece of the model after the other."""
+def _model_scores(row, codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 probability of each text of a segment, from those of its different grams."""
     out = np.zeros(len(row.held))
-    for first, piece in enumerate([broadcast.value for broadcast in sent] or [None]):
-        for block in _texts(row.text, row.offsets):
-            data, bounds = spelled(block)
-            own = _inside(bounds)
-            codes = grams(data)[own]
-            text = np.repeat(np.arange(block.count), np.diff(bounds))[ORDER:][own]
-            rows = slice(block.first, block.first + block.count)
-            if piece is not None:
-                places, logs, rest = log_probabilities(codes, piece)
-                logs += np.where(rest >= 0, floor[rest], 0)
-                out[rows] += np.bincount(text[places], logs, block.count)
-            if first == 0:
-                # After a byte that came before no other one in training there is the root alone.
-                alone = ~known[((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64)]
-                last = (codes[alone] & np.uint64(255)).astype(np.int64)
-                out[rows] += np.bincount(text[alone], floor[last], block.count)
+    for block in _texts(row.text, row.offsets):
+        data, bounds = spelled(block)
+        own = _inside(bounds)
+        text = np.repeat(np.arange(block.count), np.diff(bounds))[ORDER:][own]
+        # Sorted grams find their places one near the other.
+        wanted = grams(data)[own]
+        order = np.argsort(wanted)
+        out[block.first : block.first + block.count] = np.bincount(text[order], logs[np.searchsorted(codes, wanted[order])], block.count)
     return out
 
 

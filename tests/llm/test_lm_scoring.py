@@ -60,10 +60,10 @@ def test_rows(spark, monkeypatch):
     assert all(r.score < 0 for r in one)
     monkeypatch.setattr(lm, "SEGMENT_BYTES", 500)
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 40)
-    monkeypatch.setattr(lm, "PIECE", 50)
+    monkeypatch.setattr(lm, "TOGETHER", 2)
     many = lm.score(docs).collect()
     assert found(many) == expected(ROWS)
-    assert sorted(round(r.score, 2) for r in many) == pytest.approx(sorted(round(r.score, 2) for r in one), abs=0.02)
+    assert sorted(r.score for r in many) == pytest.approx(sorted(r.score for r in one), rel=1e-6)
 
 
 def test_without_training_rows(spark):
@@ -87,23 +87,82 @@ def test_seating_like_one_customer_after_the_other():
     assert lm.seat(np.array([1, 2, 10**9]), np.full(3, 0.5), discount, random).tolist()[0] == 1
 
 
+def spelling(text):
+    """The bytes that the model spells, and each one's six-byte gram."""
+    data = b"\n" * lm.ORDER + b"".join(t.encode() + b" " for t in tokens(text)[:-1]) + b"\n"
+    return [data[i - lm.ORDER : i + 1] for i in range(lm.ORDER, len(data))]
+
+
+def code(gram):
+    return int.from_bytes(gram, "big")
+
+
+def bucket_of(gram):
+    return int(lm.bucket_of(np.array([code(gram)], np.uint64))[0])
+
+
+def sampled(rows):
+    """The model of some rows, from grams that a dictionary counts: probabilities of the shared level, and the subtrees."""
+    counts = Counter(g for i, text, *_ in rows if not held(i) for g in spelling(text))
+    arrays = lambda c: (np.array(sorted(map(code, c)), np.uint64), np.array([c[g] for g in sorted(c)], np.int64))
+    bytes_ = Counter()
+    for g, n in counts.items():
+        bytes_[g[-1]] += n
+    root = np.array([(bytes_[b] + 1) / (sum(bytes_.values()) + 256) for b in range(256)])
+    shared = np.tile(root, (256, 1))
+    every = np.arange(256, dtype=np.uint64)
+    for last in {g[-2] for g in counts}:
+        short = Counter()
+        for g, n in counts.items():
+            if g[-2] == last:
+                short[g[-3:]] += n
+        levels = lm.subtree(*arrays(short), lambda own: root[own & np.uint64(255)], last, range(1, 3))
+        shared[last] = lm.averaged(levels[:1], every | np.uint64(last << 8), root)
+    trees = {}
+    for bucket in {bucket_of(g) for g in counts}:
+        own = Counter({g: n for g, n in counts.items() if bucket_of(g) == bucket})
+        above = lambda x: shared[(x >> np.uint64(8)) & np.uint64(255), x & np.uint64(255)]
+        trees[bucket] = lm.subtree(*arrays(own), above, bucket, range(2, lm.ORDER + 1))
+    return shared, trees
+
+
+def probability(model, gram):
+    """Predictive probability of a gram's last byte, by the recursion over its contexts, in plain Python."""
+    shared, trees = model
+    total = 0.0
+    for sweep in range(lm.SWEEPS - lm.BURN_IN):
+        p = shared[gram[-2], gram[-1]]
+        for level in trees.get(bucket_of(gram), ()):
+            context, own = code(gram[-level.length - 1 : -1]), code(gram[-level.length - 1 :])
+            if context in level.contexts.tolist():
+                p *= level.back[sweep][level.contexts.tolist().index(context)]
+            if own in level.grams.tolist():
+                p += level.own[sweep][level.grams.tolist().index(own)]
+        total += p
+    return total / (lm.SWEEPS - lm.BURN_IN)
+
+
+def test_scores_of_a_tiny_corpus(spark, monkeypatch):
+    """Sums over bytes, one at a time, against the segments, buckets and cogroups."""
+    rows = [(i, t) for i, t in enumerate(["abra cadabra", "Bra Cab", "a", None, "dab", "cad abra bar", "x yz", "abra", "brac", "cab"] * 2)]
+    model = sampled(rows)
+    wanted = {i: sum(log10(probability(model, g)) for g in spelling(text)) for i, text in rows}
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 200)
+    monkeypatch.setattr(lm, "TOGETHER", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.score for r in lm.score(docs).collect()} == pytest.approx(wanted, rel=1e-5)
+
+
 def test_probabilities_of_all_bytes_add_up():
     rng = np.random.default_rng(2)
-    data, bounds = lm.spelled(block_of(["".join(rng.choice(list("abcde "), 3000))]))
-    codes, counts = np.unique(lm.grams(data)[lm._inside(bounds)], return_counts=True)
-    base = np.full(256, 1 / 256)
-    suffix = ((codes >> np.uint64(8)) & np.uint64(255)).astype(int)
-    rows = []
-    for s in sorted(set(suffix.tolist())):
-        keys, values = lm.subtree(codes[suffix == s], counts[suffix == s], base, s)
-        rows.append((s, keys.tobytes(), values.tobytes()))
-    piece = lm.piece_of(rows)
-    contexts = [b"abcde", b"zzzza", b"zz ab", b"eeeee", bytes(codes[3].item().to_bytes(8, "big")[2:7])]
-    for context in contexts:
-        own = np.array([int.from_bytes(context[-lm.ORDER:] + bytes([b]), "big") for b in range(256)], np.uint64)
-        places, logs, rest = lm.log_probabilities(own, piece)
-        assert len(places) == 256
-        assert np.sum(10 ** (logs + np.where(rest >= 0, np.log10(base)[rest], 0))) == pytest.approx(1, abs=0.02)
+    rows = [(i, "".join(rng.choice(list("abcde "), 300))) for i in range(12)]
+    model = sampled(rows)
+    for context in (b"abcde", b"zzzza", b"zz ab", b"eeeee", b"\n\n\nab", b"\xff\xfe\xfd\xfc\xfb", spelling(rows[1][1])[40][:5]):
+        every = np.array([code(context + bytes([b])) for b in range(256)], np.uint64)
+        levels = model[1].get(bucket_of(context + b"a"), [])
+        found = lm.averaged(levels, every, model[0][context[-1]])
+        assert found.sum() == pytest.approx(1, abs=1e-6) and found.min() > 0
+        assert found[97] == pytest.approx(probability(model, context + b"a"))
 
 
 def test_query(spark):
