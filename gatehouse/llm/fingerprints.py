@@ -4,7 +4,8 @@ The prefix array of a text holds the polynomial hash of each of its prefixes, mo
 bases. A difference of two entries answers whether two spans are equal, wherever they are, and a binary search over
 lengths finds the longest common extension of two positions. A fingerprint keeps the whole hash, the prefix and suffix
 hashes at a grid of places, and the smallest hashes among all spans of one length, so that two fingerprints tell how
-much the texts share, in place or moved.
+much the texts share, in place or moved. The texts of a block are hashed as one, with one pair of prefix arrays; a span's
+hash does not depend on where it stands.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ PRIME = (1 << 31) - 1
 BASES = (1_103_515_249, 69_069_157)
 #: Grid places at most, span length in code points, and span hashes kept.
 GRID, SPAN, KEPT = 32, 24, 32
-#: About two standard deviations of the share estimated from KEPT hashes.
-SAMPLING_ERROR = 0.2
+#: Code points of the texts that are hashed together.
+BLOCK_CHARS = 1 << 18
+#: Standard deviations by which the share estimated from KEPT hashes must exceed what is shared in place.
+DEVIATIONS = 2.0
 
 _MASK = np.uint64(PRIME)
 _TABLES: list[tuple[np.ndarray, ...]] = []
@@ -70,22 +73,19 @@ class Prefixes(NamedTuple):
             out = (out << np.uint64(31)) | reduce(reduce(part[ends] + _MASK - part[starts]) * powers[2 + base][starts])
         return out
 
-    def equal(self, start: int, other: Prefixes, at: int, length: int) -> bool:
-        """Whether the span of ``length`` from ``start`` equals that of the other text from ``at``."""
-        if start + length > self.length or at + length > other.length:
-            return False
-        mine = self.spans(np.array([start]), np.array([start + length]))
-        return bool(mine[0] == other.spans(np.array([at]), np.array([at + length]))[0])
-
-    def common_extension(self, start: int, other: Prefixes, at: int) -> int:
-        """Length of the longest common prefix of what follows ``start`` here and ``at`` there."""
-        low, high = 0, min(self.length - start, other.length - at)
-        while low < high:
+    def equal(self, start: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the spans of ``length`` from ``start`` and from ``at`` are equal, wherever the two are."""
+        return self.spans(start, start + length) == self.spans(at, at + length)
+
+    def common_extension(self, start: np.ndarray, at: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+        """Length, up to ``most``, of the longest common prefix of what follows ``start`` and what follows ``at``; with
+        ``back``, of the longest common suffix of what goes before them. A binary search for all pairs at once."""
+        low, high = np.zeros(len(start), np.int64), most.astype(np.int64)
+        while (low < high).any():
             middle = (low + high + 1) // 2
-            if self.equal(start, other, at, middle):
-                low = middle
-            else:
-                high = middle - 1
+            shift = middle if back else 0
+            same = self.equal(start - shift, at - shift, middle)
+            low, high = np.where(same, middle, low), np.where(same, high, np.maximum(middle - 1, low))
         return low
 
 
@@ -130,22 +130,41 @@ def _short(values: np.ndarray) -> np.ndarray:
     return (_spread(values) >> np.uint64(32)).astype(np.uint32)
 
 
+def together(texts: list[np.ndarray]) -> tuple[Prefixes, np.ndarray]:
+    """Prefix arrays of the texts one after the other, and the bounds of each."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+    return prefixes(np.concatenate([np.empty(0, np.uint32), *texts])), bounds
+
+
+def fingerprints_of(found: Prefixes, bounds: np.ndarray) -> list[Fingerprint]:
+    """The fingerprint of each text between two bounds."""
+    length = np.diff(bounds)
+    span = np.minimum(SPAN, length)
+    spans = np.where(length > 0, length - span + 1, 0)
+    step = np.ones(len(length), np.int64)
+    while (over := length // step > GRID).any():
+        step[over] *= 2
+    places = length // step
+    first, grid_of = np.cumsum(places) - places, np.repeat(np.arange(len(length)), places)
+    grid = (np.arange(int(places.sum())) - first[grid_of] + 1) * step[grid_of]
+    begin, end = bounds[:-1][grid_of], bounds[1:][grid_of]
+    heads, tails = _short(found.spans(begin, begin + grid)), _short(found.spans(end - grid, end))
+    whole = found.spans(bounds[:-1], bounds[1:])
+    before, span_of = np.cumsum(spans) - spans, np.repeat(np.arange(len(length)), spans)
+    starts = np.arange(int(spans.sum())) - before[span_of] + bounds[:-1][span_of]
+    hashes = _short(found.spans(starts, starts + span[span_of]))
+    out = []
+    for i, n in enumerate(length.tolist()):
+        own, at = hashes[before[i] : before[i] + spans[i]], slice(first[i], first[i] + places[i])
+        if len(own) > 4 * KEPT:
+            near = np.partition(own, 4 * KEPT)[: 4 * KEPT]
+            own = near if len(np.unique(near)) >= KEPT else own
+        out.append(Fingerprint(n, int(whole[i]), int(step[i]), heads[at], tails[at], np.unique(own)[:KEPT]))
+    return out
+
+
 def fingerprint(codes: np.ndarray) -> Fingerprint:
-    found = prefixes(codes)
-    n, step = len(codes), 1
-    while n // step > GRID:
-        step *= 2
-    grid = np.arange(step, n + 1, step)
-    zeros, ends = np.zeros(len(grid), np.int64), np.full(len(grid), n)
-    span = min(SPAN, n)
-    starts = np.arange(n - span + 1) if n else np.empty(0, np.int64)
-    hashes = _short(found.spans(starts, starts + span))
-    least = hashes
-    if len(hashes) > 4 * KEPT:
-        near = np.partition(hashes, 4 * KEPT)[: 4 * KEPT]
-        least = near if len(np.unique(near)) >= KEPT else hashes
-    return Fingerprint(n, int(found.spans(np.array([0]), np.array([n]))[0]), step, _short(found.spans(zeros, grid)),
-                       _short(found.spans(ends - grid, ends)), np.unique(least)[:KEPT])
+    return fingerprints_of(*together([codes]))[0]
 
 
 def _spread(values: np.ndarray) -> np.ndarray:
@@ -166,9 +185,9 @@ def _shared(a: Fingerprint, left: np.ndarray, b: Fingerprint, right: np.ndarray)
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """0 to 1: the share in place, common head and tail against the longer text; or, where that is larger by more than
-    its sampling error, the share of spans estimated from the smallest hashes of both, for text that moved (as
-    2 J / (1 + J), the shared part of two texts of one length)."""
+    """0 to 1: the share in place, common head and tail against the longer text; or, where that is larger by DEVIATIONS
+    of the estimate of texts that share no more than that, the share of spans estimated from the smallest hashes of both,
+    for text that moved (as 2 J / (1 + J), the shared part of two texts of one length)."""
     if a.length == b.length and a.whole == b.whole:
         return 1.0
     if not a.length or not b.length:
@@ -177,8 +196,9 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     in_place = min(_shared(a, a.heads, b, b.heads) + _shared(a, a.tails, b, b.tails), shorter) / longer
     both = np.union1d(a.least, b.least)[:KEPT]
     jaccard = np.isin(both, np.intersect1d(a.least, b.least)).mean() if min(shorter, SPAN) == min(longer, SPAN) else 0.0
-    moved = 2 * jaccard / (1 + jaccard)
-    return float(moved if moved > in_place + SAMPLING_ERROR else in_place)
+    moved, expected = 2 * jaccard / (1 + jaccard), in_place / (2 - in_place)
+    deviation = np.sqrt(expected * (1 - expected) / max(1, len(both))) * 2 / (1 + expected) ** 2
+    return float(moved if moved > in_place + DEVIATIONS * deviation else in_place)
 
 
 def edited(text: str, following: str) -> str:
@@ -189,21 +209,34 @@ def edited(text: str, following: str) -> str:
 
 _RESULT = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double,"
-    "near_next double"
+    "near_next double, head_next bigint, tail_next bigint"
 )
-_COLUMNS = [x.split()[0] for x in _RESULT.split(",")]
+_SCHEMA = pa.schema([(x.split()[0], {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in _RESULT.split(",")])
 #: Rows of one stretch of doc_ids, about, and stretches at most; a stretch is one unit of sorting, on disk if need be.
 STRETCH_ROWS, STRETCHES = 1_000, 16_384
 
 
-def _bounds(ids: DataFrame) -> list[int]:
-    """Bounds that cut the doc_ids into stretches of even numbers of rows, from a quantile sketch."""
-    parts = min(STRETCHES, -(-ids.count() // STRETCH_ROWS))
-    if parts <= 1:
-        return []
+class Cuts(NamedTuple):
+    """Bounds that cut the doc_ids into stretches, and into how many parts a doc_id of many rows, alone between two bounds,
+    is cut by the hash of its texts; None stands for the null doc_ids."""
+
+    bounds: list[int]
+    parts: dict[int | None, int]
+
+
+def _cuts(ids: DataFrame) -> Cuts:
+    """Stretches of even numbers of rows, from a quantile sketch and the doc_ids that have more rows than a stretch."""
+    rows = ids.count()
+    most = max(STRETCH_ROWS, -(-rows // STRETCHES))
+    if rows <= most:
+        return Cuts([], {})
+    # A doc_id of more than a stretch's rows: there are as many as stretches at most.
+    hot = {r["doc_id"]: -(-r["count"] // most) for r in ids.groupBy("doc_id").count().filter(F.col("count") > most).collect()}
+    parts = -(-rows // most)
     shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    cuts = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * parts)).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    cuts = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * parts)).alias("cuts")).first()["cuts"] or []
+    alone = [bound for doc_id in hot if doc_id is not None for bound in (doc_id, doc_id + 1)]
+    return Cuts(sorted({*cuts, *alone}), hot)
 
 
 def _stretch(bounds: list[int]) -> Column:
@@ -223,55 +256,81 @@ def _stretch(bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(found).cast("int")
 
 
+def _part(parts: dict[int | None, int]) -> Column:
+    """Which part of its stretch a row is in, by its text's hash."""
+    number = F.lit(1)
+    if named := {doc_id: n for doc_id, n in parts.items() if doc_id is not None}:
+        number = F.coalesce(F.create_map(*(F.lit(x).cast("bigint") for pair in named.items() for x in pair))[F.col("doc_id")], F.lit(1))
+    number = F.when(F.col("doc_id").isNull(), F.lit(parts.get(None, 1))).otherwise(number)
+    return F.floor((F.col("text_hash") / F.lit(2.0**64) + 0.5) * number).cast("int")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: lengths, fingerprints and likeness to the edited and to the next text.
+    """One row per row of ``docs``: lengths, fingerprints, likeness to the edited and to the next text, and the lengths of
+    the longest common beginning and end with the next text.
 
-    The next text is that of the next row by descending doc_id (null doc_ids last, rows of one doc_id by text), and of
-    the first row for the last. A null text counts as empty; the likeness of two empty texts is 1, that of an empty and
-    another text 0. Other columns are not read.
+    The next text is that of the next row by descending doc_id (null doc_ids last, rows of one doc_id by the hash of
+    their text), and of the first row for the last. A null text counts as empty; the likeness of two empty texts is 1,
+    that of an empty and another text 0. Other columns are not read.
 
-    Rows are cut into stretches of doc_ids by fixed bounds and shuffled once; the first row of each stretch is also
-    sent to the stretch before, as the follower of its last row.
+    Rows are cut into stretches by fixed bounds and shuffled once; the first row of each stretch is also sent to the
+    stretch before, as the follower of its last row.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
+        "text_hash", F.xxhash64("text"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    number = _stretch(_bounds(ids))
-    placed = own.withColumn("stretch", number)
-    firsts = ids.withColumn("stretch", number).groupBy("stretch").agg(F.max("doc_id").alias("first")).orderBy("stretch").collect()
-    before = {firsts[i]["stretch"]: firsts[i - 1]["stretch"] for i in range(len(firsts))}
-    rows = placed.select("stretch", F.lit(False).alias("follower"), "doc_id", "text")
+    cuts = _cuts(ids)
+    placed = own.withColumn("stretch", _stretch(cuts.bounds)).withColumn("part", _part(cuts.parts))
+    keys = ["stretch", "part"]
+    firsts = placed.groupBy(*keys).agg(F.max("doc_id").alias("first")).orderBy(*keys).collect()
+    rows = placed.select(*keys, F.lit(False).alias("follower"), "doc_id", "text_hash", "text")
     if firsts:
         starts = docs.sparkSession.createDataFrame(
-            [(r["stretch"], r["first"], before[r["stretch"]]) for r in firsts], "at int, first bigint, previous int")
-        # One row per stretch, of which there are STRETCHES at most, and one for null doc_ids.
-        followers = placed.join(F.broadcast(starts), (placed["stretch"] == starts["at"]) & placed["doc_id"].eqNullSafe(
-            starts["first"])).select(F.col("previous").alias("stretch"), F.lit(True).alias("follower"), "doc_id", "text")
+            [(r["stretch"], r["part"], r["first"], *(firsts[i - 1][k] for k in keys)) for i, r in enumerate(firsts)],
+            "at int, nth int, first bigint, stretch_before int, part_before int")
+        # One row per stretch and part, of which there are about twice STRETCHES at most.
+        found = placed.join(F.broadcast(starts), (placed["stretch"] == starts["at"]) & (placed["part"] == starts["nth"])
+                            & placed["doc_id"].eqNullSafe(starts["first"]))
+        followers = found.groupBy("stretch_before", "part_before").agg(F.min(F.struct("text_hash", "text")).alias("least")).select(
+            F.col("stretch_before").alias("stretch"), F.col("part_before").alias("part"), F.lit(True).alias("follower"),
+            F.lit(None).cast("bigint").alias("doc_id"), "least.text_hash", "least.text")
         rows = rows.union(followers)
-    dealt = rows.repartition("stretch").sortWithinPartitions("stretch", "follower", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_walk, _RESULT)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "follower", F.col("doc_id").desc_nulls_last(), "text_hash", "text")
+    return dealt.select("follower", "doc_id", "text").mapInArrow(_walk, _RESULT)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbours in sorted rows; a row is given out when its follower is known."""
-    held, last = None, None
+    """Pairs of neighbours in sorted rows; a row is given out when its follower is known, with others of its block."""
+    held, waiting, size = None, [], 0
     for batch in batches:
-        out = []
-        for stretch, follower, doc_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            if follower and stretch == last:
-                continue
-            made = (text, fingerprint(code_points(text)))
+        for follower, doc_id, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             if held is not None:
-                out.append(_row(*held, *made))
-            held = None if follower else (doc_id, *made)
-            last = stretch if follower else None
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(_COLUMNS, x, strict=True)) for x in out],
-            schema=pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                              ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]))
-
-
-def _row(doc_id, text: str, own: Fingerprint, next_text: str, following: Fingerprint) -> tuple:
-    changed = edited(text, next_text)
-    other = own if changed == text else fingerprint(code_points(changed))
-    return (doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.text(), other.text(), likeness(own, other),
-            likeness(own, following))
+                waiting.append((*held, text))
+                size += len(held[1]) + len(text)
+            held = None if follower else (doc_id, text)
+            if size >= BLOCK_CHARS:
+                yield _rows(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield _rows(waiting)
+
+
+def _rows(pairs: list[tuple]) -> pa.RecordBatch:
+    """Result rows of (doc_id, text, next text) rows; each next text is most often the next row's text as well."""
+    ids, texts, following = zip(*pairs, strict=True)
+    changed = [edited(text, after) for text, after in zip(texts, following, strict=True)]
+    every = list(dict.fromkeys([*texts, *following, *changed]))
+    number = {text: i for i, text in enumerate(every)}
+    found, bounds = together([code_points(text) for text in every])
+    prints = fingerprints_of(found, bounds)
+    written = [x.text() for x in prints]
+    own, after, other = (np.array([number[text] for text in side], np.int64) for side in (texts, following, changed))
+    length = np.diff(bounds)
+    most = np.minimum(length[own], length[after])
+    columns = [
+        ids, length[own], [hashlib.sha256(text.encode()).hexdigest() for text in changed], [written[i] for i in own], [written[i] for i in other],
+        [likeness(prints[a], prints[b]) for a, b in zip(own, other, strict=True)],
+        [likeness(prints[a], prints[b]) for a, b in zip(own, after, strict=True)],
+        found.common_extension(bounds[:-1][own], bounds[:-1][after], most),
+        found.common_extension(bounds[1:][own], bounds[1:][after], most, back=True)]
+    return pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)

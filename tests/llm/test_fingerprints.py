@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 
 from gatehouse.llm import fingerprints as fp
@@ -15,13 +16,25 @@ from gatehouse.llm.queries import QUERIES
 @given(st.text(alphabet="ab𝔘", max_size=40), st.text(alphabet="ab𝔘", max_size=40), st.integers(0, 40), st.integers(0, 40))
 def test_spans_and_common_extensions(a, b, i, j):
     i, j = min(i, len(a)), min(j, len(b))
-    left, right = fp.prefixes(fp.code_points(a)), fp.prefixes(fp.code_points(b))
+    both, bounds = fp.together([fp.code_points(a), fp.code_points(b)])
     common = 0
     while i + common < len(a) and j + common < len(b) and a[i + common] == b[j + common]:
         common += 1
-    assert left.common_extension(i, right, j) == common
-    for length in range(6):
-        assert left.equal(i, right, j, length) == (i + length <= len(a) and j + length <= len(b) and a[i:i + length] == b[j:j + length])
+    start, at = np.array([i]), bounds[1:2] + j
+    assert both.common_extension(start, at, np.array([min(len(a) - i, len(b) - j)])).tolist() == [common]
+    before = 0
+    while before < min(i, j) and a[i - before - 1] == b[j - before - 1]:
+        before += 1
+    assert both.common_extension(start, at, np.array([min(i, j)]), back=True).tolist() == [before]
+    for length in range(min(6, len(a) - i + 1, len(b) - j + 1)):
+        assert both.equal(start, at, np.array([length])).tolist() == [a[i : i + length] == b[j : j + length]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab𝔘 ", max_size=80), max_size=6))
+def test_a_block_of_texts_has_the_fingerprints_of_each(texts):
+    found = fp.fingerprints_of(*fp.together([fp.code_points(t) for t in texts]))
+    assert [x.text() for x in found] == [of(t).text() for t in texts]
 
 
 def of(text):
@@ -42,6 +55,9 @@ def test_likeness():
     assert fp.likeness(of(text), of(text[:1000] + "x" + text[1000:])) > 0.9
     moved = noise(700, 4) + text[200:2000] + noise(500, 5)
     assert 0.4 < fp.likeness(of(text), of(moved)) < 0.8
+    passage = noise(400, 11)
+    apart = fp.likeness(of(noise(1500, 12) + passage + noise(1500, 13)), of(noise(600, 14) + passage + noise(2400, 15)))
+    assert 0 < apart < 0.3
     assert fp.likeness(of(""), of("")) == 1 and fp.likeness(of(""), of("a")) == 0
     assert fp.likeness(of("ab"), of("ab")) == 1 and 0 < fp.likeness(of("abcd"), of("abxx")) < 1
     long = noise(200_000, 6)
@@ -54,14 +70,24 @@ def test_written_and_read():
         assert one.text() == two.text() and fp.likeness(one, two) == 1
 
 
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def text_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def expected(rows):
-    own = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    own = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), text_hash(r[1]), r[1].encode()))
     out = []
     for k, (doc_id, text) in enumerate(own):
         half, following = len(text) // 2, own[(k + 1) % len(own)][1]
         changed = text[: len(text) - half] + following[:half]
         out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), of(text).text(), of(changed).text(),
-                    fp.likeness(of(text), of(changed)), fp.likeness(of(text), of(following))))
+                    fp.likeness(of(text), of(changed)), fp.likeness(of(text), of(following)),
+                    common(text, following), common(text[::-1], following[::-1])))
     return sorted(out, key=repr)
 
 
@@ -74,6 +100,15 @@ def test_rows(spark, monkeypatch, stretch):
     assert sorted(map(tuple, fp.fingerprints(docs).collect()), key=repr) == expected(rows)
 
 
+@pytest.mark.parametrize("stretch", [1000, 4])
+def test_one_doc_id_of_many_rows(spark, monkeypatch, stretch):
+    monkeypatch.setattr(fp, "STRETCH_ROWS", stretch)
+    rows = [(7, noise(50 + i, i)) for i in range(60)] + [(None, noise(60, i)) for i in range(40)] + [(i, noise(40, 90 + i)) for i in range(20)]
+    rows += [(7, "same")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, fp.fingerprints(docs).collect()), key=repr) == expected(rows)
+
+
 def test_small_tables(spark):
     docs = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
     assert sorted(map(tuple, fp.fingerprints(docs).collect())) == expected([(1, "abcdef")])
