@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gatehouse.llm.arrow_text import LOWER, Block, text_blocks
 from gatehouse.llm.rows import without
@@ -28,7 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the classifier is fitted on, and of the model.
 PER_LANGUAGE, SAMPLE, LANDMARKS, ALL_LANDMARKS = 300, 6000, 60, 1200
-LANGUAGES, SAMPLE_CHARS, GRAMS = 500, 50_000, 20_000
+#: The most frequent languages that are learned, characters of a text of the sample at most (so that it is below 500 MB on
+#: the driver, whatever its script), and n-grams that the kernel compares: the landmarks' most frequent ones.
+LANGUAGES, SAMPLE_CHARS, GRAMS = 500, 20_000, 20_000
 RIDGE = 1e-2
 SPECTRUM = (1, 2, 3)
 #: A text is strange if its share of known n-grams, with MARGIN standard errors at most, is below FAMILIAR of the share
@@ -98,8 +100,22 @@ def presence(model: Model, block: Block) -> np.ndarray:
     return out
 
 
-def normed(present: np.ndarray) -> np.ndarray:
-    return present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
+def unknown_grams(model: Model, block: Block) -> np.ndarray:
+    """How many different n-grams of each text the kernel has no column for."""
+    out = np.zeros(block.count, np.int64)
+    for size, table in zip(SPECTRUM, _numbers(model), strict=True):
+        row, codes = gram_codes(block, size)
+        own = table[codes] < 0
+        both = np.unique(row[own].astype(np.uint64) << np.uint64(32) | codes[own])
+        out += np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=block.count)
+    return out
+
+
+def embedded(model: Model, block: Block) -> np.ndarray:
+    """Presence of each text's n-grams, divided by the root of the number of all its different ones."""
+    present = presence(model, block)
+    every = present.sum(axis=1) + unknown_grams(model, block)
+    return present / np.sqrt(np.maximum(every, 1)).astype(np.float32)[:, None]
 
 
 def _trigrams(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +186,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     parts = np.split(kept, np.cumsum([len(n) for _, n in counts])[:-1])
     model = Model(tuple(codes[part].astype(np.int64) for (codes, _), part in zip(counts, parts, strict=True)),
                   np.zeros((0, 64), np.float32), np.zeros((0, 0)), np.zeros(0), languages, np.zeros((0, 0), bool), np.zeros(0))
-    model = model._replace(landmarks=normed(presence(model, block)))
+    model = model._replace(landmarks=embedded(model, block))
     first = np.cumsum([0, *(len(own[language][:each]) for language in languages)])
     model = model._replace(known=np.stack([(model.landmarks[a:b] > 0).any(axis=0) for a, b in zip(first[:-1], first[1:], strict=True)]),
                            least=_least_shares(model, own, each))
@@ -181,7 +197,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
     for language in languages:
         for at in range(0, len(own[language]), 64):
             part = own[language][at : at + 64]
-            points.append(normed(presence(model, one_block(part))) @ model.landmarks.T @ whiten)
+            points.append(embedded(model, one_block(part)) @ model.landmarks.T @ whiten)
             targets += [[1.0 if language == other else -1.0 for other in languages]] * len(part)
     points, targets = np.concatenate(points), np.array(targets)
     shift, centre = targets.mean(axis=0), points.mean(axis=0)
@@ -192,13 +208,13 @@ def fit(sample: list[tuple[str, str]]) -> Model:
 
 def scores(model: Model, block: Block) -> np.ndarray:
     """One value per text and language: the regressions' outputs, -1 to 1 for texts like those of the sample."""
-    kernel = normed(presence(model, block)) @ model.landmarks.T
-    return kernel @ model.weights + model.shift
+    return embedded(model, block) @ model.landmarks.T @ model.weights + model.shift
 
 
 def train(docs: DataFrame) -> Model | None:
-    """Fit on at most PER_LANGUAGE texts (and about SAMPLE in all) of each of the LANGUAGES most frequent languages, those
-    of the smallest hashes among texts of up to SAMPLE_CHARS characters; None without any labelled text."""
+    """Fit on at most PER_LANGUAGE texts (and SAMPLE in all) of each of the LANGUAGES most frequent languages, those of the
+    smallest hashes among texts of up to SAMPLE_CHARS characters; None without any labelled text. Rarer languages are
+    not learned."""
     own = docs.select(
         F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), F.xxhash64("doc_id", F.lit("lang")).alias("order")
     ).filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND %d" % SAMPLE_CHARS)
@@ -207,15 +223,13 @@ def train(docs: DataFrame) -> Model | None:
     if not counts:
         return None
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    # Few more rows than are wanted are ranked, and the ranking hands on no more than are wanted of each language.
     rate = F.create_map(*(F.lit(x) for language, n in counts.items() for x in (language, min(1.0, 2.0 * each / n))))
     share = (F.col("order") / F.lit(2.0**64)) + 0.5
-    rows = own.filter(share < F.element_at(rate, F.col("lang"))).orderBy("order", "lang", "text").limit(
-        3 * each * len(counts)).collect()
-    sample: dict[str, list[str]] = {}
-    for row in rows:
-        if len(sample.setdefault(row["lang"], [])) < each:
-            sample[row["lang"]].append(row["text"])
-    return fit([(language, text) for language in sorted(sample) for text in sample[language]])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    chosen = own.filter(share < F.element_at(rate, F.col("lang"))).withColumn("place", place).filter(F.col("place") <= each)
+    sample = sorted((r["lang"], r["place"], r["text"]) for r in chosen.select("lang", "place", "text").collect())
+    return fit([(language, text) for language, _, text in sample])
 
 
 def held_out(modulus: int):

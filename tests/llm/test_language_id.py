@@ -17,16 +17,39 @@ def spectrum(text):
     return {(n, raw[i : i + n]) for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
 
 
-def test_kernel_is_the_blended_spectrum_kernel():
+def kernel(model, texts, landmarks):
+    """Shared n-grams that the model compares, by the root of the product of both texts' own n-grams, from sets."""
+    columns = {(n, bytes(int(c).to_bytes(n, "big"))) for n, codes in zip(language_id.SPECTRUM, model.grams) for c in codes}
+    return np.array([[len(spectrum(a) & spectrum(b) & columns) / np.sqrt(max(1, len(spectrum(a))) * max(1, len(spectrum(b)))) for b in landmarks]
+                     for a in texts])
+
+
+OTHERS = ["the Über house", "a", "Wasser und dog", "zzz the", "der Baum", "qqq xyz jjj"]
+
+
+def test_kernel_is_the_blended_spectrum_kernel(monkeypatch):
+    monkeypatch.setattr(language_id, "GRAMS", 150)
     model = language_id.fit(SAMPLE)
     texts = [t for _, t in sorted(SAMPLE, key=lambda row: row[0])]
-    known = set().union(*(spectrum(t) for t in texts))
-    others = ["the Über house", "a", "Wasser und dog", "zzz the"]
-    kernel = language_id.normed(language_id.presence(model, language_id.one_block(others))) @ model.landmarks.T
-    for i, a in enumerate(others):
-        for j, b in enumerate(texts):
-            left, right = spectrum(a) & known, spectrum(b)
-            assert abs(kernel[i, j] - len(left & right) / np.sqrt(max(1, len(left)) * len(right))) < 1e-5
+    found = language_id.embedded(model, language_id.one_block(OTHERS)) @ model.landmarks.T
+    assert np.allclose(found, kernel(model, OTHERS, texts), atol=1e-5)
+
+
+def test_predictions_are_those_of_the_ridge_regression():
+    """Landmarks, Nystroem features and the penalised least squares, from the kernel of sets and a general solver."""
+    model = language_id.fit(SAMPLE)
+    own = sorted(SAMPLE, key=lambda row: row[0])
+    landmarks, languages = [t for _, t in own], ["de", "en"]
+    values, vectors = np.linalg.eigh(kernel(model, landmarks, landmarks))
+    root = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    points = kernel(model, landmarks, landmarks) @ root
+    targets = np.array([[1.0 if lang == other else -1.0 for other in languages] for lang, _ in own])
+    centred, size = points - points.mean(axis=0), points.shape[1]
+    penalty = np.sqrt(language_id.RIDGE * len(points) / 100)
+    weights = np.linalg.lstsq(np.vstack([centred, penalty * np.eye(size)]), np.vstack([targets - targets.mean(axis=0), np.zeros((size, 2))]),
+                              rcond=None)[0]
+    wanted = (kernel(model, OTHERS, landmarks) @ root - points.mean(axis=0)) @ weights + targets.mean(axis=0)
+    assert np.allclose(language_id.scores(model, language_id.one_block(OTHERS)), wanted, atol=1e-3)
 
 
 def test_blocks_do_not_share_grams():
