@@ -2,8 +2,9 @@
 
 The index is cut by documents: a segment holds whole documents of about a million words, and for each of its terms the
 sorted word positions (the postings). All postings of a document are in one segment, so a query needs no shuffle of
-postings: every segment answers the benchmark, which is the stated query set and comes in blocks of bounded size. A
-window's postings are intersected from its rarest term in the segment, each list shifted by the term's offset.
+postings: every segment answers the benchmark, which is the stated query set and is written in blocks of bounded size;
+a task holds one segment and one block at a time, and only what documents hold of a block is put together. A window's
+postings are intersected from its rarest term in the segment, each list shifted by the term's offset.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import text_blocks, word_hashes
-from gatehouse.llm.rows import stored_at, without
+from gatehouse.llm.rows import stored, without
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,7 +30,7 @@ BLOCK_WINDOWS = 200_000
 _STEP = 1_000_000
 
 _INDEX = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("word_starts", pa.list_(pa.int64())),
+    ("seg", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("text_keys", pa.list_(pa.int64())), ("word_starts", pa.list_(pa.int64())),
     ("terms", pa.binary()), ("term_starts", pa.binary()), ("postings", pa.binary()),
 ])
 _FOUND = pa.schema([
@@ -53,17 +54,17 @@ def index_documents(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> Data
 
     One row per segment; every row of ``docs`` is in exactly one segment, also repeated ones and those without words.
     """
-    path = stored_at(docs.sparkSession, "positional-index")
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text")
     )
-    rows.mapInArrow(lambda batches: _segments(batches, segment_words), "doc_ids array<bigint>, text_keys array<bigint>,"
-                    "word_starts array<bigint>, terms binary, term_starts binary, postings binary").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return stored(rows.mapInArrow(
+        lambda batches: _segments(batches, segment_words), "seg bigint, doc_ids array<bigint>, text_keys array<bigint>,"
+        "word_starts array<bigint>, terms binary, term_starts binary, postings binary"), "positional-index")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     ids, keys, counts, hashes, size = [], [], [], [], 0
+    seg = TaskContext.get().partitionId() << 24
     for batch in batches:
         for block in text_blocks(batch.column(2)):
             words, bounds = word_hashes(block)
@@ -74,13 +75,13 @@ def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
             hashes.append(words)
             size += len(words)
             if size >= limit or len(ids) >= limit:
-                yield _segment(ids, keys, counts, hashes)
-                ids, keys, counts, hashes, size = [], [], [], [], 0
+                yield _segment(seg, ids, keys, counts, hashes)
+                ids, keys, counts, hashes, size, seg = [], [], [], [], 0, seg + 1
     if ids:
-        yield _segment(ids, keys, counts, hashes)
+        yield _segment(seg, ids, keys, counts, hashes)
 
 
-def _segment(ids: list, keys: list, counts: list, hashes: list) -> pa.RecordBatch:
+def _segment(seg: int, ids: list, keys: list, counts: list, hashes: list) -> pa.RecordBatch:
     words = np.concatenate(hashes)
     starts = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
     order = np.argsort(words, kind="stable")
@@ -88,37 +89,49 @@ def _segment(ids: list, keys: list, counts: list, hashes: list) -> pa.RecordBatc
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
     blob = [ranked[first].tobytes(), np.append(first, len(ranked)).astype(np.int64).tobytes(), order.astype(np.int32).tobytes()]
     return pa.RecordBatch.from_arrays(
-        [pa.array([ids], _INDEX[0].type), pa.array([keys], _INDEX[1].type), pa.array([starts], _INDEX[2].type),
+        [pa.array([seg]), pa.array([ids], _INDEX[1].type), pa.array([keys], _INDEX[2].type), pa.array([starts], _INDEX[3].type),
          *(pa.array([x], pa.binary()) for x in blob)], schema=_INDEX)
 
 
-def query_blocks(benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WINDOWS) -> Iterator[Queries]:
-    """The benchmark's distinct windows, at most about ``limit`` at a time.
+def query_blocks(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(windows): the benchmark's distinct windows with the items that hold each, about BLOCK_WINDOWS a row, written to the
+    shared scratch folder.
 
     An item with fewer words than ``window``, but not none, is one window. A null text has no words; a null item_id
     counts as the item named "null"; items that repeat an item_id count as one.
     """
-    found: dict[bytes, set[str]] = {}
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        for block in text_blocks(pa.array([row[1]], pa.string())):
-            words, _ = word_hashes(block)
-            for at in range(max(len(words) - window + 1, min(len(words), 1))):
-                found.setdefault(words[at : at + window].tobytes(), set()).add("null" if row[0] is None else row[0])
-        if len(found) >= limit:
-            yield _queries(found, window)
-            found = {}
-    if found:
-        yield _queries(found, window)
-
-
-def _queries(found: dict[bytes, set[str]], window: int) -> Queries:
-    rows = [np.frombuffer(x, np.uint64) for x in found]
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("text"))
+    held = items.mapInArrow(lambda batches: _windows(batches, window), "item string, window binary")
+    found = stored(held.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    blocks = max(1, -(-found.count() // BLOCK_WINDOWS))
+    together = found.groupBy(F.pmod(F.xxhash64("window"), F.lit(blocks))).agg(F.collect_list(F.struct("window", "items")).alias("windows"))
+    return stored(together.select("windows"), "query-blocks")
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in text_blocks(batch.column(1)):
+            words, bounds = word_hashes(block)
+            names, found = [], []
+            for i in range(block.count):
+                own = words[bounds[i] : bounds[i + 1]]
+                for at in range(max(len(own) - window + 1, min(len(own), 1))):
+                    names.append(block.first + i)
+                    found.append(own[at : at + window].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(names, pa.int64())), pa.array(found, pa.binary())], names=["item", "window"])
+
+
+def _queries(windows: pa.ListScalar, window: int) -> Queries:
+    """The block of a row of ``query_blocks``."""
+    held = windows.values
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.field("window")]
+    items = held.field("items").to_pylist()
     terms = np.unique(np.concatenate(rows))
-    windows = np.full((len(rows), window), -1, np.int64)
+    out = np.full((len(rows), window), -1, np.int64)
     for i, row in enumerate(rows):
-        windows[i, : len(row)] = np.searchsorted(terms, row)
-    bounds = np.cumsum([0, *(len(x) for x in found.values())])
-    return Queries(terms, windows, np.array([len(x) for x in rows]), bounds, [i for x in found.values() for i in sorted(x)])
+        out[i, : len(row)] = np.searchsorted(terms, row)
+    return Queries(terms, out, np.array([len(x) for x in rows]), np.cumsum([0, *map(len, items)]), [i for x in items for i in x])
 
 
 class Postings:
@@ -229,49 +242,49 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     ``n_near`` counts items with a proximity match. Documents without words, and all of them when the benchmark is
     empty, have zeros and the digest of the empty text.
     """
-    context = index.sparkSession.sparkContext
-    blocks = [context.broadcast(block) for block in query_blocks(benchmark, window)]
-    return index.mapInArrow(
-        lambda batches: _answers(batches, blocks, slop, share),
-        "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string,"
-        "contaminated boolean, n_near bigint",
-    )
-
-
-def _answers(batches: Iterator[pa.RecordBatch], blocks: list, slop: int, share: float) -> Iterator[pa.RecordBatch]:
+    # Every segment meets every block of the stated queries; Spark broadcasts the smaller side if its size allows it.
+    pairs = index.crossJoin(query_blocks(benchmark, window))
+    found = pairs.mapInArrow(
+        lambda batches: _answers(batches, window, slop, share),
+        "seg bigint, document int, hit binary, items array<string>, near array<string>")
+    listed = index.select("seg", "doc_ids", "text_keys", "word_starts")
+    return listed.groupBy("seg").cogroup(found.groupBy("seg")).applyInArrow(
+        _together, "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string,"
+        "contaminated boolean, n_near bigint")
+
+
+def _answers(batches: Iterator[pa.RecordBatch], window: int, slop: int, share: float) -> Iterator[pa.RecordBatch]:
+    """What the documents of each (segment, block) row hold of the block; others have no row."""
     for batch in batches:
-        for row in range(len(batch)):
-            yield _answer(batch.slice(row, 1), blocks, slop, share)
+        for i in range(batch.num_rows):
+            row = {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
+            yield _answer(row, _queries(row["windows"], window), slop, share)
 
 
-def _answer(segment: pa.RecordBatch, blocks: list, slop: int, share: float) -> pa.RecordBatch:
-    column = {name: segment.column(i)[0] for i, name in enumerate(segment.schema.names)}
+def _answer(row: dict, queries: Queries, slop: int, share: float) -> pa.RecordBatch:
     terms, term_starts, postings = (
-        np.frombuffer(column[name].as_buffer(), kind)
+        np.frombuffer(row[name].as_buffer(), kind)
         for name, kind in (("terms", np.uint64), ("term_starts", np.int64), ("postings", np.int32))
     )
-    word_starts = column["word_starts"].values.to_numpy()
+    word_starts = row["word_starts"].values.to_numpy()
     edges = np.zeros(len(postings) + 1, np.int32)
     items: dict[int, set[str]] = {}
     near: dict[int, set[str]] = {}
-    for block in blocks:
-        queries = block.value
-        found = Postings(terms, term_starts, postings, queries.terms)
-        for window, start in matches(found, queries, word_starts):
-            np.add.at(edges, start, 1)
-            np.add.at(edges, start + queries.lengths[window], -1)
-            _note(items, queries, window, np.searchsorted(word_starts, start, "right") - 1)
-        for window, document in near_matches(found, queries, word_starts, slop, share):
-            _note(near, queries, window, document)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(edges[:-1]) > 0)])
-    n_hit = hit[word_starts[1:]] - hit[word_starts[:-1]]
-    empty = hashlib.sha256(b"").hexdigest()
-    names = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else empty for d in range(len(n_hit))]
+    found = Postings(terms, term_starts, postings, queries.terms)
+    for window, start in matches(found, queries, word_starts):
+        np.add.at(edges, start, 1)
+        np.add.at(edges, start + queries.lengths[window], -1)
+        _note(items, queries, window, np.searchsorted(word_starts, start, "right") - 1)
+    for window, document in near_matches(found, queries, word_starts, slop, share):
+        _note(near, queries, window, document)
+    hit = np.cumsum(edges[:-1]) > 0
+    some = sorted({*items, *near})
+    places = [np.flatnonzero(hit[word_starts[d] : word_starts[d + 1]]).astype(np.int32).tobytes() for d in some]
+    names = pa.list_(pa.string())
     return pa.RecordBatch.from_arrays([
-        column["doc_ids"].values, column["text_keys"].values, pa.array(np.diff(word_starts)), pa.array(n_hit, pa.int64()),
-        pa.array([len(items.get(d, ())) for d in range(len(n_hit))], pa.int64()), pa.array(names),
-        pa.array(n_hit > 0), pa.array([len(near.get(d, ())) for d in range(len(n_hit))], pa.int64()),
-    ], schema=_FOUND)
+        pa.array([row["seg"].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(places, pa.binary()),
+        pa.array([sorted(items.get(d, ())) for d in some], names), pa.array([sorted(near.get(d, ())) for d in some], names),
+    ], names=["seg", "document", "hit", "items", "near"])
 
 
 def _note(items: dict[int, set[str]], queries: Queries, window: np.ndarray, document: np.ndarray) -> None:
@@ -279,6 +292,27 @@ def _note(items: dict[int, set[str]], queries: Queries, window: np.ndarray, docu
         items.setdefault(d, set()).update(queries.items[queries.item_bounds[w] : queries.item_bounds[w + 1]])
 
 
+def _together(segment: pa.Table, found: pa.Table) -> pa.Table:
+    """One row per document of a segment, from what it holds of each block."""
+    doc_ids, text_keys, word_starts = (segment.column(name).combine_chunks()[0].values for name in ("doc_ids", "text_keys", "word_starts"))
+    hit: dict[int, np.ndarray] = {}
+    items: dict[int, set[str]] = {}
+    near: dict[int, set[str]] = {}
+    for d, places, own, close in zip(*(found.column(name).to_pylist() for name in ("document", "hit", "items", "near")), strict=True):
+        hit[d] = np.union1d(hit.get(d, np.empty(0, np.int32)), np.frombuffer(places, np.int32))
+        items.setdefault(d, set()).update(own)
+        near.setdefault(d, set()).update(close)
+    rows = range(len(doc_ids))
+    n_hit = [len(hit.get(d, ())) for d in rows]
+    empty = hashlib.sha256(b"").hexdigest()
+    names = [hashlib.sha256(",".join(sorted(items[d])).encode()).hexdigest() if d in items else empty for d in rows]
+    return pa.Table.from_arrays([
+        doc_ids, text_keys, pa.array(np.diff(word_starts.to_numpy())), pa.array(n_hit, pa.int64()),
+        pa.array([len(items.get(d, ())) for d in rows], pa.int64()), pa.array(names, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()),
+        pa.array([len(near.get(d, ())) for d in rows], pa.int64()),
+    ], schema=_FOUND)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: see ``search``. ``text_key`` is ``xxhash64(text)``, to join the result back to rows."""
     return search(index_documents(docs), benchmark, window)
