@@ -66,16 +66,18 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST
     text, doc_id, source = F.col(given["text"]), F.col(given["doc_id"]), F.col(given["source"])
     # The key depends on the row alone, so that reruns and any partitioning give the same order.
     sized = docs.toDF(*given.values()).withColumns({
-        "_size": words(text), "_key": F.xxhash64(F.lit(seed), doc_id, text), 
+        "_size": words(text),
+        "_key": F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))),
         # Never null, so that the join below needs no other partitioning than the window before it.
         "_source": F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")), "_named": source.cast("string")})
     # The number of ranges follows the rows alone, and so does every row's range.
     rows = docs.count()
     ranges = 1
-    while ranges * RANGE_ROWS < rows:
+    while ranges * RANGE_ROWS < rows and ranges < 1 << 32:
         ranges *= 2
     bits = ranges.bit_length() - 1
-    place = (F.shiftright("_key", 64 - bits) if bits else F.lit(0)).cast("bigint")
+    # Ranges are those of the key's first eight digits.
+    place = F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint"), 32 - bits)
     sized = sized.withColumn("_range", place)
     sums = materialize(sized.groupBy("_source", "_range").agg(F.first("_named").alias("_named"), F.sum("_size").alias("_words")))
     earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,3 +101,33 @@ def mix(docs: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST
 def mixture(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with size, source_size, target and taken."""
     return mix(docs, seed).filter("taken > 0")
+
+
+#: DuckDB SQL that puts each source's rows in one order and adds up their words there.
+CHECKING_SQL = f"""
+WITH row AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_TOKEN}'))::BIGINT AS size,
+    md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key
+  FROM documents),
+size AS (SELECT source, sum(size)::BIGINT AS source_size FROM row GROUP BY source),
+weighed AS (
+  SELECT source, source_size, [{", ".join(f"{float(w)}::DOUBLE" for w in WEIGHTS)}][
+      1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight, {MOST}::DOUBLE * source_size AS cap
+  FROM size),
+tried AS (
+  SELECT a.source, any_value(a.cap / a.weight) AS reach,
+    ((SELECT {SHARE}::DOUBLE * sum(source_size) FROM size) - coalesce(sum(b.cap) FILTER (NOT after), 0)) / sum(b.weight) FILTER (after) AS level
+  FROM weighed a, LATERAL (
+    SELECT cap, weight, (b.cap / b.weight, b.source IS NULL, coalesce(b.source, '')) >= (a.cap / a.weight, a.source IS NULL, coalesce(a.source, '')) AS after
+    FROM weighed b) b
+  GROUP BY a.source),
+budget AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM tried WHERE level <= reach) * weight), cap) AS target FROM weighed),
+placed AS (
+  SELECT r.*, b.source_size, b.target,
+    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+    CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs
+  FROM row r JOIN budget b ON b.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target,
+  epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)) AS taken
+FROM placed"""

@@ -55,9 +55,9 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secrets(table(spark, sf_dir, "documents"))
 
 
-@register("op5_mixing")
+@register("op5_mixing", mixing.CHECKING_SQL)
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document; checked by a sequential version in tests."""
+    """Words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -84,3 +84,18 @@ def test_query(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()
     source = {r.doc_id: r.source for r in docs}
     judge([(r, source[r.doc_id]) for r in QUERIES["op5_mixing"](spark, folder).collect()], [tuple(r) for r in docs])
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    from gatehouse.llm.queries import ORACLE
+
+    folder = "/root/testdata/sf0.01"
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    relation = database.execute(ORACLE["op5_mixing"])
+    names = [d[0] for d in relation.description]
+    found = QUERIES["op5_mixing"](spark, folder)
+    assert sorted(names) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(relation.fetchall())
