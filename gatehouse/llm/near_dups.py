@@ -43,6 +43,8 @@ SMALL, BUCKET = 32, 1000
 _HELD_BYTES, _CELLS = 64 << 20, 4_000_000
 #: Counters by which shingles are ranked from rare to frequent; any ranking finds all pairs.
 _SLOTS = 1 << 18
+#: Shingles that a task hands on at once.
+_GATHERED = 200_000
 
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, SKETCHES + MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -272,9 +274,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each (node, label, words) row, with their place in the ranking."""
+    """The rarest shingles of each (node, label, words) row, with their place in the ranking; those of many rows at once."""
     for batch in batches:
-        for node, label, words in zip(*batch.columns, strict=True):
+        rows, parts, held = [], [], 0
+        for i, words in enumerate(batch.column(2)):
             own = np.unique(shingles(np.frombuffer(words.as_py(), np.uint32)))
             size = len(own)
             ranked = own[np.lexsort((own, counts[(own % np.uint64(_SLOTS)).astype(np.int64)]))]
@@ -282,11 +285,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator
             longer = size - int(np.ceil(SIMILARITY * size - 1e-6)) + 1
             smaller = size - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * size - 1e-6)) + 1
             place = np.arange(longer)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ranked[:longer].view(np.int64)), pa.array([node.as_py()] * longer, pa.binary()),
-                pa.array([label.as_py()] * longer, pa.binary()), pa.array(np.full(longer, size, np.int32)),
-                pa.array(place.astype(np.int32)), pa.array(place < smaller),
-            ], names=["shingle", "node", "label", "size", "place", "smaller"])
+            rows.append(np.full(longer, i))
+            parts.append((ranked[:longer], np.full(longer, size), place, place < smaller))
+            held += longer
+            if held >= _GATHERED or i == batch.num_rows - 1:
+                shingle, sizes, places, few = (np.concatenate(x) for x in zip(*parts, strict=True))
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(shingle.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes.astype(np.int32)),
+                    pa.array(places.astype(np.int32)), pa.array(few),
+                ], names=["shingle", "node", "label", "size", "place", "smaller"])
+                rows, parts, held = [], [], 0
 
 
 def _across(words: DataFrame, found: DataFrame) -> DataFrame:

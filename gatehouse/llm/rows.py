@@ -8,6 +8,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gatehouse.functions.hashing import filter_bits
 from gatehouse.session import scratch_path
 
 _FOLDER: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
@@ -48,14 +49,6 @@ def _row_hash(doc_id: Column, text_key: Column) -> Column:
     return F.xxhash64(doc_id, text_key)
 
 
-def _mask(row_hash: Column) -> Column:
-    """Four bits of a word."""
-    mixed = F.xxhash64(row_hash, F.lit("bits"))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
-            for i in range(4)]
-    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
-
-
 def without(docs: DataFrame, find: Callable[[], DataFrame]) -> DataFrame:
     """``docs`` without the rows whose doc_id and ``xxhash64(text)`` are among those of ``find()`` (doc_id, text_key).
 
@@ -70,10 +63,10 @@ def without(docs: DataFrame, find: Callable[[], DataFrame]) -> DataFrame:
     marks = docs.sparkSession.read.parquet(path)
     words = F.lit(min(_WORDS, -(-marks.count() // _ROWS_PER_WORD) or 1))
     marked = _row_hash(F.col("_marked_id"), F.col("_marked_key"))
-    filters = marks.groupBy(F.pmod(marked, words).alias("_word")).agg(F.bit_or(_mask(marked)).alias("_bits"))
+    filters = marks.groupBy(F.pmod(marked, words).alias("_word")).agg(F.bit_or(filter_bits(marked)).alias("_bits"))
     row_hash = _row_hash(docs["doc_id"].cast("bigint"), F.xxhash64(docs["text"]))
     placed = docs.alias("_row").join(F.broadcast(filters), F.pmod(row_hash, words) == filters["_word"], "left")
-    possible = F.coalesce(filters["_bits"].bitwiseAND(_mask(row_hash)) == _mask(row_hash), F.lit(False))
+    possible = F.coalesce(filters["_bits"].bitwiseAND(filter_bits(row_hash)) == filter_bits(row_hash), F.lit(False))
     sure, unsure = (placed.filter(condition).select("_row.*") for condition in (~possible, possible))
     same = unsure["doc_id"].cast("bigint").eqNullSafe(marks["_marked_id"]) & (F.xxhash64(unsure["text"]) == marks["_marked_key"])
     return sure.unionAll(unsure.join(marks, same, "left_anti"))
