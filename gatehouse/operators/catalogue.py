@@ -229,8 +229,9 @@ def lifecycle_checked(
     Requests for unknown and for soft deleted datasets meet no state and leave none.
     """
     live = catalogue.filter("NOT is_deleted").select(key, "status")
-    known = exists_filter(requests, live.select(F.col(key).alias("_live")), {key: "_live"})
-    unknown = exists_filter(requests, live.select(F.col(key).alias("_live")), {key: "_live"}, negate=True)
+    marked = materialize(lookup_join(requests, live.select(F.col(key).alias("_live")), {key: "_live"}, "left"))
+    known = marked.filter("_live IS NOT NULL").drop("_live")
+    unknown = marked.filter("_live IS NULL").drop("_live")
     judged = lifecycle_requests(known, key, order, action, live)
     reason = F.lit(None).cast("string")
     for name, (needed, target) in TRANSITIONS.items():

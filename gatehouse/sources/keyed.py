@@ -7,7 +7,7 @@ not hold are ruled out without reading it; what remains is compared exactly. An
 of its keys by a part of the same layer and adds its new keys as a layer of their own; ``compact`` joins small parts to
 a new layer, so that there are few layers to ask.
 
-Keys are compared as text and are unique in a table. All functions publish on top of the manifest they read and raise
+Bounds and filters are those of the keys' text; keys are unique in a table, and a null one equals no other. All functions publish on top of the manifest they read and raise
 ``Conflict`` when another writer was first.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gatehouse.functions.hashing import filter_bits
 from gatehouse.session import materialize
 from gatehouse.sources.store import FILTERS, new_part, publish, read_manifest, read_parts
 
@@ -30,15 +31,7 @@ _PIECE, _PART = "_piece", "_part"
 
 
 def _text(name: str) -> Column:
-    return F.col(f"`{name}`").cast("string")
-
-
-def _bits(key: Column) -> Column:
-    """Four bits of a filter's word."""
-    mixed = F.xxhash64(key, F.lit("bits"))
-    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(mixed, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
-            for i in range(4)]
-    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def _cut(df: DataFrame, key: str, rows: int, label: str, part_rows: int) -> DataFrame:
@@ -58,7 +51,7 @@ def _write(df: DataFrame, path: str, run_id: str, key: str) -> dict[str, dict]:
                       "greatest": row["greatest"], "words": -(-row["rows"] // KEYS_PER_WORD)} for row in found}
     sizes = spark.createDataFrame([(piece, d["part"], d["words"]) for piece, d in details.items()], f"{_PIECE} string, {_PART} string, words bigint")
     filters = written.join(sizes, _PIECE).groupBy(_PART, F.pmod(F.xxhash64("key"), "words").alias("word")).agg(
-        F.bit_or(_bits(F.col("key"))).alias("bits"))
+        F.bit_or(filter_bits(F.col("key"))).alias("bits"))
     filters.write.parquet(f"{path}/{FILTERS}/{folder}")
     return details
 
@@ -114,7 +107,7 @@ def possible_parts(keys: DataFrame, path: str, key: str, manifest: dict, parts:
     placed = asked.withColumn("place", F.explode(F.filter(F.array(*places), lambda place: place.isNotNull()))).select(
         key, "_key", f"place.{_PART}", "place.word")
     filters = spark.read.parquet(*sorted({f"{path}/{FILTERS}/{part.split('/')[0]}" for part in parts}))
-    mask = _bits(F.col("_key"))
+    mask = filter_bits(F.col("_key"))
     return placed.join(filters, [_PART, "word"]).filter(F.col("bits").bitwiseAND(mask) == mask).select(key, _PART)
 
 

@@ -189,7 +189,8 @@ def lifecycle_stream(
     The outcomes of each micro-batch are added to ``outcomes`` and the statuses that it leaves to ``states``, both to be
     read with ``read_table``; of ``states``, a keyed table with the key as text, only parts that hold a changed one are
     written anew. ``states(key, status)`` gives the state before the stream's first request; others begin as Draft.
-    Requests must arrive in order between micro-batches, not within one.
+    Requests must arrive in order between micro-batches, not within one; those without a dataset are judged as one, whose
+    status is not published.
     """
     name, path = stream_id(checkpoint), f"{target}/states"
 
@@ -200,7 +201,7 @@ def lifecycle_stream(
             return
         judged = materialize(batch)
         write_staging(judged, f"{target}/outcomes", run_id)
-        changed = judged.groupBy(F.col(key).cast("string").alias(key)).agg(F.max_by("state_after", F.struct(*order)).alias("status"))
+        changed = judged.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(F.max_by("state_after", F.struct(*order)).alias("status"))
         upsert_keyed(changed, path, run_id, key, mark=(name, batch_id), manifest=published)
         compact(session, path, key)
 
