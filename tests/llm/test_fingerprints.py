@@ -64,6 +64,32 @@ def test_likeness():
     assert fp.likeness(of(long), of(long[:100_000] + noise(100_000, 8))) == pytest.approx(0.5, abs=0.05)
 
 
+def directly(text):
+    """The fingerprint's parts from whole numbers, one code point at a time."""
+    codes, prime = [ord(c) + 1 for c in text], fp.PRIME
+
+    def span(a, b):
+        both = [sum(c * pow(base, j, prime) for j, c in enumerate(codes[a:b])) % prime for base in fp.BASES]
+        return both[0] << 31 | both[1]
+
+    def short(value):
+        value = (value ^ value >> 31) * 0x7FB5D329728EA185 % 2**64
+        return (value ^ value >> 27) * 0x81DADEF4BC2DD44D % 2**64 >> 32
+
+    n, step = len(codes), 1
+    while n // step > fp.GRID:
+        step *= 2
+    grid, size = range(step, n + 1, step), min(fp.SPAN, n)
+    least = sorted({short(span(i, i + size)) for i in range(n - size + 1)} if n else set())[: fp.KEPT]
+    numbers = [short(span(0, k)) for k in grid] + [short(span(n - k, n)) for k in grid] + least
+    return f"{n:x}.{span(0, n):x}.{step:x}.{len(grid):x}." + "".join(f"{x:08x}" for x in numbers)
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab𝔘é", "abc" * 30, noise(150, 21), noise(70, 22) + "z" * 200])
+def test_fingerprints_match_whole_numbers(text):
+    assert of(text).text() == directly(text)
+
+
 def test_written_and_read():
     for text in ("", "a", "aaaa" * 500, noise(5000, 7)):
         one, two = of(text), fp.parse(of(text).text())

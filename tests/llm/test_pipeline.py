@@ -79,3 +79,41 @@ def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, a null source, and columns named as the stages' own ones."""
+    folder = "/root/testdata/sf0.001"
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    added = spark.sql(f"""SELECT * FROM VALUES
+        (NULL, 'the and of that in is this with for on are as by an it', 'en'), (NULL, NULL, 'en'), (7, NULL, NULL), (8, '', 'en'),
+        (900001, 'one reing thing and the other thtion of that in is', NULL), (900001, 'one reing thing and the other thtion of that in is', NULL),
+        (900002, repeat('the and of that in is this with for on ', 3000), 'en'), (900003, 'the and of that write to jane.doe@example.org and in is', 'en')
+        t(doc_id, text, lang)""").selectExpr(
+            "CAST(doc_id AS BIGINT) AS doc_id", "text", "lang", "CAST(NULL AS STRING) AS source", "CAST(char_length(text) AS BIGINT) AS n_chars")
+    rows = plain.select("doc_id", "text", "lang", "source", plain["n_chars"].cast("bigint").alias("n_chars")).unionByName(added)
+    docs = rows.selectExpr("*", "1 AS _word", "'b' AS _bits", "2 AS text_key", "true AS kept", "'m' AS _marked_id", "0 AS node", "3 AS taken", "'x' AS _row")
+    columns, sizes = docs.columns, []
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        sizes.append(docs.count())
+        if name != "mixing":
+            assert docs.columns == columns and docs.filter("_word <> 1 OR _bits <> 'b' OR text_key <> 2 OR node <> 0").count() == 0
+        if name == "language_id":
+            # Null and empty texts are in no language; rows that repeat an id are judged by their text.
+            assert docs.filter("text IS NULL OR text = ''").count() == 0 and docs.filter("doc_id = 900001").count() == 2
+        elif name == "near_dedup":
+            assert docs.filter("doc_id = 900001").count() == 1 and docs.filter("doc_id IS NULL").count() == 1
+        elif name == "pii":
+            assert docs.filter("doc_id = 900003 AND text LIKE '%[EMAIL]%' AND n_chars = char_length(text)").count() == 1
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+    assert {"size", "source_size", "target", "taken"} <= set(docs.columns) and docs.filter("taken > 2 * size").count() == 0
+
+
+def test_redaction_of_an_empty_table_and_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.org now", 5, "x")], "doc_id long, text string, n_email int, spans string")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail [EMAIL] now", 5, "x")]
+    assert pii.redact(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).columns == docs.columns
