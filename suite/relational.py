@@ -6,7 +6,7 @@ from gatehouse.functions.text import contains_ci
 from gatehouse.operators import aggregates as agg, trigrams
 from gatehouse.operators import filters, joins, paging, quality, reports
 from gatehouse.operators.catalogue import tag_lists
-from gatehouse.plans.search import Reader, SearchRequest, catalog_search
+from gatehouse.plans.search import Reader, SearchRequest, catalog_index, catalog_search
 from suite.registry import query
 
 
@@ -445,7 +445,7 @@ def j11(t):
     return filters.first_issue(t("part"), rules).select("p_partkey", "validation_issue")
 
 
-@query("j12_catalog_search", """
+J12_SQL = """
     WITH hits AS (
         SELECT d.dataset_id, d.name, w.workspace_name, c.category_name, u.full_name AS owner_name, d.created_at
         FROM {datasets} d JOIN {workspaces} w ON w.workspace_id = d.workspace_id
@@ -457,15 +457,34 @@ def j11(t):
             OR contains(lower(d.source_name), 'ring') OR contains(lower(d.source_type), 'ring') OR contains(lower(u.full_name), 'ring')
             OR EXISTS (SELECT 1 FROM {dataset_tags} b JOIN {tags} t ON t.tag_id = b.tag_id
                        WHERE b.dataset_id = d.dataset_id AND contains(lower(t.tag_name), 'ring'))))
-    SELECT *, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY created_at, dataset_id LIMIT 25 OFFSET 25""")
-def j12(t):
+    SELECT *, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY created_at, dataset_id LIMIT 25 OFFSET 25"""
+
+
+def found_page(t, **more):
     tables = {n: t(n) for n in ("datasets", "workspaces", "categories", "users", "dataset_tags", "tags")}
     request = SearchRequest(
         workspace_id=1, keyword="Ring", status="active", created_from="1995-01-01 00:00:00",
         sort_by="createdDate", direction="asc", page=2, size=25,
     )
-    rows, total = catalog_search(tables, request, Reader(workspace_id=1, sees_all_statuses=True))
+    rows, total = catalog_search(tables | more, request, Reader(workspace_id=1, sees_all_statuses=True))
     return rows.select(
         "dataset_id", "name", "workspace_name", "category_name", "owner_name", "created_at",
         F.lit(total.first()["total"]).alias("total"),
     )
+
+
+@query("j12_catalog_search", J12_SQL)
+def j12(t):
+    return found_page(t)
+
+
+@query("j12_search_by_index", J12_SQL)
+def j12_index(t):
+    """The keyword is looked up in indexes that were written before."""
+    tables = {n: t(n) for n in ("datasets", "workspaces", "categories", "users", "tags")}
+    stored = {}
+    for name, index in catalog_index(tables).items():
+        path = t.scratch(name)
+        index.repartition("gram").sortWithinPartitions("gram").write.parquet(path)
+        stored[name] = t.spark.read.parquet(path)
+    return found_page(t, **stored)
