@@ -89,7 +89,7 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2^64."""
     size = max(_POWERS, default=0)
     if size < length:
-        size = max(length, BLOCK_BYTES * 2)
+        size = max(length, BLOCK_BYTES + 1)
         both = []
         for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)

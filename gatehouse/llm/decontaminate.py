@@ -52,14 +52,15 @@ class Queries(NamedTuple):
 def index_documents(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Write the positional index of ``docs`` (doc_id, text) to the shared scratch folder and return it.
 
-    One row per segment; every row of ``docs`` is in exactly one segment, also repeated ones and those without words.
+    One row, and one file, per segment, as readers and writers hold many rows at a time; every row of ``docs`` is in exactly
+    one segment, also repeated ones and those without words.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text")
     )
     return stored(rows.mapInArrow(
         lambda batches: _segments(batches, segment_words), "seg bigint, doc_ids array<bigint>, text_keys array<bigint>,"
-        "word_starts array<bigint>, terms binary, term_starts binary, postings binary"), "positional-index")
+        "word_starts array<bigint>, terms binary, term_starts binary, postings binary"), "positional-index", maxRecordsPerFile=1)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,12 @@ _CODES = np.arange(256)
 _LETTERS = (LOWER >= 0x61) & (LOWER <= 0x7A)
 #: Letters and bytes beyond ASCII stay, everything else is a blank.
 _TEXT = np.where(_LETTERS | (_CODES >= 0x80), LOWER, 0x20).astype(np.uint32)
+#: Numbers of the bytes that a text can have, so that a table of three-byte n-grams has 15 MB, not 64.
+_RANK = np.unique(_TEXT, return_inverse=True)[1].astype(np.int32)
+_RANKS = int(_RANK.max()) + 1
 _TABLES: dict[int, tuple] = {}
+#: Texts by columns that are held at a time.
+_CELLS = 1_000_000
 
 
 class Model(NamedTuple):
@@ -74,15 +79,22 @@ def gram_codes(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[inside], codes[inside]
 
 
+def _place(codes: np.ndarray, size: int) -> np.ndarray:
+    """Where n-grams of ``size`` bytes stand in their table."""
+    if size < 3:
+        return codes
+    return (_RANK[codes >> 16] * _RANKS + _RANK[codes >> 8 & 0xFF]) * _RANKS + _RANK[codes & 0xFF]
+
+
 def _numbers(model: Model) -> tuple:
-    """For each spectrum a table from code to column, built once per worker; -1 where there is no such column."""
+    """For each spectrum a table from place to column, built once per worker; -1 where there is no such column."""
     key = hash((model.size, model.landmarks[:, :64].tobytes(), model.grams[-1].tobytes()))
     if key not in _TABLES:
         _TABLES.clear()
         tables, column = [], 0
         for size, grams in zip(SPECTRUM, model.grams, strict=True):
-            tables.append(np.full(1 << (8 * size), -1, np.int32))
-            tables[-1][grams] = np.arange(column, column + len(grams))
+            tables.append(np.full(1 << (8 * size) if size < 3 else _RANKS**3, -1, np.int32))
+            tables[-1][_place(grams, size)] = np.arange(column, column + len(grams))
             column += len(grams)
         _TABLES[key] = tuple(tables)
     return _TABLES[key]
@@ -94,7 +106,7 @@ def presence(model: Model, block: Block) -> np.ndarray:
     flat = out.reshape(-1)
     for size, table in zip(SPECTRUM, _numbers(model), strict=True):
         row, codes = gram_codes(block, size)
-        column = table[codes]
+        column = table[_place(codes, size)]
         known = column >= 0
         flat[row[known].astype(np.int64) * model.size + column[known]] = 1
     return out
@@ -105,7 +117,7 @@ def unknown_grams(model: Model, block: Block) -> np.ndarray:
     out = np.zeros(block.count, np.int64)
     for size, table in zip(SPECTRUM, _numbers(model), strict=True):
         row, codes = gram_codes(block, size)
-        own = table[codes] < 0
+        own = table[_place(codes, size)] < 0
         both = np.unique(row[own].astype(np.uint64) << np.uint64(32) | codes[own])
         out += np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=block.count)
     return out
@@ -115,14 +127,15 @@ def embedded(model: Model, block: Block) -> np.ndarray:
     """Presence of each text's n-grams, divided by the root of the number of all its different ones."""
     present = presence(model, block)
     every = present.sum(axis=1) + unknown_grams(model, block)
-    return present / np.sqrt(np.maximum(every, 1)).astype(np.float32)[:, None]
+    present /= np.sqrt(np.maximum(every, 1)).astype(np.float32)[:, None]
+    return present
 
 
 def _trigrams(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(text, column) of every three-byte n-gram that is not blank, as often as it occurs; -1 for an unknown one."""
     row, codes = gram_codes(block, 3)
     own = codes != 0x202020
-    return row[own], _numbers(model)[2][codes[own]]
+    return row[own], _numbers(model)[2][_place(codes[own], 3)]
 
 
 def strange(model: Model, block: Block, language: np.ndarray) -> np.ndarray:
@@ -254,7 +267,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
     for batch in batches:
         names, values, odd = [], [], []
         for block in text_blocks(batch.column(2)):
-            step = max(1, 4_000_000 // model.size) if model else block.count
+            step = max(1, _CELLS // model.size) if model else block.count
             for at in range(0, block.count, step):
                 end = min(block.count, at + step)
                 low, high = block.offsets[at], block.offsets[end]

@@ -34,10 +34,11 @@ def stored_at(spark: SparkSession, label: str) -> str:
     return f"{folder}/{path.rsplit('/', 1)[-1]}" if folder else path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: computed once, and its size known to the plans that read it."""
+def stored(df: DataFrame, label: str, **options: str | int) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, written with ``options``: computed once, and its size known to the
+    plans that read it."""
     path = stored_at(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

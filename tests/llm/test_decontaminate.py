@@ -149,3 +149,9 @@ def test_query_matches_brute_force(spark, folder):
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     bench = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     assert rows(QUERIES["op10_decontaminate"](spark, folder)) == expected(docs, bench)
+
+
+def test_every_segment_is_a_file(spark):
+    docs = spark.createDataFrame([(i, "one " * 300_000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    index = decontaminate.index_documents(docs, 1000)
+    assert index.count() == len(index.inputFiles()) == 3

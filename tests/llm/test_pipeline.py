@@ -2,6 +2,9 @@
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gatehouse.llm import near_dups, pii
 from gatehouse.llm.arrow_text import text_blocks, word_hashes
@@ -117,3 +120,11 @@ def test_redaction_of_an_empty_table_and_of_clashing_names(spark):
     docs = spark.createDataFrame([(1, "mail a@b.org now", 5, "x")], "doc_id long, text string, n_email int, spans string")
     assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "mail [EMAIL] now", 5, "x")]
     assert pii.redact(docs.limit(0)).collect() == [] and pii.redact(docs.limit(0)).columns == docs.columns
+
+
+def test_workers_are_handed_a_bounded_number_of_bytes(spark):
+    """300 texts of 100 KB in one partition, 30 MB, are less than 10,000 rows."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 17_000).alias("text")).coalesce(1)
+    corpus_pipeline.redact_personal_data(spark, docs, "")
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) >= 30_000_000 and max(r.n for r in sizes) <= 8_000_000
