@@ -1,9 +1,10 @@
 """Secrets by a character convolutional network.
 
 Candidates of every whole text are found by byte runs in numpy and three base patterns; each candidate, with the
-characters around it, is scored by a small convolutional network. The network is trained here, in numpy, on findings
-of the base patterns (labelled secret) and on long tokens that no pattern takes (labelled not), from a bounded sample;
-scores are calibrated, and the threshold is the highest that keeps a stated recall on held-out findings. Base findings
+characters around it, is scored by a small convolutional network. The network is trained in numpy, on all findings of the
+base patterns (labelled secret) and all long tokens that no pattern takes (labelled not): Spark deals three quarters of
+them into parts, each part is trained on by itself for an epoch, and the weights are averaged before the next. Scores are
+calibrated, and the threshold keeps a stated recall, on the held-out quarter, counted by bins of the score. Base findings
 always stay; the network adds spans of kind ``cnn``.
 """
 
@@ -20,9 +21,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gatehouse.llm.arrow_text import text_blocks, tokens
+from gatehouse.llm.rows import scratch_tables, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -167,76 +169,115 @@ def logits(network: Network, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _probability(network: Network, score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(network.slope * score + network.offset, -40, 40)))
+
+
 def probability(network: Network, rows: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(network.slope * logits(network, rows) + network.offset, -40, 40)))
+    return _probability(network, logits(network, rows))
+
+
+#: Numbers of the network: filters, bias, dense layer and shift, in this order in one vector.
+_PLACES = np.cumsum([0, KERNEL * ALPHABET * FILTERS, FILTERS, FILTERS, 1])
+
+
+def _unpacked(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    filters, bias, dense, shift = np.split(weights, _PLACES[1:-1])
+    return filters.reshape(-1, FILTERS), bias, dense, float(shift[0])
+
+
+def _started(random: np.random.Generator) -> np.ndarray:
+    """Weights, and Adam's first and second moments of each."""
+    state = np.zeros((3, _PLACES[-1]))
+    state[0, : _PLACES[1]] = random.normal(0, 0.1, _PLACES[1])
+    state[0, _PLACES[2] : _PLACES[3]] = random.normal(0, 0.3, FILTERS)
+    return state
+
+
+def _epoch(state: np.ndarray, number: int, rows: np.ndarray, labels: np.ndarray, weight: np.ndarray, seed: int) -> np.ndarray:
+    """The state after epoch ``number`` over the rows, 64 at a time."""
+    order, state = np.random.default_rng([seed, number]).permutation(len(rows)), state.copy()
+    for step, at in enumerate(range(0, len(rows), 64), number * -(-len(rows) // 64) + 1):
+        pick = order[at : at + 64]
+        filters, bias, dense, shift = _unpacked(state[0])
+        windows = _windows(rows[pick])
+        value = np.maximum(filters[windows].sum(axis=2) + bias, 0)
+        where = value.argmax(axis=1)
+        top = np.take_along_axis(value, where[:, None, :], 1)[:, 0]
+        error = (1 / (1 + np.exp(-np.clip(top @ dense + shift, -40, 40))) - labels[pick]) * weight[pick] / len(pick)
+        through = error[:, None] * dense * (top > 0)
+        gradient = np.zeros_like(filters)
+        seen = windows[np.arange(len(pick))[:, None], where]
+        np.add.at(gradient, (seen, np.arange(FILTERS)[None, :, None]), through[:, :, None])
+        change = np.concatenate([gradient.ravel(), through.sum(0), top.T @ error, [error.sum()]])
+        state[1] += 0.1 * (change - state[1])
+        state[2] += 0.001 * (change * change - state[2])
+        state[0] -= 0.01 * (state[1] / (1 - 0.9**step)) / (np.sqrt(state[2] / (1 - 0.999**step)) + 1e-8)
+    return state
+
+
+def _calibrated(network: Network, bins: list[tuple[bool, int, float, float]], recall: float) -> Network:
+    """Calibrate on (secret, bin, number, least score) of held-out rows, and take the least score of the bin with which
+    the share ``recall`` of the secret ones is reached, the highest first."""
+    label, score, number = (np.array([b[i] for b in bins], float) for i in (0, 1, 2))
+    score, number, slope, offset = score / BINS, number / number.sum(), 1.0, 0.0
+    for _ in range(200):
+        error = (1 / (1 + np.exp(-np.clip(slope * score + offset, -40, 40))) - label) * number
+        slope, offset = slope - 0.05 * float((error * score).sum()), offset - 0.05 * float(error.sum())
+    network = network._replace(slope=max(slope, 1e-3), offset=offset)
+    lost, secret = 0.0, sorted(b[1:] for b in bins if b[0])
+    spare = int(np.floor((1 - recall) * sum(n for _, n, _ in secret)))
+    for _, n, least in secret:
+        lost += n
+        if lost > spare:
+            # A little less, as sums of other rows at a time may differ in their last bit.
+            return network._replace(threshold=float(_probability(network, np.array(least - 1e-9))))
+    raise ValueError("no held-out finding")
 
 
 def fit(rows: np.ndarray, labels: np.ndarray, recall: float = 0.98, epochs: int = 12, seed: int = 7) -> Network:
     """Train on three quarters of the rows, calibrate and set the threshold on the rest; the same rows give the same
     network. With rows of one class only, nothing can be learned and the threshold lets nothing through."""
     random = np.random.default_rng(seed)
-    filters = random.normal(0, 0.1, (KERNEL * ALPHABET, FILTERS))
-    bias, dense, shift = np.zeros(FILTERS), random.normal(0, 0.3, FILTERS), 0.0
+    state = _started(random)
     if len(set(labels.tolist())) < 2:
-        return Network(filters, bias, dense, shift, 1.0, 0.0, 2.0)
+        return _nothing(state)
     order = random.permutation(len(rows))
     held, own = order[: len(rows) // 4], order[len(rows) // 4 :]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (filters, bias, dense, np.zeros(1))]
-    step = 0
-    for _ in range(epochs):
-        for at in range(0, len(own), 64):
-            pick = own[at : at + 64] if at else random.permutation(own)[:64]
-            windows = _windows(rows[pick])
-            value = np.maximum(filters[windows].sum(axis=2) + bias, 0)
-            where = value.argmax(axis=1)
-            top = np.take_along_axis(value, where[:, None, :], 1)[:, 0]
-            error = (1 / (1 + np.exp(-np.clip(top @ dense + shift, -40, 40))) - labels[pick]) * weight[pick] / len(pick)
-            through = error[:, None] * dense * (top > 0)
-            gradient = np.zeros_like(filters)
-            seen = windows[np.arange(len(pick))[:, None], where]
-            np.add.at(gradient, (seen, np.arange(FILTERS)[None, :, None]), through[:, :, None])
-            step += 1
-            values = []
-            for old, change, (first, second) in zip(
-                    (filters, bias, dense, np.array([shift])),
-                    (gradient, through.sum(0), top.T @ error, np.array([error.sum()])), moments, strict=True):
-                first += 0.1 * (change - first)
-                second += 0.001 * (change * change - second)
-                values.append(old - 0.01 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8))
-            filters, bias, dense, shift = values[0], values[1], values[2], float(values[3][0])
-    network = Network(filters, bias, dense, shift, 1.0, 0.0, 0.5)
+    for number in range(epochs):
+        state = _epoch(state, number, rows[own], labels[own], weight[own], seed)
+    network = Network(*_unpacked(state[0]), 1.0, 0.0, 0.5)
     if not len(held) or len(set(labels[held].tolist())) < 2:
         held = order
-    score, slope, offset = logits(network, rows[held]), 1.0, 0.0
-    for _ in range(200):
-        error = 1 / (1 + np.exp(-np.clip(slope * score + offset, -40, 40))) - labels[held]
-        slope, offset = slope - 0.05 * float((error * score).mean()), offset - 0.05 * float(error.mean())
-    network = network._replace(slope=max(slope, 1e-3), offset=offset)
-    positive = np.sort(probability(network, rows[held][labels[held] == 1]))
-    keeps_recall = float(positive[int(np.floor((1 - recall) * len(positive)))])
-    return network._replace(threshold=keeps_recall)
+    score = logits(network, rows[held])
+    return _calibrated(network, [(bool(y), int(np.floor(x * BINS)), 1.0, x) for x, y in zip(score, labels[held], strict=True)], recall)
+
+
+def _nothing(state: np.ndarray) -> Network:
+    return Network(*_unpacked(state[0]), 1.0, 0.0, 2.0)
 
 
-_SAMPLED = "kind string, row binary"
+#: Bins of held-out scores to a unit of log-odds.
+BINS = 64
 
 
-def labelled(docs: DataFrame, limit: int = 4000) -> DataFrame:
-    """At most ``limit`` findings and ``limit`` generic candidates, those of the smallest hashes, as network rows. Each
-    task hands on as many at most."""
-    rows = docs.select(F.col("text").alias("text")).mapInArrow(_sampled, _SAMPLED)
-    order = Window.partitionBy(F.col("kind") != "cnn").orderBy(F.xxhash64("row"), "row", "kind")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("kind", "row")
+def labelled(docs: DataFrame) -> DataFrame:
+    """Every finding (secret) and generic candidate (not) as joined network rows, equal ones once with their number; a
+    quarter, by hash, is held out."""
+    found = docs.select(F.col("text").alias("text")).mapInArrow(_examples, "secret boolean, pieces binary")
+    return found.groupBy("secret", "pieces").agg(F.count("*").alias("copies")).withColumn(
+        "order", F.xxhash64("pieces", "secret")).withColumn("held", F.pmod("order", F.lit(4)) == 0)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, rows = [], []
+        secret, rows = [], []
         for _, text, found in block_candidates(batch.column(0)):
             for candidate in found:
-                kinds.append(candidate.kind)
-                rows.append(pieces(text, candidate)[0].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(rows, pa.binary())], names=["kind", "row"])
+                secret.append(candidate.kind != "cnn")
+                rows.append(pieces(text, candidate).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(secret, pa.bool_()), pa.array(rows, pa.binary())], names=["secret", "pieces"])
 
 
 def plain_tokens(rows: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -253,14 +294,65 @@ def plain_tokens(rows: np.ndarray, seed: int = 11) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, limit: int = 4000, recall: float = 0.98) -> Network:
-    """Fit the network on a bounded sample of the corpus's findings."""
-    found = sorted((r.kind, bytes(r.row)) for r in labelled(docs, limit).collect())
-    rows = np.frombuffer(b"".join(x for _, x in found), np.uint8).reshape(-1, WIDTH)
-    labels = np.array([float(kind != "cnn") for kind, _ in found])
-    secrets = rows[labels == 1]
-    made = plain_tokens(secrets)
-    return fit(np.concatenate([rows, made]), np.concatenate([labels, np.zeros(len(made))]), recall)
+def _unfolded(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, first, labels, number): network rows of a part's examples and of tokens made from its findings, where each
+    example begins, and its label and number; in the same order on every run."""
+    part = part.sort_by([("order", "ascending"), ("pieces", "ascending")])
+    rows = np.frombuffer(b"".join(part["pieces"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+    sizes = np.array([len(x) // WIDTH for x in part["pieces"].to_pylist()], np.int64)
+    secret, copies = (part[name].to_numpy(zero_copy_only=False) for name in ("secret", "copies"))
+    first = np.cumsum(sizes) - sizes
+    made = plain_tokens(rows[first[secret]])
+    return (np.concatenate([rows, made]), np.concatenate([first, len(rows) + np.arange(len(made))]),
+            np.concatenate([secret.astype(float), np.zeros(len(made))]), np.concatenate([copies, copies[secret]]).astype(float))
+
+
+def _trained(part: pa.Table, state: np.ndarray, number: int, scale: tuple[float, float]) -> pa.Table:
+    """Every number of the state after an epoch on the part, times the part's rows. All rows of an example together, and
+    both classes, weigh alike."""
+    rows, first, labels, copies = _unfolded(part)
+    sizes = np.diff(np.append(first, len(rows)))
+    weight = np.repeat(copies / sizes * np.where(labels == 1, scale[1], scale[0]), sizes)
+    after = _epoch(state, number, rows, np.repeat(labels, sizes), weight, 7).ravel()
+    return pa.table({"place": pa.array(np.arange(len(after)), pa.int32()), "value": after * len(rows), "n": np.full(len(after), len(rows))})
+
+
+def _scored(part: pa.Table, network: Network) -> pa.Table:
+    """Every example's label, number and highest score."""
+    rows, first, labels, copies = _unfolded(part)
+    return pa.table({"secret": labels == 1, "n": copies, "score": np.maximum.reduceat(logits(network, rows), first)})
+
+
+def train(docs: DataFrame, limit: int = 4000, recall: float = 0.98, epochs: int = 12) -> Network:
+    """Fit the network on all findings and generic candidates of ``docs``, in parts of about ``limit`` different ones."""
+    spark, state = docs.sparkSession, _started(np.random.default_rng(7))
+    with scratch_tables(spark, "training"):
+        found = stored(labelled(docs), "examples")
+        size = F.length("pieces") / WIDTH
+        made = F.when(F.col("secret"), 1).otherwise(0)
+        sums = found.groupBy("held", "secret").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"),
+                                                   F.sum(size + made).alias("rows")).collect()
+        if not any(r.secret for r in sums):
+            return _nothing(state)
+        parts = -(-sum(r.n for r in sums) // limit)
+        dealt = found.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)))
+        # With findings in one fold only, all examples are in both.
+        both = len({r.held for r in sums if r.secret}) == 2
+        own, held = (dealt.filter(~F.col("held")), dealt.filter("held")) if both else (dealt, dealt)
+        used = [r for r in sums if not (both and r.held)]
+        secret, rows = sum(r.copies for r in used if r.secret), sum(r.rows for r in used)
+        # Tokens made from findings are not secret.
+        scale = 0.5 * rows / (secret + sum(r.copies for r in used if not r.secret)), 0.5 * rows / secret
+        for number in range(epochs):
+            after = own.groupBy("part").applyInArrow(
+                lambda part: _trained(part, state, number, scale), "place int, value double, n bigint")
+            # Exact sums, so that their order does not matter.
+            mean = after.groupBy("place").agg((F.sum(F.col("value").cast("decimal(38,18)")).cast("double") / F.sum("n")).alias("value"))
+            state = np.array([r.value for r in sorted(mean.collect())]).reshape(state.shape)
+        network = Network(*_unpacked(state[0]), 1.0, 0.0, 0.5)
+        scores = held.groupBy("part").applyInArrow(lambda part: _scored(part, network), "secret boolean, n double, score double")
+        bins = scores.groupBy("secret", F.floor(F.col("score") * BINS).alias("bin")).agg(F.sum("n"), F.min("score")).collect()
+    return _calibrated(network, sorted(map(tuple, bins)), recall)
 
 
 def secrets(docs: DataFrame, network: Network | None = None) -> DataFrame:
