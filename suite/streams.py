@@ -17,7 +17,7 @@ def events_stream(t):
     folder, last = t.scratch("events"), t("events").agg(F.max("event_id")).first()[0]
     arrivals = t("events").withColumn("arrival", F.expr(f"width_bucket(event_id, 0, {last + 1}, 4)"))
     for arrival in range(1, 5):
-        arrivals.filter(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(folder)
+        arrivals.filter(F.col("arrival") == arrival).drop("arrival").repartition(1).write.mode("append").parquet(folder)
     return t.spark.readStream.schema(t("events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -122,7 +122,7 @@ def within_watermark(t):
     folder, target = t.scratch("events"), t.scratch("first")
     sent = t.sql(LATE_EVENTS)
     for batch in range(1, 5):
-        sent.filter(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+        sent.filter(F.col("batch") == batch).drop("batch").repartition(1).write.mode("append").parquet(folder)
     stream = t.spark.readStream.schema("event_id bigint, key_hash string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(folder)
     streams.first_within_stream(stream, "key_hash", "ts", ["event_id"], DELAY_MS, t.scratch("checkpoint"), target).awaitTermination()
     return read_table(t.spark, f"{target}/records"), read_table(t.spark, f"{target}/errors")
