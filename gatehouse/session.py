@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +51,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: The checkpoints made since the innermost :func:`settle` began; None outside of one.
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+#: Seconds between two collections that let Spark drop the files of shuffles that nothing can read any more.
+_COLLECT_S = 10
+_collected = 0.0
+
+
+def _noted(checkpoint: DataFrame) -> DataFrame:
+    made = _MADE.get()
+    if made is not None:
+        made.append(checkpoint)
+    return checkpoint
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so later readers see one fixed set of rows."""
     scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _noted(df.checkpoint(eager=True))
+
+
+def settle(build: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialize` of ``build()``; the checkpoints that it makes on the way are released."""
+    token = _MADE.set([])
+    try:
+        df = build()
+        scratch_root(df.sparkSession)
+        kept, made = df.checkpoint(eager=True), _MADE.get()
+    finally:
+        _MADE.reset(token)
+    del df
+    release(*made)
+    return _noted(kept)
+
+
+def release(*checkpoints: DataFrame) -> None:
+    """Delete the files of what :func:`materialize` made and nothing reads any more. Rounds over a large table would
+    keep those of every round, since Spark drops a checkpoint's files at best, and a shuffle's, when its own references
+    are collected."""
+    global _collected
+    for df in checkpoints:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if checkpoints and time.monotonic() - _collected > _COLLECT_S:
+        _collected = time.monotonic()
+        checkpoints[0].sparkSession._jvm.System.gc()
 
 
 SPLIT_BYTES = 128 * 1024 * 1024
