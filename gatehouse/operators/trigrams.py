@@ -21,16 +21,20 @@ SIZE = 3
 MOST_GRAMS = 8
 
 
-def _grams(text: Column) -> Column:
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+def _grams(lowered: Column) -> Column:
     starts = F.when(F.length(lowered) >= SIZE, F.sequence(F.lit(1), F.length(lowered) - SIZE + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda at: F.substr(lowered, at, F.lit(SIZE))))
+    return F.transform(starts, lambda at: F.substr(lowered, at, F.lit(SIZE)))
 
 
 def gram_index(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """``(gram, key)``: which rows have which grams in any of their ``fields``."""
-    every = F.array_distinct(F.flatten(F.array(*(_grams(F.col(name)) for name in fields))))
-    return rows.select(F.explode(every).alias("gram"), key).distinct()
+    """``(gram, key)``: which rows have which grams in any of their ``fields``.
+
+    The texts of a key are brought together before they are cut, since its grams take many times their room.
+    """
+    lowered = F.array(*(F.lower(F.coalesce(F.col(name), F.lit(""))) for name in fields))
+    texts = rows.select(key, lowered.alias("_texts")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_texts"))).alias("_texts"))
+    every = F.array_distinct(F.flatten(F.transform("_texts", _grams)))
+    return texts.select(F.explode(every).alias("gram"), key)
 
 
 def updated_index(index: DataFrame, changed: DataFrame, key: str, fields: Sequence[str], removed: DataFrame | None = None) -> DataFrame:
