@@ -6,7 +6,8 @@ from types import SimpleNamespace
 
 import pandas as pd
 
-from gatehouse.streaming import stateful
+from gatehouse.sources.store import read_table
+from gatehouse.streaming import stateful, streams
 
 DAY = datetime.datetime(2024, 1, 1)
 HOUR = 3_600_000
@@ -107,3 +108,14 @@ def test_null_and_odd_keys_have_texts_of_their_own(spark):
     assert all(0 <= r[stateful._BUCKET] < stateful.BUCKETS for r in dealt)
     binary = stateful._dealt(spark.createDataFrame([(b"\xff",), (b"\xfe",)], "k binary"), "k").collect()
     assert len({r[stateful._KEY] for r in binary}) == 2
+
+
+def test_requests_without_a_dataset_leave_the_states_of_others_alone(spark, tmp_path):
+    schema = "id long, n long, action string"
+    rows = [(key, 2 * at + turn, ("activate", "archive")[turn]) for turn in range(2) for at, key in enumerate([None, *range(40)])]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    streams.lifecycle_stream(stream, "id", ["n"], str(tmp_path / "checkpoint"), str(tmp_path / "out")).awaitTermination()
+    outcomes = read_table(spark, str(tmp_path / "out/outcomes")).collect()
+    assert len(outcomes) == 82
+    assert all((r["state_before"], r["accepted"]) == (("Draft", "Active")[r["n"] % 2], True) for r in outcomes)
